@@ -1,0 +1,44 @@
+"""Connected components of a graph given as a table of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import delete, fresh_dir
+
+
+def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, component) for the nodes of ``links(a, b)``; component is the smallest node reachable.
+
+    Every round takes the smallest label among a node's neighbours and then jumps
+    to the label's own label, so that chains shorten by powers. Labels go to the
+    shared folder after each round; no link ever reaches the driver. Links with a
+    null end or to themselves only yield their node.
+    """
+    spark = links.sparkSession
+    made: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        made.append(fresh_dir(spark, "components"))
+        df.write.parquet(made[-1])
+        return spark.read.schema(df.schema).parquet(made[-1])
+
+    links = links.where("a is not null and b is not null").select("a", "b")
+    both = keep(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")))
+    for _ in range(max_rounds):
+        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
+        lower = labels.join(near, "node").select("node", F.least("component", "low").alias("mid"), F.col("component").alias("old"))
+        lower = keep(lower)
+        jump = lower.select(F.col("node").alias("mid"), F.col("mid").alias("far"))
+        new = keep(lower.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("component"), "old"))
+        if new.where("component <> old").isEmpty():
+            break
+        labels = new.select("node", "component")
+        for path in made[1:-1]:
+            delete(spark, path)
+        made[1:-1] = []
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return new.select("node", "component")
