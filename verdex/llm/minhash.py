@@ -237,3 +237,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     out = signed.select("doc_id", "n_shingles", "cls").join(by_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` whose document :func:`near_duplicates` keeps, with all their columns; of rows that repeat a kept doc_id, one."""
+    found = staged(near_duplicates(docs, percent).where("kept").select("doc_id"), "near-dedup-kept")
+    kept = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = not kept.where("n > 1 and doc_id is not null").isEmpty()
+    kept = kept.select(F.col("doc_id").alias("kept_id")).hint("shuffle_hash")
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return out.dropDuplicates(["doc_id"]) if repeated else out

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .minhash import near_duplicates
 from .packing import packed_sequences
+from .quality import quality
+from .secret_scan import secret_findings
 from .token_counts import token_counts
 from .token_files import read_token_index, write_token_files
+from .toxicity import toxicity
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -22,6 +25,14 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_index(write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=0))
 
@@ -31,12 +42,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_findings(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE), limit=4096)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op7_token_files, op8_best_fit_packing, op9_token_counts)
+    f.__name__: f for f in (op1_minhash_near_dedup, op3_quality_rules, op5_toxicity, op7_token_files, op8_best_fit_packing, op9_token_counts, op10_secret_scans)
 }
 
 ORACLE_SQL: dict[str, str] = {}
