@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .html_extract import extract
+from .media import media_columns
 from .minhash import near_duplicates
 from .packing import packed_sequences
+from .piece_model import piece_ids
 from .quality import quality
 from .secret_scan import secret_findings
 from .token_counts import token_counts
@@ -25,14 +28,26 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_ids(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE), keep_ids=False).drop("ids")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_index(write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=0))
 
@@ -51,7 +66,19 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op3_quality_rules, op5_toxicity, op7_token_files, op8_best_fit_packing, op9_token_counts, op10_secret_scans)
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op2_sentencepiece,
+        op3_quality_rules,
+        op4_html_extraction,
+        op5_toxicity,
+        op6_media_columns,
+        op7_token_files,
+        op8_best_fit_packing,
+        op9_token_counts,
+        op10_secret_scans,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
