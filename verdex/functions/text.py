@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: Keys that name nothing.
 PLACEHOLDERS = ("", "unknown", "n_a", "na", "none", "unspecified", "not_applicable", "null")
@@ -23,7 +24,7 @@ def normalize_key_text(value: str | None) -> str | None:
     return _NOT_WORD.sub("_", unicodedata.normalize("NFKC", value).casefold().strip()).strip("_")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normalize_key(values: pd.Series) -> pd.Series:
     return values.map(normalize_key_text, na_action="ignore")
 
@@ -110,7 +111,7 @@ def edit_kind(a: Column, b: Column) -> Column:
     return F.when(a == b, "same").when(one_edit_apart(a, b), "edit").when(F.coalesce(swapped_neighbours(a, b), F.lit(False)), "swap")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the longest common subsequence over the summed lengths; 1 for two empty texts."""
 

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .tri import tri_and
 
@@ -92,7 +93,7 @@ _PARSERS = {"semver": _semver, "openssl": _openssl, "imagemagick": _imagemagick,
 def _key_udf(profile: str):
     parse = _PARSERS[profile]
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf(ArrayType(LongType()))
     def key(versions: pd.Series) -> pd.Series:
         return versions.map(lambda v: None if v is None else _bounded(parse(v)), na_action="ignore")
 
@@ -125,17 +126,17 @@ def _sign(x: Column, y: Column) -> Column:
 
 
 def version_kind(version: Column) -> Column:
-    """What a version text is, first match: absent, any, not_applicable, exact, range, scm, date, prefix, text."""
+    """What a version text is, first match: absent, any, not_applicable, prefix, exact, scm, date, range, text."""
     v = F.trim(version)
     return (
         F.when(v.isNull() | (v == ""), "absent")
         .when(v == "*", "any")
         .when(v == "-", "not_applicable")
+        .when(v.rlike(r"^\d+(\.\d+)*\.[x*]$"), "prefix")
         .when(v.rlike(r"^v?\d+(\.\d+)*([._-]?[0-9A-Za-z]+)*$") & ~v.rlike(r"^\d{4}-\d{2}-\d{2}$") & ~v.rlike(r"^[0-9a-f]{7,40}$") | v.rlike(r"^\d+$"), "exact")
         .when(v.rlike(r"^[0-9a-f]{7,40}$"), "scm")
         .when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), "date")
         .when(v.rlike(r"[<>=]"), "range")
-        .when(v.rlike(r"^\d+(\.\d+)*\.[x*]$"), "prefix")
         .otherwise("text")
     )
 

@@ -1,6 +1,580 @@
-"""The queries that the entry module registers."""
+"""The queries that the entry module registers: each operator on a table of like shape, and the same in SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .functions import tri, urls, versions
+from .operators import applicability, audit, evaluate, graph, identity, intervals, mapping, revisions
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def micros(ts: str | Column) -> Column:
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
+def day(ts: str) -> Column:
+    return F.unix_date(F.col(ts).cast("date")).cast("long")
+
+
+def tri_text(c: Column) -> Column:
+    return tri.tri_name(c)
+
+
+# -- revisions and change logs ------------------------------------------------------------------------------------------
+
+
+@query("select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1")
+def latest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisions.latest(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type", "value")
+
+
+@query("select sha256(text) as signature, min(doc_id) as first, count(*) as copies from documents group by 1")
+def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisions.content_duplicates(table(spark, sf_dir, "documents"), F.sha2("text", 256), F.col("doc_id"))
+
+
+@query("select source, count(distinct sha256(text)) as variants from documents group by 1 having count(distinct sha256(text)) > 1")
+def content_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisions.content_variants(table(spark, sf_dir, "documents"), "source", F.sha2("text", 256))
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.struct(micros("ts").alias("us"), F.col("event_id"))
+    terminal = F.when(F.col("event_type") == "error", "rejected").when(F.col("event_type") == "signup", "active")
+    return revisions.change_state(table(spark, sf_dir, "events"), "user_id", at, terminal)
+
+
+_STATES_SQL = """select user_id, count(*) as changes, max(epoch_us(ts)) as latest_us,
+  arg_max(case event_type when 'error' then 'rejected' when 'signup' then 'active' end, row(ts, event_id)) filter (event_type in ('error', 'signup')) as terminal_state,
+  max(epoch_us(ts)) filter (event_type in ('error', 'signup')) as terminal_us from events group by 1"""
+
+
+@query(_STATES_SQL)
+def change_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _states(spark, sf_dir).select("user_id", "changes", F.col("latest.us").alias("latest_us"), "terminal_state", F.col("terminal_at.us").alias("terminal_us"))
+
+
+@query(f"""with s as ({_STATES_SQL}), r as (select o_custkey as user_id, max(epoch_us(o_orderdate)) as modified from orders group by 1),
+  c as (select c_custkey as user_id, case when c_acctbal < 0 then 'rejected' else 'active' end as status, coalesce(modified, 0) as modified from customer left join r on c_custkey = r.user_id)
+  select user_id, status, modified, changes, case when status = 'rejected' then 'record_status_rejected' when terminal_state = 'rejected' then 'terminal_history_rejected'
+  when latest_us > greatest(modified, 1706000000000000) then 'stale_after_history' else 'current' end as decision from c left join s using (user_id)""")
+def freshness_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.max(micros("o_orderdate")).alias("modified"))
+    records = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_acctbal") < 0, "rejected").otherwise("active").alias("status"))
+    records = records.join(changed, "user_id", "left").withColumn("modified", F.coalesce("modified", F.lit(0).cast("long")))
+    out = revisions.freshness(records, _states(spark, sf_dir), "user_id", F.col("modified"), F.col("status"), F.col("latest.us"), F.col("terminal_state"), F.lit(1706000000000000))
+    return out.select("user_id", "status", "modified", "changes", "decision")
+
+
+@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+def quarantine_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return revisions.without(customers, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@query("""with log as (select user_id, json_extract_string(props, '$.k') as k, row(ts, event_id) as moment, event_type from events),
+  s as (select user_id, k, max(moment) filter (event_type in ('signup', 'purchase')) as a, max(moment) filter (event_type = 'error') as r from log group by 1, 2)
+  select user_id, k from s where a is not null and (r is null or a > r)""")
+def active_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    kind = F.col("event_type")
+    return revisions.active_after(log, ["user_id", "k"], F.struct("ts", "event_id"), kind.isin("signup", "purchase"), kind == "error").select("user_id", "k")
+
+
+@query("""with o as (select o_orderkey as k, 'override' as origin, o_totalprice as value from orders where o_orderpriority in ('1-URGENT', '2-HIGH'))
+  select * from o union all select l_orderkey, 'base', l_extendedprice from lineitem where not exists (select 1 from o where o.k = l_orderkey)""")
+def override_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    over = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.lit("override").alias("origin"), F.col("o_totalprice").alias("value"), "o_orderpriority")
+    base = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.lit("base").alias("origin"), F.col("l_extendedprice").alias("value"), F.lit("").alias("o_orderpriority"))
+    return revisions.with_overrides(base, over, ["k"], F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("k", "origin", "value")
+
+
+@query("select cast(event_id % 7 as int) as shard, count(*) as n, min(event_id) as low, max(event_id) as high, count(*) = (max(event_id) - min(event_id)) // 7 + 1 as dense from events group by 1")
+def shard_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisions.shard_gaps(table(spark, sf_dir, "events"), F.col("event_id"), 7)
+
+
+# -- intervals and runs ------------------------------------------------------------------------------------------------
+
+
+def _spans(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(key, "l_returnflag", day("l_shipdate").alias("lo"), (day("l_shipdate") + F.col("l_quantity").cast("long")).alias("hi"))
+
+
+_SPANS = "select *, cast(l_shipdate as date) - date '1970-01-01' as lo, cast(l_shipdate as date) - date '1970-01-01' + cast(l_quantity as bigint) as hi from lineitem"
+
+
+def _merged(key: str, source: str) -> str:
+    return f"""select {key}, min(lo) as lo, max(hi) as hi, count(*) as parts from (select *, sum(fresh) over (partition by {key} order by lo, hi rows unbounded preceding) as island from
+      (select *, case when lo > max(hi) over w or max(hi) over w is null then 1 else 0 end as fresh from {source} window w as (partition by {key} order by lo, hi rows between unbounded preceding and 1 preceding))) group by {key}, island"""
+
+
+@query(f"with s as ({_SPANS}) select l_suppkey, cast(lo as bigint) as lo, cast(hi as bigint) as hi, parts from ({_merged('l_suppkey', 's')})")
+def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.merge_intervals(_spans(spark, sf_dir, "l_suppkey"), ["l_suppkey"], "lo", "hi")
+
+
+@query(f"""with s as ({_SPANS}), l as (select * from s where l_returnflag = 'A'), r as (select * from s where l_returnflag = 'R'), a as ({_merged('l_partkey', 'l')}), b as ({_merged('l_partkey', 'r')}),
+  na as (select l_partkey, count(*) as n from a group by 1), nb as (select l_partkey, count(*) as n from b group by 1),
+  h as (select a.l_partkey, count(*) as hits, count(distinct row(a.lo, a.hi)) filter (a.lo >= b.lo and a.hi <= b.hi) as ai, count(distinct row(b.lo, b.hi)) filter (b.lo >= a.lo and b.hi <= a.hi) as bi
+    from a join b on a.l_partkey = b.l_partkey and a.lo <= b.hi and b.lo <= a.hi group by 1)
+  select coalesce(na.l_partkey, nb.l_partkey) as l_partkey, case when na.n is null or nb.n is null then 'one_sided' when coalesce(ai, 0) = na.n and coalesce(bi, 0) = nb.n then 'equal'
+    when coalesce(bi, 0) = nb.n then 'left_broader' when coalesce(ai, 0) = na.n then 'right_broader' when hits > 0 then 'partial_overlap' else 'disjoint' end as relation
+  from na full join nb on na.l_partkey = nb.l_partkey left join h on h.l_partkey = coalesce(na.l_partkey, nb.l_partkey)""")
+def interval_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _spans(spark, sf_dir, "l_partkey")
+    return intervals.set_relation(s.where("l_returnflag = 'A'"), s.where("l_returnflag = 'R'"), ["l_partkey"], "lo", "hi")
+
+
+@query(f"with s as ({_SPANS}) select a.l_partkey, count(*) as overlaps from s a join s b on a.l_partkey = b.l_partkey and a.lo <= b.hi and b.lo <= a.hi where a.l_returnflag = 'A' and b.l_returnflag = 'N' group by 1")
+def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _spans(spark, sf_dir, "l_partkey")
+    return intervals.overlapping(s.where("l_returnflag = 'A'"), s.where("l_returnflag = 'N'"), ["l_partkey"], "lo", "hi").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("overlaps"))
+
+
+@query("""select user_id, case when bad then 'error' else 'fine' end as verdict, min(event_id) as first_id, max(event_id) as last_id, count(*) as length from
+  (select *, row_number() over (partition by user_id order by ts, event_id) - row_number() over (partition by user_id, bad order by ts, event_id) as run from (select *, event_type = 'error' as bad from events)) group by user_id, bad, run""")
+def verdict_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = intervals.runs(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "error", "error").otherwise("fine"))
+    return found.select("user_id", "verdict", F.col("first.event_id").alias("first_id"), F.col("last.event_id").alias("last_id"), "length")
+
+
+@query("""select o_orderkey, o_custkey, lag(o_orderkey) over w as previous_o_orderkey, lead(o_orderkey) over w as next_o_orderkey from orders window w as (partition by o_custkey, year(o_orderdate) order by o_orderdate, o_orderkey)""")
+def neighbour_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumn("series", F.year("o_orderdate"))
+    return intervals.neighbours(orders, ["o_custkey", "series"], ["o_orderdate", "o_orderkey"], "o_orderkey").select("o_orderkey", "o_custkey", "previous_o_orderkey", "next_o_orderkey")
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, case when hi < lo then 'inverted_bounds' when hi = lo and not (li and ui) then 'degenerate_empty_range' else 'ok' end as state from
+  (select *, l_linenumber as lo, cast(l_quantity as int) as hi, l_returnflag = 'A' as li, l_linestatus = 'F' as ui from lineitem)""")
+def range_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = intervals.range_state(F.col("l_linenumber"), F.col("l_returnflag") == "A", F.col("l_quantity").cast("int"), F.col("l_linestatus") == "F")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", state.alias("state"))
+
+
+# -- versions ----------------------------------------------------------------------------------------------------------
+
+
+def _part_version() -> Column:
+    return F.concat_ws(".", F.col("p_size"), F.col("p_partkey") % 10, F.col("p_partkey") % 7)
+
+
+_PART_VERSION = "concat_ws('.', p_size, p_partkey % 10, p_partkey % 7)"
+
+
+@query(f"""select p_partkey, {_PART_VERSION} as version, case when row(p_size, p_partkey % 10, p_partkey % 7) < row(25, 5, 0) then -1 when row(p_size, p_partkey % 10, p_partkey % 7) > row(25, 5, 0) then 1 else 0 end as compared from part""")
+def version_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    version = _part_version()
+    return table(spark, sf_dir, "part").select("p_partkey", version.alias("version"), versions.compare(version, F.lit("v25.5"), "dotted").alias("compared"))
+
+
+@query("""with r as (select p_brand, min(p_size) + 5 as lo, max(p_size) - 5 as hi from part group by 1)
+  select p_partkey, p_brand, case when p_partkey % 11 = 0 then 'UNKNOWN' when row(p_size, p_partkey % 10, p_partkey % 7) >= row(lo, 0, 0) and row(p_size, p_partkey % 10, p_partkey % 7) < row(hi, 3, 0) then 'TRUE' else 'FALSE' end as truth from part join r using (p_brand)""")
+def version_range_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").withColumn("version", F.when(F.col("p_partkey") % 11 == 0, "n/a").otherwise(_part_version()))
+    ranges = part.groupBy("p_brand").agg((F.min("p_size") + 5).cast("string").alias("lower"), F.concat(F.max("p_size") - 5, F.lit(".3")).alias("upper"))
+    key, lower, upper = (versions.dotted_key(F.col(c)) for c in ("version", "lower", "upper"))
+    truth = versions.evaluate_segment(F.lit("range"), key, F.lit(None), lower, F.lit(True), upper, F.lit(False))
+    return part.join(ranges, "p_brand").select("p_partkey", "p_brand", tri_text(truth).alias("truth"))
+
+
+@query("""select p_partkey, case p_partkey % 7 when 0 then 'any' when 1 then 'exact' when 2 then 'scm' when 3 then 'date' when 4 then 'range' when 5 then 'prefix' else 'text' end as kind, 'Brand' as family from part""")
+def version_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 7
+    text = F.when(k == 0, "*").when(k == 1, _part_version()).when(k == 2, F.lit("ab12cd34")).when(k == 3, "2024-01-31").when(k == 4, F.concat(F.lit(">= "), _part_version())).when(k == 5, F.concat(F.col("p_size"), F.lit(".x"))).otherwise("all builds")
+    return table(spark, sf_dir, "part").select("p_partkey", versions.version_kind(text).alias("kind"), F.regexp_extract("p_brand", "^([A-Za-z]+)", 1).alias("family"))
+
+
+@query("select series, count(*) as n from (select regexp_extract('release-' || concat_ws('.', p_size, p_partkey % 10, p_partkey % 7), '(\\d+\\.\\d+)(?:[.\\d]*)$', 1) as series from part) group by 1")
+def release_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = F.concat(F.lit("release-"), _part_version())
+    return table(spark, sf_dir, "part").groupBy(versions.release_series(tag).alias("series")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- three values, assertions, states ----------------------------------------------------------------------------------
+
+
+@query("""with x as (select p_partkey, case p_partkey % 4 when 0 then true when 1 then case when p_size > 25 then null else p_size > 10 end when 2 then p_type = 'SMALL' else null end as a,
+    case when p_size % 3 = 0 then null else p_retailprice > 1000 end as b from part)
+  select p_partkey, case when a and b then 'TRUE' when not (a and b) then 'FALSE' else 'UNKNOWN' end as both_hold, case when a or b then 'TRUE' when not (a or b) then 'FALSE' else 'UNKNOWN' end as either_holds,
+    case when a is null and b is null then 'size,type' when a is null then 'type' when b is null then 'size' else '' end as unknown_axes from x""")
+def kleene_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    stated = F.when(k == 0, "ANY").when(k == 3, "UNKNOWN").otherwise("SET")
+    values = F.when(k == 1, F.array(F.lit(True).cast("string"))).otherwise(F.array(F.lit("SMALL")))
+    asked = F.when(k == 1, (F.col("p_size") > 10).cast("string")).otherwise(F.col("p_type"))
+    state = F.when((k == 1) & (F.col("p_size") > 25), "UNKNOWN").otherwise("EXACT")
+    a = applicability.scope_axis(state, asked, stated, values)
+    b = F.when(F.col("p_size") % 3 == 0, F.lit(None).cast("boolean")).otherwise(F.col("p_retailprice") > 1000)
+    both, names = applicability.scope({"type": a, "size": b})
+    return table(spark, sf_dir, "part").select("p_partkey", tri_text(both).alias("both_hold"), tri_text(tri.tri_or(a, b)).alias("either_holds"), F.array_join(F.array_sort(names), ",").alias("unknown_axes"))
+
+
+def _assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quantity = F.col("l_quantity")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag",
+        F.when((F.col("l_linestatus") == "O") & (quantity < 10), F.lit(None).cast("boolean")).otherwise(quantity > 25).alias("holds"),
+        F.element_at(F.array(F.lit("nvd"), F.lit("cna"), F.lit("model")), (F.col("l_suppkey") % 3 + 1).cast("int")).alias("source"),
+        F.when(F.col("l_returnflag") == "A", "affected").when(F.col("l_returnflag") == "R", "unaffected").otherwise("unknown").alias("polarity"),
+    )
+
+
+_ASSERTIONS = """select *, case when l_linestatus = 'O' and l_quantity < 10 then null else l_quantity > 25 end as holds, case l_suppkey % 3 when 0 then 'nvd' when 1 then 'cna' else 'model' end as source,
+  case l_returnflag when 'A' then 'affected' when 'R' then 'unaffected' else 'unknown' end as polarity from lineitem"""
+
+
+@query(f"""with a as ({_ASSERTIONS}), g as (select l_partkey, coalesce(bool_or(holds), false) as et, bool_or(holds is null) as eu from a where l_returnflag <> 'N' group by 1)
+  select l_returnflag, case when t is null then 'UNKNOWN' when t then 'TRUE' else 'FALSE' end as truth, count(*) as n from
+   (select l_returnflag, case when l_returnflag = 'N' and holds and coalesce(eu, false) then null else holds end as t from a left join g using (l_partkey) where not (l_returnflag = 'N' and coalesce(et, false))) group by 1, 2""")
+def default_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closed = applicability.apply_default_closure(_assertions(spark, sf_dir), ["l_partkey"], F.col("l_returnflag") == "N", F.col("holds"))
+    return closed.groupBy("l_returnflag", tri_text(F.col("truth")).alias("truth")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_RESULTS = f"""select l_orderkey, source, case when y and n then 'conflict' when y then 'affected' when n then 'unaffected' when u then 'unknown' else 'out_of_range' end as result from
+  (select l_orderkey, source, coalesce(bool_or(holds and polarity = 'affected'), false) as y, coalesce(bool_or(holds and polarity = 'unaffected'), false) as n, coalesce(bool_or(holds is null or (holds and polarity = 'unknown')), false) as u from ({_ASSERTIONS}) group by 1, 2)"""
+
+
+@query(_RESULTS)
+def source_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return applicability.source_results(_assertions(spark, sf_dir), ["l_orderkey"], "source", F.col("holds"), F.col("polarity"))
+
+
+@query(f"""with r as ({_RESULTS}), g as (select l_orderkey, bool_or(result = 'conflict') as c, bool_or(source = 'nvd' and result = 'affected') as py, bool_or(source = 'nvd' and result = 'unaffected') as pn,
+    bool_or(source = 'cna' and result = 'affected') as sy, bool_or(source = 'cna' and result = 'unaffected') as sn, bool_or(result = 'affected') as y, bool_or(result = 'unaffected') as n, bool_or(result = 'unknown') as u,
+    string_agg(distinct source || ':' || result, ',' order by source || ':' || result) as reasons from r group by 1)
+  select o_orderkey, case when o_orderstatus = 'P' then 'rejected' when reasons is null then 'no_applicability' when o_totalprice < 10000 then 'manual_review' when c or (py and sn) or (pn and sy) then 'conflict'
+    when py or sy then 'affected' when pn or sn then 'unaffected' when y then 'affected' when n then 'unaffected' when u then 'unknown' else 'not_in_range' end as state, coalesce(reasons, '') as reasons
+  from orders left join g on o_orderkey = l_orderkey""")
+def state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = applicability.source_results(_assertions(spark, sf_dir), ["l_orderkey"], "source", F.col("holds"), F.col("polarity"))
+    subjects = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderstatus") == "P").alias("rejected"), (F.col("o_totalprice") < 10000).alias("review"))
+    joined = subjects.join(results, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    out = applicability.finalize(joined.withColumn("reason_source", F.col("source")), ["o_orderkey"], "source", "nvd", "cna", "rejected", "review")
+    return out.select("o_orderkey", "state", F.array_join(F.filter("reasons", lambda x: x != ""), ",").alias("reasons"))
+
+
+@query("select o_orderkey, state, n from (select l_orderkey as o_orderkey, case when bool_or(not holds) then 'FALSE' when count(holds) < count(*) then 'UNKNOWN' else 'TRUE' end as state, count(*) as n from (" + _ASSERTIONS + ") group by 1)")
+def kleene_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assertions(spark, sf_dir).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(tri_text(tri.tri_all(F.col("holds"))).alias("state"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""with x as (select l_partkey, l_returnflag, row(l_linenumber, l_suppkey % 2, cast(l_quantity as int)) as rank, l_linenumber as sp, l_suppkey % 2 as di from lineitem),
+  b as (select l_partkey, max(rank) filter (l_returnflag = 'A') as a, max(rank) filter (l_returnflag = 'R') as u from x group by 1),
+  s as (select l_partkey, a, u, a[1] as a1, u[1] as u1, a[2] as a2, u[2] as u2 from b)
+  select l_partkey, case when a is null and u is null then null when u is null then 'affected_only' when a is null then 'unaffected_only' when a1 > u1 then 'affected_wins' when a1 < u1 then 'unaffected_wins'
+    when a2 > u2 then 'affected_wins' when a2 < u2 then 'unaffected_wins' when a > u then 'affected_wins' when a < u then 'unaffected_wins' else 'conflict_review' end as winner from s""")
+def evidence_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", F.when(F.col("l_returnflag") == "A", "affected").when(F.col("l_returnflag") == "R", "unaffected").otherwise("unknown").alias("polarity"),
+        F.col("l_linenumber").alias("specificity"), (F.col("l_suppkey") % 2).alias("directness"), F.col("l_quantity").cast("int").alias("weight"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"),
+    )
+    rank = ["specificity", "directness", "weight"]
+    best = applicability.preferred(ranked, ["l_partkey"], "polarity", rank, "ordinal")
+    return best.select("l_partkey", applicability.evidence_winner(best, rank, "specificity", "directness").alias("winner"))
+
+
+@query("""select l_partkey, l_returnflag, l_linestatus, count(*) as assertions, count(distinct l_suppkey % 10) as sources from lineitem group by 1, 2, 3""")
+def corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = table(spark, sf_dir, "lineitem").withColumn("origin", F.col("l_suppkey") % 10)
+    return applicability.corroboration(marked, ["l_partkey"], ["l_returnflag", "l_linestatus"], "origin").select("l_partkey", "l_returnflag", "l_linestatus", "assertions", "sources")
+
+
+@query("""with leaf as (select c_nationkey, case when c_acctbal < -990 then null else c_acctbal > 9990 end as t from customer),
+  n1 as (select n_nationkey, n_regionkey, case when bool_or(t) then true when count(t) < count(*) then null when count(*) > 0 then false end as t from nation join leaf on c_nationkey = n_nationkey group by 1, 2),
+  n2 as (select n_regionkey, case when n_nationkey % 5 = 0 then not t else t end as t from n1)
+  select n_regionkey as region, case when bool_or(not t) then 'FALSE' when count(t) < count(*) then 'UNKNOWN' else 'TRUE' end as truth from n2 group by 1""")
+def graph_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("tree_id"), F.col("n_nationkey").alias("node"), F.lit(-1).alias("parent"), F.lit(1).alias("level"), F.lit("OR").alias("operator"), (F.col("n_nationkey") % 5 == 0).alias("negate"))
+    root = nation.select("tree_id").distinct().select("tree_id", F.lit(-1).alias("node"), F.lit(-2).alias("parent"), F.lit(0).alias("level"), F.lit("AND").alias("operator"), F.lit(False).alias("negate"))
+    balance = F.col("c_acctbal")
+    leaves = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("parent"), F.when(balance < -990, F.lit(None).cast("boolean")).otherwise(balance > 9990).alias("truth"))
+    leaves = leaves.join(nation.select("tree_id", F.col("node").alias("parent")), "parent").select("tree_id", "parent", "truth")
+    return applicability.evaluate_tree(nation.unionByName(root), leaves, 1).select(F.col("tree_id").alias("region"), tri_text(F.col("truth")).alias("truth"))
+
+
+# -- names and graphs --------------------------------------------------------------------------------------------------
+
+
+def _spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = table(spark, sf_dir, "part").select("p_name").distinct()
+    return name.union(name.select(F.regexp_replace(F.upper("p_name"), " ", "-"))).union(name.select(F.regexp_replace("p_name", " ", ""))).toDF("name")
+
+
+@query("""with n as (select distinct p_name as name from part), v as (select name from n union select replace(upper(name), ' ', '-') from n union select replace(name, ' ', '') from n),
+  k as (select name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') as key from v) select a.name as a, b.name as b, a.key from k a join k b on a.key = b.key and a.name < b.name""")
+def separator_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.separator_aliases(_spellings(spark, sf_dir), "name")
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+
+
+_PAIRS = """with w as (select distinct w from (select unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as w from benchmark) where length(w) >= 5), p as (select a.w as a, b.w as b from w a join w b on a.w < b.w where abs(length(a.w) - length(b.w)) <= 1 and levenshtein(a.w, b.w) = 1)"""
+
+
+@query(f"{_PAIRS} select * from p")
+def one_edit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.one_edit_pairs(_words(spark, sf_dir), "word")
+
+
+@query(f"""{_PAIRS}, g as (select a, b, list_distinct(list_transform(range(1, length(a)), lambda i: a[i:i+1])) as x, list_distinct(list_transform(range(1, length(b)), lambda i: b[i:i+1])) as y from p)
+  select a, b, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) as similarity from g""")
+def bigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_edit_pairs(spark, sf_dir).select("a", "b", F.round(T.bigram_jaccard(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+@query(f"""{_PAIRS.replace('with w', 'with recursive w')}, e as (select a, b from p union select b, a from p), r(node, label) as (select a, a from e union select e.b, r.label from r join e on e.a = r.node)
+  select node, min(label) as component from r group by 1""")
+def alias_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.connected_components(one_edit_pairs(spark, sf_dir))
+
+
+@query(f"""{_PAIRS.replace('with w', 'with recursive w')}, e as (select a, b from p union select b, a from p), r(node, label) as (select a, a from e union select e.b, r.label from r join e on e.a = r.node), c as (select node, min(label) as component from r group by 1)
+  select component, count(*) as size, case when count(*) > 3 then 'review_size' else 'accepted' end as status from c group by 1""")
+def component_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.component_summary(alias_components(spark, sf_dir), largest=3)
+
+
+@query(f"{_PAIRS} select a, b from p where a in (select a from p group by 1 having count(*) = 1) and b in (select b from p group by 1 having count(*) = 1)")
+def mutual_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.mutually_unique(one_edit_pairs(spark, sf_dir)).select("a", "b")
+
+
+@query(f"""{_PAIRS}, e as (select a, b from p union select b, a from p), g as (select a, b, list_distinct(list_transform(range(1, length(a)), lambda i: a[i:i+1])) as x, list_distinct(list_transform(range(1, length(b)), lambda i: b[i:i+1])) as y from e),
+  s as (select a, b, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) as score from g), o as (select *, row_number() over w as rank, lead(score) over w as nxt, max(score) over (partition by a) as best from s window w as (partition by a order by score desc, b))
+  select a, b, score, cast(rank as int) as rank, coalesce(best - max(nxt) filter (rank = 1) over (partition by a) < 0.025, false) as ambiguous from (select * from o where score >= best - 0.15)""")
+def score_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = one_edit_pairs(spark, sf_dir)
+    both = pairs.union(pairs.select("b", "a")).toDF("a", "b").withColumn("score", F.round(T.bigram_jaccard(F.col("a"), F.col("b")), 6))
+    return identity.with_margin(both, ["a"], "b").select("a", "b", "score", "rank", "ambiguous")
+
+
+@query()
+def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalogue = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    slips = catalogue.select(F.concat(F.substring("name", 2, 1), F.substring("name", 1, 1), F.substring("name", 3, 100)).alias("name"))
+    turned = catalogue.select(F.array_join(F.reverse(F.split("name", " ")), " ").alias("name"))
+    return identity.resolve(_spellings(spark, sf_dir).union(slips).union(turned), catalogue)
+
+
+@query()
+def best_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = one_edit_pairs(spark, sf_dir).withColumn("tier", (F.char_length("a") % 3 + 1).cast("int"))
+    return graph.best_paths(pairs, pairs.select(F.col("a").alias("node")).distinct(), 4)
+
+
+@query("""with l as (select l_orderkey, l_suppkey % 7 as v, p_name as p from lineitem join part on l_partkey = p_partkey where l_returnflag = 'A'), r as (select l_orderkey, l_suppkey % 7 as v, p_name as p from lineitem join part on l_partkey = p_partkey where l_returnflag = 'R'),
+  x as (select l.l_orderkey, min(case when l.v = r.v and l.p = r.p then 0 when l.p = r.p then 1 when l.v = r.v then 2 else 4 end) as k from l join r using (l_orderkey) group by 1)
+  select l_orderkey, case k when 0 then 'exact' when 1 then 'product_only' when 2 then 'vendor_only' else 'none' end as level from x""")
+def match_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    named = named.select("l_orderkey", "l_returnflag", (F.col("l_suppkey") % 7).alias("vendor"), T.ascii_key(F.col("p_name")).alias("product"))
+    return identity.match_level(named.where("l_returnflag = 'A'"), named.where("l_returnflag = 'R'"), "l_orderkey")
+
+
+@query("""with x as (select distinct user_id, cast(ts as date) - date '1970-01-01' as d, event_type from events) select a.event_type as left_item, b.event_type as right_item, count(*) as n from x a join x b using (user_id, d) where a.event_type < b.event_type group by 1, 2""")
+def pair_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.cooccurring(table(spark, sf_dir, "events").withColumn("d", day("ts")), ["user_id", "d"], "event_type").select("left_item", "right_item", "n")
+
+
+@query("""with e as (select l_partkey, l_suppkey, l_linenumber as rank, case when l_returnflag = 'R' then 'rejected' when l_returnflag = 'A' then 'accepted' else 'review' end as status, l_linestatus = 'F' as strict, l_orderkey from lineitem)
+  select l_partkey, l_suppkey, case when bool_or(status = 'rejected') then 'rejected' else arg_min(status, row(rank, status)) end as status, min(rank) as rank, bool_or(strict) as strict, count(*) as evidence_count from e group by 1, 2""")
+def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = F.col("l_returnflag")
+    evidence = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", F.col("l_linenumber").alias("rank"), F.when(flag == "R", "rejected").when(flag == "A", "accepted").otherwise("review").alias("status"), (F.col("l_linestatus") == "F").alias("strict"), "l_orderkey")
+    return identity.merged_edges(evidence, ["l_partkey", "l_suppkey"], "rank", "status", "strict", "l_orderkey").drop("evidence")
+
+
+# -- repositories and URLs ---------------------------------------------------------------------------------------------
+
+
+@query("""with x as (select regexp_extract(url, '//([^/:?#]+)', 1) as host, regexp_extract(url, '//[^/]+/([a-z]+)', 1) as product, count(*) as n from pages group by 1, 2), r as (select *, rank() over (partition by product order by n desc) as k from x)
+  select product, case when count(*) filter (k = 1) = 1 then min(host) filter (k = 1) end as host, count(*) as claimants, case when count(*) filter (k = 1) = 1 then 'accepted' else 'tie' end as status from r group by 1""")
+def repo_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = table(spark, sf_dir, "pages").groupBy(urls.host(F.col("url")).alias("host"), urls.path_parts(F.col("url"))[0].alias("product")).agg(F.count(F.lit(1)).alias("n"))
+    return mapping.single_claims(claims, "product", "host", [F.col("n").desc()])
+
+
+@query("select page_id, regexp_extract(url, '//([^/:?#]+)', 1) as host, regexp_extract(url, '//[^/?#]+([^?#]*)', 1) as path, len(list_filter(string_split(regexp_extract(url, '//[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '')) as depth from pages")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", urls.host(url).alias("host"), urls.path(url).alias("path"), F.size(urls.path_parts(url)).cast("long").alias("depth"))
+
+
+@query("""select page_id, case when page_id % 3 = 2 then null else 'own' || (page_id % 5) || '@tool' || (page_id % 11) end as repository, case when page_id % 3 = 0 then substr(md5(url), 1, 12) end as commit_id from pages""")
+def repository_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    base = F.concat(F.lit("https://github.com/Own"), k % 5, F.lit("/Tool"), k % 11)
+    made = F.when(k % 3 == 0, F.concat(base, F.lit("/commit/"), F.substring(F.md5("url"), 1, 12))).when(k % 3 == 1, F.concat(base, F.lit(".git"))).otherwise(F.concat(F.lit("https://github.com/topics/t"), k))
+    return table(spark, sf_dir, "pages").select("page_id", urls.repository(made).alias("repository"), urls.commit_id(made).alias("commit_id"))
+
+
+@query("""select p_partkey, 'a' as part, lower(p_brand) as vendor, replace(p_name, ' ', ':') as product, cast(p_size as varchar) as version from part""")
+def cpe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cpe = F.concat(F.lit("cpe:2.3:a:"), F.lower("p_brand"), F.lit(":"), F.regexp_replace("p_name", " ", r"\\:"), F.lit(":"), F.col("p_size"), F.lit(":*:*:*:*:*:*:*"))
+    parts = urls.cpe_parts(cpe)
+    return table(spark, sf_dir, "part").select("p_partkey", parts[0].alias("part"), parts[1].alias("vendor"), parts[2].alias("product"), parts[3].alias("version"))
+
+
+@query("""select o_orderpriority, o_orderstatus as best_method, n as evidence, k as candidates from (select *, row_number() over (partition by o_orderpriority order by n desc, o_orderstatus desc) as r, count(*) over (partition by o_orderpriority) as k
+  from (select o_orderpriority, o_orderstatus, count(*) as n from orders group by 1, 2)) where r = 1""")
+def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return mapping.best_candidate(found, ["o_orderpriority"], F.lit(0), F.col("n"), "o_orderstatus").select("o_orderpriority", "best_method", "evidence", "candidates")
+
+
+@query("""with a as (select distinct c_custkey as k from customer), b as (select distinct o_custkey as k from orders), c as (select distinct o_custkey as k from orders join lineitem on l_orderkey = o_orderkey), d as (select distinct o_custkey as k from orders join lineitem on l_orderkey = o_orderkey where l_returnflag = 'R')
+  select 0 as position, 'customer' as stage, (select count(*) from a) as survivors, cast(0 as bigint) as dropped union all select 1, 'ordered', (select count(*) from b), (select count(*) from a where k not in (select k from b))
+  union all select 2, 'shipped', (select count(*) from c), (select count(*) from b where k not in (select k from c)) union all select 3, 'returned', (select count(*) from d), (select count(*) from c where k not in (select k from d))""")
+def stage_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    shipped = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    k = F.col("o_custkey").alias("k")
+    return mapping.funnel([("customer", table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))), ("ordered", orders.select(k)), ("shipped", shipped.select(k)), ("returned", shipped.where("l_returnflag = 'R'").select(k))], "k")
+
+
+# -- text and records --------------------------------------------------------------------------------------------------
+
+
+@query("select doc_id, case when strpos(text, 'the ') > 0 then strpos(text, 'the ') - 1 when strpos(lower(text), 'the ') > 0 then strpos(lower(text), 'the ') - 1 end as start from documents")
+def grounded_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.grounded_start(F.col("text"), F.lit("the ")).cast("long").alias("start"))
+
+
+@query("""select doc_id, len(f) as found, coalesce(list_aggregate(f, 'min'), '') as first_found from (select doc_id, list_distinct(regexp_extract_all(text, '([0-9]+\\.[0-9]+(?:\\.[0-9]+)*)', 1)) as f from documents)""")
+def pattern_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([0-9]+\.[0-9]+(?:\.[0-9]+)*)"), 1))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("found"), F.coalesce(F.array_min(found), F.lit("")).alias("first_found"))
+
+
+@query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, json_valid(props) as valid from events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.expr("try_parse_json(props) is not null").alias("valid"))
+
+
+@query("select l_orderkey, string_agg(distinct l_returnflag, '|' order by l_returnflag) as flags, count(*) as n from lineitem group by 1")
+def string_agg_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.expr("listagg(distinct l_returnflag, '|') within group (order by l_returnflag)").alias("flags"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""select p_name, count(*) as n from lineitem join part on l_partkey = p_partkey where p_name like '%bolt%' group by 1 order by n desc, p_name limit 5""")
+def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey").join(table(spark, sf_dir, "part").where(F.col("p_name").like("%bolt%")), F.col("l_partkey") == F.col("p_partkey"))
+    return evaluate.top_groups(lines, "p_name", 5)
+
+
+# -- evaluation --------------------------------------------------------------------------------------------------------
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+
+
+_LABELLED = "select doc_id, lang, source, n_chars, quality, toxic from documents join labels using (doc_id)"
+
+
+def _rates_sql(source: str) -> str:
+    f = lambda b: f"round(coalesce((1 + {b}) * p * r / nullif({b} * p + r, 0), 0), 6)"
+    return f"select tp, fp, fn, round(p, 6) as precision, round(r, 6) as recall, {f(0.25)} as f05, {f(1)} as f1, {f(4)} as f2, round(coalesce(tp / nullif(tp + fp + fn, 0), 0), 6) as jaccard from (select *, coalesce(tp / nullif(tp + fp, 0), 0) as p, coalesce(tp / nullif(tp + fn, 0), 0) as r from {source})"
+
+
+@query(_rates_sql(f"(select count(*) filter (quality = 1 and n_chars > 1000) as tp, count(*) filter (quality <> 1 and n_chars > 1000) as fp, count(*) filter (quality = 1 and n_chars <= 1000) as fn from ({_LABELLED}))"))
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = evaluate.with_rates(evaluate.confusion(_labelled(spark, sf_dir), F.col("quality") == 1, F.col("n_chars") > 1000))
+    return rates.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f05", "f1", "f2", "jaccard")])
+
+
+@query("""with c as (select l_orderkey, list(distinct l_suppkey) filter (l_returnflag <> 'N') as g, list(distinct l_suppkey) filter (l_quantity > 15) as p from lineitem group by 1),
+  x as (select l_orderkey, len(list_intersect(coalesce(g, []), coalesce(p, []))) as tp, len(coalesce(p, [])) as np, len(coalesce(g, [])) as ng from c)
+  select l_orderkey, tp, np - tp as fp, ng - tp as fn, round(coalesce(tp / nullif(np, 0), 0), 6) as precision, round(coalesce(tp / nullif(ng, 0), 0), 6) as recall, np = tp and ng = tp as exact from x""")
+def case_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = _cases(spark, sf_dir)
+    return evaluate.set_metrics(cases, "gold", "predicted").select("l_orderkey", *[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")], F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), "exact")
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supplier = F.col("l_suppkey")
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_returnflag") != "N", supplier)).alias("gold"), F.collect_set(F.when(F.col("l_quantity") > 15, supplier)).alias("predicted"))
+
+
+@query("""with c as (select l_orderkey, list(distinct l_suppkey) filter (l_returnflag <> 'N') as g, list(distinct l_suppkey) filter (l_quantity > 15) as p from lineitem group by 1),
+  x as (select len(list_intersect(coalesce(g, []), coalesce(p, []))) as tp, len(coalesce(p, [])) as np, len(coalesce(g, [])) as ng from c), m as (select count(*) as cases, cast(sum(tp) as bigint) as tp, cast(sum(np - tp) as bigint) as fp, cast(sum(ng - tp) as bigint) as fn,
+  avg(coalesce(tp / nullif(np, 0), 0)) as mp, avg(cast(np - ng as double)) as bias, avg(abs(np - ng)) as mae, sqrt(avg((np - ng) * (np - ng))) as rmse from x)
+  select cases, tp, fp, fn, round(mp, 6) as macro_precision, round(bias, 6) as bias, round(mae, 6) as mae, round(rmse, 6) as rmse, round(tp / (tp + fp), 6) as precision from m""")
+def aggregate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = evaluate.aggregate_cases(evaluate.set_metrics(_cases(spark, sf_dir), "gold", "predicted"))
+    return total.select("cases", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("macro_precision", "bias", "mae", "rmse", "precision")])
+
+
+@query(f"""select lang, source, n, good, cast(level as int) as level, round(good / n, 6) as rate from (select lang, source, count(*) as n, count(*) filter (quality = 1) as good, grouping(lang) * 2 + grouping(source) as level from ({_LABELLED}) group by grouping sets ((), (lang), (source), (lang, source)))""")
+def rates_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.grouped_rates(_labelled(spark, sf_dir), ["lang", "source"], F.col("quality") == 1).withColumn("rate", F.round("rate", 6))
+
+
+@query("""select o_orderstatus, count(*) as total, count(*) filter (h = 'HIGH') as n_high, count(*) filter (h = 'LOW') as n_low, round(count(*) filter (h = 'HIGH') / count(*), 6) as share_high, round(count(*) filter (h = 'LOW') / count(*), 6) as share_low
+  from (select *, case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'HIGH' when o_orderpriority = '5-LOW' then 'LOW' else 'MID' end as h from orders) group by 1""")
+def conflict_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("o_orderpriority")
+    out = evaluate.matrix(table(spark, sf_dir, "orders").withColumn("h", F.when(p.isin("1-URGENT", "2-HIGH"), "HIGH").when(p == "5-LOW", "LOW").otherwise("MID")), "o_orderstatus", "h", ["HIGH", "LOW"])
+    return out.select("o_orderstatus", "total", "n_high", "n_low", F.round("share_high", 6).alias("share_high"), F.round("share_low", 6).alias("share_low"))
+
+
+@query(f"""with o as (select doc_id, quality as v from ({_LABELLED}) where n_chars > 800), n as (select doc_id, case when n_chars > 1500 then 1 else 0 end as v from ({_LABELLED}) where n_chars < 5000)
+  select coalesce(o.doc_id, n.doc_id) as doc_id, case when o.v is null then 'added' when n.v is null then 'removed' when o.v = n.v then 'same' else 'changed' end as change from o full join n on o.doc_id = n.doc_id""")
+def prediction_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _labelled(spark, sf_dir)
+    new = x.where("n_chars < 5000").select("doc_id", F.when(F.col("n_chars") > 1500, 1).otherwise(0).alias("v"))
+    return evaluate.prediction_difference(x.where("n_chars > 800").select("doc_id", F.col("quality").alias("v")), new, ["doc_id"], "v").select("doc_id", "change")
+
+
+@query("""select event_type, count(value) as n, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90, quantile_disc(value, 0.9) as p90_disc, round(corr(value, event_id), 6) as correlation from events group by 1""")
+def distribution_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluate.distribution(table(spark, sf_dir, "events"), ["event_type"], "value", "event_id")
+    return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "p50", "p90")], "p90_disc", F.round("correlation", 6).alias("correlation"))
+
+
+# -- audits ------------------------------------------------------------------------------------------------------------
+
+
+@query("""select 'line_quantity' as audit, count(*) filter (not l_quantity between 1 and 50) as violations from lineitem union all select 'line_discount', count(*) filter (not l_discount <= 0.05) from lineitem
+  union all select 'line_key', count(*) from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1) union all select 'order_customer', count(*) from orders where o_custkey not in (select c_custkey from customer)
+  union all select 'line_order', count(*) from lineitem where l_orderkey not in (select o_orderkey from orders) union all select 'label_document', count(*) from labels where doc_id not in (select doc_id from documents)""")
+def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    return audit.all_audits([
+        audit.domain_audits(lines, {"line_quantity": F.col("l_quantity").between(1, 50), "line_discount": F.col("l_discount") <= 0.05}),
+        audit.key_audit("line_key", lines, ["l_orderkey", "l_linenumber"]),
+        audit.reference_audit("order_customer", orders, "o_custkey", table(spark, sf_dir, "customer"), "c_custkey"),
+        audit.reference_audit("line_order", lines, "l_orderkey", orders, "o_orderkey"),
+        audit.reference_audit("label_document", table(spark, sf_dir, "labels"), "doc_id", table(spark, sf_dir, "documents"), "doc_id"),
+    ])
+
+
+@query("select 'returned_share' as gate, round(count(*) filter (l_returnflag = 'R') / count(*), 6) as share, count(*) filter (l_returnflag = 'R') / count(*) >= 0.3 as passed from lineitem")
+def ratio_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.ratio_gate(table(spark, sf_dir, "lineitem"), "returned_share", F.col("l_returnflag") == "R", 0.3).withColumn("share", F.round("share", 6))
