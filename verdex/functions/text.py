@@ -103,7 +103,7 @@ def swapped_neighbours(a: Column, b: Column) -> Column:
     """Whether exchanging two neighbouring letters turns a into b."""
     n = F.char_length(a)
     off = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
-    i, j = off[0], off[1]
+    i, j = F.get(off, F.lit(0)), F.get(off, F.lit(1))
     return (n == F.char_length(b)) & (F.size(off) == 2) & (j == i + 1) & (F.substring(a, i, F.lit(1)) == F.substring(b, j, F.lit(1))) & (F.substring(a, j, F.lit(1)) == F.substring(b, i, F.lit(1)))
 
 

@@ -24,8 +24,8 @@ def path_parts(url: Column) -> Column:
 def repository(url: Column, at: str = "github.com") -> Column:
     """owner@name in lower case of a repository URL; NULL for others."""
     parts = path_parts(url)
-    name = F.regexp_replace(F.lower(parts[1]), r"\.git$", "")
-    return F.when(host(url).isin(at, "www." + at) & (F.size(parts) >= 2) & ~F.lower(parts[0]).isin(*NOT_OWNERS) & (name != ""), F.concat(F.lower(parts[0]), F.lit("@"), name))
+    name = F.regexp_replace(F.lower(F.get(parts, F.lit(1))), r"\.git$", "")
+    return F.when(host(url).isin(at, "www." + at) & (F.size(parts) >= 2) & ~F.lower(F.get(parts, F.lit(0))).isin(*NOT_OWNERS) & (name != ""), F.concat(F.lower(F.get(parts, F.lit(0))), F.lit("@"), name))
 
 
 def commit_id(url: Column) -> Column:
@@ -41,7 +41,7 @@ def cpe_parts(cpe: Column) -> Column:
     """
     body = F.regexp_extract(cpe, r"^cpe:2\.3:(.*)$", 1)
     found = F.regexp_extract_all(F.concat(body, F.lit(":")), F.lit(r"((?:\\.|[^:\\])*):"), 1)
-    return F.when((F.size(found) == 11) & found[0].isin("a", "o", "h", "*", "-"), F.transform(found, lambda x: F.regexp_replace(x, r"\\(.)", "$1")))
+    return F.when((F.size(found) == 11) & F.get(found, F.lit(0)).isin("a", "o", "h", "*", "-"), F.transform(found, lambda x: F.regexp_replace(x, r"\\(.)", "$1")))
 
 
 def cve_ids(text: Column) -> Column:

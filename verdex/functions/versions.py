@@ -75,15 +75,22 @@ def _deb(v: str):
 
 
 def _total(v: str) -> list[int]:
-    """Any text: its numbers and words in turn; a word sorts before a number, and a qualifier before none."""
+    """Any text: numbers and words in turn, zeros at the end of the leading numbers left out.
+
+    What may follow sorts in this order: a word of a version before release, the end, any
+    other word, a number.
+    """
+    parts = re.findall(r"(\d+)|([A-Za-z]+)", v.lower().removeprefix("v"))
+    lead = next((i for i, (number, _) in enumerate(parts) if not number), len(parts))
+    while lead and parts[lead - 1][0].strip("0") == "":
+        lead -= 1
+        del parts[lead]
     out: list[int] = []
-    for number, word in re.findall(r"(\d+)|([A-Za-z]+)", v.lower().removeprefix("v")):
+    for number, word in parts:
         if number:
-            out += [3, min(int(number), 2**62)]
+            out += [4, int(number)]
         else:
-            out += [1 if word in ("alpha", "beta", "rc", "pre", "dev", "snapshot") else 4, *(ord(c) for c in word), -1]
-    while out[-2:] == [3, 0]:
-        out = out[:-2]
+            out += [1 if word in ("alpha", "beta", "rc", "pre", "dev", "snapshot") else 3, *(ord(c) for c in word), -1]
     return [*out, 2]
 
 

@@ -416,7 +416,7 @@ def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with x as (select regexp_extract(url, '//([^/:?#]+)', 1) as host, regexp_extract(url, '//[^/]+/([a-z]+)', 1) as product, count(*) as n from pages group by 1, 2), r as (select *, rank() over (partition by product order by n desc) as k from x)
   select product, case when count(*) filter (k = 1) = 1 then min(host) filter (k = 1) end as host, count(*) as claimants, case when count(*) filter (k = 1) = 1 then 'accepted' else 'tie' end as status from r group by 1""")
 def repo_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = table(spark, sf_dir, "pages").groupBy(urls.host(F.col("url")).alias("host"), urls.path_parts(F.col("url"))[0].alias("product")).agg(F.count(F.lit(1)).alias("n"))
+    claims = table(spark, sf_dir, "pages").groupBy(urls.host(F.col("url")).alias("host"), F.get(urls.path_parts(F.col("url")), F.lit(0)).alias("product")).agg(F.count(F.lit(1)).alias("n"))
     return mapping.single_claims(claims, "product", "host", [F.col("n").desc()])
 
 
@@ -438,7 +438,7 @@ def repository_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cpe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     cpe = F.concat(F.lit("cpe:2.3:a:"), F.lower("p_brand"), F.lit(":"), F.regexp_replace("p_name", " ", r"\\:"), F.lit(":"), F.col("p_size"), F.lit(":*:*:*:*:*:*:*"))
     parts = urls.cpe_parts(cpe)
-    return table(spark, sf_dir, "part").select("p_partkey", parts[0].alias("part"), parts[1].alias("vendor"), parts[2].alias("product"), parts[3].alias("version"))
+    return table(spark, sf_dir, "part").select("p_partkey", *[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(("part", "vendor", "product", "version"))])
 
 
 @query("""select o_orderpriority, o_orderstatus as best_method, n as evidence, k as candidates from (select *, row_number() over (partition by o_orderpriority order by n desc, o_orderstatus desc) as r, count(*) over (partition by o_orderpriority) as k
