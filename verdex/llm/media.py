@@ -155,11 +155,11 @@ class MediaReader(DataSourceReader):
                 if entry.name.endswith(".arc"):
                     size = entry.stat().st_size
                     out += [ByteRange(entry.path, at, min(size, at + self.split_bytes)) for at in range(0, size, self.split_bytes)]
-        return out
+        return out or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         ids, sizes, media, held = [], [], [], 0
-        for offset in self.offsets(partition):
+        for offset in self.offsets(partition) if partition.path else ():
             doc_id, n, image = self.member(partition.path, offset)
             ids.append(doc_id)
             sizes.append(n)

@@ -17,7 +17,12 @@ CACHE_SCHEMA = "digest binary, tokenizer binary, n_tokens long"
 def _counter(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = library_counter(tokenizer)
-        for digests, texts in rows(batches, "digest", "text"):
+        # Rows that repeat a doc_id and its text meet in one task, as both are keys of the join.
+        seen: set[bytes] = set()
+        for found in rows(batches, "digest", "text"):
+            fresh = {d: t for d, t in zip(*found) if d not in seen}
+            seen.update(fresh)
+            digests, texts = list(fresh), list(fresh.values())
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(count(texts), pa.int64())], ["digest", "n_tokens"])
 
     return run

@@ -161,7 +161,7 @@ class PieceCounter:
     """
 
     MARK = "\u2581"
-    _ODD = re.compile("  |[\x00\u2581]|(?m:^ | $)")
+    _ODD = re.compile("\\A\\n|  |[\x00\u2581]|(?m:^ | $)")
 
     def __init__(self, path: str) -> None:
         import sentencepiece
