@@ -115,9 +115,9 @@ def estimate(counts: dict[int, int], rounds: int = ROUNDS) -> VoteModel:
 
     Each rule that votes is right with one chance on good and another on bad documents,
     independently; abstaining says nothing. Chances start from the votes' majority, a bad
-    vote weighing more as rules say bad for cause; they are smoothed by one case each,
-    and held at 0.5 or more so that classes can't change names. Without documents every
-    chance is that of the smoothing.
+    vote weighing more as rules say bad for cause; they are smoothed by one case each. A
+    rule may be of no use on a corpus, but never turns round, so that the classes can't
+    change names. Without documents every chance is that of the smoothing.
     """
     patterns = sorted(counts)
     weight = np.array([counts[p] for p in patterns], float)
@@ -128,9 +128,9 @@ def estimate(counts: dict[int, int], rounds: int = ROUNDS) -> VoteModel:
         on_good, on_bad = weight * good, weight * (1 - good)
         prior = float(np.clip((on_good.sum() + 1) / (weight.sum() + 2), 0.02, 0.98))
         share = lambda w, v: (w @ (votes == v) + 1) / (w @ (votes != 0) + 2)
-        if_good, if_bad = np.clip(share(on_good, 1), 0.5, 0.9999), np.clip(share(on_bad, -1), 0.5 - 0.45, 0.9999)
-        # A bad vote must stay likelier on bad documents than on good ones.
-        if_bad = np.maximum(if_bad, np.minimum(1 - if_good + 0.01, 0.99))
+        if_good, if_bad = np.clip(share(on_good, 1), 0.0001, 0.9999), np.clip(share(on_bad, -1), 0.0001, 0.9999)
+        # A bad vote is never likelier on good documents than on bad ones; at most, it says nothing.
+        if_bad = np.maximum(if_bad, 1 - if_good)
         odds = np.log(prior / (1 - prior)) + (votes == 1) @ np.log(if_good / (1 - if_bad)) + (votes == -1) @ np.log((1 - if_good) / if_bad)
         good = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
     return VoteModel(prior, if_good.tolist(), if_bad.tolist(), dict(zip(patterns, good.tolist())))
