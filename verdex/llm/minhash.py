@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from .common import bound_batches, rows, staged, whole_texts
-from .components import connected_components
 
 SHINGLE = 5
 BANDS, BAND_ROWS = 32, 5
-MINIMA = 256
+#: Minima of the packed signature of a candidate; the first BANDS * BAND_ROWS also make the bands.
+MINIMA = 2048
 #: Low bits kept of each minimum; MINIMA / 64 longs for each bit plane.
 BITS = 2
 LONGS = MINIMA // 64
@@ -27,9 +28,9 @@ _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULTIPLIERS = (_RNG.integers(0, 2**31, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
 _BAND_MIX = _RNG.integers(1, 2**63, (BANDS, BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BLOCK = 4096
+_BLOCK = 1024
 
-SIGNATURE_SCHEMA = "doc_id long, n_shingles long, cls string, bands array<long>, plane array<long>"
+SIGNATURE_SCHEMA = "doc_id long, n_shingles long, cls string, bands array<long>"
 
 
 class _Powers:
@@ -79,12 +80,14 @@ def shingle_hashes(text: str | None) -> np.ndarray:
     return np.unique(found)
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The MINIMA smallest images of a non-empty set."""
+def minima(hashes: np.ndarray, n: int = MINIMA) -> np.ndarray:
+    """The first ``n`` smallest images of a non-empty set."""
     short = (hashes >> np.uint64(32)).astype(np.uint32)
-    low = np.full(MINIMA, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(short), _BLOCK):
-        np.minimum(low, (_MULTIPLIERS[:, None] * short[None, at : at + _BLOCK]).min(axis=1), out=low)
+    low = np.full(n, np.iinfo(np.uint32).max, np.uint32)
+    for k in range(0, n, 256):
+        some = _MULTIPLIERS[k : min(k + 256, n), None]
+        for at in range(0, len(short), _BLOCK):
+            np.minimum(low[k : k + 256], (some * short[None, at : at + _BLOCK]).min(axis=1), out=low[k : k + 256])
     return low
 
 
@@ -94,36 +97,41 @@ def packed(low: np.ndarray) -> np.ndarray:
     return np.concatenate(planes)
 
 
+def _class(hashes: np.ndarray) -> str:
+    """The name of a set: texts of one set are one class."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).hexdigest()
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, texts in rows(batches, "doc_id", "text"):
-        sizes, classes, bands, planes = [], [], [], []
+        sizes, classes, bands = [], [], []
         for text in texts:
             hashes = shingle_hashes(text)
             sizes.append(len(hashes))
             if len(hashes):
-                low = minima(hashes)
-                classes.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).hexdigest())
-                keys = (low[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).astype(np.uint64) + np.uint64(1)) * _BAND_MIX
+                low = minima(hashes, BANDS * BAND_ROWS).reshape(BANDS, BAND_ROWS)
+                keys = (low.astype(np.uint64) + np.uint64(1)) * _BAND_MIX
                 keys ^= keys >> np.uint64(29)
+                classes.append(_class(hashes))
                 bands.append((keys.sum(axis=1, dtype=np.uint64) * _ODD).view(np.int64))
-                planes.append(packed(low))
             else:
                 classes.append(None)
                 bands.append(None)
-                planes.append(None)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(planes, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "cls", "bands", "plane"],
+            [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.string()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "cls", "bands"]
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Full set and packed signature of texts; a row whose text isn't of the class asked for goes."""
     for classes, texts in rows(batches, "cls", "text"):
-        found = [shingle_hashes(text) for text in texts]
-        good = [hashlib.blake2b(h.tobytes(), digest_size=16).hexdigest() == c for h, c in zip(found, classes)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([c for c, g in zip(classes, good) if g], pa.string()), pa.array([h.tobytes() for h, g in zip(found, good) if g], pa.binary())], ["cls", "hashes"]
-        )
+        out: list[list] = [[], [], []]
+        for cls, text in zip(classes, texts):
+            hashes = shingle_hashes(text)
+            if len(hashes) and _class(hashes) == cls:
+                for column, value in zip(out, (cls, hashes.tobytes(), packed(minima(hashes)))):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64()))], ["cls", "hashes", "plane"])
 
 
 def _confirm(percent: int):
@@ -156,15 +164,15 @@ def agreeing_minima(left: Column, right: Column) -> Column:
     return total
 
 
-def least_agreeing(percent: int) -> int:
-    """Agreeing minima that a pair of the wanted similarity reaches but for SIGMAS standard errors.
+def least_agreeing(percent: int, sigmas: float = SIGMAS) -> int:
+    """Agreeing minima that a pair of the wanted similarity reaches but for so many standard errors.
 
     Two unequal minima agree in all kept bits with chance 2**-BITS, so a pair of
     similarity J agrees with chance p = J + (1 - J) 2**-BITS; the bound is on the
     collision-corrected estimate (p - 2**-BITS) / (1 - 2**-BITS).
     """
     chance = percent / 100 + (1 - percent / 100) * 2.0**-BITS
-    return int(MINIMA * chance - SIGMAS * (MINIMA * chance * (1 - chance)) ** 0.5)
+    return int(MINIMA * chance - sigmas * (MINIMA * chance * (1 - chance)) ** 0.5)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -177,9 +185,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     share a band are candidates; in every band bucket, all members are first
     paired with the one member that meets the most others (in a family of copies,
     nearly always the original), and the links that hold are closed to components.
-    What remains are the pairs of a bucket that still lie in different components:
-    each of them is estimated from the packed bits and, where the estimate allows
-    it, checked on the full sets. So no pair that shares a band is passed over, and
+    What remains are the pairs of a bucket that still lie in different components.
+    Each is estimated from the packed bits: those estimated as linked are checked on
+    the full sets first, and of the rest, those that still lie apart after that and
+    whose estimate leaves it open. So no pair that shares a band is passed over, and
     a family of n copies costs about n checks instead of n squared.
 
     Null or wordless texts: n_shingles 0, linked with nothing. Rows that repeat a
@@ -190,46 +199,46 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     bound_batches(spark)
     docs = whole_texts(docs)
     signed = staged(docs.mapInArrow(_signatures, SIGNATURE_SCHEMA), "minhash-signatures")
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("plane").alias("plane"))
-    classes = staged(classes, "minhash-classes")
+    classes = staged(signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "minhash-classes")
     banded = classes.select("cls", F.posexplode("bands").alias("band", "value")).select("cls", F.xxhash64("band", "value").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = staged(banded.join(shared, "bucket"), "minhash-buckets")
     degree = members.groupBy("cls").agg(F.sum("n").alias("degree"))
-    ranked = members.join(degree, "cls")
-    heads = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "cls")).alias("head")).select("bucket", F.col("head.cls").alias("head"))
+    heads = members.join(degree, "cls").groupBy("bucket").agg(F.max(F.struct("degree", "cls")).alias("head")).select("bucket", F.col("head.cls").alias("head"))
 
-    wanted = degree.join(classes, "cls")
-    planes = staged(wanted.select("cls", "doc_id", "bands", "plane"), "minhash-candidates")
-    wanted_text = planes.select("cls", "doc_id").hint("shuffle_hash")
-    sets = staged(docs.join(wanted_text, docs["doc_id"].eqNullSafe(wanted_text["doc_id"])).select("cls", "text").mapInArrow(_sets, "cls string, hashes binary").dropDuplicates(["cls"]), "minhash-sets")
+    banding = staged(degree.join(classes, "cls").select("cls", "doc_id", "bands"), "minhash-candidates")
+    wanted = banding.select("cls", "doc_id").hint("shuffle_hash")
+    sets = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("cls", "text").mapInArrow(_candidates, "cls string, hashes binary, plane array<long>")
+    sets = staged(sets.dropDuplicates(["cls"]), "minhash-sets")
+    planes = sets.select("cls", "plane")
 
     def linked(pairs: DataFrame, label: str) -> DataFrame:
         left, right = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("left")), sets.select(F.col("cls").alias("b"), F.col("hashes").alias("right"))
         return staged(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_confirm(percent), "a string, b string"), label)
 
-    def side(name: str, *more: str) -> DataFrame:
-        return planes.select(F.col("cls").alias(name), F.col("plane").alias(f"plane_{name}"), *[F.col(c).alias(f"{c}_{name}") for c in more])
-
-    near = agreeing_minima(F.col("plane_a"), F.col("plane_b")) >= least_agreeing(percent)
+    agreeing = agreeing_minima(F.col("plane_a"), F.col("plane_b"))
     star = members.join(heads, "bucket").where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
-    star = star.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
-    first = linked(star, "minhash-star")
-
-    parts = connected_components(first)
-    grouped = members.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("component", "cls").alias("part"))
-    grouped = grouped.join(heads, "bucket").join(parts.select(F.col("node").alias("head"), F.col("component").alias("head_part")), "head", "left").withColumn("head_part", F.coalesce("head_part", "head"))
-    apart = staged(grouped.select("bucket", "cls", "part", (F.col("part") == F.col("head_part")).alias("with_head")), "minhash-apart")
-    rest = apart.where(~F.col("with_head"))
-    rest = rest.join(side("cls", "bands"), "cls").select("bucket", F.col("cls").alias("a"), F.col("part").alias("part_a"), F.col("plane_cls").alias("plane_a"), F.col("bands_cls").alias("bands_a"))
-    other = apart.join(rest.select("bucket").distinct(), "bucket", "left_semi").join(side("cls", "bands"), "cls")
-    other = other.select("bucket", F.col("cls").alias("b"), F.col("part").alias("part_b"), F.col("plane_cls").alias("plane_b"), F.col("bands_cls").alias("bands_b"), "with_head")
-    # A pair is taken in the first band it shares, and once: members beside the head's part in the order of their names.
-    first_band = F.expr("xxhash64(int(array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) - 1), bands_a[int(array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) - 1)])")
-    gap = rest.join(other, (rest["bucket"] == other["bucket"]) & (F.col("part_a") != F.col("part_b")) & (F.col("with_head") | (F.col("a") < F.col("b"))) & near & (first_band == rest["bucket"]), "inner").select("a", "b")
-    second = linked(gap.distinct(), "minhash-rest")
+    star = star.join(planes.select(F.col("cls").alias("a"), F.col("plane").alias("plane_a")), "a").join(planes.select(F.col("cls").alias("b"), F.col("plane").alias("plane_b")), "b")
+    links = linked(star.where(agreeing >= least_agreeing(percent)).select("a", "b"), "minhash-star")
 
-    named = connected_components(first.union(second)).withColumnRenamed("node", "cls")
+    # A pair is taken in the first band it shares, and once: members beside the head's part in the order of their names.
+    same_band = "int(array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) - 1)"
+    first_band = F.expr(f"xxhash64({same_band}, bands_a[{same_band}])")
+    open_from, linked_from = least_agreeing(percent), least_agreeing(percent, sigmas=0)
+    for round_no, estimate in enumerate((agreeing >= linked_from, agreeing.between(open_from, linked_from - 1))):
+        parts = connected_components(links)
+        here = members.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("component", "cls").alias("part")).join(heads, "bucket")
+        here = here.join(parts.select(F.col("node").alias("head"), F.col("component").alias("head_part")), "head", "left")
+        apart = staged(here.select("bucket", "cls", "part", (F.col("part") == F.coalesce("head_part", "head")).alias("with_head")), "minhash-apart")
+        sides = banding.select("cls", "bands").join(planes, "cls")
+        rest = apart.where(~F.col("with_head")).join(sides, "cls").select("bucket", F.col("cls").alias("a"), F.col("part").alias("part_a"), F.col("plane").alias("plane_a"), F.col("bands").alias("bands_a"))
+        other = apart.join(apart.where(~F.col("with_head")).select("bucket").distinct(), "bucket", "left_semi").join(sides, "cls")
+        other = other.select(F.col("bucket").alias("bucket_b"), F.col("cls").alias("b"), F.col("part").alias("part_b"), F.col("plane").alias("plane_b"), F.col("bands").alias("bands_b"), "with_head")
+        once = (F.col("part_a") != F.col("part_b")) & (F.col("with_head") | (F.col("a") < F.col("b"))) & (first_band == F.col("bucket"))
+        gap = rest.join(other, (F.col("bucket") == F.col("bucket_b")) & estimate & once).select("a", "b").distinct()
+        links = links.union(linked(gap, f"minhash-rest-{round_no}"))
+
+    named = connected_components(links).withColumnRenamed("node", "cls")
     per_class = classes.select("cls", "doc_id").join(named, "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
     names = per_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = per_class.join(names, "component").select("cls", "component_id")
