@@ -81,4 +81,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other queries need a tokenizer, a trained model, an estimate or stored bytes; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+  s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end) as s from w),
+  u as (select doc_id, len(s) as n, unnest(s) as x from s),
+  p as (select a.doc_id as a, b.doc_id as b from u a join u b on a.x = b.x and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+  e as (select a, b from p union select b, a from p), r(node, label) as (select a, a from e union select e.b, r.label from r join e on e.a = r.node), c as (select node, min(label) as label from r group by 1)
+  select s.doc_id, len(s.s) as n_shingles, coalesce(c.label, s.doc_id) as component_id, coalesce(c.label, s.doc_id) = s.doc_id as kept from s left join c on c.node = s.doc_id""",
+}
