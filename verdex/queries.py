@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import tri, urls, versions
-from .operators import applicability, audit, evaluate, graph, identity, intervals, mapping, revisions
+from .operators import applicability, audit, evaluate, graph, identity, intervals, mapping, replay, revisions
+from .plans.staging import staged
+from .sources import records
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -578,3 +580,79 @@ def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select 'returned_share' as gate, round(count(*) filter (l_returnflag = 'R') / count(*), 6) as share, count(*) filter (l_returnflag = 'R') / count(*) >= 0.3 as passed from lineitem")
 def ratio_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.ratio_gate(table(spark, sf_dir, "lineitem"), "returned_share", F.col("l_returnflag") == "R", 0.3).withColumn("share", F.round("share", 6))
+
+
+# -- nested records ----------------------------------------------------------------------------------------------------
+
+
+def _cve(key: str) -> Column:
+    return F.concat(F.lit("CVE-2024-"), F.lpad(F.col(key).cast("string"), 7, "0"))
+
+
+_CVE = "'CVE-2024-' || lpad(cast({} as varchar), 7, '0')"
+
+
+def _record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines as nested JSON records, a few of them broken."""
+    bound = F.col("l_quantity").cast("int").cast("string")
+    versions_of = F.array(F.struct(F.lit("0").alias("version"), F.when(F.col("l_returnflag") == "A", "affected").otherwise("unaffected").alias("status"), F.when(F.col("l_linestatus") == "F", bound).alias("lessThan"), F.when(F.col("l_linestatus") != "F", bound).alias("lessThanOrEqual")))
+    item = F.struct((F.col("l_suppkey") % 7).cast("string").alias("vendor"), F.col("l_partkey").cast("string").alias("product"), versions_of.alias("versions"))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
+    orders = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    k = F.col("o_orderkey")
+    leaf = F.struct((k % 2 == 0).alias("vulnerable"), F.lit("cpe:2.3:a:v:p:1:*:*:*:*:*:*:*").alias("criteria"))
+    node = F.struct(F.when(k % 5 == 0, "AND").otherwise("odd").alias("operator"), (k % 7 == 0).alias("negate"), F.array(leaf, leaf).alias("cpeMatch"))
+    body = F.struct(
+        F.when(k % 97 != 0, F.when(k % 89 == 0, F.lit("oops")).otherwise(F.lower(_cve("o_orderkey")))).alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("lastModified"), F.col("o_orderstatus").alias("vulnStatus"),
+        F.array(F.struct(F.lit("s").alias("source"), F.col("items").alias("affectedData"))).alias("affected"), F.array(F.struct(F.lit("AND").alias("operator"), F.array(node).alias("nodes"))).alias("configurations"),
+    )
+    return orders.select(F.when(k % 101 == 0, "not json").otherwise(F.to_json(F.struct(body.alias("cve")))).alias("value"), F.lit("memory").alias("source_file"))
+
+
+@query(f"""with x as (select *, case when o_orderkey % 101 = 0 then 'invalid_json' when o_orderkey % 97 = 0 then 'missing_id' when o_orderkey % 89 = 0 then 'invalid_id' end as error from orders)
+  select case when error is null then {_CVE.format('o_orderkey')} when error = 'invalid_id' then 'OOPS' end as cve_id, case when o_orderkey % 101 <> 0 then epoch_us(o_orderdate) end as modified_us, case when o_orderkey % 101 <> 0 then o_orderstatus end as status, error from x""")
+def record_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.records(_record_lines(spark, sf_dir)).select("cve_id", "modified_us", "status", "error")
+
+
+_GOOD = "l_orderkey in (select o_orderkey from orders) and l_orderkey % 101 <> 0 and l_orderkey % 97 <> 0 and l_orderkey % 89 <> 0"
+
+
+@query(f"""select {_CVE.format('l_orderkey')} as cve_id, vendor, product, status, kind, upper, upper_inclusive, count(*) as n from (select l_orderkey, cast(l_suppkey % 7 as varchar) as vendor, cast(l_partkey as varchar) as product,
+  case when l_returnflag = 'A' then 'affected' else 'unaffected' end as status, 'range' as kind, cast(cast(l_quantity as int) as varchar) as upper, l_linestatus <> 'F' as upper_inclusive from lineitem where {_GOOD}) group by all""")
+def affected_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = records.records(_record_lines(spark, sf_dir)).where("error is null")
+    segments = records.version_entries(records.affected(found))
+    return segments.groupBy("cve_id", "vendor", "product", "status", "kind", "upper", "upper_inclusive").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""select {_CVE.format('o_orderkey')} as cve_id, case when o_orderkey % 7 = 0 then case when o_orderkey % 2 = 0 then 'FALSE' else 'TRUE' end else case when o_orderkey % 2 = 0 then 'TRUE' else 'FALSE' end end as truth, cast(2 as bigint) as leaves
+  from orders where o_orderkey % 101 <> 0 and o_orderkey % 97 <> 0 and o_orderkey % 89 <> 0""")
+def configuration_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Staged, as each level of the trees reads it again.
+    found = staged(records.records(_record_lines(spark, sf_dir)).where("error is null").select("cve_id", "record"), "configurations")
+    nodes, leaves = records.configuration_leaves(found)
+    named = F.concat_ws("#", "cve_id", "tree")
+    nodes, leaves = nodes.withColumn("tree_id", named), leaves.withColumn("tree_id", named)
+    root = applicability.evaluate_tree(nodes.select("tree_id", "node", "parent", "level", "operator", "negate"), leaves.select("tree_id", "parent", F.col("vulnerable").alias("truth")), 1)
+    counts = leaves.groupBy("tree_id").agg(F.count(F.lit(1)).alias("leaves"))
+    return root.join(counts, "tree_id").select(F.split_part("tree_id", F.lit("#"), F.lit(1)).alias("cve_id"), tri_text(F.col("truth")).alias("truth"), "leaves")
+
+
+@query(f"""select {_CVE.format('user_id')} as cve_id, count(*) as changes, count(*) filter (event_type in ('error', 'signup')) as settled from events group by user_id""")
+def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    name = F.when(kind == "error", "CVE Rejected").when(kind == "signup", "CVE Unrejected").otherwise("Modified Analysis")
+    change = F.struct(_cve("user_id").alias("cveId"), name.alias("eventName"), F.col("event_id").cast("string").alias("cveChangeId"), F.col("ts").cast("string").alias("created"))
+    events = table(spark, sf_dir, "events").select(F.to_json(F.struct(change.alias("change"))).alias("value"))
+    log = records.changes(events.union(events))
+    return log.groupBy("cve_id").agg(F.count(F.lit(1)).alias("changes"), F.count("terminal").alias("settled"))
+
+
+@query("""select o_custkey as group_key, count(*) as size from orders group by 1""")
+def replay_adds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumn("cve_id", F.col("o_custkey").cast("string"))
+    base = orders.select("cve_id").distinct().withColumn("ranges", F.lit("[]"))
+    log = orders.select("cve_id", micros("o_orderdate").alias("at_us"), F.lit("Added").alias("action"), F.lit(None).cast("string").alias("old_value"), F.col("o_orderkey").cast("string").alias("new_value"))
+    edited = replay.replay_ranges(base, log)
+    return edited.select(F.col("cve_id").cast("long").alias("group_key"), F.col("applied").alias("size"))
