@@ -14,9 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Distinct pieces in each of the two generations that a Python worker keeps.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 700_000
 #: Longer pieces are encoded each time and never kept.
-CACHE_CHARS = 32
+CACHE_CHARS = 24
 
 
 def file_digest(path: str) -> str:
@@ -32,27 +32,30 @@ class PieceCache:
     one, and pieces of the old one that are met again move up.
     """
 
-    def __init__(self, encode_many) -> None:
+    def __init__(self, encode_many, fixed: dict[str, object] | None = None) -> None:
         self._encode_many = encode_many
-        self._young: dict[str, object] = {}
+        self._fixed = fixed or {}
+        self._young: dict[str, object] = dict(self._fixed)
         self._old: dict[str, object] = {}
 
     def lookup(self, texts: list[list[str]]) -> list[list]:
         young = self._young
         found = [list(map(young.get, pieces)) for pieces in texts]
-        missing: set[str] = set()
-        for pieces, values in zip(texts, found):
-            missing.update(itertools.compress(pieces, map(operator.is_, values, itertools.repeat(None))))
+        holes = [list(itertools.compress(range(len(values)), map(operator.is_, values, itertools.repeat(None)))) for values in found]
+        missing = {pieces[i] for pieces, at in zip(texts, holes) for i in at}
         if missing:
             moved = missing.intersection(self._old)
             young.update(zip(moved, map(self._old.__getitem__, moved)))
             new = list(missing.difference(moved))
             young.update(zip(new, self._encode_many(new)))
-            found = [list(map(young.__getitem__, pieces)) if None in values else values for pieces, values in zip(texts, found)]
-            for piece in [p for p in new if len(p) > CACHE_CHARS]:
-                del young[piece]
+            for pieces, values, at in zip(texts, found, holes):
+                for i in at:
+                    values[i] = young[pieces[i]]
+            for piece in new:
+                if len(piece) > CACHE_CHARS:
+                    del young[piece]
         if len(young) > CACHE_PIECES:
-            self._old, self._young = young, {}
+            self._old, self._young = young, dict(self._fixed)
         return found
 
 
@@ -98,7 +101,7 @@ class IdEncoder:
         mark = self.tokenizer.encode(self._mark, add_special_tokens=False).ids
         self._mark_id = mark[0] if len(mark) == 1 else None
         self._cuts = (self._keeps_spaces or self._drops_spaces) and self._mark_id is not None
-        self._cache = PieceCache(self._encode_pieces)
+        self._cache = PieceCache(self._encode_pieces, {self._mark: np.array(mark, "<u4").tobytes()} if self._keeps_spaces else None)
 
     def _encode_whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -129,16 +132,8 @@ class IdEncoder:
             for i, ids in zip(whole[at : at + 16], self._encode_whole([texts[i] for i in whole[at : at + 16]])):
                 out[i] = ids
         if self._keeps_spaces:
-            feed = np.array([self._mark_id], "<u4").tobytes()
-            lines = [texts[i].replace(" ", "\x00 ").split("\n") for i in cut]
-            pieces = [[p for line in x for p in line.split("\x00")] for x in lines]
-            counts = [[line.count("\x00") + 1 for line in x] for x in lines]
-            for i, found, sizes in zip(cut, self._cache.lookup(pieces), counts):
-                if len(sizes) == 1:
-                    out[i] = b"".join(found)
-                else:
-                    ends = list(itertools.accumulate(sizes))
-                    out[i] = feed.join(b"".join(found[e - n : e]) for e, n in zip(ends, sizes))
+            for i, found in zip(cut, self._cache.lookup([texts[i].replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") for i in cut])):
+                out[i] = b"".join(found)
         else:
             for i, found in zip(cut, self._cache.lookup([texts[i].replace("\n", " ").split(" ") for i in cut])):
                 out[i] = b"".join(found)
