@@ -136,19 +136,18 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, left, right in rows(batches, "a", "b", "left", "right"):
-            keep_a, keep_b = [], []
-            for x, y, p, q in zip(a, b, left, right):
+        for batch in batches:
+            good = []
+            for p, q in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
                 p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
                 if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+                    good.append(False)
                     continue
                 both = np.concatenate([p, q])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(p) + len(q) - shared):
-                    keep_a.append(x)
-                    keep_b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.string()), pa.array(keep_b, pa.string())], ["a", "b"])
+                good.append(100 * shared >= percent * (len(p) + len(q) - shared))
+            yield batch.drop_columns(["left", "right"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
@@ -204,7 +203,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = staged(banded.join(shared, "bucket"), "minhash-buckets")
     degree = members.groupBy("cls").agg(F.sum("n").alias("degree"))
-    heads = members.join(degree, "cls").groupBy("bucket").agg(F.max(F.struct("degree", "cls")).alias("head")).select("bucket", F.col("head.cls").alias("head"))
+    heads = members.join(degree, "cls").groupBy("bucket").agg(F.max(F.struct("degree", "cls")).alias("head")).select("bucket", F.col("head.cls").alias("head"), F.col("head.degree").alias("rank"))
 
     banding = staged(degree.join(classes, "cls").select("cls", "doc_id", "bands"), "minhash-candidates")
     wanted = banding.select("cls", "doc_id").hint("shuffle_hash")
@@ -213,30 +212,46 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     planes = sets.select("cls", "plane")
 
     def linked(pairs: DataFrame, label: str) -> DataFrame:
+        """The pairs (a, b, ...) that hold on the full sets."""
         left, right = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("left")), sets.select(F.col("cls").alias("b"), F.col("hashes").alias("right"))
-        return staged(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_confirm(percent), "a string, b string"), label)
+        full = pairs.join(left, "a").join(right, "b").select(*pairs.columns, "left", "right")
+        return staged(full.mapInArrow(_confirm(percent), pairs.schema), label)
 
     agreeing = agreeing_minima(F.col("plane_a"), F.col("plane_b"))
-    star = members.join(heads, "bucket").where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
+    open_from, linked_from = least_agreeing(percent), least_agreeing(percent, sigmas=0)
+    star = members.join(heads, "bucket").where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"), "rank").distinct()
     star = star.join(planes.select(F.col("cls").alias("a"), F.col("plane").alias("plane_a")), "a").join(planes.select(F.col("cls").alias("b"), F.col("plane").alias("plane_b")), "b")
-    links = linked(star.where(agreeing >= least_agreeing(percent)).select("a", "b"), "minhash-star")
-
+    links = linked(star.where(agreeing >= open_from).select("a", "b", "rank"), "minhash-star")
+
+    # Parts are pieces of components that are sure to hang together: links lead to members that meet more, so there are no rings.
+    up = links.groupBy(F.col("b").alias("cls")).agg(F.max(F.struct("rank", "a")).alias("best")).select("cls", F.col("best.a").alias("up"))
+    top = up.join(up.select(F.col("cls").alias("up"), F.col("up").alias("far")), "up", "left").select("cls", F.coalesce("far", "up").alias("up"))
+    parts = banding.select("cls").join(top, "cls", "left").select("cls", F.coalesce("up", "cls").alias("part"))
+    apart = members.join(heads, "bucket").join(parts, "cls").join(parts.toDF("head", "head_part"), "head")
+    apart = staged(apart.select("bucket", "cls", "part", (F.col("part") == F.col("head_part")).alias("with_head")), "minhash-apart")
+    sides = banding.select("cls", "bands").join(planes, "cls")
     # A pair is taken in the first band it shares, and once: members beside the head's part in the order of their names.
     same_band = "int(array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) - 1)"
     first_band = F.expr(f"xxhash64({same_band}, bands_a[{same_band}])")
-    open_from, linked_from = least_agreeing(percent), least_agreeing(percent, sigmas=0)
-    for round_no, estimate in enumerate((agreeing >= linked_from, agreeing.between(open_from, linked_from - 1))):
-        parts = connected_components(links)
-        here = members.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("component", "cls").alias("part")).join(heads, "bucket")
-        here = here.join(parts.select(F.col("node").alias("head"), F.col("component").alias("head_part")), "head", "left")
-        apart = staged(here.select("bucket", "cls", "part", (F.col("part") == F.coalesce("head_part", "head")).alias("with_head")), "minhash-apart")
-        sides = banding.select("cls", "bands").join(planes, "cls")
+    once = (F.col("part_a") != F.col("part_b")) & (F.col("with_head") | (F.col("a") < F.col("b"))) & (first_band == F.col("bucket"))
+
+    def still_apart(estimate: Column) -> DataFrame:
         rest = apart.where(~F.col("with_head")).join(sides, "cls").select("bucket", F.col("cls").alias("a"), F.col("part").alias("part_a"), F.col("plane").alias("plane_a"), F.col("bands").alias("bands_a"))
         other = apart.join(apart.where(~F.col("with_head")).select("bucket").distinct(), "bucket", "left_semi").join(sides, "cls")
         other = other.select(F.col("bucket").alias("bucket_b"), F.col("cls").alias("b"), F.col("part").alias("part_b"), F.col("plane").alias("plane_b"), F.col("bands").alias("bands_b"), "with_head")
-        once = (F.col("part_a") != F.col("part_b")) & (F.col("with_head") | (F.col("a") < F.col("b"))) & (first_band == F.col("bucket"))
-        gap = rest.join(other, (F.col("bucket") == F.col("bucket_b")) & estimate & once).select("a", "b").distinct()
-        links = links.union(linked(gap, f"minhash-rest-{round_no}"))
+        return rest.join(other, (F.col("bucket") == F.col("bucket_b")) & estimate & once).select("a", "b", "part_a", "part_b").distinct()
+
+    likely = linked(still_apart(agreeing >= linked_from), "minhash-likely")
+    # Of parts that a link joins, the one with more links gives its name to the other.
+    ways = likely.select("part_a", "part_b").union(likely.select("part_b", "part_a")).toDF("part", "next")
+    weight = ways.groupBy("part").agg(F.count(F.lit(1)).alias("weight"))
+    best = ways.join(weight.toDF("next", "weight"), "next").groupBy("part").agg(F.max(F.struct("weight", "next")).alias("best")).join(weight, "part")
+    merged = best.where(F.col("best") > F.struct("weight", F.col("part").alias("next"))).select("part", F.col("best.next").alias("into"))
+    joined = apart.join(merged, "part", "left").withColumn("part", F.coalesce("into", "part"))
+    names = joined.join(heads, "bucket").where("cls = head").select("bucket", F.col("part").alias("head_part"))
+    apart = staged(joined.join(names, "bucket").select("bucket", "cls", "part", (F.col("part") == F.col("head_part")).alias("with_head")), "minhash-still-apart")
+    unlikely = linked(still_apart(agreeing.between(open_from, linked_from - 1)), "minhash-unlikely")
+    links = links.select("a", "b").union(likely.select("a", "b")).union(unlikely.select("a", "b"))
 
     named = connected_components(links).withColumnRenamed("node", "cls")
     per_class = classes.select("cls", "doc_id").join(named, "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
