@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -15,56 +16,79 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, rows, whole_texts
 
-#: Bounds of the labelled sample that the model is fitted on: rows, and bytes of their texts.
-SAMPLE_ROWS, SAMPLE_BYTES = 6000, 24 << 20
+#: Bounds of the labelled sample that the model is fitted on: rows of label 1, other rows, and bytes of all their texts.
+SAMPLE_POSITIVES, SAMPLE_OTHERS, SAMPLE_BYTES = 1200, 1800, 12 << 20
 BUCKETS, DIMENSIONS = 1 << 18, 8
-SHORTEST, LONGEST = 3, 5
+SHORTEST, LONGEST = 4, 6
 #: A bucket is learnt if its share among documents of label 1 is so many standard deviations off.
-LEAST_SIGMAS = 5.0
-STEPS = 150
+LEAST_SIGMAS = 9.0
+STEPS = 100
 THRESHOLD = 0.3
 EDGES = ".,;:!?\"'()[]{}<>«»“”…|"
 
 
-@functools.lru_cache(maxsize=200_000)
-def subwords(word: str) -> tuple[int, ...]:
-    """Buckets of a word's character n-grams, its ends marked, and of the word itself."""
+def grams(word: str) -> list[str]:
+    """A word's character n-grams, its ends marked, and the word itself."""
     word = f"<{word.strip(EDGES)}>"
-    grams = {word}
+    found = {word}
     for n in range(SHORTEST, LONGEST + 1):
-        grams.update(word[i : i + n] for i in range(len(word) - n + 1))
-    return tuple(sorted(zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams))
+        found.update(word[i : i + n] for i in range(len(word) - n + 1))
+    return sorted(found)
+
+
+def bucket(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
 def words(text: str) -> list[str]:
     return text.lower().split()
 
 
+#: Word scores that a Python worker keeps, for all tasks that have one model.
+CACHE_WORDS = 500_000
+_KNOWN: dict[int, tuple[dict[str, float], ahocorasick.Automaton]] = {}
+
+
 @dataclass
 class Model:
-    """``gram`` is each bucket's embedding times the difference of the softmax's two rows; ``bias`` likewise."""
+    """``weights`` has, for each n-gram that tells, its embedding times the difference of the softmax's two rows; ``bias`` likewise."""
 
-    gram: np.ndarray
+    weights: dict[str, float]
     bias: float
 
     def __post_init__(self) -> None:
-        self._known: dict[str, float] = {}
+        self.name = zlib.crc32(repr(sorted(self.weights.items())).encode("utf-8", "surrogatepass"))
 
     def word(self, word: str) -> float:
-        return float(self.gram[list(subwords(word))].mean())
+        """The word's mean over its n-grams, itself among them."""
+        found = grams(word)
+        return sum(self.weights.get(g, 0.0) for g in found) / len(found)
+
+    def finder(self) -> ahocorasick.Automaton:
+        """Tells in one pass whether a marked word holds any n-gram with a weight; most words hold none."""
+        out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for gram in [*self.weights, "\x00"]:
+            out.add_word(gram)
+        out.make_automaton()
+        return out
 
     def score(self, text: str) -> float:
         """Probability of label 1; a text without words gets what the bias says."""
         found = words(text)
         if not found:
             return _softmax(self.bias)
-        values = list(map(self._known.get, found))
+        if self.name not in _KNOWN:
+            _KNOWN.clear()
+            _KNOWN[self.name] = {}, self.finder()
+        known, finder = _KNOWN[self.name]
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        values = list(map(known.get, found))
         if None in values:
-            if len(self._known) > 300_000:
-                self._known = {}
-            for w in set(found).difference(self._known):
-                self._known[w] = self.word(w)
-            values = list(map(self._known.__getitem__, found))
+            for i in [i for i, v in enumerate(values) if v is None]:
+                w = found[i]
+                hit = next(finder.iter(f"<{w.strip(EDGES)}>"), None)
+                known[w] = values[i] = 0.0 if hit is None else self.word(w)
         return _softmax(sum(values) / len(values) + self.bias)
 
 
@@ -103,7 +127,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """
     rng = np.random.default_rng(seed)
     index: dict[str, int] = {}
-    doc_at, word_at, weight = [], [], []
+    doc_at, word_at, weight = array("i"), array("i"), array("d")
     for d, text in enumerate(texts):
         counts = Counter(words(text))
         total = sum(counts.values())
@@ -114,15 +138,16 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     y = np.array(labels, float)
     share = float(np.clip(y.mean() if len(y) else 0.01, 0.01, 0.99))
     if not index or y.min() == y.max():
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
+        return Model({}, float(np.log(share / (1 - share))))
     doc_at, word_at, weight = np.array(doc_at), np.array(word_at), np.array(weight)
-    grams = [subwords(w) for w in index]
-    sizes = np.array([len(g) for g in grams])
-    gram_at, of_word = np.concatenate([np.array(g) for g in grams]), np.repeat(np.arange(len(index)), sizes)
+    at = [np.fromiter(map(bucket, found := grams(w)), np.int32, len(found)) for w in index]
+    sizes = np.array([len(x) for x in at])
+    gram_at, of_word = np.concatenate(at), np.repeat(np.arange(len(index), dtype=np.int32), sizes)
+    del at
     telling = _telling(doc_at, word_at, gram_at, sizes, y)
     often = telling[gram_at]
     if not often.any():
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
+        return Model({}, float(np.log(share / (1 - share))))
     used, gram_at = np.unique(gram_at[often], return_inverse=True)
     of_word, per_word = of_word[often], 1.0 / sizes
 
@@ -148,9 +173,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         step(0, vectors, on_gram[:, None] * line[None, :], 2.0 * rate)
         step(1, softmax, np.stack([-pull, pull]), 0.5 * rate)
         step(2, bias, np.array([-error.sum(), error.sum()]) * len(y) / 20, 0.1 * rate)
-    out = np.zeros(BUCKETS, np.float32)
-    out[used] = vectors @ (softmax[1] - softmax[0])
-    return Model(out, float(bias[1] - bias[0]))
+    value = dict(zip(used.tolist(), (vectors @ (softmax[1] - softmax[0])).tolist()))
+    return Model({g: value[b] for w in index for g in grams(w) if (b := bucket(g)) in value}, float(bias[1] - bias[0]))
 
 
 def held_out(doc_id) -> F.Column:
@@ -158,16 +182,26 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Train on at most ``sample_rows`` labelled documents of ``sample_bytes`` in all, taken in the order of a hash of their ids."""
+def fit(docs: DataFrame, labels: DataFrame, positives: int = SAMPLE_POSITIVES, others: int = SAMPLE_OTHERS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Train on a bounded sample of the labelled documents, taken in the order of a hash of their ids.
+
+    Label 1 is rare, so each label has a bound of its own, and the model's bias is then
+    moved to the share of label 1 among all labels that may be learnt. Documents whose
+    texts would take the sample over ``sample_bytes`` are left out.
+    """
     bound_batches(docs.sparkSession)
-    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    marked = marked.orderBy(*order).limit(sample_rows)
-    texts = whole_texts(docs).join(F.broadcast(marked), "doc_id").withColumn("size", F.octet_length("text").cast("long"))
+    count = marked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("ones")).first()
+    some = marked.where("toxic = 1").orderBy(*order).limit(positives).union(marked.where("toxic = 0").orderBy(*order).limit(others))
+    texts = whole_texts(docs).join(F.broadcast(some), "doc_id").withColumn("size", F.octet_length("text").cast("long"))
     texts = texts.withColumn("upto", F.sum("size").over(Window.orderBy(*order, "text"))).where(F.col("upto") <= sample_bytes).select("text", "toxic")
     found = texts.toArrow()
-    return train(found.column("text").to_pylist(), [int(x > 0) for x in found.column("toxic").to_pylist()])
+    model = train(found.column("text").to_pylist(), learnt := found.column("toxic").to_pylist())
+    odds = lambda ones, n: np.log((ones + 0.5) / (n - ones + 0.5))
+    if 0 < sum(learnt) < len(learnt):
+        model.bias += float(odds(count["ones"], count["n"]) - odds(sum(learnt), len(learnt)))
+    return model
 
 
 def scorer(model: Model, threshold: float):
