@@ -77,6 +77,18 @@ def test_nulls_repeats_and_no_rows(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_short_near_copies_match_brute_force(spark):
+    r = random.Random(4)
+    docs = []
+    for n, less in [(7, 1)] * 200 + [(8, 1), (14, 2), (15, 2), (16, 2), (20, 3), (27, 4)] * 25:
+        words = ["".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(n + 4)]
+        docs += [" ".join(words), " ".join(words[:-less])]
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame([(d, t, "en", "s", len(t), "x") for d, t in docs], SCHEMA)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(df).collect()}
+    assert got == brute(docs)
+
+
 def test_estimate_is_collision_corrected():
     rng = np.random.default_rng(0)
     pool = np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64))

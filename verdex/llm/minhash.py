@@ -28,6 +28,7 @@ _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULTIPLIERS = (_RNG.integers(0, 2**31, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
 _BAND_MIX = _RNG.integers(1, 2**63, (BANDS, BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SEEDS = _RNG.integers(0, 2**32, MINIMA, dtype=np.uint64).astype(np.uint32)
 _BLOCK = 1024
 
 SIGNATURE_SCHEMA = "doc_id long, n_shingles long, cls string, bands array<long>"
@@ -92,7 +93,15 @@ def minima(hashes: np.ndarray, n: int = MINIMA) -> np.ndarray:
 
 
 def packed(low: np.ndarray) -> np.ndarray:
-    """BITS planes of LONGS longs: the low bits of each minimum."""
+    """BITS planes of LONGS longs: the low bits of a mixed image of each minimum.
+
+    A minimum's own low bits hang on those of its element alone, whatever the multiplier; with a seed
+    for each function, unequal minima agree independently of each other.
+    """
+    low = low ^ _SEEDS
+    for shift, multiplier in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        low = (low ^ (low >> np.uint32(shift))) * np.uint32(multiplier)
+    low ^= low >> np.uint32(16)
     planes = [np.packbits(((low >> np.uint32(bit)) & np.uint32(1)).astype(np.uint8), bitorder="little").view(np.int64) for bit in range(BITS)]
     return np.concatenate(planes)
 
