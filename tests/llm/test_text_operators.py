@@ -96,6 +96,45 @@ def test_held_out_accuracy_and_misspellings(spark):
     assert sorted(map(str, (x["doc_id"] for x in left.collect()))) == sorted(str(x["doc_id"]) for x in got if not x["predicted"])
 
 
+def marked_texts(r, n, words):
+    """Texts and labels, two fifths of label 1 with one of ``words`` each time."""
+    labels = [int(i % 5 < 2) for i in range(n)]
+    texts = []
+    for i, y in enumerate(labels):
+        w = prose(r, r.choice([12, 60])).split()
+        for _ in range(2 if y else 0):
+            w[r.randrange(len(w))] = words[i % len(words)]
+        texts.append(" ".join(w))
+    return texts, labels
+
+
+def caught(model, texts, labels):
+    got = [model.score(t) >= toxicity.THRESHOLD for t in texts]
+    return np.mean([g for g, y in zip(got, labels) if y]), np.mean([g for g, y in zip(got, labels) if not y])
+
+
+def test_rare_toxic_words_tell():
+    r = random.Random(5)
+    rare = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(60)]
+    model = toxicity.train(*marked_texts(r, 3000, rare))
+    hit, wrong = caught(model, *marked_texts(r, 400, rare))
+    assert hit > 0.95 and wrong < 0.05
+
+
+def test_misspellings_that_share_only_trigrams():
+    r = random.Random(6)
+    model = toxicity.train(*marked_texts(r, 1500, ["snarf", "snarfed"]))
+    assert model.score("xsnaq xnarq xarfq") >= toxicity.THRESHOLD > model.score("stone river cloud")
+
+
+@pytest.mark.parametrize("n", [20, 40, 80])
+def test_few_labels_are_enough_for_a_common_word(n):
+    r = random.Random(7)
+    model = toxicity.train(*marked_texts(r, n, ["snarf", "snarfed"]))
+    hit, wrong = caught(model, *marked_texts(r, 200, ["snarf", "snarfed"]))
+    assert hit > 0.9 and wrong < 0.1
+
+
 def test_no_labels(spark):
     df = frame(spark, [(1, "a b"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -8,7 +8,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,9 +18,11 @@ from .common import bound_batches, rows, whole_texts
 #: Bounds of the labelled sample that the model is fitted on: rows of label 1, other rows, and bytes of all their texts.
 SAMPLE_POSITIVES, SAMPLE_OTHERS, SAMPLE_BYTES = 1200, 1800, 12 << 20
 BUCKETS, DIMENSIONS = 1 << 18, 8
-SHORTEST, LONGEST = 4, 6
-#: A bucket is learnt if its share among documents of label 1 is so many standard deviations off.
-LEAST_SIGMAS = 9.0
+SHORTEST, LONGEST = 3, 6
+#: A bucket whose share among documents of label 1 is so many standard deviations off is trusted by half.
+EVEN_SIGMAS = 5.0
+#: Words whose n-grams are summed at a time.
+CHUNK_WORDS = 1 << 16
 STEPS = 100
 THRESHOLD = 0.3
 EDGES = ".,;:!?\"'()[]{}<>«»“”…|"
@@ -46,49 +47,38 @@ def words(text: str) -> list[str]:
 
 #: Word scores that a Python worker keeps, for all tasks that have one model.
 CACHE_WORDS = 500_000
-_KNOWN: dict[int, tuple[dict[str, float], ahocorasick.Automaton]] = {}
+_KNOWN: dict[int, dict[str, float]] = {}
 
 
 @dataclass
 class Model:
-    """``weights`` has, for each n-gram that tells, its embedding times the difference of the softmax's two rows; ``bias`` likewise."""
+    """``weights`` has, for each bucket, its embedding times the difference of the softmax's two rows, or is empty; ``bias`` likewise."""
 
-    weights: dict[str, float]
+    weights: np.ndarray
     bias: float
 
     def __post_init__(self) -> None:
-        self.name = zlib.crc32(repr(sorted(self.weights.items())).encode("utf-8", "surrogatepass"))
+        self.name = zlib.crc32(self.weights.tobytes())
 
     def word(self, word: str) -> float:
         """The word's mean over its n-grams, itself among them."""
-        found = grams(word)
-        return sum(self.weights.get(g, 0.0) for g in found) / len(found)
-
-    def finder(self) -> ahocorasick.Automaton:
-        """Tells in one pass whether a marked word holds any n-gram with a weight; most words hold none."""
-        out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for gram in [*self.weights, "\x00"]:
-            out.add_word(gram)
-        out.make_automaton()
-        return out
+        return float(self.weights[[bucket(g) for g in grams(word)]].mean())
 
     def score(self, text: str) -> float:
         """Probability of label 1; a text without words gets what the bias says."""
         found = words(text)
-        if not found:
+        if not found or not len(self.weights):
             return _softmax(self.bias)
         if self.name not in _KNOWN:
             _KNOWN.clear()
-            _KNOWN[self.name] = {}, self.finder()
-        known, finder = _KNOWN[self.name]
+            _KNOWN[self.name] = {}
+        known = _KNOWN[self.name]
         if len(known) > CACHE_WORDS:
             known.clear()
         values = list(map(known.get, found))
         if None in values:
             for i in [i for i, v in enumerate(values) if v is None]:
-                w = found[i]
-                hit = next(finder.iter(f"<{w.strip(EDGES)}>"), None)
-                known[w] = values[i] = 0.0 if hit is None else self.word(w)
+                known[found[i]] = values[i] = self.word(found[i])
         return _softmax(sum(values) / len(values) + self.bias)
 
 
@@ -96,14 +86,14 @@ def _softmax(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
-def _telling(doc_at: np.ndarray, word_at: np.ndarray, gram_at: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Buckets that documents of one label hold more often than chance has it; the others' embeddings stay zero.
+def _trust(doc_at: np.ndarray, word_at: np.ndarray, gram_at: np.ndarray, starts: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How freely each bucket's embedding may move, between 0 and 1; none is left out.
 
     The number of documents of label 1 that hold a bucket is held against its mean and
-    deviation under drawing without replacement. Averages over few words of a short
-    document would otherwise carry the noise of buckets that tell nothing.
+    deviation under drawing without replacement: z deviations off give z^4 / (z^4 + EVEN_SIGMAS^4).
+    Averages over few words of a short document would otherwise carry the noise of buckets
+    that tell nothing.
     """
-    starts = np.concatenate([[0], np.cumsum(sizes)])
     number, positive = np.zeros(BUCKETS), np.zeros(BUCKETS)
     order = np.argsort(doc_at, kind="stable")
     bounds = np.searchsorted(doc_at[order], np.arange(len(y) + 1))
@@ -116,7 +106,8 @@ def _telling(doc_at: np.ndarray, word_at: np.ndarray, gram_at: np.ndarray, sizes
     n, ones = len(y), y.sum()
     share = number / n
     deviation = np.sqrt(ones * share * (1 - share) * (n - ones) / max(n - 1, 1))
-    return (number > 0) & (np.abs(positive - ones * share) >= LEAST_SIGMAS * np.maximum(deviation, 0.25))
+    z4 = ((positive - ones * share) / np.maximum(deviation, 0.25)) ** 4
+    return z4 / (z4 + EVEN_SIGMAS**4)
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
@@ -138,18 +129,26 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     y = np.array(labels, float)
     share = float(np.clip(y.mean() if len(y) else 0.01, 0.01, 0.99))
     if not index or y.min() == y.max():
-        return Model({}, float(np.log(share / (1 - share))))
+        return Model(np.empty(0, np.float32), float(np.log(share / (1 - share))))
     doc_at, word_at, weight = np.array(doc_at), np.array(word_at), np.array(weight)
-    at = [np.fromiter(map(bucket, found := grams(w)), np.int32, len(found)) for w in index]
-    sizes = np.array([len(x) for x in at])
-    gram_at, of_word = np.concatenate(at), np.repeat(np.arange(len(index), dtype=np.int32), sizes)
-    del at
-    telling = _telling(doc_at, word_at, gram_at, sizes, y)
-    often = telling[gram_at]
-    if not often.any():
-        return Model({}, float(np.log(share / (1 - share))))
-    used, gram_at = np.unique(gram_at[often], return_inverse=True)
-    of_word, per_word = of_word[often], 1.0 / sizes
+    gram_at, starts = array("i"), array("q", [0])
+    for w in index:
+        gram_at.extend(map(bucket, grams(w)))
+        starts.append(len(gram_at))
+    gram_at, starts = np.frombuffer(gram_at, np.int32), np.frombuffer(starts, np.int64)
+    trust = _trust(doc_at, word_at, gram_at, starts, y)
+    used, gram_at = np.unique(gram_at, return_inverse=True)
+    trust, gram_at, sizes = trust[used], gram_at.astype(np.int32), np.diff(starts)
+    per_word = 1.0 / sizes
+    chunks = [(i, min(i + CHUNK_WORDS, len(index))) for i in range(0, len(index), CHUNK_WORDS)]
+
+    def by_word(value: np.ndarray) -> np.ndarray:
+        """Sum of a value of each bucket over each word's n-grams."""
+        return np.concatenate([np.add.reduceat(value[gram_at[starts[i] : starts[j]]], starts[i:j] - starts[i]) for i, j in chunks])
+
+    def by_gram(value: np.ndarray) -> np.ndarray:
+        """Sum of a value of each word over the words that hold each bucket."""
+        return sum(np.bincount(gram_at[starts[i] : starts[j]], np.repeat(value[i:j], sizes[i:j]), len(used)) for i, j in chunks)
 
     vectors = rng.normal(0, 1e-3, (len(used), DIMENSIONS))
     softmax = rng.normal(0, 0.5, (2, DIMENSIONS))
@@ -164,17 +163,18 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     for t in range(STEPS):
         rate = 1 - t / STEPS
         line = softmax[1] - softmax[0]
-        word = np.bincount(of_word, (vectors @ line)[gram_at], len(index)) * per_word
+        word = by_word(trust * (vectors @ line)) * per_word
         logit = np.bincount(doc_at, weight * word[word_at], len(y)) + bias[1] - bias[0]
         error = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) / len(y)
         on_word = np.bincount(word_at, weight * error[doc_at], len(index)) * per_word
-        on_gram = np.bincount(gram_at, on_word[of_word], len(used))
+        on_gram = trust * by_gram(on_word)
         pull = vectors.T @ on_gram
         step(0, vectors, on_gram[:, None] * line[None, :], 2.0 * rate)
         step(1, softmax, np.stack([-pull, pull]), 0.5 * rate)
         step(2, bias, np.array([-error.sum(), error.sum()]) * len(y) / 20, 0.1 * rate)
-    value = dict(zip(used.tolist(), (vectors @ (softmax[1] - softmax[0])).tolist()))
-    return Model({g: value[b] for w in index for g in grams(w) if (b := bucket(g)) in value}, float(bias[1] - bias[0]))
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[used] = trust * (vectors @ (softmax[1] - softmax[0]))
+    return Model(weights, float(bias[1] - bias[0]))
 
 
 def held_out(doc_id) -> F.Column:
