@@ -257,3 +257,13 @@ def test_tree_matching_is_largest():
         a, b = tree(3), tree(3)
         pairs = html_extract.simple_tree_matching(a, b)
         assert len(pairs) == largest_match(a, b) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
+def test_deep_pages_keep_their_elements():
+    deep = lambda n, inner: "<div>" * n + inner + "</div>" * n
+    text = lambda source: html_extract.main_text(html_extract.parse(source))
+    assert text(deep(70, "<article><p>story</p></article>")) == "story"
+    nested = "<body><section><article><p>a</p>" + deep(70, "<p>b</p><nav>menu</nav><p>c</p>") + "<p>d</p></article></section><p>out</p></body>"
+    assert text(nested) == "a\n\nb\n\nc\n\nd"
+    assert text("<article>" + "<div>" * 100 + "<div class='comments'><p>no</p></div><section><p>yes</p></section><footer>no</footer></article>") == "yes"
+    assert len(html_extract.parse("<div>" * 5000 + "x").skeleton()) < 1000
+
+

@@ -7,6 +7,7 @@ import hashlib
 import html as entities
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
@@ -89,7 +90,7 @@ def _attributes(attrs: str) -> tuple[str, bool]:
     return (found.get("class", "").split() or [""])[0], marked
 
 
-#: Deeper elements are laid into the last one, so that no page makes a deep tree.
+#: In the labelled tree, deeper elements are laid side by side, so that no page makes a deep tree; the stack of open elements is never cut.
 DEEPEST = 60
 
 
@@ -97,6 +98,8 @@ def parse(source: str) -> Page:
     """Blocks of text in page order and the tree that they lie in; tolerant of missing ends and cut pages."""
     root = Node("", "", False, False)
     stack = [root]
+    # Where each tag's open elements stand in the stack, innermost last.
+    open_at: dict[str, list[int]] = defaultdict(list)
     blocks: list[tuple[Node, str]] = []
     buffer: list[str] = []
     has_main = False
@@ -108,6 +111,11 @@ def parse(source: str) -> Page:
             stack[-1].texts.append(text)
             blocks.append((stack[-1], text))
 
+    def close(size: int) -> None:
+        for node in stack[size:]:
+            open_at[node.tag].pop()
+        del stack[size:]
+
     at = 0
     for m in _TOKEN.finditer(source):
         if m.start() > at:
@@ -126,20 +134,13 @@ def parse(source: str) -> Page:
             continue
         flush()
         if m["close"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if open_at[tag]:
+                close(open_at[tag][-1])
             continue
         if tag in CLOSES_P and stack[-1].tag == "p":
-            stack.pop()
-        if tag in SELF_NESTED:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in SELF_NESTED[tag]:
-                    break
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            close(len(stack) - 1)
+        if tag in SELF_NESTED and open_at[tag] and open_at[tag][-1] > max((open_at[t][-1] for t in SELF_NESTED[tag] if open_at[t]), default=0):
+            close(open_at[tag][-1])
         if tag in VOID or m["attrs"].endswith("/"):
             continue
         up = stack[-1]
@@ -147,12 +148,16 @@ def parse(source: str) -> Page:
         main = tag in ("article", "main")
         has_main |= main and not up.dropped
         label = f"{tag}.{name}" if name else tag
+        dropped = up.dropped or tag in BOILERPLATE or (marked and not main and tag not in ("html", "body")) or (tag == "header" and not up.inside)
+        inside = up.inside or main
+        if len(stack) > DEEPEST:
+            # Sisters here come from different parents: what they took over from them is part of the label.
+            up, label = stack[DEEPEST - 1], f"{label} {dropped:d}{inside:d}"
         node = up.children.get(label)
         if node is None:
-            dropped = up.dropped or tag in BOILERPLATE or (marked and not main and tag not in ("html", "body")) or (tag == "header" and not up.inside)
-            node = up.children[label] = Node(label, tag, dropped, up.inside or main)
-        if len(stack) < DEEPEST:
-            stack.append(node)
+            node = up.children[label] = Node(label, tag, dropped, inside)
+        open_at[tag].append(len(stack))
+        stack.append(node)
     buffer.append(source[at:])
     flush()
     return Page(root, blocks, has_main)
