@@ -47,3 +47,15 @@ def test_entry_has_rows(spark):
 
     assert entry.entry(spark).count() == 150
     assert set(queries.ORACLE_SQL) <= set(entry.queries())
+
+
+def test_large_alias_buckets_are_refused(spark):
+    from verdex.operators import identity
+
+    def spellings(n):
+        letters = "abcdefgh"
+        return spark.createDataFrame([("".join(c.upper() if i >> k & 1 else c for k, c in enumerate(letters)),) for i in range(n)], "name string")
+
+    assert identity.separator_aliases(spellings(64), "name").count() == 64 * 63 // 2
+    with pytest.raises(Exception, match="exceeds safety limit.*members=65"):
+        identity.separator_aliases(spellings(65), "name").collect()

@@ -9,8 +9,11 @@ from ..functions import text as T
 
 
 def bucket_pairs(nodes: DataFrame, node: str, bucket: list[str], guard: int = 64) -> DataFrame:
-    """Unordered pairs of nodes that share a bucket; buckets over ``guard`` are set aside by :func:`large_buckets`."""
-    sizes = nodes.groupBy(*bucket).agg(F.count_distinct(node).alias("_n")).where(f"_n between 2 and {guard}")
+    """Unordered pairs of nodes that share a bucket; fails where :func:`large_buckets` has any, as no bucket is left out."""
+    whole = nodes.dropna(subset=bucket)
+    sizes = whole.groupBy(*bucket).agg(F.count_distinct(node).alias("_n")).where("_n > 1")
+    refusal = F.concat(F.lit("bucket exceeds safety limit: key="), F.to_json(F.struct(*bucket)), F.lit(", members="), F.col("_n").cast("string"), F.lit(f", limit={guard}"))
+    sizes = sizes.where(F.when(F.col("_n") > guard, F.raise_error(refusal).cast("boolean")).otherwise(F.lit(True)))
     small = nodes.select(node, *bucket).distinct().join(sizes.select(*bucket), bucket, "left_semi")
     a, b = small.withColumnRenamed(node, "a"), small.withColumnRenamed(node, "b")
     return a.join(b, bucket).where("a < b")
