@@ -22,15 +22,15 @@ from .common import bound_batches, rows
 
 #: Public shapes of credentials, tried in this order at each place.
 PATTERNS = (
-    ("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,8192}-----END (?:[A-Z]+ )*PRIVATE KEY-----"),
+    ("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}+-----END (?:[A-Z]+ )*PRIVATE KEY-----"),
     ("aws_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("github_token", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b"),
     ("slack_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
     ("stripe_key", r"\b[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
     ("google_key", r"\bAIza[0-9A-Za-z_-]{35}"),
     ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("assigned", r"\b(?:[Pp]ass(?:word|wd)?|PASSWORD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey|[Cc]redential)s?[\"']?\s{0,4}[:=]{1,2}\s{0,4}[\"']?(?P<value>[^\s\"'<>,;]{6,256})"),
-    ("opaque", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])[A-Za-z0-9+/_-]{24,512}={0,2}(?![A-Za-z0-9+/_=-])"),
+    ("assigned", r"(?<![A-Za-z0-9])(?:[Pp]ass(?:word|wd)?|PASSWORD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey|ACCESS[_-]?KEY|[Cc]redential)s?[\"']?\s{0,4}[:=]{1,2}\s{0,4}[\"']?(?P<value>[^\s\"'<>,;]{6,})"),
+    ("opaque", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_=-])"),
 )
 _ANY = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in PATTERNS))
 KINDS = [name for name, _ in PATTERNS]
