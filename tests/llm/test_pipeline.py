@@ -56,5 +56,18 @@ def test_stages_take_effect(spark, corpus):
     assert {r["doc_id"] for r in packed} == set(kept)
 
 
+def test_near_dedup_links_from_80_percent(spark, tmp_path):
+    r = random.Random(2)
+    rows = []
+    for i in range(20):
+        words = ["".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(104)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: 104 - r.choice([16, 18, 20])]))]
+        # 26 shingles less are under 80 %.
+        rows += [(1000 + 2 * i, " ".join(w[::-1] + "x" for w in words)), (1001 + 2 * i, " ".join(w[::-1] + "x" for w in words[:-26]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {x["doc_id"] for x in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, str(tmp_path)).collect()}
+    assert left == {i for i, _ in rows if i >= 1000 or i % 2 == 0}
+
+
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
