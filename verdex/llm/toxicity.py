@@ -186,8 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = SAMPLE_POSITIVES, o
     """Train on a bounded sample of the labelled documents, taken in the order of a hash of their ids.
 
     Label 1 is rare, so each label has a bound of its own, and the model's bias is then
-    moved to the share of label 1 among all labels that may be learnt. Documents whose
-    texts would take the sample over ``sample_bytes`` are left out.
+    moved to the share of label 1 among all labels that may be learnt. Each label has a
+    part of ``sample_bytes`` like its part of the rows, and what the other leaves of its
+    own; where its texts take more, the longest are left out.
     """
     bound_batches(docs.sparkSession)
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -195,7 +196,11 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = SAMPLE_POSITIVES, o
     count = marked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("ones")).first()
     some = marked.where("toxic = 1").orderBy(*order).limit(positives).union(marked.where("toxic = 0").orderBy(*order).limit(others))
     texts = whole_texts(docs).join(F.broadcast(some), "doc_id").withColumn("size", F.octet_length("text").cast("long"))
-    texts = texts.withColumn("upto", F.sum("size").over(Window.orderBy(*order, "text"))).where(F.col("upto") <= sample_bytes).select("text", "toxic")
+    label = Window.partitionBy("toxic")
+    others_take = F.sum("size").over(Window.partitionBy()) - F.sum("size").over(label)
+    part = F.when(F.col("toxic") == 1, sample_bytes * positives // (positives + others)).otherwise(sample_bytes * others // (positives + others))
+    texts = texts.withColumn("room", F.greatest(part, F.lit(sample_bytes) - others_take)).withColumn("upto", F.sum("size").over(label.orderBy("size", *order, "text")))
+    texts = texts.where("upto <= room").orderBy(*order, "text").select("text", "toxic")
     found = texts.toArrow()
     model = train(found.column("text").to_pylist(), learnt := found.column("toxic").to_pylist())
     odds = lambda ones, n: np.log((ones + 0.5) / (n - ones + 0.5))
