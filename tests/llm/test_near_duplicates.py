@@ -89,6 +89,15 @@ def test_short_near_copies_match_brute_force(spark):
     assert got == brute(docs)
 
 
+def test_null_ids_stay_whatever_else_repeats(spark):
+    a, b, c = "a b c d e f g", "k l m n o p q", "r s t u v w x"
+    rows = [(None, b), (None, c), (None, None), (None, a), (1, a), (1, a)]
+    for rows in (rows, rows[:-1]):
+        df = spark.createDataFrame([(d, t, None, None, None, None) for d, t in rows], SCHEMA)
+        got = [(r["doc_id"], r["text"]) for r in keep_one(df).collect()]
+        assert sorted(got, key=repr) == sorted([(None, b), (None, c), (None, None), (1, a)], key=repr)
+
+
 def test_estimate_is_collision_corrected():
     rng = np.random.default_rng(0)
     pool = np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64))

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.graph import connected_components
 from .common import bound_batches, rows, staged, whole_texts
@@ -203,6 +204,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     doc_id are one document. A null doc_id takes no part in naming; a component of
     only such rows has a null id, and they are kept.
     """
+    return _classed(docs, percent).drop("cls")
+
+
+def _classed(docs: DataFrame, percent: int) -> DataFrame:
+    """:func:`near_duplicates` with the class of each row's set."""
     spark = docs.sparkSession
     bound_batches(spark)
     docs = whole_texts(docs)
@@ -269,14 +275,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # Rows that repeat a doc_id with another text stay with that document's own classes.
     out = signed.select("doc_id", "n_shingles", "cls").join(by_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "cls").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = map(shingle_hashes, batch.column(batch.schema.get_field_index("text")).to_pylist())
+        yield batch.append_column("_cls", pa.array([_class(s) if len(s) else None for s in sets], pa.string()))
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` whose document :func:`near_duplicates` keeps, with all their columns; of rows that repeat a kept doc_id, one."""
-    found = staged(near_duplicates(docs, percent).where("kept").select("doc_id"), "near-dedup-kept")
-    kept = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    repeated = not kept.where("n > 1 and doc_id is not null").isEmpty()
-    kept = kept.select(F.col("doc_id").alias("kept_id")).hint("shuffle_hash")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns; of rows that repeat a kept doc_id, one.
+
+    Rows with a null doc_id stay or go each by its own text.
+    """
+    found = staged(_classed(docs, percent).where("kept or doc_id is null").select("doc_id", "kept", "cls"), "near-dedup-kept")
+    kept = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = not kept.where("n > 1").isEmpty()
+    out = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    out = out.dropDuplicates(["doc_id"]) if repeated else out
+    nameless = found.where("doc_id is null")
+    if nameless.where("kept").isEmpty():
+        return out
+    gone = nameless.where("not kept").select(F.col("cls").alias("_cls")).distinct()
+    alone = docs.where("doc_id is null")
+    alone = alone.mapInArrow(_with_class, StructType([*alone.schema.fields, StructField("_cls", StringType())])).join(gone, "_cls", "left_anti").drop("_cls")
+    return out.unionByName(alone)
