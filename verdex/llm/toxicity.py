@@ -22,23 +22,35 @@ SHORTEST, LONGEST = 3, 6
 #: A bucket whose share among documents of label 1 is so many standard deviations off is trusted by half.
 EVEN_SIGMAS = 5.0
 #: Words whose n-grams are summed at a time.
-CHUNK_WORDS = 1 << 16
+CHUNK_WORDS = 1 << 15
 STEPS = 100
 THRESHOLD = 0.3
 EDGES = ".,;:!?\"'()[]{}<>«»“”…|"
 
 
-def grams(word: str) -> list[str]:
-    """A word's character n-grams, its ends marked, and the word itself."""
-    word = f"<{word.strip(EDGES)}>"
-    found = {word}
-    for n in range(SHORTEST, LONGEST + 1):
-        found.update(word[i : i + n] for i in range(len(word) - n + 1))
-    return sorted(found)
+_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def bucket(gram: str) -> int:
-    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS
+def buckets(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of each character n-gram of some words, their ends marked, and of the words themselves."""
+    marked = [f"<{w.strip(EDGES)}>" for w in some]
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    word = np.repeat(np.arange(len(marked), dtype=np.int32), lengths)
+    left = np.cumsum(lengths)[word] - np.arange(len(codes))
+    # A whole word of SHORTEST to LONGEST characters is one of its own n-grams.
+    other = np.flatnonzero((lengths < SHORTEST) | (lengths > LONGEST))
+    whole = np.array([zlib.crc32(marked[i].encode("utf-8", "surrogatepass")) for i in other.tolist()], np.uint64) * _ODD
+    at, hashes, rolling = [other.astype(np.int32)], [whole], np.zeros(len(codes), np.uint64)
+    for n in range(1, min(LONGEST, len(codes)) + 1):
+        rolling = rolling[: len(codes) - n + 1] * _ODD + codes[n - 1 :]
+        if n >= SHORTEST:
+            inside = left[: len(rolling)] >= n
+            at.append(word[: len(rolling)][inside])
+            hashes.append(rolling[inside])
+    mixed = np.concatenate(hashes)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
+    return np.concatenate(at), ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int32)
 
 
 def words(text: str) -> list[str]:
@@ -47,6 +59,8 @@ def words(text: str) -> list[str]:
 
 #: Word scores that a Python worker keeps, for all tasks that have one model.
 CACHE_WORDS = 500_000
+#: Characters of texts whose new words are looked up together.
+GROUP_CHARACTERS = 1 << 20
 _KNOWN: dict[int, dict[str, float]] = {}
 
 
@@ -60,26 +74,35 @@ class Model:
     def __post_init__(self) -> None:
         self.name = zlib.crc32(self.weights.tobytes())
 
-    def word(self, word: str) -> float:
-        """The word's mean over its n-grams, itself among them."""
-        return float(self.weights[[bucket(g) for g in grams(word)]].mean())
+    def words(self, some: list[str]) -> list[float]:
+        """Each word's mean over its n-grams, itself among them."""
+        at, held = buckets(some)
+        return (np.bincount(at, self.weights[held], len(some)) / np.bincount(at, minlength=len(some))).tolist()
 
-    def score(self, text: str) -> float:
-        """Probability of label 1; a text without words gets what the bias says."""
-        found = words(text)
-        if not found or not len(self.weights):
-            return _softmax(self.bias)
+    def scores(self, texts: list[str]) -> list[float]:
+        """Probability of label 1 of each text; a text without words gets what the bias says."""
+        if not len(self.weights):
+            return [_softmax(self.bias)] * len(texts)
         if self.name not in _KNOWN:
             _KNOWN.clear()
             _KNOWN[self.name] = {}
-        known = _KNOWN[self.name]
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        values = list(map(known.get, found))
-        if None in values:
-            for i in [i for i, v in enumerate(values) if v is None]:
-                known[found[i]] = values[i] = self.word(found[i])
-        return _softmax(sum(values) / len(values) + self.bias)
+        known, out, at = _KNOWN[self.name], [], 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and size < GROUP_CHARACTERS:
+                group.append(words(texts[at]))
+                size += len(texts[at])
+                at += 1
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            new = list({w for found in group for w in found if w not in known})
+            for i in range(0, len(new), CHUNK_WORDS):
+                known.update(zip(some := new[i : i + CHUNK_WORDS], self.words(some)))
+            out += [_softmax(sum(map(known.__getitem__, found)) / max(len(found), 1) + self.bias) for found in group]
+        return out
+
+    def score(self, text: str) -> float:
+        return self.scores([text])[0]
 
 
 def _softmax(x: float) -> float:
@@ -131,14 +154,16 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     if not index or y.min() == y.max():
         return Model(np.empty(0, np.float32), float(np.log(share / (1 - share))))
     doc_at, word_at, weight = np.array(doc_at), np.array(word_at), np.array(weight)
-    gram_at, starts = array("i"), array("q", [0])
-    for w in index:
-        gram_at.extend(map(bucket, grams(w)))
-        starts.append(len(gram_at))
-    gram_at, starts = np.frombuffer(gram_at, np.int32), np.frombuffer(starts, np.int64)
+    parts, sizes, listed = [], [], list(index)
+    for i in range(0, len(listed), CHUNK_WORDS):
+        at, held = buckets(listed[i : i + CHUNK_WORDS])
+        parts.append(held[np.argsort(at, kind="stable")])
+        sizes.append(np.bincount(at, minlength=len(listed[i : i + CHUNK_WORDS])))
+    gram_at, sizes = np.concatenate(parts), np.concatenate(sizes)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
     trust = _trust(doc_at, word_at, gram_at, starts, y)
     used, gram_at = np.unique(gram_at, return_inverse=True)
-    trust, gram_at, sizes = trust[used], gram_at.astype(np.int32), np.diff(starts)
+    trust, gram_at = trust[used], gram_at.astype(np.int32)
     per_word = 1.0 / sizes
     chunks = [(i, min(i + CHUNK_WORDS, len(index))) for i in range(0, len(index), CHUNK_WORDS)]
 
@@ -212,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = SAMPLE_POSITIVES, o
 def scorer(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, held, texts in rows(batches, "doc_id", "held_out", "text"):
-            scores = [model.score(t) for t in texts]
+            scores = model.scores(texts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"]
             )
@@ -240,6 +265,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([model.score(t or "") < threshold for t in texts], pa.bool_()))
+            yield batch.filter(pa.array([s < threshold for s in model.scores([t or "" for t in texts])], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
