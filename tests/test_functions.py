@@ -25,13 +25,19 @@ def test_normalize_key(spark, name):
 def test_names(spark):
     c = F.col("n")
     assert one(spark, T.acronym(c), n="gnu_image_program") == "gip"
-    assert one(spark, T.strip_organisation(c), n="the_acme_software_inc") == "acme"
-    assert one(spark, T.strip_organisation(c), n="inc") == "inc"
+    for name, core in {"the_acme_software_inc": "acme_software", "software": "software", "inc": "", "the": "", "apache_software_foundation": "apache", "x_open_source_project_team": "x", "open_source": "open_source", "theos_group": "theos"}.items():
+        assert one(spark, T.strip_organisation(c), n=name) == core, name
+    pair = (F.col("a"), F.col("b"))
+    for a, b, want in [("openv", "open_vpn", True), ("open_vpn", "openv", True), ("ope", "open", False), ("open", "openvpnx", False), ("open", "o_pen", False)]:
+        assert one(spark, T.prefix_abbreviation(*pair), a=a, b=b) is want, (a, b)
+    for a, b, want in [("gip", "gnu_image_program", True), ("gnu_image_program", "gip", True), ("g", "gnu", False), ("gi_p", "gnu_image_program", True)]:
+        assert one(spark, T.acronym_match(*pair), a=a, b=b) is want, (a, b)
     assert one(spark, T.digit_signature(c), n="a10_b9") == "10,9"
     assert one(spark, T.edit_kind(F.col("a"), F.col("b")), a="openssl", b="opnessl") == "swap"
     assert one(spark, T.edit_kind(F.col("a"), F.col("b")), a="openssl", b="opensl") == "edit"
     assert one(spark, T.edit_kind(F.col("a"), F.col("b")), a="openssl", b="libssl") is None
-    assert one(spark, T.lcs_ratio(F.col("a"), F.col("b")), a="abcd", b="acd") == pytest.approx(6 / 7)
+    assert one(spark, T.lcs_ratio(F.col("a"), F.col("b")), a="abcd", b="acd") == pytest.approx(3 / 4)
+    assert one(spark, T.lcs_ratio(F.col("a"), F.col("b")), a="ab", b="xxxxb") == pytest.approx(1 / 5)
     assert one(spark, T.bigram_jaccard(F.col("a"), F.col("b")), a="", b="") == 1.0
     assert one(spark, T.grounded_start(F.col("a"), F.col("b")), a="Fixed in FOO 1.2", b="foo") == 9
 
@@ -53,9 +59,28 @@ def test_version_orders(spark):
 
     order("dotted", "1.2", "1.9", "1.10", "v2")
     order("semver", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-beta", "1.0.0-rc.1", "1.0.0", "1.0.1")
-    order("openssl", "1.0.2-beta1", "1.0.2", "1.0.2a", "1.0.2z", "1.0.2za", "1.1.0")
-    order("imagemagick", "6.9.9-3", "6.9.10-2", "7.0.1-0")
+    order("openssl", "1.0.2", "1.0.2a", "1.0.2ab", "1.0.2b", "1.0.2ba", "1.0.2z", "1.0.2za", "1.0.2zb", "1.1.0")
+    order("imagemagick", "6.0.6", "6.0.6.2", "6.9.9-3", "6.9.10-2", "7.0.1-0", "7.0.10")
     order("deb", "1.0~rc1-1", "1.0-1", "1.0-1+b1", "1.0a-1", "1:0.5-1")
+    order("total", "abc", "abc d", "1.0-dev", "1.0a2", "1.0 beta", "1.0rc1", "1_0", "1.0.x", "1.0-p1", "1.0-p2", "1.0.1", "2")
+
+
+KINDS = {None: "missing", " ": "missing", "-": "not_applicable", "N/A": "not_applicable", "*": "any_token", "all": "all_token", "Any Versions": "all_token", "< 2": "range_expression", "!=3": "range_expression", "1.2.x": "branch_wildcard", "1.*": "branch_wildcard",
+         "1234567": "exact", "deadbeef": "source_control", "r42": "source_control", "1.2 beta": "opaque", "2024-01-31": "exact", "v1.2-rc1": "exact"}
+
+
+@pytest.mark.parametrize("text", KINDS)
+def test_version_kinds(spark, text):
+    assert one(spark, versions.version_kind(F.col("v")), v=text) == KINDS[text]
+
+
+def test_profiles_and_branches(spark):
+    profile = versions.profile_for(F.col("t"), F.col("p"), F.col("d") == "y")
+    for t, p, d, want in [("semver", "openssl", "y", "semver"), ("debian", "x", "n", "deb"), ("custom", "my_openssl_fork", "y", "openssl"), ("", "image_magick", "n", "imagemagick"), ("", "x", "y", "dotted"), (None, "x", "n", "opaque")]:
+        assert one(spark, profile, t=t, p=p, d=d) == want
+    branch = versions.branch_key(F.col("v"), F.col("p"))
+    for v, p, want in [("1.0.2k", "openssl", "1.0.2"), ("3.0.7", "openssl", "3.0"), ("7.0.1-0", "imagemagick", None), ("1.0", "openssl", None), ("1.2.3", "dotted", None)]:
+        assert one(spark, branch, v=v, p=p) == want
 
 
 def test_equal_versions_and_fallback(spark):

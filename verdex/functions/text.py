@@ -10,10 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-#: Keys that name nothing.
-PLACEHOLDERS = ("", "unknown", "n_a", "na", "none", "unspecified", "not_applicable", "null")
-#: Trailing words that say what kind of organisation it is.
-ORGANISATION_SUFFIXES = ("inc", "incorporated", "corp", "corporation", "ltd", "limited", "llc", "gmbh", "ag", "sa", "bv", "foundation", "project", "software", "company", "co")
+#: Texts that name nothing; they are compared as keys, and the signs among them have none.
+PLACEHOLDERS = ("", "*", "-", "n/a", "na", "none", "null", "unknown", "unspecified")
+#: Trailing words, and runs of words, that say what kind of organisation it is.
+ORGANISATION_SUFFIXES = ("project", "projects", "foundation", "inc", "incorporated", "corporation", "corp", "company", "co", "ltd", "limited", "llc", "gmbh", "org", "organization", "organisation", "team", "group")
+ORGANISATION_SEQUENCES = ("software_foundation", "open_source_project")
+#: Words of a repository's name that say which form of the product it holds.
+VARIANT_WORDS = ("portable", "source", "src")
 
 _NOT_WORD = re.compile(r"[^\w]+")
 
@@ -44,7 +47,7 @@ def ascii_key(name: Column) -> Column:
 
 
 def is_placeholder(key: Column) -> Column:
-    return key.isin(*PLACEHOLDERS)
+    return key.isin(*sorted({normalize_key_text(x) for x in PLACEHOLDERS}))
 
 
 def separator_key(key: Column) -> Column:
@@ -72,9 +75,23 @@ def digit_signature(key: Column) -> Column:
 
 
 def strip_organisation(key: Column) -> Column:
-    """Without a leading article and trailing words of organisation, as long as a word is left."""
-    plain = F.regexp_replace(F.regexp_replace(key, "^the_", ""), "(_(" + "|".join(ORGANISATION_SUFFIXES) + "))+$", "")
-    return F.when(plain == "", key).otherwise(plain)
+    """Without a leading article and all trailing words of organisation; empty where there are no others.
+
+    Words that a brand may consist of, as software, go only as part of a fixed run.
+    """
+    led = F.regexp_replace(F.concat(F.lit("_"), key), "^_the(?=_|$)", "")
+    return F.ltrim(F.regexp_replace(led, "(_(" + "|".join(ORGANISATION_SEQUENCES + ORGANISATION_SUFFIXES) + "))+$", ""), F.lit("_"))
+
+
+def without_variant_words(key: Column) -> Column:
+    return F.array_join(F.filter(tokens(key), lambda t: ~t.isin(*VARIANT_WORDS)), "_")
+
+
+def acronym_match(a: Column, b: Column) -> Column:
+    """Whether one key's letters, two to eight, are the initials of the other's words."""
+    x, y = separator_key(a), separator_key(b)
+    of = lambda short, key: F.char_length(short).between(2, 8) & (short == acronym(key))
+    return (x != "") & (y != "") & (x != y) & (of(x, b) | of(y, a))
 
 
 def derived_keys(key: Column) -> Column:
@@ -113,7 +130,7 @@ def edit_kind(a: Column, b: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the longest common subsequence over the summed lengths; 1 for two empty texts."""
+    """The longest common subsequence's share of the longer text; 1 for two empty texts."""
 
     def ratio(x: str, y: str) -> float:
         if not x and not y:
@@ -123,7 +140,7 @@ def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
             left = 0
             for j, d in enumerate(y, 1):
                 row[j], left = (left + 1 if c == d else max(row[j], row[j - 1])), row[j]
-        return 2 * row[-1] / (len(x) + len(y))
+        return row[-1] / max(len(x), len(y))
 
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
@@ -135,9 +152,11 @@ def deletion_signatures(key: Column) -> Column:
     return F.array_distinct(F.concat(F.array(key), cut))
 
 
-def prefix_of(a: Column, b: Column) -> Column:
-    """Whether a, of four letters at least and three fifths of b, begins b."""
-    return b.startswith(a) & (a != b) & (F.char_length(a) >= 4) & (F.char_length(a) * 10 >= F.char_length(b) * 6)
+def prefix_abbreviation(a: Column, b: Column) -> Column:
+    """Whether one key's letters begin the other's: four of them at least, and three fifths of the longer."""
+    x, y = separator_key(a), separator_key(b)
+    begins = lambda short, long: long.startswith(short) & (F.char_length(short) >= 4) & (F.char_length(short) * 10 >= F.char_length(long) * 6)
+    return (x != "") & (y != "") & (x != y) & (begins(x, y) | begins(y, x))
 
 
 def single_line(text: Column) -> Column:

@@ -7,25 +7,28 @@ from pyspark.sql import functions as F
 
 from ..functions.tri import tri_and
 
-STATES = ("rejected", "no_applicability", "manual_review", "conflict", "affected", "unaffected", "unknown", "not_in_range")
+#: The states of a subject.
+STATES = ("affected", "potentially_affected", "not_affected_asserted", "not_affected_out_of_range", "not_applicable", "conflict_review", "product_only_observation", "insufficient_data")
+#: How much a source, a class of version range and a role weigh.
+AUTHORITY = {"cna_structured": 3, "manual_review": 3, "osv": 2, "ghsa": 2, "nvd_cpe": 1, "advisory_text": 1, "llm_description": 0, "rule_ner": 0}
+STRUCTUREDNESS = {"cna_structured": 2, "manual_review": 2, "osv": 2, "ghsa": 2, "nvd_cpe": 2, "advisory_text": 0, "llm_description": 1, "rule_ner": 1}
+VERSION_SPECIFICITY = {"EXACT": 4, "BOUNDED_RANGE": 3, "BRANCH_RANGE": 3, "UNBOUNDED_RANGE": 2, "EXPLICIT_ALL": 1}
+DIRECTNESS = {"DIRECT_UPSTREAM": 2, "DIRECT_ALTERNATIVE_PRODUCT": 1}
 
 
-def scope_axis(query_state: Column, query_value: Column, stated: Column, values: Column) -> Column:
+def scope_axis(query_state: Column, query_value: Column, stated: Column, values: Column, broad: bool = False) -> Column:
     """One axis of a scope: does what is asked for fall into what is stated?
 
-    A stated ANY takes all, NOT_APPLICABLE only its like, UNKNOWN says nothing; an
-    unknown query says nothing unless all is taken.
+    States are ANY, EXACT, SET, NOT_APPLICABLE and UNKNOWN; ``values`` is the array of keys
+    that EXACT or SET states, ``query_value`` a key. A stated ANY takes all; NOT_APPLICABLE
+    takes its like and refuses what is exact; what is stated exactly refuses NOT_APPLICABLE,
+    and leaves ANY unknown unless ``broad``. All else is unknown.
     """
     unknown = F.lit(None).cast("boolean")
-    return (
-        F.when(stated == "ANY", True)
-        .when(stated == "UNKNOWN", unknown)
-        .when(query_state == "UNKNOWN", unknown)
-        .when(stated == "NOT_APPLICABLE", query_state == "NOT_APPLICABLE")
-        .when(query_state == "ANY", unknown)
-        .when(query_state == "NOT_APPLICABLE", False)
-        .otherwise(F.array_contains(values, query_value))
-    )
+    inside = F.when(query_state == "EXACT", F.coalesce(F.array_contains(values, query_value), F.lit(False))).when(query_state == "NOT_APPLICABLE", False)
+    inside = inside.when(query_state == "ANY", True) if broad else inside
+    apart = F.when(query_state == "NOT_APPLICABLE", True).when(query_state.isin("ANY", "UNKNOWN"), unknown).otherwise(False)
+    return F.when(stated == "ANY", True).when(stated == "NOT_APPLICABLE", apart).when(stated.isin("EXACT", "SET"), inside).otherwise(unknown)
 
 
 def scope(axes: dict[str, Column]) -> tuple[Column, Column]:
@@ -49,85 +52,159 @@ def apply_default_closure(df: DataFrame, group: list[str], is_default: Column, t
     return out.withColumn("truth", closed).drop("_default", "_truth", "_explicit_true", "_explicit_unknown")
 
 
-def source_results(df: DataFrame, keys: list[str], source: str, truth: Column, polarity: Column) -> DataFrame:
-    """One result of each source: conflict, affected, unaffected, unknown, or out_of_range."""
-    yes = F.bool_or(truth & (polarity == "affected"))
-    no = F.bool_or(truth & (polarity == "unaffected"))
-    unclear = F.bool_or(truth.isNull() | (truth & (polarity == "unknown")))
-    out = df.groupBy(*keys, source).agg(F.coalesce(yes, F.lit(False)).alias("_yes"), F.coalesce(no, F.lit(False)).alias("_no"), F.coalesce(unclear, F.lit(False)).alias("_unclear"))
-    result = F.when(F.col("_yes") & F.col("_no"), "conflict").when(F.col("_yes"), "affected").when(F.col("_no"), "unaffected").when(F.col("_unclear"), "unknown").otherwise("out_of_range")
-    return out.select(*keys, source, result.alias("result"))
+def _no(c: Column) -> Column:
+    """Certainly false."""
+    return F.coalesce(~c, F.lit(False))
+
+
+def _any(c: Column) -> Column:
+    return F.coalesce(F.bool_or(F.coalesce(c, F.lit(False))), F.lit(False))
+
+
+def _source_facts(name: str, here: Column) -> dict[str, Column]:
+    """Aggregates from which the result of one source's assertions follows."""
+    relevant = here & ~_no(F.col("role")) & ~_no(F.col("scope")) & ~_no(F.col("configuration"))
+    holds = F.coalesce(F.col("predicate"), F.lit(False))
+    return {
+        f"{name}_yes": _any(relevant & holds & (F.col("polarity") == "affected")),
+        f"{name}_no": _any(relevant & holds & (F.col("polarity") == "unaffected")),
+        f"{name}_open": _any(relevant & F.col("predicate").isNull() & F.col("polarity").isin("affected", "unknown")),
+        f"{name}_any": _any(relevant),
+        f"{name}_in": _any(relevant & ~_no(F.col("version"))),
+    }
+
+
+def _source_result(name: str) -> Column:
+    yes, no, unclear, some, inside = (F.col(f"{name}_{x}") for x in ("yes", "no", "open", "any", "in"))
+    return F.when(yes & no, "conflict").when(yes, "affected").when(no, "unaffected").when(unclear, "unknown").when(some & ~inside, "out_of_range")
+
 
+def source_results(assertions: DataFrame, keys: list[str], source: str = "source_family") -> DataFrame:
+    """The result of each source of a subject: conflict, affected, unaffected, unknown, out_of_range, or NULL where it says nothing.
 
-def finalize(results: DataFrame, keys: list[str], source: str, primary: str, secondary: str, rejected: str | None = None, review: str | None = None) -> DataFrame:
-    """The state of each subject and the sorted reasons, by one ordered cascade over its sources' results.
+    ``assertions`` has polarity and the three-valued role, scope, configuration, version and
+    predicate. What role, scope or configuration rule out is not looked at; an unknown
+    predicate counts unless its assertion is one of not being affected.
+    """
+    facts = assertions.groupBy(*keys, source).agg(*[c.alias(n) for n, c in _source_facts("s", F.lit(True)).items()])
+    return facts.select(*keys, source, _source_result("s").alias("result"))
+
+
+def finalize(assertions: DataFrame, subjects: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, state, reasons): the state of each subject and why, sorted.
 
-    Rejected; nothing found; review asked for; a source at odds with itself; the two main
-    sources at odds; then affected, unaffected, unknown or out of range, the main sources
-    before the others.
+    ``assertions`` are the columns of :func:`source_results` with source_family,
+    version_reason, reconciliation, max_result_state and identity_provisional; ``subjects``
+    has one row of keys, enrichment, provisional, history_action and history_basis.
+
+    One ordered cascade over one aggregate: a rejected record; no assertion; an assertion
+    under review; a structured source at odds with itself; the two structured sources at
+    odds, unless the change history decides; then, without model evidence where a
+    structured source decides, what holds for and against, what is unknown, and what rules
+    the subject out. Reasons come from a fixed vocabulary, so their sets are small.
     """
-    has = lambda cond: F.bool_or(cond)
-    r, s = F.col("result"), F.col(source)
-    main = s.isin(primary, secondary)
-    aggs = {
-        "_conflict": has(r == "conflict"),
-        "_p_yes": has((s == primary) & (r == "affected")),
-        "_p_no": has((s == primary) & (r == "unaffected")),
-        "_s_yes": has((s == secondary) & (r == "affected")),
-        "_s_no": has((s == secondary) & (r == "unaffected")),
-        "_m_yes": has(main & (r == "affected")),
-        "_m_no": has(main & (r == "unaffected")),
-        "_yes": has(r == "affected"),
-        "_no": has(r == "unaffected"),
-        "_unknown": has(r == "unknown"),
-        "_rejected": has(F.col(rejected)) if rejected else F.lit(False),
-        "_review": has(F.col(review)) if review else F.lit(False),
-        "_n": F.count(r),
+    col = F.col
+    holds, unknown = F.coalesce(col("predicate"), F.lit(False)), col("predicate").isNull()
+    ruled_out = _no(col("scope")) | _no(col("configuration"))
+    out_of_range = _no(col("version")) & ~ruled_out
+    model = F.coalesce(col("source_family") == "llm_description", F.lit(False))
+    provisional = F.coalesce(col("identity_provisional"), F.lit(False))
+    facts = {
+        "n": F.count(F.lit(1)),
+        "review": _any((col("reconciliation") == "conflict_review") & ~_no(col("predicate"))),
+        **_source_facts("nvd", F.coalesce(col("source_family") == "nvd_cpe", F.lit(False))),
+        **_source_facts("cna", F.coalesce(col("source_family") == "cna_structured", F.lit(False))),
     }
-    g = results.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()], F.array_sort(F.collect_set(F.concat_ws(":", s, r))).alias("reasons"))
-    c = lambda name: F.coalesce(F.col(name), F.lit(False))
-    state = (
-        F.when(c("_rejected"), "rejected")
-        .when(F.col("_n") == 0, "no_applicability")
-        .when(c("_review"), "manual_review")
-        .when(c("_conflict"), "conflict")
-        .when((c("_p_yes") & c("_s_no")) | (c("_p_no") & c("_s_yes")), "conflict")
-        .when(c("_m_yes"), "affected")
-        .when(c("_m_no"), "unaffected")
-        .when(c("_yes"), "affected")
-        .when(c("_no"), "unaffected")
-        .when(c("_unknown"), "unknown")
-        .otherwise("not_in_range")
+    reasons_of = lambda cond: F.array_sort(F.collect_set(F.when(F.coalesce(cond, F.lit(False)), col("version_reason"))))
+    for side, here in (("all", F.lit(True)), ("firm", ~model)):
+        yes, no = here & holds & (col("polarity") == "affected"), here & holds & (col("polarity") == "unaffected")
+        unclear = here & unknown & col("polarity").isin("affected", "unknown")
+        facts |= {
+            f"{side}_yes": _any(yes), f"{side}_no": _any(no), f"{side}_open": _any(unclear), f"{side}_n": F.count_if(here),
+            f"{side}_weak": _any(yes & ((col("max_result_state") == "potentially_affected") | provisional)), f"{side}_alias": _any(yes & provisional),
+            f"{side}_ruled": F.count_if(here & ruled_out), f"{side}_range": F.count_if(here & out_of_range),
+            f"{side}_range_other": _any(here & out_of_range & (F.coalesce(col("version_reason"), F.lit("")) != "version_not_applicable")),
+            f"{side}_yes_why": reasons_of(yes), f"{side}_no_why": reasons_of(no), f"{side}_open_why": reasons_of(unclear), f"{side}_range_why": reasons_of(here & out_of_range),
+        }
+    g = subjects.join(assertions.groupBy(*keys).agg(*[c.alias(n) for n, c in facts.items()]), keys, "left")
+    g = g.withColumn("nvd", _source_result("nvd")).withColumn("cna", _source_result("cna"))
+    decided = ("affected", "unaffected", "out_of_range")
+    firm = F.coalesce(col("nvd").isin(*decided) | col("cna").isin(*decided), F.lit(False))
+    g = g.withColumn("firm", firm)
+    pick = lambda name: F.when(col("firm"), col(f"firm_{name}")).otherwise(col(f"all_{name}"))
+    said = lambda state, *why: F.struct(F.lit(state).alias("state"), F.array(*[w if isinstance(w, Column) else F.lit(w) for w in why]).alias("reasons"))
+    told = lambda state, why: F.struct(F.lit(state).alias("state"), why.alias("reasons"))
+    at_odds = col("nvd").isin(*decided) & col("cna").isin(*decided) & ((col("nvd") == "affected") != (col("cna") == "affected"))
+    basis = F.coalesce(col("history_basis"), F.lit(""))
+    newest = lambda result: at_odds & (col("history_action") == "prefer_latest_cpe") & (col("nvd") == result)
+    because = F.when(pick("alias"), F.array_sort(F.array_distinct(F.concat(pick("yes_why"), F.array(F.lit("identity_alias_provisional")))))).otherwise(pick("yes_why"))
+    ranged = (pick("range") > 0) & (pick("range") + pick("ruled") == pick("n"))
+    verdict = (
+        F.when(col("enrichment") == "rejected", said("insufficient_data", "rejected_upstream"))
+        .when(F.coalesce(col("n"), F.lit(0)) == 0, said("product_only_observation", "no_active_assertion"))
+        .when(col("review"), said("conflict_review", "authoritative_source_conflict"))
+        .when((col("nvd") == "conflict") | (col("cna") == "conflict"), said("conflict_review", "source_family_internal_conflict"))
+        .when(newest("affected"), said("affected", "history_latest_cpe_affected", basis))
+        .when(newest("unaffected"), said("not_affected_asserted", "history_latest_cpe_unaffected", basis))
+        .when(newest("out_of_range"), said("not_affected_out_of_range", "history_latest_cpe_out_of_range", basis))
+        .when(at_odds & (col("history_action") == "accept_added_range"), said("affected", "history_added_range_accepted", basis))
+        .when(at_odds, said("conflict_review", "nvd_cna_result_conflict"))
+        .when(pick("yes") & pick("no"), said("conflict_review", "active_polarity_conflict"))
+        .when(pick("no"), told("not_affected_asserted", pick("no_why")))
+        .when(pick("yes") & (F.coalesce(col("provisional"), F.lit(False)) | pick("weak")), told("potentially_affected", because))
+        .when(pick("yes"), told("affected", pick("yes_why")))
+        .when(pick("open"), told("potentially_affected", pick("open_why")))
+        .when(ranged & ~pick("range_other"), told("not_applicable", pick("range_why")))
+        .when(ranged, told("not_affected_out_of_range", pick("range_why")))
+        .when(pick("ruled") > 0, said("not_applicable", "scope_or_configuration_false"))
+        .when(col("enrichment") == "unenriched", said("insufficient_data", "nvd_unenriched"))
+        .otherwise(said("product_only_observation", "no_positive_assertion"))
     )
-    return g.select(*keys, state.alias("state"), "reasons")
+    return g.select(*keys, verdict.alias("verdict")).select(*keys, "verdict.state", "verdict.reasons")
+
 
+def evidence_rank(source: Column, version_class: Column, role: Column, scope_specificity: Column, freshness: Column, corroboration: Column) -> Column:
+    """What an assertion weighs, as a struct that compares in order: authority, structuredness, scope, specificity, directness, freshness, corroboration."""
+    table = lambda of, key: F.coalesce(F.create_map(*[F.lit(x) for kv in of.items() for x in kv])[F.coalesce(key, F.lit(""))], F.lit(0))
+    held = lambda c, most: F.greatest(F.lit(0), F.least(F.coalesce(c, F.lit(0)), F.lit(most)))
+    return F.struct(
+        table(AUTHORITY, source).alias("authority"), table(STRUCTUREDNESS, source).alias("structuredness"), held(scope_specificity, 3).alias("scope"), table(VERSION_SPECIFICITY, version_class).alias("specificity"),
+        table(DIRECTNESS, role).alias("directness"), held(freshness, 2).alias("freshness"), held(corroboration, 2).alias("corroboration"),
+    )
 
-def preferred(df: DataFrame, keys: list[str], polarity: str, rank: list[str], ordinal: str) -> DataFrame:
-    """The best affected and the best unaffected assertion of each key: greatest rank, then least ordinal."""
-    best = F.struct(*[F.col(c) for c in rank], (-F.col(ordinal)).alias("_first"))
-    row = F.struct(*[F.col(c) for c in rank], F.col(ordinal).alias("ordinal"))
+
+def preferred(df: DataFrame, keys: list[str], polarity: str, rank: str, ordinal: str) -> DataFrame:
+    """The best affected and the best unaffected assertion of each key, as their ranks and ordinals: greatest rank, then least ordinal."""
+    row = F.struct(F.col(rank).alias("rank"), F.col(ordinal).alias("ordinal"))
+    best = F.struct(F.col(rank), (-F.col(ordinal)).alias("_first"))
     pick = lambda p: F.max_by(F.when(F.col(polarity) == p, row), F.when(F.col(polarity) == p, best))
     return df.groupBy(*keys).agg(pick("affected").alias("affected"), pick("unaffected").alias("unaffected"))
 
 
-def evidence_winner(df: DataFrame, rank: list[str], specificity: str, directness: str) -> Column:
-    """Which side's best assertion holds: by specificity, then by directness, then by the whole rank; else review.
+def outweighs(a: Column, b: Column) -> Column:
+    """Whether one rank wins over another: some specificity over none, then direct over indirect, then the whole rank.
 
-    The two overrides come before the rank, and so the relation is no total order; it is
-    only ever asked of the two best ones.
+    The two overrides look at nothing between: a lower specificity that isn't none does not
+    lose by it. So the relation is no total order; it is only ever asked of two ranks.
     """
-    a, b = F.col("affected"), F.col("unaffected")
-    ranks = lambda x: F.struct(*[x[c] for c in rank])
     return (
-        F.when(a.isNull() & b.isNull(), F.lit(None))
-        .when(b.isNull(), "affected_only")
-        .when(a.isNull(), "unaffected_only")
-        .when(a[specificity] > b[specificity], "affected_wins")
-        .when(a[specificity] < b[specificity], "unaffected_wins")
-        .when(a[directness] > b[directness], "affected_wins")
-        .when(a[directness] < b[directness], "unaffected_wins")
-        .when(ranks(a) > ranks(b), "affected_wins")
-        .when(ranks(a) < ranks(b), "unaffected_wins")
+        F.when((a["specificity"] > 0) & (b["specificity"] == 0), True)
+        .when((a["specificity"] == 0) & (b["specificity"] > 0), False)
+        .when((a["directness"] == 2) & (b["directness"] == 0), True)
+        .when((a["directness"] == 0) & (b["directness"] == 2), False)
+        .otherwise(a > b)
+    )
+
+
+def evidence_winner(affected: Column, unaffected: Column) -> Column:
+    """Which side's best assertion holds by :func:`outweighs`; review where neither does."""
+    a, b = affected["rank"], unaffected["rank"]
+    return (
+        F.when(affected.isNull() & unaffected.isNull(), F.lit(None))
+        .when(unaffected.isNull(), "affected_only")
+        .when(affected.isNull(), "unaffected_only")
+        .when(outweighs(a, b), "affected_wins")
+        .when(outweighs(b, a), "unaffected_wins")
         .otherwise("conflict_review")
     )
 

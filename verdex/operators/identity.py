@@ -44,8 +44,10 @@ def one_edit_pairs(words: DataFrame, word: str, least: int = 5) -> DataFrame:
 
 
 def name_score(a: Column, b: Column) -> Column:
-    """Similarity of two keys that are one slip apart: 0.88 and up to 0.12 for shared letters."""
-    return F.lit(0.88) + 0.06 * T.bigram_jaccard(a, b) + 0.06 * T.lcs_ratio(a, b)
+    """Similarity of two keys that are one slip apart: 0.88 and up to 0.12 for shared letters, less 0.07 where only one is ASCII."""
+    ascii_only = lambda c: c.rlike(r"^[\x00-\x7F]*$")
+    x, y = T.separator_key(a), T.separator_key(b)
+    return F.lit(0.88) + 0.06 * T.bigram_jaccard(x, y) + 0.06 * T.lcs_ratio(x, y) - F.when(ascii_only(a) != ascii_only(b), 0.07).otherwise(0.0)
 
 
 def with_margin(scored: DataFrame, keys: list[str], candidate: str, score: str = "score", margin: float = 0.025, band: float = 0.15, most: int = 256) -> DataFrame:

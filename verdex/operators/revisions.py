@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The row of each key that is greatest in ``order``; one hash aggregate, no sort of a key's rows."""
-    row = F.struct(*[F.col(c) for c in df.columns])
+def latest(df: DataFrame, keys: list[str], order: list[Column], wanted: list[str] | None = None) -> DataFrame:
+    """The row of each key that is greatest in ``order``, of the ``wanted`` columns (all by default).
+
+    One aggregate with partial maxima: a key's rows never meet in one task, and only the
+    wanted columns and the order are read.
+    """
+    wanted = wanted or df.columns
+    row = F.struct(*[F.col(c) for c in wanted])
     return df.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("row")).select("row.*")
 
 
@@ -56,10 +61,16 @@ def active_after(log: DataFrame, keys: list[str], at: Column, added: Column, rem
     return last.where(F.col("added_at").isNotNull() & (F.col("removed_at").isNull() | (F.col("added_at") > F.col("removed_at"))))
 
 
-def with_overrides(base: DataFrame, overrides: DataFrame, keys: list[str], trusted: Column) -> DataFrame:
-    """Trusted overrides, and of the base what no trusted override replaces."""
-    strong = overrides.where(trusted)
-    return strong.unionByName(base.join(strong.select(*keys).distinct(), keys, "left_anti"))
+def with_overrides(base: DataFrame, overrides: DataFrame, keys: list[str], trusted: Column, newest: list[Column] | None = None, present: Column | None = None) -> DataFrame:
+    """Trusted overrides, and of the base what no trusted override replaces.
+
+    With ``newest`` only the newest override of a key counts, so that a newer untrusted one
+    takes an older trusted one out. An override for which ``present`` is false replaces the
+    base with nothing.
+    """
+    strong = overrides.where(trusted) if newest is None else latest(overrides.withColumn("_trusted", trusted), keys, newest).where("_trusted").drop("_trusted")
+    shown = strong if present is None else strong.where(present)
+    return shown.unionByName(base.join(strong.select(*keys).distinct(), keys, "left_anti"))
 
 
 def shard_gaps(df: DataFrame, index: Column, shards: int) -> DataFrame:

@@ -49,7 +49,7 @@ def tri_text(c: Column) -> Column:
 
 @query("select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1")
 def latest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return revisions.latest(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type", "value")
+    return revisions.latest(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], ["user_id", "event_id", "event_type", "value"])
 
 
 @query("select sha256(text) as signature, min(doc_id) as first, count(*) as copies from documents group by 1")
@@ -105,12 +105,13 @@ def active_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions.active_after(log, ["user_id", "k"], F.struct("ts", "event_id"), kind.isin("signup", "purchase"), kind == "error").select("user_id", "k")
 
 
-@query("""with o as (select o_orderkey as k, 'override' as origin, o_totalprice as value from orders where o_orderpriority in ('1-URGENT', '2-HIGH'))
-  select * from o union all select l_orderkey, 'base', l_extendedprice from lineitem where not exists (select 1 from o where o.k = l_orderkey)""")
+@query("""with n as (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from orders), o as (select o_custkey as k, 'override' as origin, o_totalprice as value from n where r = 1 and o_orderpriority in ('1-URGENT', '2-HIGH'))
+  select k, origin, value from o where value > 50000 union all select c_custkey, 'base', c_acctbal from customer where not exists (select 1 from o where o.k = c_custkey)""")
 def override_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
-    over = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.lit("override").alias("origin"), F.col("o_totalprice").alias("value"), "o_orderpriority")
-    base = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.lit("base").alias("origin"), F.col("l_extendedprice").alias("value"), F.lit("").alias("o_orderpriority"))
-    return revisions.with_overrides(base, over, ["k"], F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("k", "origin", "value")
+    over = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.lit("override").alias("origin"), F.col("o_totalprice").alias("value"), "o_orderpriority", "o_orderdate", "o_orderkey")
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit("base").alias("origin"), F.col("c_acctbal").alias("value"), F.lit("").alias("o_orderpriority"), F.lit(None).cast(over.schema["o_orderdate"].dataType).alias("o_orderdate"), F.lit(0).cast("long").alias("o_orderkey"))
+    trusted = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    return revisions.with_overrides(base, over, ["k"], trusted, [F.col("o_orderdate"), F.col("o_orderkey")], F.col("value") > 50000).select("k", "origin", "value")
 
 
 @query("select cast(event_id % 7 as int) as shard, count(*) as n, min(event_id) as low, max(event_id) as high, count(*) = (max(event_id) - min(event_id)) // 7 + 1 as dense from events group by 1")
@@ -202,11 +203,37 @@ def version_range_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.join(ranges, "p_brand").select("p_partkey", "p_brand", tri_text(truth).alias("truth"))
 
 
-@query("""select p_partkey, case p_partkey % 7 when 0 then 'any' when 1 then 'exact' when 2 then 'scm' when 3 then 'date' when 4 then 'range' when 5 then 'prefix' else 'text' end as kind, 'Brand' as family from part""")
+_LETTERS = ("", "a", "m", "z", "za", "zb", "ab", "BA")
+
+
+@query(f"""with v as (select p_partkey, [p_size, p_partkey % 10, p_partkey % 7] || case p_partkey % 8 when 0 then [0] when 1 then [1] when 2 then [13] when 3 then [26] when 4 then [27] when 5 then [28] when 6 then [1, 2] else [2, 1] end as k from part)
+  select p_partkey, case when k < [25, 5, 0, 27] then -1 when k > [25, 5, 0, 27] then 1 else 0 end as compared from v""")
+def openssl_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters = F.element_at(F.array(*[F.lit(x) for x in _LETTERS]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", versions.compare(F.concat(_part_version(), letters), F.lit("25.5.0za"), "openssl").alias("compared"))
+
+
+_SUFFIXES = ("", "rc1", "-beta", "_p2", " Final", "x3.0", "-rc-1")
+
+
+@query("""with v as (select p_partkey, [p_size, p_partkey % 10] as k, case p_partkey % 7 when 0 then [0, 0] when 1 then [-10, 1] when 2 then [-30, 0] when 3 then [10, 2] when 4 then [0, 0] when 5 then [5, 3] else [-10, 1] end as s from part)
+  select p_partkey, case when k || s < [25, 5, -10, 1] then -1 when k || s > [25, 5, -10, 1] then 1 else 0 end as compared from v""")
+def fallback_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suffix = F.element_at(F.array(*[F.lit(x) for x in _SUFFIXES]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    version = F.concat(F.lit("v"), F.concat_ws(".", "p_size", F.col("p_partkey") % 10), suffix)
+    return table(spark, sf_dir, "part").select("p_partkey", versions.compare(version, F.lit("release 25_5 RC 1"), "dotted").alias("compared"))
+
+
+_KINDS = ("*", "-", "N/A", "All versions", ">= 1.2", "1.2.X", "20240131", "ab12cd34", "r1234", "1.2 beta", "1.2-beta", "")
+
+
+@query("""select p_partkey, ['any_token', 'not_applicable', 'not_applicable', 'all_token', 'range_expression', 'branch_wildcard', 'exact', 'source_control', 'source_control', 'opaque', 'exact', 'missing'][p_partkey % 12 + 1] as kind,
+  case p_partkey % 3 when 0 then case when p_size >= 3 then p_size || '.' || p_partkey % 10 else p_size || '.' || p_partkey % 10 || '.' || p_partkey % 7 end end as branch from part""")
 def version_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 7
-    text = F.when(k == 0, "*").when(k == 1, _part_version()).when(k == 2, F.lit("ab12cd34")).when(k == 3, "2024-01-31").when(k == 4, F.concat(F.lit(">= "), _part_version())).when(k == 5, F.concat(F.col("p_size"), F.lit(".x"))).otherwise("all builds")
-    return table(spark, sf_dir, "part").select("p_partkey", versions.version_kind(text).alias("kind"), F.regexp_extract("p_brand", "^([A-Za-z]+)", 1).alias("family"))
+    k = F.col("p_partkey")
+    text = F.element_at(F.array(*[F.lit(x) for x in _KINDS]), (k % 12 + 1).cast("int"))
+    profile = versions.profile_for(F.lit(""), F.when(k % 3 == 0, "openssl_toolkit").when(k % 3 == 1, "imagemagick").otherwise("other"), F.lit(False))
+    return table(spark, sf_dir, "part").select("p_partkey", versions.version_kind(text).alias("kind"), versions.branch_key(F.concat(_part_version(), F.lit("b")), profile).alias("branch"))
 
 
 @query("select series, count(*) as n from (select regexp_extract('release-' || concat_ws('.', p_size, p_partkey % 10, p_partkey % 7), '(\\d+\\.\\d+)(?:[.\\d]*)$', 1) as series from part) group by 1")
@@ -256,27 +283,76 @@ def default_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closed.groupBy("l_returnflag", tri_text(F.col("truth")).alias("truth")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_RESULTS = f"""select l_orderkey, source, case when y and n then 'conflict' when y then 'affected' when n then 'unaffected' when u then 'unknown' else 'out_of_range' end as result from
-  (select l_orderkey, source, coalesce(bool_or(holds and polarity = 'affected'), false) as y, coalesce(bool_or(holds and polarity = 'unaffected'), false) as n, coalesce(bool_or(holds is null or (holds and polarity = 'unknown')), false) as u from ({_ASSERTIONS}) group by 1, 2)"""
+@query("""with x as (select l_orderkey, l_linenumber, ['ANY', 'EXACT', 'SET', 'NOT_APPLICABLE', 'UNKNOWN'][l_partkey % 5 + 1] as stated, ['ANY', 'EXACT', 'NOT_APPLICABLE', 'UNKNOWN'][l_suppkey % 4 + 1] as asked, l_orderkey % 3 as value, case l_partkey % 5 when 1 then [l_partkey % 3] else [0, 2] end as held from lineitem),
+  t as (select *, case stated when 'ANY' then 'TRUE' when 'UNKNOWN' then 'UNKNOWN' when 'NOT_APPLICABLE' then case asked when 'NOT_APPLICABLE' then 'TRUE' when 'EXACT' then 'FALSE' else 'UNKNOWN' end
+    else case asked when 'EXACT' then case when list_contains(held, value) then 'TRUE' else 'FALSE' end when 'NOT_APPLICABLE' then 'FALSE' else 'UNKNOWN' end end as narrow from x)
+  select l_orderkey, l_linenumber, narrow, case when stated in ('EXACT', 'SET') and asked = 'ANY' then 'TRUE' else narrow end as wide from t""")
+def scope_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("l_partkey")
+    asked = F.element_at(F.array(*map(F.lit, ("ANY", "EXACT", "NOT_APPLICABLE", "UNKNOWN"))), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    stated = F.element_at(F.array(*map(F.lit, ("ANY", "EXACT", "SET", "NOT_APPLICABLE", "UNKNOWN"))), (p % 5 + 1).cast("int"))
+    held = F.when(p % 5 == 1, F.array((p % 3).cast("string"))).otherwise(F.array(F.lit("0"), F.lit("2")))
+    of = lambda broad: tri_text(applicability.scope_axis(asked, (F.col("l_orderkey") % 3).cast("string"), stated, held, broad))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", of(False).alias("narrow"), of(True).alias("wide"))
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as assertions about their orders."""
+    c, null = F.col, F.lit(None).cast("boolean")
+    at = lambda values, key, n: F.element_at(F.array(*map(F.lit, values)), (c(key) % n + 1).cast("int"))
+    version = F.when((c("l_linestatus") == "O") & (c("l_quantity") < 10), null).otherwise(c("l_quantity") > 25)
+    facts = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        at(("nvd_cpe", "cna_structured", "llm_description", "osv"), "l_suppkey", 4).alias("source_family"),
+        F.when(c("l_returnflag") == "A", "affected").when(c("l_returnflag") == "R", "unaffected").otherwise("unknown").alias("polarity"),
+        F.when(c("l_linenumber") == 7, False).when(c("l_linenumber") == 6, null).otherwise(True).alias("role"),
+        F.when(c("l_partkey") % 13 == 0, False).when(c("l_partkey") % 13 == 1, null).otherwise(True).alias("scope"),
+        (c("l_partkey") % 17 != 0).alias("configuration"), version.alias("version"),
+        F.when(version.isNull(), "version_unknown").when(version, "version_in_range").when(c("l_suppkey") % 5 == 0, "version_not_applicable").otherwise("version_out_of_range").alias("version_reason"),
+        F.when((c("l_orderkey") % 31 == 0) & (c("l_linenumber") == 1), "conflict_review").otherwise("none").alias("reconciliation"),
+        F.when(c("l_partkey") % 7 == 0, "potentially_affected").otherwise("affected").alias("max_result_state"), (c("l_suppkey") % 9 == 0).alias("identity_provisional"),
+    )
+    return facts.withColumn("predicate", tri.tri_and(c("role"), c("scope"), c("configuration"), c("version")))
 
 
-@query(_RESULTS)
-def source_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return applicability.source_results(_assertions(spark, sf_dir), ["l_orderkey"], "source", F.col("holds"), F.col("polarity"))
+_EVIDENCE = """select *, role and scope and configuration and version as predicate, case when version is null then 'version_unknown' when version then 'version_in_range' when l_suppkey % 5 = 0 then 'version_not_applicable' else 'version_out_of_range' end as version_reason from
+  (select l_orderkey, l_linenumber, l_partkey, l_suppkey, ['nvd_cpe', 'cna_structured', 'llm_description', 'osv'][l_suppkey % 4 + 1] as source_family, case l_returnflag when 'A' then 'affected' when 'R' then 'unaffected' else 'unknown' end as polarity,
+   case l_linenumber when 7 then false when 6 then null else true end as role, case l_partkey % 13 when 0 then false when 1 then null else true end as scope, l_partkey % 17 <> 0 as configuration,
+   case when l_linestatus = 'O' and l_quantity < 10 then null else l_quantity > 25 end as version, l_orderkey % 31 = 0 and l_linenumber = 1 as under_review, l_partkey % 7 = 0 as capped, l_suppkey % 9 = 0 as aliased from lineitem)"""
+_RESULTS = f"""select l_orderkey, source_family, case when bool_or(predicate is true and polarity = 'affected') and bool_or(predicate is true and polarity = 'unaffected') then 'conflict' when bool_or(predicate is true and polarity = 'affected') then 'affected'
+  when bool_or(predicate is true and polarity = 'unaffected') then 'unaffected' when bool_or(predicate is null and polarity <> 'unaffected') then 'unknown' when bool_and(version is false) then 'out_of_range' end as result
+  from ({_EVIDENCE}) where role is distinct from false and scope is distinct from false and configuration group by 1, 2"""
 
 
-@query(f"""with r as ({_RESULTS}), g as (select l_orderkey, bool_or(result = 'conflict') as c, bool_or(source = 'nvd' and result = 'affected') as py, bool_or(source = 'nvd' and result = 'unaffected') as pn,
-    bool_or(source = 'cna' and result = 'affected') as sy, bool_or(source = 'cna' and result = 'unaffected') as sn, bool_or(result = 'affected') as y, bool_or(result = 'unaffected') as n, bool_or(result = 'unknown') as u,
-    string_agg(distinct source || ':' || result, ',' order by source || ':' || result) as reasons from r group by 1)
-  select o_orderkey, case when o_orderstatus = 'P' then 'rejected' when reasons is null then 'no_applicability' when o_totalprice < 10000 then 'manual_review' when c or (py and sn) or (pn and sy) then 'conflict'
-    when py or sy then 'affected' when pn or sn then 'unaffected' when y then 'affected' when n then 'unaffected' when u then 'unknown' else 'not_in_range' end as state, coalesce(reasons, '') as reasons
-  from orders left join g on o_orderkey = l_orderkey""")
+@query(f"""select l_orderkey, source_family, result from (select distinct l_orderkey, source_family from ({_EVIDENCE})) left join ({_RESULTS}) using (l_orderkey, source_family)""")
+def source_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return applicability.source_results(_evidence(spark, sf_dir), ["l_orderkey"])
+
+
+@query(f"""with e as ({_EVIDENCE}), r as ({_RESULTS}),
+  s as (select o_orderkey, case when o_orderstatus = 'P' then 'rejected' when o_orderkey % 10 = 3 then 'unenriched' else 'enriched' end as enrichment, o_custkey % 6 = 0 as prov, ['prefer_latest_cpe', 'accept_added_range', null, null, null][o_custkey % 5 + 1] as action, 'basis_' || o_custkey % 3 as basis, n.result as nvd, c.result as cna
+    from orders left join r n on n.l_orderkey = o_orderkey and n.source_family = 'nvd_cpe' left join r c on c.l_orderkey = o_orderkey and c.source_family = 'cna_structured'),
+  f as (select *, coalesce(nvd in ('affected', 'unaffected', 'out_of_range'), false) as nd, coalesce(cna in ('affected', 'unaffected', 'out_of_range'), false) as cd from s),
+  k as (select f.o_orderkey, count(*) as n, count(*) filter (predicate is true and polarity = 'affected') as y, count(*) filter (predicate is true and polarity = 'unaffected') as x, count(*) filter (predicate is null and polarity <> 'unaffected') as u,
+      bool_or(capped or aliased) filter (predicate is true and polarity = 'affected') as weak, bool_or(aliased) filter (predicate is true and polarity = 'affected') as al, count(*) filter (scope is false or not configuration) as ruled, count(*) filter (version is false and scope is distinct from false and configuration) as ranged,
+      bool_and(version_reason = 'version_not_applicable') filter (version is false and scope is distinct from false and configuration) as na, list(distinct version_reason) filter (predicate is true and polarity = 'affected') as wy, list(distinct version_reason) filter (predicate is true and polarity = 'unaffected') as wx,
+      list(distinct version_reason) filter (predicate is null and polarity <> 'unaffected') as wu, list(distinct version_reason) filter (version is false and scope is distinct from false and configuration) as wr
+    from f join e on l_orderkey = o_orderkey where not ((nd or cd) and source_family = 'llm_description') group by 1),
+  v as (select f.*, k.*, (select bool_or(under_review and predicate is distinct from false) from e where l_orderkey = f.o_orderkey) as review, exists (select 1 from e where l_orderkey = f.o_orderkey) as present, nd and cd and (nvd = 'affected') <> (cna = 'affected') as odds from f left join k on k.o_orderkey = f.o_orderkey),
+  z as (select o_orderkey, case when enrichment = 'rejected' then ['insufficient_data', 'rejected_upstream'] when not present then ['product_only_observation', 'no_active_assertion'] when review then ['conflict_review', 'authoritative_source_conflict']
+    when nvd = 'conflict' or cna = 'conflict' then ['conflict_review', 'source_family_internal_conflict']
+    when odds and action = 'prefer_latest_cpe' then [case nvd when 'affected' then 'affected' when 'unaffected' then 'not_affected_asserted' else 'not_affected_out_of_range' end, 'history_latest_cpe_' || nvd, basis]
+    when odds and action = 'accept_added_range' then ['affected', 'history_added_range_accepted', basis] when odds then ['conflict_review', 'nvd_cna_result_conflict'] when y > 0 and x > 0 then ['conflict_review', 'active_polarity_conflict']
+    when x > 0 then ['not_affected_asserted'] || list_sort(wx) when y > 0 and (prov or weak) then ['potentially_affected'] || list_sort(wy || case when al then ['identity_alias_provisional'] else [] end) when y > 0 then ['affected'] || list_sort(wy) when u > 0 then ['potentially_affected'] || list_sort(wu)
+    when ranged > 0 and ranged + ruled = n then [case when na then 'not_applicable' else 'not_affected_out_of_range' end] || list_sort(wr) when ruled > 0 then ['not_applicable', 'scope_or_configuration_false'] when enrichment = 'unenriched' then ['insufficient_data', 'nvd_unenriched'] else ['product_only_observation', 'no_positive_assertion'] end as o from v)
+  select o_orderkey, o[1] as state, array_to_string(o[2:], '|') as reasons from z""")
 def state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = applicability.source_results(_assertions(spark, sf_dir), ["l_orderkey"], "source", F.col("holds"), F.col("polarity"))
-    subjects = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderstatus") == "P").alias("rejected"), (F.col("o_totalprice") < 10000).alias("review"))
-    joined = subjects.join(results, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    out = applicability.finalize(joined.withColumn("reason_source", F.col("source")), ["o_orderkey"], "source", "nvd", "cna", "rejected", "review")
-    return out.select("o_orderkey", "state", F.array_join(F.filter("reasons", lambda x: x != ""), ",").alias("reasons"))
+    k = F.col("o_custkey")
+    action = F.when(k % 5 == 0, "prefer_latest_cpe").when(k % 5 == 1, "accept_added_range")
+    enrichment = F.when(F.col("o_orderstatus") == "P", "rejected").when(F.col("o_orderkey") % 10 == 3, "unenriched").otherwise("enriched")
+    subjects = table(spark, sf_dir, "orders").select("o_orderkey", enrichment.alias("enrichment"), (k % 6 == 0).alias("provisional"), action.alias("history_action"), F.concat(F.lit("basis_"), k % 3).alias("history_basis"))
+    out = applicability.finalize(_evidence(spark, sf_dir).withColumnRenamed("l_orderkey", "o_orderkey"), subjects, ["o_orderkey"])
+    return out.select("o_orderkey", "state", F.array_join("reasons", "|").alias("reasons"))
 
 
 @query("select o_orderkey, state, n from (select l_orderkey as o_orderkey, case when bool_or(not holds) then 'FALSE' when count(holds) < count(*) then 'UNKNOWN' else 'TRUE' end as state, count(*) as n from (" + _ASSERTIONS + ") group by 1)")
@@ -284,19 +360,21 @@ def kleene_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assertions(spark, sf_dir).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(tri_text(tri.tri_all(F.col("holds"))).alias("state"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""with x as (select l_partkey, l_returnflag, row(l_linenumber, l_suppkey % 2, cast(l_quantity as int)) as rank, l_linenumber as sp, l_suppkey % 2 as di from lineitem),
-  b as (select l_partkey, max(rank) filter (l_returnflag = 'A') as a, max(rank) filter (l_returnflag = 'R') as u from x group by 1),
-  s as (select l_partkey, a, u, a[1] as a1, u[1] as u1, a[2] as a2, u[2] as u2 from b)
-  select l_partkey, case when a is null and u is null then null when u is null then 'affected_only' when a is null then 'unaffected_only' when a1 > u1 then 'affected_wins' when a1 < u1 then 'unaffected_wins'
-    when a2 > u2 then 'affected_wins' when a2 < u2 then 'unaffected_wins' when a > u then 'affected_wins' when a < u then 'unaffected_wins' else 'conflict_review' end as winner from s""")
+@query("""with x as (select l_partkey, l_returnflag, row([1, 3, 0, 2][l_suppkey % 4 + 1], [2, 2, 1, 2][l_suppkey % 4 + 1], least(l_linenumber - 1, 3), [0, 4, 3, 2][l_orderkey % 4 + 1], [2, 1, 0][l_partkey % 2 + l_suppkey % 2 + 1], l_orderkey % 3, least(cast(l_quantity as int) // 20, 2)) as rank from lineitem),
+  b as (select l_partkey, max(rank) filter (l_returnflag = 'A') as a, max(rank) filter (l_returnflag = 'R') as u from x group by 1)
+  select l_partkey, case when a is null and u is null then null when u is null then 'affected_only' when a is null then 'unaffected_only' when a[4] > 0 and u[4] = 0 then 'affected_wins' when a[4] = 0 and u[4] > 0 then 'unaffected_wins'
+    when a[5] = 2 and u[5] = 0 then 'affected_wins' when a[5] = 0 and u[5] = 2 then 'unaffected_wins' when a > u then 'affected_wins' when u > a then 'unaffected_wins' else 'conflict_review' end as winner from b""")
 def evidence_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", F.when(F.col("l_returnflag") == "A", "affected").when(F.col("l_returnflag") == "R", "unaffected").otherwise("unknown").alias("polarity"),
-        F.col("l_linenumber").alias("specificity"), (F.col("l_suppkey") % 2).alias("directness"), F.col("l_quantity").cast("int").alias("weight"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"),
+    c = F.col
+    at = lambda values, index: F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
+    rank = applicability.evidence_rank(
+        at(("nvd_cpe", "cna_structured", "llm_description", "osv"), c("l_suppkey") % 4), at(("UNSPECIFIED", "EXACT", "BOUNDED_RANGE", "UNBOUNDED_RANGE"), c("l_orderkey") % 4),
+        at(("DIRECT_UPSTREAM", "DIRECT_ALTERNATIVE_PRODUCT", "BUNDLED_COMPONENT"), c("l_partkey") % 2 + c("l_suppkey") % 2), c("l_linenumber").cast("int") - 1, (c("l_orderkey") % 3).cast("int"), (c("l_quantity").cast("int") / 20).cast("int"),
     )
-    rank = ["specificity", "directness", "weight"]
-    best = applicability.preferred(ranked, ["l_partkey"], "polarity", rank, "ordinal")
-    return best.select("l_partkey", applicability.evidence_winner(best, rank, "specificity", "directness").alias("winner"))
+    polarity = F.when(c("l_returnflag") == "A", "affected").when(c("l_returnflag") == "R", "unaffected").otherwise("unknown")
+    ranked = table(spark, sf_dir, "lineitem").select("l_partkey", polarity.alias("polarity"), rank.alias("rank"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("ordinal"))
+    best = applicability.preferred(ranked, ["l_partkey"], "polarity", "rank", "ordinal")
+    return best.select("l_partkey", applicability.evidence_winner(c("affected"), c("unaffected")).alias("winner"))
 
 
 @query("""select l_partkey, l_returnflag, l_linestatus, count(*) as assertions, count(distinct l_suppkey % 10) as sources from lineitem group by 1, 2, 3""")
@@ -376,7 +454,12 @@ def score_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.with_margin(both, ["a"], "b").select("a", "b", "score", "rank", "ambiguous")
 
 
-@query()
+@query("""with n as (select distinct p_name as name from part), v as (select name from n union select replace(upper(name), ' ', '-') from n union select replace(name, ' ', '') from n
+    union select name[2] || name[1] || name[3:] from n union select array_to_string(list_reverse(string_split(name, ' ')), ' ') from n),
+  q as (select name as query, trim(regexp_replace(lower(trim(name)), '[^a-z0-9_]+', '_', 'g'), '_') as k from v), c as (select name as entry, trim(regexp_replace(lower(trim(name)), '[^a-z0-9_]+', '_', 'g'), '_') as e from n),
+  s as (select query, entry, case when query = entry then 0 when k = e then 1 when replace(k, '_', '') = replace(e, '_', '') then 2 when list_sort(list_filter(string_split(k, '_'), lambda t: t <> '')) = list_sort(list_filter(string_split(e, '_'), lambda t: t <> '')) then 3
+    when length(k) >= 5 and length(e) >= 5 and abs(length(k) - length(e)) <= 1 and (levenshtein(k, e) = 1 or (length(k) = length(e) and damerau_levenshtein(k, e) = 1)) then 4 end as tier from q, c where abs(length(k) - length(e)) <= 3),
+  b as (select query, min(tier) as tier from s group by 1) select query, entry, tier from s join b using (query, tier)""")
 def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalogue = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
     slips = catalogue.select(F.concat(F.substring("name", 2, 1), F.substring("name", 1, 1), F.substring("name", 3, 100)).alias("name"))
@@ -384,7 +467,9 @@ def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.resolve(_spellings(spark, sf_dir).union(slips).union(turned), catalogue)
 
 
-@query()
+@query(f"""{_PAIRS.replace('with w', 'with recursive w')}, t as (select a, b, cast(length(a) % 3 + 1 as int) as tier from p), e as (select a, b, tier from t union select b, a, tier from t), starts as (select distinct a as node from p),
+  r(start, node, tier, length) as (select node, node, 0, 0 from starts union select r.start, e.b, greatest(r.tier, e.tier), r.length + 1 from r join e on e.a = r.node where r.length < 4),
+  o as (select *, row_number() over (partition by start, node order by tier, length) as k from r) select start, node, tier, length from o where k = 1""")
 def best_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = one_edit_pairs(spark, sf_dir).withColumn("tier", (F.char_length("a") % 3 + 1).cast("int"))
     return graph.best_paths(pairs, pairs.select(F.col("a").alias("node")).distinct(), 4)
@@ -639,14 +724,22 @@ def configuration_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return root.join(counts, "tree_id").select(F.split_part("tree_id", F.lit("#"), F.lit(1)).alias("cve_id"), tri_text(F.col("truth")).alias("truth"), "leaves")
 
 
-@query(f"""select {_CVE.format('user_id')} as cve_id, count(*) as changes, count(*) filter (event_type in ('error', 'signup')) as settled from events group by user_id""")
+_EVENT_NAMES = ("CVE Rejected", "CVE Unrejected", "CVE Deleted", "CVE Restored", "CVE Status Change", "Modified Analysis", "Not CVE Rejected")
+
+
+@query(f"""with x as (select *, event_id % 7 as k, event_id % 5 as d from events), t as (select *, case when k in (0, 2) then 'rejected' when k in (1, 3) then 'active' when k = 4 and d in (1, 2) then 'rejected' when k = 4 and d = 3 then 'active' end as terminal from x)
+  select {_CVE.format('user_id')} as cve_id, count(*) as changes, count(*) filter (terminal = 'rejected') as rejections, count(*) filter (terminal = 'active') as returns from t group by user_id""")
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    name = F.when(kind == "error", "CVE Rejected").when(kind == "signup", "CVE Unrejected").otherwise("Modified Analysis")
-    change = F.struct(_cve("user_id").alias("cveId"), name.alias("eventName"), F.col("event_id").cast("string").alias("cveChangeId"), F.col("ts").cast("string").alias("created"))
+    k = F.col("event_id")
+    name = F.element_at(F.array(*map(F.lit, _EVENT_NAMES)), (k % 7 + 1).cast("int"))
+    detail = lambda kind, value: F.struct(F.lit(kind).alias("type"), F.lit(value).alias("newValue"))
+    # The first status detail with a value decides, and only in a status change.
+    details = F.when(k % 5 == 1, F.array(detail("Reference", "Rejected"), detail("Vuln Status", " REJECTED "))).when(k % 5 == 2, F.array(detail("CVE Status", ""), detail("CVE Status", "Withdrawn"), detail("CVE Status", "Analyzed")))
+    details = details.when(k % 5 == 3, F.array(detail("Status", "Analyzed"), detail("Status", "Rejected"))).when(k % 5 == 4, F.array(detail("CPE", "Rejected"))).otherwise(F.array(detail("Status", "")))
+    change = F.struct(_cve("user_id").alias("cveId"), name.alias("eventName"), k.cast("string").alias("cveChangeId"), F.col("ts").cast("string").alias("created"), details.alias("details"))
     events = table(spark, sf_dir, "events").select(F.to_json(F.struct(change.alias("change"))).alias("value"))
     log = records.changes(events.union(events))
-    return log.groupBy("cve_id").agg(F.count(F.lit(1)).alias("changes"), F.count("terminal").alias("settled"))
+    return log.groupBy("cve_id").agg(F.count(F.lit(1)).alias("changes"), F.count_if(F.col("terminal") == "rejected").alias("rejections"), F.count_if(F.col("terminal") == "active").alias("returns"))
 
 
 @query("""select o_custkey as group_key, count(*) as size from orders group by 1""")

@@ -40,6 +40,12 @@ def records(found: DataFrame) -> DataFrame:
     )
 
 
+#: Statuses and events that take a record out, and events that bring it back.
+REJECTED_STATUSES = ("reject", "rejected", "withdrawn")
+REJECTING_EVENTS = ("cve rejected", "cve deleted", "cve withdrawn")
+RESTORING_EVENTS = ("cve unrejected", "cve restored")
+
+
 def timestamp_micros(text: Column) -> Column:
     """Microseconds of an ISO time; NULL where it is none. The session's zone is to be UTC."""
     return F.unix_micros(F.try_to_timestamp(text))
@@ -48,15 +54,18 @@ def timestamp_micros(text: Column) -> Column:
 def changes(found: DataFrame) -> DataFrame:
     """Change-log lines: one row a change id, with what they did to terminal state.
 
-    A change that names a rejection or its reversal settles the state by its event name;
-    else its first detail of a status change does.
+    A rejection, deletion or withdrawal, or its reversal, settles the state by its event
+    name; a status change does by its first detail of a status that has a new value; the
+    details of other events say nothing of it.
     """
     body = F.coalesce(F.get_json_object("value", "$.change"), F.col("value"))
     c = F.from_json(body, schemas.CHANGE)
     parsed = found.select(c.alias("change")).select("change.*").where("cveId is not null and cveChangeId is not null").dropDuplicates(["cveChangeId"])
-    name = F.lower("eventName")
-    status = F.get(F.filter("details", lambda d: F.lower(d["type"]).contains("status")), F.lit(0))["newValue"]
-    terminal = F.when(name.contains("unreject"), "active").when(name.contains("reject"), "rejected").when(F.lower(status) == "rejected", "rejected").when(status.isNotNull(), "active")
+    name = F.lower(F.trim("eventName"))
+    stated = F.filter("details", lambda d: F.lower(F.trim(d["type"])).contains("status") & (F.trim(F.coalesce(d["newValue"], F.lit(""))) != ""))
+    status = F.lower(F.trim(F.get(stated, F.lit(0))["newValue"]))
+    by_status = F.when(status.isin(*REJECTED_STATUSES), "rejected").when(status.isNotNull(), "active")
+    terminal = F.when(name.isin(*REJECTING_EVENTS), "rejected").when(name.isin(*RESTORING_EVENTS), "active").when(name == "cve status change", by_status)
     return parsed.select(F.upper("cveId").alias("cve_id"), F.col("cveChangeId").alias("change_id"), timestamp_micros(F.col("created")).alias("created_us"), "eventName", "details", terminal.alias("terminal"))
 
 
