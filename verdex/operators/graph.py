@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..plans.skew import hot_keys, salted_join
 from ..plans.staging import delete, fresh_dir
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of ``links(a, b)``; component is the smallest node reachable.
 
-    Every round takes the smallest label among a node's neighbours and then jumps
-    to the label's own label, so that chains shorten by powers. Labels go to the
-    shared folder after each round; no link ever reaches the driver. Links with a
-    null end or to themselves only yield their node.
+    In every round each node takes the least of its label, its neighbours' labels, its
+    label's label, and the least label that any node of its label meets; so chains shorten
+    by powers, whatever their order. A round is one write to the shared folder, which also
+    counts what changed; no link ever reaches the driver. Nodes with many links and labels
+    with many nodes are dealt to several tasks. Links with a null end or to themselves only
+    yield their node.
     """
     spark = links.sparkSession
     made: list[str] = []
@@ -26,22 +29,26 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     links = links.where("a is not null and b is not null").select("a", "b")
     both = keep(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    hubs = hot_keys(both, "b", both.count())
     labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")))
+    total = labels.count()
     for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
-        lower = labels.join(near, "node").select("node", F.least("component", "low").alias("mid"), F.col("component").alias("old"))
-        lower = keep(lower)
-        jump = lower.select(F.col("node").alias("mid"), F.col("mid").alias("far"))
-        new = keep(lower.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("component"), "old"))
-        if new.where("component <> old").isEmpty():
-            break
-        labels = new.select("node", "component")
+        met = salted_join(both, labels.select(F.col("node").alias("b"), F.col("component").alias("near")), "b", hubs, F.col("a"))
+        seen = labels.join(met.groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near")), "node")
+        hooks = seen.groupBy(F.col("component").alias("_label")).agg(F.min("near").alias("hook"))
+        roots = labels.select(F.col("node").alias("_label"), F.col("component").alias("far")).join(hooks, "_label")
+        roots = roots.select(F.col("_label").alias("component"), F.least("far", "hook").alias("jump"))
+        moved = salted_join(seen, roots, "component", hot_keys(labels, "component", total), F.col("node"))
+        changes = Observation()
+        least = F.least("component", "near", "jump")
+        new = moved.select("node", least.alias("component"), (least != F.col("component")).alias("moved")).observe(changes, F.count_if("moved").alias("n"))
+        labels = keep(new.drop("moved"))
         for path in made[1:-1]:
             delete(spark, path)
-        made[1:-1] = []
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return new.select("node", "component")
+        del made[1:-1]
+        if not total or not changes.get["n"]:
+            return labels
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def best_paths(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
