@@ -159,6 +159,40 @@ def compare(a: Column, b: Column, profile: str = "dotted") -> Column:
     return F.when(strict, _sign(x, y)).otherwise(_sign(u, v))
 
 
+@F.pandas_udf(ArrayType(ArrayType(LongType())))
+def _all_keys(values: pd.Series, profiles: pd.Series) -> pd.Series:
+    def keys(texts, profile):
+        if texts is None or profile is None:
+            return None
+        parse = _PARSERS.get(profile)
+        strict = [None if t is None else parse(t.strip()) for t in texts] if parse else []
+        if not strict or any(k is None and t is not None for k, t in zip(strict, texts)):
+            strict = [None if t is None else _total(t) for t in texts]
+        return [_bounded(k) for k in strict]
+
+    return pd.Series([keys(t, p) for t, p in zip(values, profiles)], dtype=object)
+
+
+def point_keys(values: Column, profile: Column) -> Column:
+    """Sort keys of an array of versions that are to be compared with each other; NULL for NULL ones.
+
+    All are of the row's profile if each has its form, else all are of the order that takes
+    any text. Python sees only arrays that no JVM-side profile decides.
+    """
+    native = F.lit(None).cast("array<array<bigint>>")
+    for name, of in _NATIVE.items():
+        native = F.when(profile == name, F.transform(values, of)).otherwise(native)
+    decided = native.isNotNull() & ~F.exists(F.arrays_zip(values.alias("v"), native.alias("k")), lambda x: x["v"].isNotNull() & x["k"].isNull())
+    decided = F.coalesce(decided, F.lit(False))
+    return F.when(decided, native).otherwise(_all_keys(F.when(~decided, values), F.when(~decided, profile)))
+
+
+def compare_by(a: Column, b: Column, profile: Column) -> Column:
+    """-1, 0 or 1 under each row's own profile; NULL where either is."""
+    keys = point_keys(F.array(a, b), F.when(a.isNotNull() & b.isNotNull(), profile))
+    return _sign(F.get(keys, F.lit(0)), F.get(keys, F.lit(1)))
+
+
 def _sign(x: Column, y: Column) -> Column:
     return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import tri, urls, versions
-from .operators import applicability, audit, evaluate, graph, identity, intervals, mapping, replay, revisions
+from .operators import answer, applicability, audit, conflicts, evaluate, graph, identity, intervals, mapping, ranges, replay, revisions
 from .plans.staging import staged
 from .sources import records
 
@@ -396,6 +396,187 @@ def graph_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applicability.evaluate_tree(nation.unionByName(root), leaves, 1).select(F.col("tree_id").alias("region"), tri_text(F.col("truth")).alias("truth"))
 
 
+# -- ranges, conflicts, answers ------------------------------------------------------------------------------------------
+
+
+def _text(c: Column) -> Column:
+    return c.cast("string")
+
+
+@query("""with x as (select l_orderkey, l_linenumber, cast(l_quantity as int) as q, cast(l_partkey % 50 as int) as p, (l_orderkey + l_linenumber) % 8 as k from lineitem)
+  select l_orderkey, l_linenumber, case k when 6 then 'UNPARSED' when 7 then 'EXPLICIT_ALL' when 5 then 'BRANCH_RANGE' when 1 then 'UNBOUNDED_RANGE' when 4 then 'UNBOUNDED_RANGE' else 'BOUNDED_RANGE' end as version_class,
+    case k when 0 then q || '.0' when 2 then cast(q as varchar) when 3 then cast(q as varchar) end as lower, case k when 0 then true when 2 then true when 3 then false end as lower_inclusive,
+    case k when 0 then (q + p) || '.0' when 1 then cast(q as varchar) when 2 then cast(q + p as varchar) when 3 then cast(q + 5 as varchar) when 4 then cast(least(p, q) as varchar) end as upper,
+    case k when 0 then false when 1 then true when 2 then false when 3 then false when 4 then p < q end as upper_inclusive, case when k = 5 then q || '.x' end as exact, case when k = 6 then 'invalid_comparator_expression' end as error from x""")
+def compile_stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, p, k = F.col("l_quantity").cast("int"), (F.col("l_partkey") % 50).cast("int"), (F.col("l_orderkey") + F.col("l_linenumber")) % 8
+    version = F.when(k == 0, F.concat(q, F.lit(".0"))).when(k == 1, "0").when(k == 2, F.concat(F.lit(">= "), q, F.lit(" , < "), q + p)).when(k == 3, F.concat(F.lit(">"), q)).when(k == 4, F.concat(F.lit("<"), q)).when(k == 5, F.concat(q, F.lit(".x"))).when(k == 6, F.concat(F.lit("== "), q)).otherwise("All")
+    below = F.when(k == 0, F.concat(q + p, F.lit(".0"))).when(k == 3, F.concat(F.lit("< "), q + 5))
+    upto = F.when(k == 1, _text(q)).when(k == 4, F.concat(F.lit("<="), p))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", version.alias("v"), below.alias("below"), upto.alias("upto"))
+    found = ranges.compile_stated(lines, F.col("v"), F.col("below"), F.col("upto"), F.lit(None).cast("string"), F.lit("tool"))
+    return found.select("l_orderkey", "l_linenumber", *[f"segment.{c}" for c in ("version_class", "lower", "lower_inclusive", "upper", "upper_inclusive", "exact", "error")])
+
+
+@query("""with x as (select l_orderkey, l_linenumber, cast(l_quantity as int) as q, cast(l_partkey % 50 as int) as p, (l_orderkey + l_linenumber) % 6 as k from lineitem)
+  select l_orderkey, l_linenumber, ['CPE_ANY_UNCORROBORATED', 'NOT_APPLICABLE', 'EXACT', 'BOUNDED_RANGE', 'UNBOUNDED_RANGE', 'UNSPECIFIED'][k + 1] as version_class, case when k = 3 then cast(q as varchar) end as lower, case when k = 3 then true end as lower_inclusive,
+    case k when 3 then cast(q + p as varchar) when 4 then cast(q as varchar) end as upper, case k when 3 then false when 4 then true end as upper_inclusive, case when k = 2 then q || '.' || p end as exact, case when k in (1, 2, 3) then 'bounded' else 'unbounded' end as breadth from x""")
+def compile_cpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, p, k = F.col("l_quantity").cast("int"), (F.col("l_partkey") % 50).cast("int"), (F.col("l_orderkey") + F.col("l_linenumber")) % 6
+    name = F.when(k == 1, "-").when(k == 2, F.concat_ws(".", q, p)).when(k == 5, "").otherwise("*")
+    none = F.lit(None).cast("string")
+    segment = ranges.compile_cpe(name, F.when(k == 3, _text(q)), none, F.when(k == 4, _text(q)), F.when(k == 3, _text(q + p)), F.lit("tool"))
+    found = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", segment.alias("s"))
+    return found.select("l_orderkey", "l_linenumber", *[f"s.{c}" for c in ("version_class", "lower", "lower_inclusive", "upper", "upper_inclusive", "exact", "breadth")])
+
+
+@query("""with x as (select l_orderkey, l_linenumber, l_linenumber as a, cast(l_quantity as int) + 10 as u, l_linenumber + l_partkey % 3 as c1, l_linenumber + 20 as c2 from lineitem),
+  t as (select *, list_filter([{'at': c1, 'st': 'unaffected'}, {'at': c2, 'st': 'affected'}], lambda z: z['at'] < u and z['at'] > a) as k, case when c1 = a then 'unaffected' else 'affected' end as s0 from x),
+  w as (select l_orderkey, l_linenumber, [a] || list_transform(k, lambda z: z['at']) as lo, list_transform(k, lambda z: z['at']) || [u] as hi, [s0] || list_transform(k, lambda z: z['st']) as st from t)
+  select l_orderkey, l_linenumber, unnest(st) as status, cast(unnest(lo) as varchar) as lower, cast(unnest(hi) as varchar) as upper from w""")
+def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, empty = F.col("l_linenumber"), F.lit(None).cast("string")
+    steps = F.array(F.struct(_text(n + F.col("l_partkey") % 3).alias("at"), F.lit("unaffected").alias("status")), F.struct(_text(n + 20).alias("at"), F.lit("Affected").alias("status")))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _text(n).alias("v"), _text(F.col("l_quantity").cast("int") + 10).alias("below"), steps.alias("steps"))
+    found = ranges.compile_stated(lines, F.col("v"), F.col("below"), empty, empty, F.lit("tool"), F.col("steps.at"))
+    split = ranges.with_changes(found, F.col("segment"), F.lit("affected"), F.col("steps"))
+    return split.select("l_orderkey", "l_linenumber", F.explode("pieces").alias("x")).select("l_orderkey", "l_linenumber", "x.status", "x.lower", "x.upper")
+
+
+def _open_ranges(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
+    """Lines as ranges of versions: some without an end, ends open or closed."""
+    lo, hi = F.col("l_linenumber") * 5, F.col("l_linenumber") * 5 + 1 + F.col("l_quantity").cast("int") % 12
+    low_text, high_text = F.when(F.col("l_suppkey") % 7 > 0, _text(lo)), F.when(F.col("l_suppkey") % 11 > 0, _text(hi))
+    key = lambda c: F.when(c.isNotNull(), versions.dotted_key(c))
+    lower, upper = ranges.lower_end(key(low_text), F.col("l_suppkey") % 2 == 0), ranges.upper_end(key(high_text), F.col("l_suppkey") % 3 == 0)
+    return table(spark, sf_dir, "lineitem").select(*keys, "l_returnflag", lower.alias("lower"), upper.alias("upper"), low_text.alias("lower_text"), high_text.alias("upper_text"))
+
+
+_OPEN_RANGES = """select *, case when l_suppkey % 7 > 0 then 2 * 5 * l_linenumber + l_suppkey % 2 else -1000000 end as lo, case when l_suppkey % 11 > 0 then 2 * (l_linenumber * 5 + 1 + cast(l_quantity as int) % 12) - case when l_suppkey % 3 = 0 then 0 else 1 end else 1000000 end as hi from lineitem"""
+
+
+def _merged_open(keys: str, source: str) -> str:
+    """Ends as whole numbers: twice the version, an open end one inside; ranges one apart touch."""
+    return f"""select {keys}, min(lo) as lo, max(hi) as hi, count(*) as parts from (select *, sum(fresh) over (partition by {keys} order by lo, hi rows unbounded preceding) as island from
+      (select *, case when max(hi) over w is null or lo > max(hi) over w + 1 then 1 else 0 end as fresh from {source} window w as (partition by {keys} order by lo, hi rows between unbounded preceding and 1 preceding))) group by {keys}, island"""
+
+
+def _relation_sql(keys: str, left: str, right: str) -> str:
+    return f"""select {keys}, case when na = ia and nb = ib then 'equal' when na = ia then 'right_broader' when nb = ib then 'left_broader' when meet then 'partial_overlap' else 'disjoint' end as relation from
+      (select {keys}, count(distinct (a.lo, a.hi)) as na, count(distinct (b.lo, b.hi)) as nb, count(distinct (a.lo, a.hi)) filter (b.lo <= a.lo and b.hi >= a.hi) as ia, count(distinct (b.lo, b.hi)) filter (a.lo <= b.lo and a.hi >= b.hi) as ib,
+        bool_or(greatest(a.lo, b.lo) <= case when a.lo <= b.lo then a.hi else b.hi end + 1) as meet from {left} a join {right} b using ({keys}) group by {keys})"""
+
+
+@query(f"with r as ({_OPEN_RANGES}), m as ({_merged_open('l_partkey', 'r')}) select l_partkey, count(*) as ranges, count(*) filter (lo = -1000000) as open_below, count(*) filter (hi = 1000000) as open_above, cast(max(parts) as bigint) as most_parts from m group by 1")
+def range_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = ranges.merge_ranges(_open_ranges(spark, sf_dir, ["l_partkey"]), ["l_partkey"])
+    return merged.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("ranges"), F.count_if(F.col("lower.rank") == 0).alias("open_below"), F.count_if(F.col("upper.rank") == 2).alias("open_above"), F.max("parts").alias("most_parts"))
+
+
+@query(f"with r as ({_OPEN_RANGES}), x as (select * from r where l_returnflag = 'A'), y as (select * from r where l_returnflag = 'R'), a as ({_merged_open('l_partkey', 'x')}), b as ({_merged_open('l_partkey', 'y')}) {_relation_sql('l_partkey', 'a', 'b')}")
+def range_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _open_ranges(spark, sf_dir, ["l_partkey"])
+    return ranges.range_relation(r.where("l_returnflag = 'A'"), r.where("l_returnflag = 'R'"), ["l_partkey"])
+
+
+_VENDORS = ("acme", "acme_inc", "bolt_labs", "cargo")
+_PRODUCTS = ("tool", "tool_suite", "open_tool", "gear")
+
+
+def _at(values: tuple, index: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
+
+
+def _conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    named = _open_ranges(spark, sf_dir, keys).withColumn("vendor", _at(_VENDORS, F.col("l_suppkey") % 4)).withColumn("product", _at(_PRODUCTS, F.col("l_partkey") % 4))
+    mine = named.where("l_returnflag <> 'R'").withColumn("item", F.concat_ws(":", "vendor", "product"))
+    theirs = named.where("l_returnflag = 'R'").withColumn("blocker", F.when(F.col("l_quantity") > 48, "unsupported_version_token"))
+    theirs = theirs.select("l_orderkey", "vendor", "product", "blocker", *[F.when(F.col("blocker").isNull(), F.col(c)).alias(c) for c in ("lower", "upper", "lower_text", "upper_text")])
+    blocked = F.max(F.when(F.col("l_quantity") < 3, "unparsed_expression"))
+    stated = mine.groupBy("l_orderkey", "item", "vendor", "product").agg(F.bool_or(F.col("l_linenumber") == 7).alias("inverted"), blocked.alias("blocker"))
+    matches = conflicts.identity_matches(stated, theirs.select("l_orderkey", "vendor", "product").distinct(), "l_orderkey")
+    return conflicts.pair_verdicts(stated, mine.where("l_quantity >= 3").select("l_orderkey", "item", "lower", "upper", "lower_text", "upper_text"), theirs, matches, "l_orderkey")
+
+
+_CONFLICTS = f"""n as (select *, ['acme', 'acme_inc', 'bolt_labs', 'cargo'][l_suppkey % 4 + 1] as v, ['tool', 'tool_suite', 'open_tool', 'gear'][l_partkey % 4 + 1] as p, list_filter([['acme'], ['acme'], ['bolt'], ['cargo']][l_suppkey % 4 + 1] || [['tool'], ['tool', 'suite'], ['tool'], ['gear']][l_partkey % 4 + 1], lambda z: true) as w from ({_OPEN_RANGES})),
+  c as (select l_orderkey, v || ':' || p as item, v, p, any_value(w) as w, bool_or(l_linenumber = 7) as inverted, bool_or(l_quantity < 3) as blocked from n where l_returnflag <> 'R' group by 1, 2, 3, 4), t as (select *, l_quantity > 48 as bad from n where l_returnflag = 'R'),
+  h as (select distinct c.l_orderkey, c.item, t.v as tv, t.p as tp, case when c.v = t.v and c.p = t.p then 0 when c.p = t.p then 1 when c.v = t.v then 2 when len(list_intersect(c.w, t.w)) in (len(c.w), len(t.w)) then 3 end as lv from c join t using (l_orderkey)),
+  e as (select * from (select *, min(lv) over (partition by l_orderkey, item) as best from h where lv is not null) where lv = best),
+  lr as (select l_orderkey, v || ':' || p as item, lo, hi from n where l_returnflag <> 'R' and l_quantity >= 3), rr as (select e.l_orderkey, e.item, t.lo, t.hi, t.bad from e join t on t.l_orderkey = e.l_orderkey and t.v = e.tv and t.p = e.tp), good as (select * from rr where not bad),
+  ma as ({_merged_open('l_orderkey, item', 'lr')}), mb as ({_merged_open('l_orderkey, item', 'good')}), rel as ({_relation_sql('l_orderkey, item', 'ma', 'mb')}),
+  pv as (select l_orderkey, item, ['exact', 'product_only', 'vendor_only', 'loose', 'none'][coalesce(lv, 4) + 1] as level, case when lv is null then null when inverted then 'cna_inverted_default_status' when blocked then 'cna_unparsed_expression' when not exists (select 1 from lr where lr.l_orderkey = c.l_orderkey and lr.item = c.item) then 'cna_no_affected_versions'
+      when exists (select 1 from rr where rr.l_orderkey = c.l_orderkey and rr.item = c.item and bad) then 'cpe_unsupported_version_token' end as undecidable, case relation when 'left_broader' then 'cna_broader' when 'right_broader' then 'cpe_broader' else relation end as relation
+    from c left join (select distinct l_orderkey, item, lv from e) using (l_orderkey, item) left join rel using (l_orderkey, item)),
+  pairs as (select l_orderkey, item, level, case when level = 'none' then null when undecidable is not null then 'undecidable' else relation end as verdict, undecidable from pv)"""
+
+
+@query(f"with {_CONFLICTS} select l_orderkey, item, level, verdict, undecidable from pairs")
+def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _conflict_pairs(spark, sf_dir)
+
+
+@query(f"""with {_CONFLICTS}, g as (select l_orderkey, max(list_position(['exact', 'product_only', 'vendor_only', 'loose', 'none'], level)) as lv, bool_or(level in ('product_only', 'loose', 'none')) as vc, bool_or(level in ('vendor_only', 'loose', 'none')) as pc,
+    min(list_position(['scheme_mismatch', 'disjoint', 'partial_overlap', 'cna_broader', 'cpe_broader', 'equal'], verdict)) filter (verdict <> 'undecidable') as vd, bool_or(undecidable is not null) as undecidable from pairs group by 1)
+  select l_orderkey, ['exact', 'product_only', 'vendor_only', 'loose', 'none'][lv] as level, case when vc and pc then 'vendor_and_product' when vc then 'vendor_only' when pc then 'product_only' else 'none' end as identity_conflict,
+    ['scheme_mismatch', 'disjoint', 'partial_overlap', 'cna_broader', 'cpe_broader', 'equal'][vd] as verdict, coalesce(vd < 6, false) as version_conflict, coalesce(vd < 4, false) as hard_conflict, undecidable from g""")
+def conflict_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conflicts.record_summary(_conflict_pairs(spark, sf_dir), "l_orderkey")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as stored assertions about their parts."""
+    c, empty = F.col, F.lit(None).cast("string")
+    q, k = c("l_quantity").cast("int"), (c("l_orderkey") + c("l_linenumber")) % 5
+    openssl = c("l_partkey") % 4 == 0
+    number = lambda n: F.when(openssl, F.concat_ws(".", F.lit("1"), c("l_suppkey") % 3, n)).otherwise(_text(n))
+    version = F.when(k == 0, number(q)).when(k == 1, number(c("l_linenumber"))).when(k == 2, "0").when(k == 3, "*").otherwise(F.lit("n/a"))
+    below = F.when(k == 1, number(c("l_linenumber") + q)).when(k == 2, number(q))
+    axis = F.when(c("l_suppkey") % 5 == 0, "SET").when(c("l_suppkey") % 5 == 1, "UNKNOWN").otherwise("ANY")
+    role = _at(("DIRECT_UPSTREAM", "DOWNSTREAM_PACKAGE", "UNRESOLVED", "REQUIRED_PLATFORM"), F.when(c("l_linenumber") < 6, c("l_linenumber") % 2).otherwise(c("l_linenumber") - 4))
+    lines = table(spark, sf_dir, "lineitem").select(
+        c("l_partkey").alias("product"), (c("l_orderkey") % 4).alias("subject"), _text(c("l_suppkey") % 2).alias("claim_group"), (c("l_linenumber") == 3).alias("is_default"), version.alias("v"), below.alias("below"), F.when(openssl, "openssl").otherwise("tool").alias("name"),
+        F.when(c("l_orderkey") % 2 == 0, "complete").otherwise("partial").alias("branch_coverage"), role.alias("cpe_match_role"), (c("l_partkey") % 17 != 0).alias("configuration"), axis.alias("part_state"), F.array(F.lit("a"), F.lit("o")).alias("part_values"),
+        _at(("nvd_cpe", "cna_structured", "llm_description", "osv"), c("l_suppkey") % 4).alias("source_family"), F.when(c("l_returnflag") == "A", "affected").when(c("l_returnflag") == "R", "unaffected").otherwise("unknown").alias("polarity"),
+        F.lit("none").alias("reconciliation"), F.lit("affected").alias("max_result_state"), (c("l_suppkey") % 9 == 0).alias("identity_provisional"),
+    )
+    return ranges.compile_stated(lines, c("v"), c("below"), empty, empty, c("name"))
+
+
+@query("""with x as (select l_partkey as product, l_orderkey % 4 as subject, l_suppkey % 2 as grp, l_linenumber = 3 as isd, cast(l_quantity as int) as q, l_linenumber as ln, (l_orderkey + l_linenumber) % 5 as k, l_partkey % 4 = 0 as ssl, l_suppkey % 3 as br, l_orderkey % 2 = 0 as complete, l_suppkey % 4 as src, l_returnflag as pol,
+    case when l_linenumber = 6 then null when l_linenumber = 7 then false else true end as role, l_partkey % 17 <> 0 as conf, l_suppkey % 5 as ax, l_suppkey % 9 = 0 as prov from lineitem),
+  b as (select *, case when ssl and k in (0, 1, 2) then case k when 2 then br * 1000 + q when 0 then br * 1000 + q else br * 1000 + ln end end as bkey from x),
+  s as (select *, min('1.' || br || '.' || (bkey - br * 1000)) over g as fb, max('1.' || br || '.' || (bkey - br * 1000)) over g as lb, case when bkey is not null then '1.' || br || '.' || (bkey - br * 1000) end as sb from b window g as (partition by product, subject, grp)),
+  r as (select o_orderkey as request, o_custkey as product, cast(floor(o_totalprice) as bigint) % 50 as rq, o_custkey % 3 as rb, ['EXACT', 'ANY', 'NOT_APPLICABLE'][o_orderkey % 3 + 1] as st, case when o_orderkey % 2 = 0 then 'o' else 'h' end as val from orders),
+  m as (select *, case when ssl then '1.' || rb || '.' || rq end as mb from r join s using (product)),
+  v as (select *, case when k = 3 then 'T explicit_all' when k = 4 then 'F version_not_applicable' when k = 0 then case when rq = q and (not ssl or rb = br) then 'T exact_match' else 'F exact_mismatch' end
+      when ssl and mb <> sb and mb < fb and not complete then 'U branch_below_coverage' when ssl and mb <> sb and not (mb < fb) and not (mb > lb and sb = lb) and not complete then 'U branch_lateral_uncovered' when ssl and mb <> sb and not (mb < fb) and not (mb > lb and sb = lb) then 'F branch_outside_complete_coverage'
+      when k = 1 and (case when ssl then rb * 1000 else 0 end) + rq < (case when ssl then br * 1000 else 0 end) + ln then 'F lower_bound_not_met' when k = 1 and (case when ssl then rb * 1000 else 0 end) + rq >= (case when ssl then br * 1000 else 0 end) + ln + q then 'F upper_bound_exceeded'
+      when k = 2 and (case when ssl then rb * 1000 else 0 end) + rq >= (case when ssl then br * 1000 else 0 end) + q then 'F upper_bound_exceeded' else 'T range_match' end as ver,
+    case when ax = 0 then case st when 'EXACT' then val = 'o' when 'NOT_APPLICABLE' then false end when ax = 1 then null else true end as scope from m),
+  w as (select *, case ver[1] when 'T' then true when 'F' then false end as vt, ver[3:] as why from v), z as (select *, role and scope and conf and vt as pred from w),
+  d as (select *, bool_or(pred is true) filter (not isd) over g as answered, bool_or(pred is null) filter (not isd) over g as opened from z window g as (partition by request, subject, grp)),
+  f as (select request, subject, src, pol, role, scope, conf, vt, prov, case when isd and pred and coalesce(opened, false) then null else pred end as pred, case when isd and pred and coalesce(opened, false) then 'explicit_coverage_unknown' else why end as why from d where not (isd and coalesce(answered, false))),
+  sr as (select request, subject, src, case when bool_or(pred is true and pol = 'A') and bool_or(pred is true and pol = 'R') then 'conflict' when bool_or(pred is true and pol = 'A') then 'affected' when bool_or(pred is true and pol = 'R') then 'unaffected' when bool_or(pred is null and pol <> 'R') then 'unknown' when bool_and(vt is false) then 'out_of_range' end as res
+    from f where role is distinct from false and scope is distinct from false and conf group by 1, 2, 3),
+  u as (select q.request, q.subject, n.res as nvd, c.res as cna, coalesce(n.res in ('affected', 'unaffected', 'out_of_range'), false) as nd, coalesce(c.res in ('affected', 'unaffected', 'out_of_range'), false) as cd, exists (select 1 from f where f.request = q.request and f.subject = q.subject) as present
+    from (select distinct request, subject from z) q left join sr n on n.request = q.request and n.subject = q.subject and n.src = 0 left join sr c on c.request = q.request and c.subject = q.subject and c.src = 1),
+  a as (select f.request, f.subject, count(*) as n, count(*) filter (pred is true and pol = 'A') as y, count(*) filter (pred is true and pol = 'R') as x, count(*) filter (pred is null and pol <> 'R') as o, bool_or(prov) filter (pred is true and pol = 'A') as weak, count(*) filter (scope is false or not conf) as ruled, count(*) filter (vt is false and scope is distinct from false and conf) as ranged,
+      bool_and(why = 'version_not_applicable') filter (vt is false and scope is distinct from false and conf) as na, list(distinct why) filter (pred is true and pol = 'A') as wy, list(distinct why) filter (pred is true and pol = 'R') as wx, list(distinct why) filter (pred is null and pol <> 'R') as wo, list(distinct why) filter (vt is false and scope is distinct from false and conf) as wr
+    from f join u on u.request = f.request and u.subject = f.subject where not ((nd or cd) and src = 2) group by 1, 2),
+  e as (select u.request, u.subject, case when not present then ['product_only_observation', 'no_active_assertion'] when nvd = 'conflict' or cna = 'conflict' then ['conflict_review', 'source_family_internal_conflict'] when nd and cd and (nvd = 'affected') <> (cna = 'affected') then ['conflict_review', 'nvd_cna_result_conflict'] when y > 0 and x > 0 then ['conflict_review', 'active_polarity_conflict']
+      when x > 0 then ['not_affected_asserted'] || list_sort(wx) when y > 0 and weak then ['potentially_affected'] || list_sort(wy || ['identity_alias_provisional']) when y > 0 then ['affected'] || list_sort(wy) when o > 0 then ['potentially_affected'] || list_sort(wo)
+      when ranged > 0 and ranged + ruled = n then [case when na then 'not_applicable' else 'not_affected_out_of_range' end] || list_sort(wr) when ruled > 0 then ['not_applicable', 'scope_or_configuration_false'] when u.subject = 3 then ['insufficient_data', 'nvd_unenriched'] else ['product_only_observation', 'no_positive_assertion'] end as out from u left join a on a.request = u.request and a.subject = u.subject)
+  select request, subject, out[1] as state, array_to_string(out[2:], '|') as reasons from e""")
+def applicability_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = staged(_stored(spark, sf_dir), "assertions")
+    c = F.col
+    asked = F.when(c("o_custkey") % 4 == 0, F.concat_ws(".", F.lit("1"), c("o_custkey") % 3, c("o_totalprice").cast("long") % 50)).otherwise(_text(c("o_totalprice").cast("long") % 50))
+    requests = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("request"), c("o_custkey").alias("product"), asked.alias("version"), _at(("EXACT", "ANY", "NOT_APPLICABLE"), c("o_orderkey") % 3).alias("part_state"), F.when(c("o_orderkey") % 2 == 0, "o").otherwise("h").alias("part_value"))
+    subjects = spark.range(4).select(c("id").alias("subject"), F.when(c("id") == 3, "unenriched").otherwise("enriched").alias("enrichment"), F.lit(False).alias("provisional"), F.lit(None).cast("string").alias("history_action"), F.lit(None).cast("string").alias("history_basis"))
+    return answer.answers(requests, stored, subjects, ["part"]).select("request", "subject", "state", F.array_join("reasons", "|").alias("reasons"))
+
+
 # -- names and graphs --------------------------------------------------------------------------------------------------
 
 
