@@ -8,12 +8,12 @@ from collections.abc import Iterable, Iterator
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import fresh_dir, staged
 
-__all__ = ["bound_batches", "fresh_dir", "local_path", "replace_file", "rows", "staged", "table", "whole_texts"]
+__all__ = ["bound_batches", "columns", "fresh_dir", "library_threads", "local_path", "prefix_sums", "replace_file", "rows", "staged", "table", "whole_texts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,40 @@ def whole_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def library_threads(on: bool) -> None:
+    """Whether calls of the tokenizers library use its threads from here on; it reads this at each call, and workers are reused."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "true" if on else "false"
+
+
+def columns(batches: Iterator[pa.RecordBatch], *names: str, least_bytes: int = 6 << 20) -> Iterator[tuple[pa.Array, ...]]:
+    """Columns of batches that have rows, of ``least_bytes`` together where so many follow."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch.select(list(names)))
+            size += held[-1].nbytes
+        if size >= least_bytes:
+            yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in range(len(names)))
+            held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in range(len(names)))
+
+
+def prefix_sums(df: DataFrame, order: str, value: str, out: str, block: int = 4096) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows of a smaller ``order`` (a count from 0 on, of which each occurs at most once).
+
+    Sums are taken inside blocks of consecutive places, each in a task of its own; only
+    the sums of whole blocks meet in one window.
+    """
+    blocked = df.withColumn("_block", F.floor(F.col(order) / block))
+    inner = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = blocked.groupBy("_block").agg(F.sum(value).alias("_total")).select("_block", F.coalesce(F.sum("_total").over(outer), F.lit(0)).alias("_before"))
+    inside = blocked.withColumn("_inside", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    return inside.join(whole, "_block").withColumn(out, F.col("_before") + F.col("_inside")).drop("_block", "_before", "_inside")
+
+
 def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
     for batch in batches:
         if batch.num_rows:

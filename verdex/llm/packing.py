@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, rows, staged, whole_texts
+from .common import bound_batches, columns, staged, whole_texts
 from .tokens import id_encoder
 
 CAPACITY = 2048
@@ -29,9 +29,9 @@ def _pieces(tokenizer: str, end_id: int, capacity: int, keep_ids: bool):
         encoder = id_encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
-        for doc_ids, texts in rows(batches, "doc_id", "text"):
+        for doc_ids, texts in columns(batches, "doc_id", "text"):
             out: list[list] = [[], [], [], [], [], []]
-            for doc_id, data in zip(doc_ids, encoder.encode_batch(texts)):
+            for doc_id, data in zip(doc_ids.to_pylist(), encoder.encode_batch(texts)):
                 data += end
                 for piece, at in enumerate(range(0, len(data), step)):
                     part = data[at : at + step]

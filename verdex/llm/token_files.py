@@ -9,10 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fresh_dir, local_path, replace_file, rows, whole_texts
+from .common import bound_batches, columns, fresh_dir, local_path, prefix_sums, replace_file, rows, whole_texts
 from .tokens import id_encoder
 
 MANIFEST_SCHEMA = "part int, path string, n_docs long, n_ids long, width int"
@@ -37,8 +37,8 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         offsets = [0]
 
         def encoded() -> Iterator[bytes]:
-            for doc_ids, texts in rows(batches, "doc_id", "text"):
-                for doc_id, data in zip(doc_ids, encoder.encode_batch(texts)):
+            for doc_ids, texts in columns(batches, "doc_id", "text"):
+                for doc_id, data in zip(doc_ids.to_pylist(), encoder.encode_batch(texts)):
                     data += end
                     names.append(doc_id)
                     offsets.append(offsets[-1] + len(data) // 4)
@@ -99,6 +99,4 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_index(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the mapped files; start counts ids over all files before."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    based = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    return based.repartition(F.col("part")).mapInArrow(_reader, INDEX_SCHEMA)
+    return prefix_sums(manifest, "part", "n_ids", "base").repartition(F.col("part")).mapInArrow(_reader, INDEX_SCHEMA)
