@@ -1,4 +1,4 @@
-"""Main text of web pages by wrapper induction: trees of a host's pages are aligned, and what stays the same is template."""
+"""Main text of web pages by wrapper induction: trees of a host's pages are aligned, and the slots that align are classed by what they hold over all pages."""
 
 from __future__ import annotations
 
@@ -18,38 +18,54 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, rows, staged
 
-#: Elements that make no block of their own, that hold no shown text, and that are never the article.
+#: Elements that make no block of their own, whose content is no markup, that hold no shown text, and that HTML itself sets apart from the article.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label map mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source".split())
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select", "button", "canvas", "audio", "video")
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+UNSHOWN = frozenset("noscript template svg math object select button canvas audio video".split())
 BOILERPLATE = frozenset("head nav footer aside form menu dialog fieldset".split())
 VOID = frozenset("br hr meta link base col embed param track area img input source wbr".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption".split())
+WHOLE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
+#: Words that names of furniture consist of, and words that stand beside them in such names; they only break ties.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert newsletter subscribe subscription signup sidebar menu nav navbar navigation "
     "breadcrumb breadcrumbs share sharing social related recommended comment comments commentlist disqus respond replies footer header masthead popup modal overlay pagination pager widget toc skip".split()
 )
+BESIDE_NAMES = frozenset("area bar block bottom box buttons container form inner item left links list main outer panel right section site slot top unit wrap wrapper".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SELF_NESTED = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-#: Pages of a host that must hold an aligned node before its sameness says anything.
+#: Different pages of a host that must hold an aligned node before its sameness or its recurrence says anything.
 LEAST_PAGES = 3
+#: Stands for all hosts with fewer such pages: their pages are aligned with each other.
+POOL = ""
+#: Share of an element's text that a child must hold to be looked into for the article, and that makes two sisters tie for it.
+MOST, TIE = 0.5, 0.25
+#: Share of characters in links from which on a recurring element is a list of links; share of pages that makes an element recur.
+LINKED, RECURS = 0.5, 0.6
+#: What the text of a slot that never varies weighs beside text that does: pages of a host may be copies of each other.
+CONSTANT_WEIGHT = 0.1
 #: Wrappers up to this size go to the executors whole; beyond it they are joined by page.
 WRAPPER_BYTES = 8 << 20
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[\s/][^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)?)>"
     r"|</?[a-zA-Z][^>]*(?:>|$)|<[!?/][^>]*(?:>|$)",
-    re.DOTALL | re.IGNORECASE,
+    re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.IGNORECASE)
 _NAME = re.compile(r"[a-z]+")
+_END = {tag: re.compile(f"</{tag}", re.IGNORECASE) for tag in RAW | UNSHOWN}
 
 
 @dataclass
 class Node:
-    """Sister elements of one label under one parent are one node; ``texts`` are the blocks that lie in it directly."""
+    """Sister elements of one label under one parent are one node; ``texts`` are the blocks that lie in it directly.
+
+    A label is a flag, the tag and the first class. The flag is ``-`` in what HTML itself
+    sets apart from the article, ``!`` where names call the element furniture, ``+`` elsewhere.
+    """
 
     label: str
     tag: str
@@ -57,13 +73,14 @@ class Node:
     inside: bool
     children: dict[str, Node] = field(default_factory=dict)
     texts: list[str] = field(default_factory=list)
+    linked: int = 0
+    named: bool = False
 
 
 @dataclass
 class Page:
     root: Node
     blocks: list[tuple[Node, str]]
-    has_main: bool
 
     def nodes(self) -> list[Node]:
         """All nodes, parents first, sisters as they appear."""
@@ -81,13 +98,18 @@ class Page:
         return json.dumps(walk(self.root), separators=(",", ":"), ensure_ascii=False)
 
 
+def _furniture_name(names: str) -> bool:
+    """Whether some name is made of furniture words alone, as ``ad-box``, but not ``social-history``."""
+    return any((words := _NAME.findall(name)) and NAMES.intersection(words) and NAMES.union(BESIDE_NAMES).issuperset(words) for name in names.split())
+
+
 @functools.lru_cache(maxsize=4096)
-def _attributes(attrs: str) -> tuple[str, bool]:
-    """The first class as part of a label, and whether names or role mark the element as no article."""
+def _attributes(attrs: str) -> tuple[str, bool, bool]:
+    """The first class, whether names call the element furniture, and whether its role or being hidden sets it apart."""
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attrs)}
-    names = set(_NAME.findall(found.get("class", ""))) | set(_NAME.findall(found.get("id", "")))
-    marked = bool(names & NAMES) or found.get("role", "") in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-    return (found.get("class", "").split() or [""])[0], marked
+    apart = found.get("role", "") in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+    named = _furniture_name(found.get("class", "")) or _furniture_name(found.get("id", ""))
+    return (found.get("class", "").split() or [""])[0], named, apart
 
 
 #: In the labelled tree, deeper elements are laid side by side, so that no page makes a deep tree; the stack of open elements is never cut.
@@ -96,38 +118,63 @@ DEEPEST = 60
 
 def parse(source: str) -> Page:
     """Blocks of text in page order and the tree that they lie in; tolerant of missing ends and cut pages."""
-    root = Node("", "", False, False)
+    root = Node("+", "", False, False)
     stack = [root]
     # Where each tag's open elements stand in the stack, innermost last.
     open_at: dict[str, list[int]] = defaultdict(list)
     blocks: list[tuple[Node, str]] = []
     buffer: list[str] = []
-    has_main = False
+    # The stack's height where a link began, or 0; characters of the buffer that lie in links.
+    link_at = linked = 0
+    # Where the next end of an unshown or raw element is, by its tag, so that none is looked for twice.
+    ends: dict[str, int] = {}
 
     def flush() -> None:
+        nonlocal linked
         text = " ".join(entities.unescape("".join(buffer)).split())
         buffer.clear()
         if text:
             stack[-1].texts.append(text)
+            stack[-1].linked += min(linked, len(text))
             blocks.append((stack[-1], text))
+        linked = 0
 
     def close(size: int) -> None:
+        nonlocal link_at
         for node in stack[size:]:
             open_at[node.tag].pop()
         del stack[size:]
+        if size < link_at:
+            link_at = 0
 
     at = 0
-    for m in _TOKEN.finditer(source):
+    while m := _TOKEN.search(source, at):
         if m.start() > at:
             buffer.append(source[at : m.start()])
+            if link_at:
+                linked += m.start() - at
         at = m.end()
         tag = m["tag"]
         if tag is None:
-            if m["raw"]:
-                buffer.append(" ")
             continue
         tag = tag.lower()
+        if tag in RAW or tag in UNSHOWN:
+            if m["close"] or (m["attrs"].endswith("/") and tag in UNSHOWN):
+                continue
+            if 0 <= ends.get(tag, 0) < at:
+                found = _END[tag].search(source, at)
+                ends[tag] = found.start() if found else -1
+            end = ends[tag]
+            if end >= 0:
+                stop = source.find(">", end)
+                at = len(source) if stop < 0 else stop + 1
+            elif tag in RAW:
+                at = len(source)
+            buffer.append(" ")
+            continue
         if tag in INLINE:
+            if tag == "a":
+                link_at = 0 if m["close"] else len(stack)
             continue
         if tag == "br":
             buffer.append(" ")
@@ -144,23 +191,26 @@ def parse(source: str) -> Page:
         if tag in VOID or m["attrs"].endswith("/"):
             continue
         up = stack[-1]
-        name, marked = _attributes(m["attrs"])
+        name, named, apart = _attributes(m["attrs"])
         main = tag in ("article", "main")
-        has_main |= main and not up.dropped
-        label = f"{tag}.{name}" if name else tag
-        dropped = up.dropped or tag in BOILERPLATE or (marked and not main and tag not in ("html", "body")) or (tag == "header" and not up.inside)
+        dropped = up.dropped or tag in BOILERPLATE or (apart and not main and tag not in ("html", "body"))
         inside = up.inside or main
-        if len(stack) > DEEPEST:
+        named = named or (tag == "header" and not inside)
+        named = named and not main and tag not in ("html", "body")
+        flat = len(stack) > DEEPEST
+        label = ("-" if dropped else "!" if named or (flat and up.named) else "+") + (f"{tag}.{name}" if name else tag)
+        named = named or up.named
+        if flat:
             # Sisters here come from different parents: what they took over from them is part of the label.
             up, label = stack[DEEPEST - 1], f"{label} {dropped:d}{inside:d}"
         node = up.children.get(label)
         if node is None:
-            node = up.children[label] = Node(label, tag, dropped, inside)
+            node = up.children[label] = Node(label, tag, dropped, inside, named=named)
         open_at[tag].append(len(stack))
         stack.append(node)
     buffer.append(source[at:])
     flush()
-    return Page(root, blocks, has_main)
+    return Page(root, blocks)
 
 
 def simple_tree_matching(left: list, right: list) -> list[tuple[int, int]]:
@@ -212,84 +262,208 @@ def _key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+@dataclass
+class Slot:
+    """What the nodes that align hold over a host's different pages."""
+
+    pages: int = 0
+    constant: bool = False
+    chars: int = 0
+    linked: int = 0
+
+
+KEEP, OUTSIDE = 0, 1
+
+
+def _preorder(tree: list) -> tuple[list[str], list[int]]:
+    """Labels and parents of a labelled tree's nodes."""
+    labels, parents, todo = [], [], [(tree, -1)]
+    while todo:
+        node, up = todo.pop()
+        parents.append(up)
+        todo.extend((c, len(labels)) for c in reversed(node[1:]))
+        labels.append(node[0])
+    return labels, parents
+
+
+def classify(labels: list[str], parents: list[int], slots: list[Slot], pages: int) -> list[int] | None:
+    """KEEP for each node of a tree whose text is the article's, OUTSIDE for the others; none where the tree holds no text.
+
+    Text that varies and lies in no link weighs what it is long, text that is the same on
+    all pages a tenth. From the root on, the child that holds most of the weight is looked
+    into, unless that leaves headings or paragraphs behind and it holds no article element; where sisters tie, one without
+    a furniture name, then an article element, then the heavier one is taken. What lies
+    beside that way is outside. Below its end, lists of links that recur on most pages,
+    elements that never vary (if they are the smaller part) and, as a tie, smaller elements
+    with a furniture name are outside, each with all that it holds.
+    """
+    n = len(labels)
+    tags = [x[1:].split(" ")[0].split(".")[0] for x in labels]
+    sure = pages >= LEAST_PAGES
+    plain = [max(0, s.chars - s.linked) if x[0] != "-" else 0 for s, x in zip(slots, labels)]
+    weight = [w * (CONSTANT_WEIGHT if sure and s.constant and s.pages >= LEAST_PAGES else 1.0) for w, s in zip(plain, slots)]
+    total, varying = list(weight), [float(w) if w == p else 0.0 for w, p in zip(weight, plain)]
+    chars, linked, most = [s.chars for s in slots], [s.linked for s in slots], [s.pages for s in slots]
+    article = [w if t in ("article", "main") else 0.0 for w, t in zip(weight, tags)]
+    children: list[list[int]] = [[] for _ in range(n)]
+    for i in range(n - 1, 0, -1):
+        up = parents[i]
+        children[up].append(i)
+        total[up] += total[i]
+        article[up] += total[i] if tags[up] in ("article", "main") else article[i]
+        varying[up] += varying[i]
+        chars[up] += chars[i]
+        linked[up] += linked[i]
+        most[up] = max(most[up], most[i])
+    if not total[0]:
+        return None
+    at = 0
+    while True:
+        below = [c for c in children[at] if tags[c] not in WHOLE and tags[c] not in PROSE and labels[c][0] != "-"]
+        tied = [c for c in below if total[c] >= TIE * total[at]]
+        if not tied or sum(total[c] for c in tied) < MOST * total[at] or weight[at] > TIE * total[at]:
+            break
+        best = max(tied, key=lambda c: (labels[c][0] != "!", tags[c] in ("article", "main"), total[c]))
+        if total[best] < MOST * total[at] and tags[best] not in ("article", "main") and not any(labels[c][0] == "!" for c in tied if c != best):
+            break
+        if article[best] < MOST * total[at] and any(varying[c] for c in children[at] if c != best and tags[c] in WHOLE and labels[c][0] != "-"):
+            break
+        at = best
+    region = total[at]
+    out = [OUTSIDE] * n
+    out[at] = KEEP
+    for i in range(at + 1, n):
+        up = parents[i]
+        if up < at or out[up] == OUTSIDE:
+            continue
+        recurs = sure and most[i] >= LEAST_PAGES and most[i] >= RECURS * pages
+        links = recurs and tags[i] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and linked[i] >= LINKED * chars[i] > 0
+        same = sure and chars[i] and not varying[i] and most[i] >= LEAST_PAGES and varying[at] > (region - varying[at]) / CONSTANT_WEIGHT
+        named = labels[i][0] == "!" and total[i] < MOST * region
+        out[i] = OUTSIDE if labels[i][0] == "-" or links or same or named else KEEP
+    return out
+
+
+def _inherit(classes: list[int], slots: list[int], labels: list[str], parents: list[int]) -> list[int]:
+    """The classes of a page's nodes from those of the slots they align with; others are what their parents are, where HTML does not set them apart."""
+    out: list[int] = []
+    for slot, label, up in zip(slots, labels, parents):
+        out.append(classes[slot] if slot >= 0 else OUTSIDE if label[0] == "-" or up < 0 else out[up])
+    return out
+
+
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Host, skeleton, and the key of each node's text."""
+    """Host, skeleton, and of each node the key, length and linked length of its text."""
     for urls, sources in rows(batches, "url", "html"):
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], [], []]
         for url, source in zip(urls, sources):
             host = host_of(url)
             if host is None:
                 continue
             page = parse(source or "")
-            out[0].append(host)
-            out[1].append(page.skeleton())
-            out[2].append([_key("\n".join(n.texts)) if n.texts else None for n in page.nodes()])
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.int64()))], ["host", "skeleton", "keys"])
+            nodes = page.nodes()
+            found = (host, page.skeleton(), [_key("\n".join(n.texts)) if n.texts else None for n in nodes], [sum(map(len, n.texts)) for n in nodes], [n.linked for n in nodes])
+            for column, value in zip(out, found):
+                column.append(value)
+        kinds = (pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["host", "skeleton", "keys", "chars", "linked"])
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for hosts, skeletons, references in rows(batches, "host", "skeleton", "reference"):
-        out: list[list] = [[], [], [], []]
-        for host, skeleton, reference in zip(hosts, skeletons, references):
-            for a, b in simple_tree_matching(json.loads(skeleton), json.loads(reference)):
-                for column, value in zip(out, (host, skeleton, a, b)):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.string(), pa.string(), pa.int32(), pa.int32()))], ["host", "skeleton", "node", "slot"])
+        slots = []
+        for skeleton, reference in zip(skeletons, references):
+            tree = json.loads(skeleton)
+            found = [-1] * len(_preorder(tree)[0])
+            for a, b in simple_tree_matching(tree, json.loads(reference)):
+                found[a] = b
+            slots.append(found)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(skeletons, pa.string()), pa.array(slots, pa.list_(pa.int32()))], ["host", "skeleton", "slots"])
+
+
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for hosts, references, pages, stats in rows(batches, "host", "reference", "pages", "stats"):
+        classes = []
+        for reference, n, found in zip(references, pages, stats):
+            labels, parents = _preorder(json.loads(reference))
+            slots = [Slot() for _ in labels]
+            for s in found:
+                slots[s["slot"]] = Slot(s["n"], s["low"] == s["high"], s["chars"], s["linked"])
+            classes.append(classify(labels, parents, slots, n) if n >= LEAST_PAGES else None)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(classes, pa.list_(pa.int32()))], ["host", "classes"])
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for hosts, skeletons, slots, classes in rows(batches, "host", "skeleton", "slots", "classes"):
+        kept = []
+        for skeleton, found, known in zip(skeletons, slots, classes):
+            nodes = _inherit(known, found, *_preorder(json.loads(skeleton)))
+            kept.append([i for i, c in enumerate(nodes) if c == KEEP])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(skeletons, pa.string()), pa.array(kept, pa.list_(pa.int32()))], ["host", "skeleton", "kept"])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, skeleton, constant): the nodes of each shape of page whose text is the same wherever they align.
+    """(host, skeleton, kept): the nodes of each shape of page that hold its article.
 
-    Pages of a host that have one skeleton are counted together before anything moves.
-    The commonest skeleton is the host's reference; each other one is aligned with it by
-    simple tree matching, and nodes that align share a slot. A slot is template if all
-    pages that have it hold the same text there, and there are LEAST_PAGES of them.
+    Hosts with fewer than LEAST_PAGES different pages are one host, POOL, for this. Equal pages of a host count once, and those of one skeleton are added up, before
+    anything moves. The commonest skeleton is the host's reference; each other one is
+    aligned with it by simple tree matching, and nodes that align share a slot. Slots are
+    classed by what they hold on all pages; a node that aligns with none is what its
+    parent is.
     """
-    shapes = staged(pages.select("url", "html").mapInArrow(_shapes, "host string, skeleton string, keys array<long>"), "html-shapes")
+    shapes = pages.select("url", "html").mapInArrow(_shapes, "host string, skeleton string, keys array<long>, chars array<long>, linked array<long>")
+    shapes = staged(shapes.groupBy("host", "skeleton", "keys").agg(F.first("chars").alias("chars"), F.first("linked").alias("linked")), "html-shapes")
+    few = shapes.groupBy("host").agg(F.count(F.lit(1)).alias("n")).select("host", (F.col("n") < LEAST_PAGES).alias("few"))
+    shapes = shapes.join(few, "host").withColumn("host", F.when(F.col("few"), POOL).otherwise(F.col("host"))).drop("few")
     counted = shapes.groupBy("host", "skeleton").agg(F.count(F.lit(1)).alias("n"))
-    reference = counted.groupBy("host").agg(F.max(F.struct("n", "skeleton")).alias("top")).select("host", F.col("top.skeleton").alias("reference"))
-    aligned = staged(counted.join(reference, "host").select("host", "skeleton", "reference").mapInArrow(_aligned, "host string, skeleton string, node int, slot int"), "html-aligned")
-    nodes = shapes.select("host", "skeleton", F.posexplode("keys").alias("node", "key")).where("key is not null")
-    nodes = nodes.groupBy("host", "skeleton", "node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
-    slots = nodes.join(aligned, ["host", "skeleton", "node"])
-    template = slots.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where((F.col("low") == F.col("high")) & (F.col("n") >= LEAST_PAGES))
-    same = aligned.join(template.select("host", "slot"), ["host", "slot"])
-    return same.groupBy("host", "skeleton").agg(F.sort_array(F.collect_set("node")).alias("constant"))
-
-
-def main_text(page: Page, constant: frozenset[int] = frozenset()) -> str:
-    """Blocks of the article, joined by empty lines.
-
-    Left out is what lies in elements that are never the article, by tag, role or name.
-    Of the rest, a page with an article or main element keeps what lies in it, but for
-    template nodes that aren't prose (a prose block that all pages share is still text of
-    the article); another page keeps all that isn't template.
+    hosts = counted.groupBy("host").agg(F.max(F.struct("n", "skeleton")).alias("top"), F.sum("n").alias("pages")).select("host", F.col("top.skeleton").alias("reference"), "pages")
+    aligned = staged(counted.join(hosts, "host").select("host", "skeleton", "reference").mapInArrow(_aligned, "host string, skeleton string, slots array<int>"), "html-aligned")
+    nodes = shapes.select("host", "skeleton", F.posexplode(F.arrays_zip("keys", "chars", "linked")).alias("node", "at")).where("at.keys is not null")
+    nodes = nodes.groupBy("host", "skeleton", "node").agg(F.count(F.lit(1)).alias("n"), F.min("at.keys").alias("low"), F.max("at.keys").alias("high"), F.sum("at.chars").alias("chars"), F.sum("at.linked").alias("linked"))
+    slots = nodes.join(aligned, ["host", "skeleton"]).withColumn("slot", F.element_at("slots", F.col("node") + 1)).where("slot >= 0")
+    slots = slots.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    # One row a host: as long as its reference, which is one page's.
+    stats = slots.groupBy("host").agg(F.collect_list(F.struct("slot", "n", "low", "high", "chars", "linked")).alias("stats"))
+    classed = hosts.join(stats, "host").mapInArrow(_classed, "host string, classes array<int>").where("classes is not null")
+    return aligned.join(classed, "host").mapInArrow(_kept, "host string, skeleton string, kept array<int>")
+
+
+def shown(page: Page) -> frozenset[int]:
+    """The nodes of a page that HTML does not set apart: all that can be said without a wrapper."""
+    return frozenset(i for i, n in enumerate(page.nodes()) if not n.dropped)
+
+
+def own_region(page: Page) -> frozenset[int]:
+    """The article's nodes of a page none of whose nodes lies in its wrapper's article, from its tree alone."""
+    nodes = page.nodes()
+    labels, parents = _preorder(json.loads(page.skeleton()))
+    found = classify(labels, parents, [Slot(1, False, sum(map(len, n.texts)), n.linked) for n in nodes], 1)
+    return frozenset(i for i, c in enumerate(found or ()) if c == KEEP)
+
+
+def main_text(page: Page, kept: frozenset[int] | None = None) -> str:
+    """Blocks of the article in page order, joined by empty lines; ``kept`` are its nodes by the host's wrapper.
+
+    Without a wrapper all that HTML does not set apart is kept; a page none of whose nodes
+    lies in the wrapper's article is classed by its own tree.
     """
-    at = {id(n): i for i, n in enumerate(page.nodes())} if constant else {}
-    out = []
-    for node, text in page.blocks:
-        if node.dropped or (page.has_main and not node.inside):
-            continue
-        if at and at[id(node)] in constant and not (page.has_main and node.tag in PROSE):
-            continue
-        out.append(text)
-    return "\n\n".join(out)
+    kept = shown(page) if kept is None else kept or own_region(page)
+    at = {id(n): i for i, n in enumerate(page.nodes())}
+    return "\n\n".join(text for node, text in page.blocks if at[id(node)] in kept)
 
 
 def _extract(known: dict[tuple[str, str], frozenset[int]] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in rows(batches, "page_id", "url", "html", *([] if known is not None else ["constant"])):
+        for found in rows(batches, "page_id", "url", "html", *([] if known is not None else ["kept"])):
             texts = []
             for i, source in enumerate(found[2]):
                 page = parse(source or "")
                 if known is None:
-                    constant = frozenset(found[3][i] or ())
-                elif known:
-                    host = host_of(found[1][i])
-                    constant = known.get((host, page.skeleton()), frozenset()) if host in known_hosts else frozenset()
+                    kept = None if found[3][i] is None else frozenset(found[3][i])
                 else:
-                    constant = frozenset()
-                texts.append(main_text(page, constant))
+                    host = host_of(found[1][i])
+                    kept = host and known.get((host if host in known_hosts else POOL, page.skeleton()))
+                texts.append(main_text(page, kept))
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.string()), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     known_hosts = {h for h, _ in known or ()}
@@ -311,7 +485,8 @@ def extract(pages: DataFrame, wrapper_bytes: int = WRAPPER_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages(page_id, url, html, ...)``.
 
     Null html counts as empty and gives the empty text. A page whose URL has no host has
-    no wrapper; rows that repeat count and come out each. Wrappers go along with the
+    no wrapper; one whose host has fewer than LEAST_PAGES different pages goes by that of all such hosts' pages; rows that repeat
+    count once for it and come out each; an empty table gives no rows. Wrappers go along with the
     code where they take ``wrapper_bytes`` at most, else pages are joined with theirs by
     host and skeleton.
     """
@@ -319,9 +494,11 @@ def extract(pages: DataFrame, wrapper_bytes: int = WRAPPER_BYTES) -> DataFrame:
     bound_batches(spark)
     pages = pages.select("page_id", "url", "html")
     found = staged(wrappers(pages), "html-wrappers")
-    size = found.agg(F.sum(F.octet_length("host") + F.octet_length("skeleton") + 8 * F.size("constant"))).first()[0] or 0
+    size = found.agg(F.sum(F.octet_length("host") + F.octet_length("skeleton") + 8 * F.size("kept"))).first()[0] or 0
     if size <= wrapper_bytes:
-        known = {(r["host"], r["skeleton"]): frozenset(r["constant"]) for r in found.collect()}
+        known = {(r["host"], r["skeleton"]): frozenset(r["kept"]) for r in found.collect()}
         return pages.mapInArrow(_extract(known), EXTRACTED_SCHEMA)
     keyed = pages.mapInArrow(_keyed, "page_id long, url string, html string, host string, skeleton string")
-    return keyed.join(found, ["host", "skeleton"], "left").select("page_id", "url", "html", "constant").mapInArrow(_extract(None), EXTRACTED_SCHEMA)
+    pooled = found.where(F.col("host") == POOL).select("skeleton", F.col("kept").alias("pooled"))
+    own = keyed.join(found, ["host", "skeleton"], "left").join(pooled, "skeleton", "left")
+    return own.select("page_id", "url", "html", F.coalesce("kept", F.when(F.col("host").isNotNull(), F.col("pooled"))).alias("kept")).mapInArrow(_extract(None), EXTRACTED_SCHEMA)
