@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, rows
@@ -30,7 +30,7 @@ PATTERNS = (
     ("google_key", r"\bAIza[0-9A-Za-z_-]{35}"),
     ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     ("assigned", r"(?<![A-Za-z0-9])(?:[Pp]ass(?:word|wd)?|PASSWORD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey|ACCESS[_-]?KEY|[Cc]redential)s?[\"']?\s{0,4}[:=]{1,2}\s{0,4}[\"']?(?P<value>[^\s\"'<>,;]{6,})"),
-    ("opaque", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_=-])"),
+    ("opaque", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])"),
 )
 _ANY = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in PATTERNS))
 KINDS = [name for name, _ in PATTERNS]
@@ -40,8 +40,9 @@ NEAR_SECRETS = frozenset("password passwd secret token key api apikey credential
 NEAR_DIGESTS = frozenset("commit sha sha1 sha256 md5 checksum digest hash etag uuid guid revision integrity blob tree request trace id".split())
 CONTEXT = 48
 TREES, DEPTH, LEAST_LEAF = 25, 8, 4
-#: Bound of the labelled findings that the forest is fitted on.
-LABELLED_ROWS = 4000
+#: Bounds of the labelled findings that the forest is fitted on: those made by rule, and the documents, and bytes of their texts, whose candidates are labelled.
+MADE_ROWS = 3000
+SAMPLE_DOCS, SAMPLE_BYTES = 6000, 12 << 20
 
 
 @dataclass(frozen=True)
@@ -92,12 +93,12 @@ def features(value: str, kind: str, before: str, after: str, path: str) -> list[
     ]
 
 
-def labelled_findings(n: int = LABELLED_ROWS, seed: int = 11) -> list[tuple[str, str, str, str, str, int]]:
-    """Labelled candidates (value, kind, before, after, path, label) made by rule.
+def made_findings(n: int = MADE_ROWS, seed: int = 11) -> list[tuple[str, str, str, str, str, int]]:
+    """Labelled candidates (value, kind, before, after, path, label) made by rule, for kinds that a corpus may lack.
 
-    The corpus has no labelled findings, so they come from the public shapes: random
-    keys beside the words they are found with are true; placeholders, documentation keys,
-    digests named as such, UUIDs, repeated characters, paths and running prose are false.
+    Random keys of the public shapes, beside the words they are found with, are true;
+    placeholders, documentation keys, digests named as such, UUIDs, repeated characters,
+    paths, plain numbers and running prose are false.
     """
     r = random.Random(seed)
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
@@ -118,8 +119,8 @@ def labelled_findings(n: int = LABELLED_ROWS, seed: int = 11) -> list[tuple[str,
                 ("google_key", "AIza" + pick(mixed + "_-", 35), prose),
                 ("jwt", "eyJ" + pick(mixed, 20) + "." + pick(mixed, 40) + "." + pick(mixed + "_-", 43), prose),
                 ("private_key", "-----BEGIN PRIVATE KEY-----\n" + pick(mixed + "+/", 300) + "\n-----END PRIVATE KEY-----", prose),
-                ("assigned", pick(hexes, r.choice([16, 18, 20, 24, 32, 40])), prose + key), ("assigned", pick(mixed, r.randint(8, 40)), prose + key), ("assigned", pick(mixed + "!@#%+/", r.randint(8, 32)), prose + key),
-                ("opaque", pick(mixed + "+/", 40), prose + r.choice(["aws ", "key ", "secret ", "auth "])),
+                ("assigned", pick(hexes, r.choice([16, 18, 20, 24, 32, 40])), prose + key), ("assigned", pick(mixed, r.choice([8, 12, 16, 24, 40, 400])), prose + key), ("assigned", pick(mixed + "!@#%+/", r.randint(8, 32)), prose + key),
+                ("opaque", pick(mixed + r.choice(["", "+/"]), r.choice([24, 32, 40, 64, 200, 700])), prose + r.choice(["aws ", "key ", "secret ", "auth "])),
             ])
         else:
             sha = pick(hexes, r.choice([32, 40, 64]))
@@ -131,7 +132,7 @@ def labelled_findings(n: int = LABELLED_ROWS, seed: int = 11) -> list[tuple[str,
                 ("opaque", sha, prose + r.choice(["commit ", "sha256:", "md5 ", "checksum ", "digest ", "etag "])), ("opaque", str(uuid.UUID(int=r.getrandbits(128))), prose + r.choice(["", "uuid ", "request "])),
                 ("opaque", "/".join(word() for _ in range(5)) + str(r.randint(0, 99)), prose), ("opaque", "-".join(word() for _ in range(6)) + str(r.randint(0, 2030)), prose),
                 ("opaque", "".join(word() for _ in range(6)) + str(r.randint(0, 9)), prose), ("opaque", "_" * 20 + "12345", prose), ("opaque", base64.b64encode((" ".join(word() for _ in range(9))).encode()).decode()[:40], prose + "image "),
-                ("opaque", pick(string.digits, r.randint(24, 40)), prose), ("jwt", "eyJexample00." + "x" * 20 + "." + "y" * 20, prose), ("slack_token", "xoxb-your-token-here", prose),
+                ("opaque", pick(string.digits, r.randint(16, 40)), prose), ("jwt", "eyJexample00." + "x" * 20 + "." + "y" * 20, prose), ("slack_token", "xoxb-your-token-here", prose),
             ])
         out.append((value, kind, before, after, path, int(true)))
     return out
@@ -153,7 +154,9 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, no
             gini = (2 * left * (1 - left) * cut + 2 * right * (1 - right) * (len(y) - cut)) / len(y)
             k = int(gini.argmin())
             if gini[k] < best[0]:
-                best = (float(gini[k]), int(f), float((v[cut[k] - 1] + v[cut[k]]) / 2))
+                low, high = float(v[cut[k] - 1]), float(v[cut[k]])
+                middle = (low + high) / 2
+                best = (float(gini[k]), int(f), middle if middle < high else low)
     if best[1] >= 0:
         low = x[:, best[1]] <= best[2]
         nodes[at][:2] = best[1:]
@@ -194,13 +197,83 @@ def train(findings: list[tuple[str, str, str, str, str, int]]) -> Forest:
 
 @functools.lru_cache(maxsize=1)
 def default_forest() -> Forest:
-    return train(labelled_findings())
+    """The forest of made findings alone."""
+    return train(made_findings())
+
+
+def held_out(doc_id) -> Column:
+    """Rows whose candidates are never learnt from; null ids are not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def label(value: str, kind: str, before: str) -> int:
+    """The convention by which a corpus's candidates are labelled, as it has no labels of its own.
+
+    A finding is a value that looks drawn (six different characters, none six times in a
+    row, not a third of it dictionary words) and stands where secrets do: it has a
+    provider's shape, is assigned to a credential's name, or follows one within two words.
+    """
+    lowered = re.sub("-----[^-]*-----", "", value).lower()
+    words = [w.lower() for w in _WORDLIKE.findall(before)[-2:]]
+    drawn = len(set(lowered)) >= 6 and not re.search(r"(.)\1{5}", lowered) and 3 * sum(len(w) for w in DICTIONARY if len(w) > 3 and w in lowered) < len(value)
+    placed = kind != "opaque" or (any(w in NEAR_SECRETS for w in words) and not any(w in NEAR_DIGESTS for w in words))
+    return int(drawn and placed)
+
+
+def _context(text: str, c: Candidate) -> tuple[str, str]:
+    return text[max(0, c.start - CONTEXT) : c.start], text[c.end : c.end + CONTEXT]
+
+
+def corpus_findings(texts: list[str], paths: list[str]) -> list[tuple[str, str, str, str, str, int]]:
+    """The labelled candidates of some texts."""
+    out = []
+    for text, path in zip(texts, paths):
+        for c in candidates(text):
+            before, after = _context(text, c)
+            out.append((c.value, c.kind, before, after, path, label(c.value, c.kind, before)))
+    return out
+
+
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Forest:
+    """The forest of made findings and the labelled candidates of a bounded sample of documents.
+
+    The sample is of documents that are not held out, in the order of a hash of their
+    ids, ``sample_docs`` at most; where their texts take more than ``sample_bytes``, the
+    longest are left out. Equal texts are learnt from once.
+    """
+    bound_batches(docs.sparkSession)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    some = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct().orderBy(*order).limit(sample_docs)
+    texts = docs.select("doc_id", "text", "source").where("text is not null").join(F.broadcast(some), "doc_id").withColumn("size", F.octet_length("text").cast("long"))
+    shortest = texts.orderBy("size", *order, "text").limit(sample_docs).withColumn("upto", F.sum("size").over(Window.orderBy("size", *order, "text")))
+    found = shortest.where(F.col("upto") <= sample_bytes).orderBy(*order, "text").select("text", "source").toArrow()
+    unique = dict(zip(found.column("text").to_pylist(), found.column("source").to_pylist()))
+    return train(made_findings() + corpus_findings(list(unique), [p or "" for p in unique.values()]))
+
+
+def report(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> dict[str, float]:
+    """Precision and recall over held-out documents by :func:`label`, of all candidates and of those the forest leaves."""
+    bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, paths in rows(batches, "text", "source"):
+            texts, n = [t or "" for t in texts], [0, 0, 0, 0]
+            for t, found in zip(texts, scan(texts, [p or "" for p in paths], forest, threshold)):
+                for c, p in found:
+                    true = label(c.value, c.kind, _context(t, c)[0])
+                    n = [n[0] + 1, n[1] + true, n[2] + (p >= threshold), n[3] + (true and p >= threshold)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in n], ["candidates", "true", "kept", "kept_true"])
+
+    counts = docs.where(held_out(F.col("doc_id"))).select("text", "source").mapInArrow(run, "candidates long, true long, kept long, kept_true long")
+    n = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns]).first()
+    share = lambda a, b: a / b if b else 1.0
+    return {"candidates": n["candidates"], "precision_without": share(n["true"], n["candidates"]), "recall_without": 1.0, "precision": share(n["kept_true"], n["kept"]), "recall": share(n["kept_true"], n["true"])}
 
 
 def scan(texts: list[str], paths: list[str], forest: Forest, threshold: float) -> list[list[tuple[Candidate, float]]]:
     """Candidates and their probabilities for each text; those under the threshold are false."""
     found = [candidates(t) for t in texts]
-    x = [features(c.value, c.kind, t[max(0, c.start - CONTEXT) : c.start], t[c.end : c.end + CONTEXT], p) for t, p, cs in zip(texts, paths, found) for c in cs]
+    x = [features(c.value, c.kind, *_context(t, c), p) for t, p, cs in zip(texts, paths, found) for c in cs]
     scores = iter(forest.probability(np.array(x)).tolist() if x else [])
     return [[(c, next(scores)) for c in cs] for cs in found]
 
@@ -220,11 +293,12 @@ FINDINGS_SCHEMA = "doc_id long, n_candidates long, n_findings long, findings arr
 def secret_findings(docs: DataFrame, threshold: float = 0.5, forest: Forest | None = None) -> DataFrame:
     """(doc_id, n_candidates, n_findings, findings) for each row of ``docs(doc_id, text, source, ...)``.
 
-    Every whole text is scanned; a finding is a candidate that the forest gives at least
-    ``threshold``, with its code-point span. The path is the row's source. Null and empty
-    texts have none; rows that repeat are scanned alike.
+    Every whole text is scanned; a finding is a candidate that the forest, by default
+    that of :func:`fit` over ``docs``, gives at least ``threshold``, with its code-point
+    span. The path is the row's source. Null and empty texts have none; rows that repeat
+    are scanned alike; an empty table gives no rows.
     """
-    forest = forest or default_forest()
+    forest = forest or fit(docs)
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +314,7 @@ def secret_findings(docs: DataFrame, threshold: float = 0.5, forest: Forest | No
 
 def redact(docs: DataFrame, threshold: float = 0.5, forest: Forest | None = None) -> DataFrame:
     """``docs`` with all rows and columns; each finding in text gives way to its kind in brackets, and n_chars follows."""
-    forest = forest or default_forest()
+    forest = forest or fit(docs)
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
