@@ -133,72 +133,80 @@ def _trust(doc_at: np.ndarray, word_at: np.ndarray, gram_at: np.ndarray, starts:
     return z4 / (z4 + EVEN_SIGMAS**4)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
-    """Fit embeddings and softmax together by full-batch descent with steps of falling length.
+class Bags:
+    """Documents as bags of words, words as bags of n-grams, and the gradients of a softmax over their mean embeddings."""
+
+    def __init__(self, texts: list[str]) -> None:
+        index: dict[str, int] = {}
+        doc_at, word_at, weight = array("i"), array("i"), array("d")
+        for d, text in enumerate(texts):
+            counts = Counter(words(text))
+            total = sum(counts.values())
+            for w, n in counts.items():
+                doc_at.append(d)
+                word_at.append(index.setdefault(w, len(index)))
+                weight.append(n / total)
+        self.doc_at, self.word_at, self.weight, self.n_words, self.n_docs = np.array(doc_at), np.array(word_at), np.array(weight), len(index), len(texts)
+        parts, sizes, listed = [np.empty(0, np.int32)], [np.empty(0, np.int64)], list(index)
+        for i in range(0, len(listed), CHUNK_WORDS):
+            at, held = buckets(listed[i : i + CHUNK_WORDS])
+            parts.append(held[np.argsort(at, kind="stable")])
+            sizes.append(np.bincount(at, minlength=len(listed[i : i + CHUNK_WORDS])))
+        gram_at, self.sizes = np.concatenate(parts), np.concatenate(sizes)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.used, at = np.unique(gram_at, return_inverse=True)
+        self.gram_at = at.astype(np.int32)
+        self.chunks = [(i, min(i + CHUNK_WORDS, len(index))) for i in range(0, len(index), CHUNK_WORDS)]
+
+    def by_word(self, value: np.ndarray) -> np.ndarray:
+        """Mean of a value of each bucket over each word's n-grams."""
+        return np.concatenate([np.add.reduceat(value[self.gram_at[self.starts[i] : self.starts[j]]], self.starts[i:j] - self.starts[i]) for i, j in self.chunks]) / self.sizes
+
+    def by_gram(self, value: np.ndarray) -> np.ndarray:
+        """Sum of a value of each word, shared among its n-grams, over the words that hold each bucket."""
+        share = value / self.sizes
+        return sum(np.bincount(self.gram_at[self.starts[i] : self.starts[j]], np.repeat(share[i:j], self.sizes[i:j]), len(self.used)) for i, j in self.chunks)
+
+    def trust(self, y: np.ndarray) -> np.ndarray:
+        """:func:`_trust` of the buckets in use."""
+        return _trust(self.doc_at, self.word_at, self.used[self.gram_at], self.starts, y)[self.used]
+
+    def gradients(self, trust: np.ndarray, vectors: np.ndarray, softmax: np.ndarray, bias: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Mean cross-entropy, and its gradients by the embeddings, the softmax's rows and the biases.
+
+        Every gradient of an embedding is a number times the difference of the softmax's
+        rows, so two sums over (document, word) and two over (word, n-gram) give all.
+        """
+        line = softmax[1] - softmax[0]
+        word = self.by_word(trust * (vectors @ line))
+        logit = np.bincount(self.doc_at, self.weight * word[self.word_at], len(y)) + bias[1] - bias[0]
+        loss = float(np.mean(np.logaddexp(0, logit) - y * logit))
+        error = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) / len(y)
+        on_gram = trust * self.by_gram(np.bincount(self.word_at, self.weight * error[self.doc_at], self.n_words))
+        pull = vectors.T @ on_gram
+        return loss, on_gram[:, None] * line[None, :], np.stack([-pull, pull]), np.array([-error.sum(), error.sum()])
 
-    Every gradient of an embedding is a number times the difference of the softmax's
-    rows, so a step needs two sums over (document, word) and two over (word, n-gram).
-    """
-    rng = np.random.default_rng(seed)
-    index: dict[str, int] = {}
-    doc_at, word_at, weight = array("i"), array("i"), array("d")
-    for d, text in enumerate(texts):
-        counts = Counter(words(text))
-        total = sum(counts.values())
-        for w, n in counts.items():
-            doc_at.append(d)
-            word_at.append(index.setdefault(w, len(index)))
-            weight.append(n / total)
+
+def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
+    """Fit embeddings and softmax together by full-batch descent with steps of falling length."""
     y = np.array(labels, float)
     share = float(np.clip(y.mean() if len(y) else 0.01, 0.01, 0.99))
-    if not index or y.min() == y.max():
+    bags = Bags(texts)
+    if not bags.n_words or y.min() == y.max():
         return Model(np.empty(0, np.float32), float(np.log(share / (1 - share))))
-    doc_at, word_at, weight = np.array(doc_at), np.array(word_at), np.array(weight)
-    parts, sizes, listed = [], [], list(index)
-    for i in range(0, len(listed), CHUNK_WORDS):
-        at, held = buckets(listed[i : i + CHUNK_WORDS])
-        parts.append(held[np.argsort(at, kind="stable")])
-        sizes.append(np.bincount(at, minlength=len(listed[i : i + CHUNK_WORDS])))
-    gram_at, sizes = np.concatenate(parts), np.concatenate(sizes)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    trust = _trust(doc_at, word_at, gram_at, starts, y)
-    used, gram_at = np.unique(gram_at, return_inverse=True)
-    trust, gram_at = trust[used], gram_at.astype(np.int32)
-    per_word = 1.0 / sizes
-    chunks = [(i, min(i + CHUNK_WORDS, len(index))) for i in range(0, len(index), CHUNK_WORDS)]
-
-    def by_word(value: np.ndarray) -> np.ndarray:
-        """Sum of a value of each bucket over each word's n-grams."""
-        return np.concatenate([np.add.reduceat(value[gram_at[starts[i] : starts[j]]], starts[i:j] - starts[i]) for i, j in chunks])
-
-    def by_gram(value: np.ndarray) -> np.ndarray:
-        """Sum of a value of each word over the words that hold each bucket."""
-        return sum(np.bincount(gram_at[starts[i] : starts[j]], np.repeat(value[i:j], sizes[i:j]), len(used)) for i, j in chunks)
-
-    vectors = rng.normal(0, 1e-3, (len(used), DIMENSIONS))
-    softmax = rng.normal(0, 0.5, (2, DIMENSIONS))
-    bias = np.array([0.0, np.log(share / (1 - share))])
-    moved = [np.zeros_like(vectors), np.zeros_like(softmax), np.zeros_like(bias)]
-
-    def step(k: int, value: np.ndarray, grad: np.ndarray, rate: float) -> None:
-        # One scale for a whole array: what is rare moves little, as its gradient is small.
-        moved[k] = 0.8 * moved[k] + 0.2 * grad / max(float(np.abs(grad).max()), 1e-9)
-        value -= rate * moved[k]
-
+    trust, rng = bags.trust(y), np.random.default_rng(seed)
+    values = [rng.normal(0, 1e-3, (len(bags.used), DIMENSIONS)), rng.normal(0, 0.5, (2, DIMENSIONS)), np.array([0.0, np.log(share / (1 - share))])]
+    moved = [np.zeros_like(v) for v in values]
     for t in range(STEPS):
-        rate = 1 - t / STEPS
-        line = softmax[1] - softmax[0]
-        word = by_word(trust * (vectors @ line)) * per_word
-        logit = np.bincount(doc_at, weight * word[word_at], len(y)) + bias[1] - bias[0]
-        error = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) / len(y)
-        on_word = np.bincount(word_at, weight * error[doc_at], len(index)) * per_word
-        on_gram = trust * by_gram(on_word)
-        pull = vectors.T @ on_gram
-        step(0, vectors, on_gram[:, None] * line[None, :], 2.0 * rate)
-        step(1, softmax, np.stack([-pull, pull]), 0.5 * rate)
-        step(2, bias, np.array([-error.sum(), error.sum()]) * len(y) / 20, 0.1 * rate)
+        _, *grads = bags.gradients(trust, *values, y)
+        grads[2] = grads[2] * len(y) / 20
+        for k, rate in enumerate((2.0, 0.5, 0.1)):
+            # One scale for a whole array: what is rare moves little, as its gradient is small.
+            moved[k] = 0.8 * moved[k] + 0.2 * grads[k] / max(float(np.abs(grads[k]).max()), 1e-9)
+            values[k] -= (1 - t / STEPS) * rate * moved[k]
+    vectors, softmax, bias = values
     weights = np.zeros(BUCKETS, np.float32)
-    weights[used] = trust * (vectors @ (softmax[1] - softmax[0]))
+    weights[bags.used] = trust * (vectors @ (softmax[1] - softmax[0]))
     return Model(weights, float(bias[1] - bias[0]))
 
 
@@ -213,7 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = SAMPLE_POSITIVES, o
     Label 1 is rare, so each label has a bound of its own, and the model's bias is then
     moved to the share of label 1 among all labels that may be learnt. Each label has a
     part of ``sample_bytes`` like its part of the rows, and what the other leaves of its
-    own; where its texts take more, the longest are left out.
+    own; where its texts take more, the longest are left out. Equal texts are learnt from
+    once.
     """
     bound_batches(docs.sparkSession)
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -227,7 +236,11 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = SAMPLE_POSITIVES, o
     texts = texts.withColumn("room", F.greatest(part, F.lit(sample_bytes) - others_take)).withColumn("upto", F.sum("size").over(label.orderBy("size", *order, "text")))
     texts = texts.where("upto <= room").orderBy(*order, "text").select("text", "toxic")
     found = texts.toArrow()
-    model = train(found.column("text").to_pylist(), learnt := found.column("toxic").to_pylist())
+    # Copies of one document say no more than one: equal texts are learnt from once, as toxic where any of them is.
+    unique: dict[str, int] = {}
+    for text, toxic in zip(found.column("text").to_pylist(), found.column("toxic").to_pylist()):
+        unique[text] = max(toxic, unique.get(text, 0))
+    model = train(list(unique), learnt := list(unique.values()))
     odds = lambda ones, n: np.log((ones + 0.5) / (n - ones + 0.5))
     if 0 < sum(learnt) < len(learnt):
         model.bias += float(odds(count["ones"], count["n"]) - odds(sum(learnt), len(learnt)))
