@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.graph import connected_components
+from ..plans.skew import hot_counts, hot_keys, salted_join
 from .common import bound_batches, rows, staged, whole_texts
 
 SHINGLE = 5
@@ -24,6 +25,9 @@ LONGS = MINIMA // 64
 #: A pair goes to the exact check when its estimate is at least the wanted similarity less so many standard errors.
 SIGMAS = 5.0
 
+#: Ids of candidates, of some 100 bytes with their class, that may go to all tasks.
+BROADCAST_IDS = 300_000
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -198,7 +202,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Each is estimated from the packed bits: those estimated as linked are checked on
     the full sets first, and of the rest, those that still lie apart after that and
     whose estimate leaves it open. So no pair that shares a band is passed over, and
-    a family of n copies costs about n checks instead of n squared.
+    a family of n copies costs about n checks instead of n squared. Buckets, heads, parts,
+    components and classes that hold many rows are dealt to several tasks in every join.
 
     Null or wordless texts: n_shingles 0, linked with nothing. Rows that repeat a
     doc_id are one document. A null doc_id takes no part in naming; a component of
@@ -215,67 +220,88 @@ def _classed(docs: DataFrame, percent: int) -> DataFrame:
     signed = staged(docs.mapInArrow(_signatures, SIGNATURE_SCHEMA), "minhash-signatures")
     classes = staged(signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "minhash-classes")
     banded = classes.select("cls", F.posexplode("bands").alias("band", "value")).select("cls", F.xxhash64("band", "value").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = staged(banded.join(shared, "bucket"), "minhash-buckets")
+    shared = staged(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-shared")
+    in_buckets = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    full_buckets = hot_counts(shared, "bucket", "n", in_buckets)
+    by_bucket = lambda rows, other: salted_join(rows, other, "bucket", full_buckets, F.col("cls"))
+    members = staged(by_bucket(banded, shared), "minhash-members")
     degree = members.groupBy("cls").agg(F.sum("n").alias("degree"))
-    heads = members.join(degree, "cls").groupBy("bucket").agg(F.max(F.struct("degree", "cls")).alias("head")).select("bucket", F.col("head.cls").alias("head"), F.col("head.degree").alias("rank"))
+    heads = members.join(degree, "cls").groupBy("bucket").agg(F.max(F.struct("degree", "cls")).alias("head"))
+    heads = staged(heads.select("bucket", F.col("head.cls").alias("head"), F.col("head.degree").alias("rank")), "minhash-heads")
+    placed = staged(by_bucket(members.select("bucket", "cls"), heads), "minhash-placed")
 
     banding = staged(degree.join(classes, "cls").select("cls", "doc_id", "bands"), "minhash-candidates")
-    wanted = banding.select("cls", "doc_id").hint("shuffle_hash")
+    n_wanted = banding.count()
+    # Texts of candidates alone move: their ids go to all tasks where these are few enough, else both sides meet by id.
+    wanted = banding.select("cls", "doc_id")
+    wanted = F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted.hint("shuffle_hash")
     sets = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("cls", "text").mapInArrow(_candidates, "cls string, hashes binary, plane array<long>")
     sets = staged(sets.dropDuplicates(["cls"]), "minhash-sets")
     planes = sets.select("cls", "plane")
+    plane_of = lambda side: planes.select(F.col("cls").alias(side), F.col("plane").alias(f"plane_{side}"))
 
     def linked(pairs: DataFrame, label: str) -> DataFrame:
         """The pairs (a, b, ...) that hold on the full sets."""
+        pairs = staged(pairs, f"{label}-open")
+        n = pairs.count()
         left, right = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("left")), sets.select(F.col("cls").alias("b"), F.col("hashes").alias("right"))
-        full = pairs.join(left, "a").join(right, "b").select(*pairs.columns, "left", "right")
+        full = salted_join(pairs, left, "a", hot_keys(pairs, "a", n), F.col("b"))
+        full = salted_join(full, right, "b", hot_keys(pairs, "b", n), F.col("a")).select(*pairs.columns, "left", "right")
         return staged(full.mapInArrow(_confirm(percent), pairs.schema), label)
 
     agreeing = agreeing_minima(F.col("plane_a"), F.col("plane_b"))
     open_from, linked_from = least_agreeing(percent), least_agreeing(percent, sigmas=0)
-    star = members.join(heads, "bucket").where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"), "rank").distinct()
-    star = star.join(planes.select(F.col("cls").alias("a"), F.col("plane").alias("plane_a")), "a").join(planes.select(F.col("cls").alias("b"), F.col("plane").alias("plane_b")), "b")
-    links = linked(star.where(agreeing >= open_from).select("a", "b", "rank"), "minhash-star")
+    star = staged(placed.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"), "rank").distinct(), "minhash-heads-and-members")
+    rays = salted_join(star, plane_of("a"), "a", hot_keys(star, "a", star.count()), F.col("b")).join(plane_of("b"), "b")
+    links = linked(rays.where(agreeing >= open_from).select("a", "b", "rank"), "minhash-star")
 
     # Parts are pieces of components that are sure to hang together: links lead to members that meet more, so there are no rings.
-    up = links.groupBy(F.col("b").alias("cls")).agg(F.max(F.struct("rank", "a")).alias("best")).select("cls", F.col("best.a").alias("up"))
-    top = up.join(up.select(F.col("cls").alias("up"), F.col("up").alias("far")), "up", "left").select("cls", F.coalesce("far", "up").alias("up"))
-    parts = banding.select("cls").join(top, "cls", "left").select("cls", F.coalesce("up", "cls").alias("part"))
-    apart = members.join(heads, "bucket").join(parts, "cls").join(parts.toDF("head", "head_part"), "head")
-    apart = staged(apart.select("bucket", "cls", "part", (F.col("part") == F.col("head_part")).alias("with_head")), "minhash-apart")
+    up = staged(links.groupBy(F.col("b").alias("cls")).agg(F.max(F.struct("rank", "a")).alias("best")).select("cls", F.col("best.a").alias("up")), "minhash-up")
+    over = up.select(F.col("cls").alias("up"), F.col("up").alias("far"))
+    top = salted_join(up, over, "up", hot_keys(up, "up", n_wanted), F.col("cls"), "left").select("cls", F.coalesce("far", "up").alias("up"))
+    parts = staged(banding.select("cls").join(top, "cls", "left").select("cls", F.coalesce("up", "cls").alias("part")), "minhash-parts")
+
+    def set_apart(parts: DataFrame, label: str) -> DataFrame:
+        """Members of buckets with their parts, and whether that is their head's."""
+        head_parts = heads.join(parts.select(F.col("cls").alias("head"), F.col("part").alias("head_part")), "head").select("bucket", "head_part")
+        rows_of = by_bucket(placed.select("bucket", "cls"), head_parts).join(parts, "cls")
+        return staged(rows_of.select("bucket", "cls", "part", (F.col("part") == F.col("head_part")).alias("with_head")), label)
+
     sides = banding.select("cls", "bands").join(planes, "cls")
     # A pair is taken in the first band it shares, and once: members beside the head's part in the order of their names.
     same_band = "int(array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) - 1)"
     first_band = F.expr(f"xxhash64({same_band}, bands_a[{same_band}])")
     once = (F.col("part_a") != F.col("part_b")) & (F.col("with_head") | (F.col("a") < F.col("b"))) & (first_band == F.col("bucket"))
 
-    def still_apart(estimate: Column) -> DataFrame:
-        rest = apart.where(~F.col("with_head")).join(sides, "cls").select("bucket", F.col("cls").alias("a"), F.col("part").alias("part_a"), F.col("plane").alias("plane_a"), F.col("bands").alias("bands_a"))
-        other = apart.join(apart.where(~F.col("with_head")).select("bucket").distinct(), "bucket", "left_semi").join(sides, "cls")
-        other = other.select(F.col("bucket").alias("bucket_b"), F.col("cls").alias("b"), F.col("part").alias("part_b"), F.col("plane").alias("plane_b"), F.col("bands").alias("bands_b"), "with_head")
-        return rest.join(other, (F.col("bucket") == F.col("bucket_b")) & estimate & once).select("a", "b", "part_a", "part_b").distinct()
+    def still_apart(apart: DataFrame, estimate: Column) -> DataFrame:
+        side = lambda rows, x: rows.join(sides, "cls").select("bucket", F.col("cls").alias(x), F.col("part").alias(f"part_{x}"), F.col("plane").alias(f"plane_{x}"), F.col("bands").alias(f"bands_{x}"), *(["with_head"] if x == "b" else []))
+        loose = apart.where(~F.col("with_head"))
+        other = side(by_bucket(apart, loose.select("bucket").distinct()), "b")
+        pairs = salted_join(other, side(loose, "a"), "bucket", full_buckets, F.col("b"))
+        return pairs.where(estimate & once).select("a", "b", "part_a", "part_b").distinct()
 
-    likely = linked(still_apart(agreeing >= linked_from), "minhash-likely")
+    likely = linked(still_apart(set_apart(parts, "minhash-apart"), agreeing >= linked_from), "minhash-likely")
     # Of parts that a link joins, the one with more links gives its name to the other.
     ways = likely.select("part_a", "part_b").union(likely.select("part_b", "part_a")).toDF("part", "next")
     weight = ways.groupBy("part").agg(F.count(F.lit(1)).alias("weight"))
     best = ways.join(weight.toDF("next", "weight"), "next").groupBy("part").agg(F.max(F.struct("weight", "next")).alias("best")).join(weight, "part")
     merged = best.where(F.col("best") > F.struct("weight", F.col("part").alias("next"))).select("part", F.col("best.next").alias("into"))
-    joined = apart.join(merged, "part", "left").withColumn("part", F.coalesce("into", "part"))
-    names = joined.join(heads, "bucket").where("cls = head").select("bucket", F.col("part").alias("head_part"))
-    apart = staged(joined.join(names, "bucket").select("bucket", "cls", "part", (F.col("part") == F.col("head_part")).alias("with_head")), "minhash-still-apart")
-    unlikely = linked(still_apart(agreeing.between(open_from, linked_from - 1)), "minhash-unlikely")
+    joined = salted_join(parts, merged, "part", hot_keys(parts, "part", n_wanted), F.col("cls"), "left")
+    joined = staged(joined.select("cls", F.coalesce("into", "part").alias("part")), "minhash-joined")
+    unlikely = linked(still_apart(set_apart(joined, "minhash-still-apart"), agreeing.between(open_from, linked_from - 1)), "minhash-unlikely")
     links = links.select("a", "b").union(likely.select("a", "b")).union(unlikely.select("a", "b"))
 
     named = connected_components(links).withColumnRenamed("node", "cls")
+    n_classes = classes.count()
     per_class = classes.select("cls", "doc_id").join(named, "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
     names = per_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_class = per_class.join(names, "component").select("cls", "component_id")
+    by_class = salted_join(per_class, names, "component", hot_keys(named, "component", n_classes), F.col("cls")).select("cls", "component_id")
     # Rows that repeat a doc_id with another text stay with that document's own classes.
-    out = signed.select("doc_id", "n_shingles", "cls").join(by_class, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), "cls").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    worded = signed.where("cls is not null").select("doc_id", "n_shingles", "cls")
+    out = salted_join(worded, by_class, "cls", hot_keys(worded, "cls", signed.count()), F.struct("doc_id"), "left")
+    wordless = signed.where("cls is null").select("doc_id", "n_shingles", "cls", F.col("doc_id").alias("component_id"))
+    out = out.unionByName(wordless)
+    return out.select("doc_id", "n_shingles", "component_id", "cls").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
