@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import tri, urls, versions
-from .operators import answer, applicability, audit, conflicts, evaluate, graph, identity, intervals, mapping, ranges, replay, revisions
+from .operators import answer, applicability, audit, claims, conflicts, evaluate, graph, identity, intervals, mapping, ranges, replay, repository, revisions
 from .plans.staging import staged
 from .sources import records
 
@@ -726,6 +726,176 @@ def stage_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.funnel([("customer", table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))), ("ordered", orders.select(k)), ("shipped", shipped.select(k)), ("returned", shipped.where("l_returnflag = 'R'").select(k))], "k")
 
 
+# -- claims and bindings -----------------------------------------------------------------------------------------------
+
+_ROLE_VENDORS = ("acme", "debian", "oracle", "ubuntu", "bolt")
+_ROLE_PRODUCTS = ("tool", "debian_linux", "linux", "gear")
+
+
+@query("""with x as (select l_orderkey, l_linenumber, l_returnflag <> 'N' as vul, ['a', 'o', 'h'][l_partkey % 3 + 1] as part, ['acme', 'debian', 'oracle', 'ubuntu', 'bolt'][l_suppkey % 5 + 1] as v, ['tool', 'debian_linux', 'linux', 'gear'][l_partkey % 4 + 1] as p, ['*', '-', '', 'pro'][l_linenumber % 4 + 1] as ed, l_linenumber from lineitem),
+  st as (select distinct l_orderkey, ['acme', 'debian', 'oracle', 'ubuntu', 'bolt'][l_suppkey % 5 + 1] as v, ['tool', 'debian_linux', 'linux', 'gear'][l_partkey % 4 + 1] as p from lineitem where l_linenumber = 1),
+  r as (select x.*, case when not vul and part = 'h' then 'REQUIRED_HARDWARE' when not vul then 'REQUIRED_PLATFORM' when v in ('debian', 'oracle', 'ubuntu') and p in ('debian_linux', 'linux') then 'DOWNSTREAM_DISTRIBUTION' when st.v is not null then 'DIRECT_UPSTREAM' when v in ('debian', 'ubuntu') then 'DOWNSTREAM_PACKAGE' else 'UNRESOLVED' end as role
+    from x left join st using (l_orderkey, v, p))
+  select l_orderkey, l_linenumber, role, case ed when '*' then 'ANY' when '-' then 'NOT_APPLICABLE' when '' then 'UNKNOWN' else 'EXACT' end as edition, case when role like 'DOWNSTREAM%' then v || ':' || p else 'ANY' end as distribution from r""")
+def claim_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    matches = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (c("l_returnflag") != "N").alias("vulnerable"), _at(("a", "o", "h"), c("l_partkey") % 3).alias("part"), _at(_ROLE_VENDORS, c("l_suppkey") % 5).alias("vendor_key"), _at(_ROLE_PRODUCTS, c("l_partkey") % 4).alias("product_key"),
+        _at(("*", "-", "", "pro"), c("l_linenumber") % 4).alias("edition"),
+    )
+    found = claims.with_roles(matches, matches.where("l_linenumber = 1"), ["l_orderkey"])
+    axes = claims.cpe_axes({"vendor": c("vendor_key"), "product": c("product_key"), "edition": c("edition")}, c("role"))
+    return found.select("l_orderkey", "l_linenumber", "role", axes["edition"]["state"].alias("edition"), F.when(axes["distribution"]["state"] == "EXACT", F.get(axes["distribution"]["values"], F.lit(0))).otherwise("ANY").alias("distribution"))
+
+
+@query("""with g as (select l_orderkey, count(*) filter (l_returnflag = 'A') as np, count(*) filter (l_returnflag = 'R') as nc, list_sort(list_distinct(list(['', '*', '-', 'x', 'y', 'z'][case when l_linenumber = 7 then 2 when l_partkey % 9 = 0 then 3 when l_suppkey % 2 = 0 then 1 else cast(l_partkey % 3 + 4 as int) end]))) as s from lineitem group by 1),
+  f as (select *, list_filter(s, lambda z: z <> '') as t from g)
+  select o_orderkey, case when o_orderstatus = 'P' then 'rejected' when np > 0 then 'nvd_enriched' when nc > 0 then 'cna_only' else 'unenriched' end as enrichment, case when coalesce(len(t), 0) = 0 then 'UNKNOWN' when list_contains(t, '*') then 'ANY' when t = ['-'] then 'NOT_APPLICABLE' when len(t) = 1 then 'EXACT' else 'SET' end as axis,
+    case when coalesce(len(t), 0) = 0 or list_contains(t, '*') or t = ['-'] then '' else array_to_string(t, ',') end as held from orders left join f on o_orderkey = l_orderkey""")
+def enrichment_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    value = F.when(c("l_linenumber") == 7, "*").when(c("l_partkey") % 9 == 0, "-").when(c("l_suppkey") % 2 == 0, "").otherwise(_at(("x", "y", "z"), c("l_partkey") % 3))
+    facts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_or(c("l_returnflag") == "A").alias("p"), F.bool_or(c("l_returnflag") == "R").alias("c"), F.collect_set(value).alias("s"))
+    joined = table(spark, sf_dir, "orders").join(facts, c("o_orderkey") == c("l_orderkey"), "left")
+    axis = claims.set_axis(F.coalesce("s", F.array().cast("array<string>")))
+    kind = claims.enrichment_class(F.when(c("o_orderstatus") == "P", "Rejected").otherwise("Analyzed"), F.coalesce("p", F.lit(False)), F.coalesce("c", F.lit(False)))
+    return joined.select("o_orderkey", kind.alias("enrichment"), axis["state"].alias("axis"), F.array_join(axis["values"], ",").alias("held"))
+
+
+@query("""with s as (select l_orderkey, l_linenumber, cast(l_quantity as int) % 6 + 4 as up, l_linestatus = 'F' as inc from lineitem where l_returnflag = 'A'), n as (select l_orderkey, count(distinct up) as lines from s group by 1),
+  p as (select l_orderkey, cast(l_quantity as int) % 6 + 4 as up, l_linestatus = 'F' as inc, case when l_suppkey % 5 > 0 then cast(l_partkey % 8 as int) end as lo, l_suppkey % 2 = 0 as li from lineitem where l_returnflag <> 'A'),
+  l as (select l_orderkey, up, inc, bool_or(lo is null) as open, count(distinct (lo, li)) filter (lo < up) as k, min(lo) filter (lo < up) as lo, min(li) filter (lo < up) as li from p group by 1, 2, 3)
+  select l_orderkey, l_linenumber, cast(up as varchar) as upper, case when lines >= 2 and k = 1 and not open then cast(lo as varchar) end as lower, case when lines >= 2 and k = 1 and not open then li end as lower_inclusive from s join n using (l_orderkey) left join l using (l_orderkey, up, inc)""")
+def lent_lower_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    lines = table(spark, sf_dir, "lineitem").withColumn("upper", _text(c("l_quantity").cast("int") % 6 + 4)).withColumn("upper_inclusive", c("l_linestatus") == "F")
+    theirs = lines.where("l_returnflag <> 'A'").select("l_orderkey", F.concat("upper", F.lit(".0")).alias("upper"), "upper_inclusive", F.when(c("l_suppkey") % 5 > 0, _text(c("l_partkey") % 8)).alias("lower"), (c("l_suppkey") % 2 == 0).alias("lower_inclusive"))
+    mine = lines.where("l_returnflag = 'A'").select("l_orderkey", "l_linenumber", "upper", "upper_inclusive")
+    return claims.lend_lower_ends(mine, theirs, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "upper", "lower", "lower_inclusive")
+
+
+_ARTIFACTS = ("tool", "go_driver", "python_driver", "driver", "engine", "cli_tool", "java_binding")
+
+
+@query("""with x as (select p_partkey, ['tool', 'go_driver', 'python_driver', 'driver', 'engine', 'cli_tool', 'java_binding'][p_partkey % 7 + 1] as a, ['tool', 'go_driver', 'python_driver', 'driver', 'engine', 'cli_tool', 'java_binding'][p_size % 7 + 1] as b from part),
+  y as (select *, list_sort(list_filter(string_split(a, '_'), lambda t: t in ('tool', 'driver', 'cli', 'binding'))) as ra, list_sort(list_filter(string_split(b, '_'), lambda t: t in ('tool', 'driver', 'cli', 'binding'))) as rb, list_filter(string_split(a, '_'), lambda t: t in ('go', 'python', 'java')) as la, list_filter(string_split(b, '_'), lambda t: t in ('go', 'python', 'java')) as lb from x)
+  select p_partkey, case when len(ra) > 0 and len(rb) > 0 and ra <> rb then 'artifact_role_mismatch' when len(ra) > 0 and len(rb) = 0 then 'repo_is_distinct_artifact' when (list_contains(ra || rb, 'driver') or list_contains(ra || rb, 'binding')) and len(la) > 0 and len(lb) > 0 and not list_has_any(la, lb) then 'artifact_language_mismatch' end as reason from y""")
+def artifact_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", repository.artifact_conflict(_at(_ARTIFACTS, F.col("p_partkey") % 7), _at(_ARTIFACTS, F.col("p_size") % 7)).alias("reason"))
+
+
+def _bound(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Parts as products, some owners' repositories of the same names, and lines as references from one to the other."""
+    c, name = F.col, T.ascii_key(F.col("p_name"))
+    part = table(spark, sf_dir, "part")
+    products = part.select(c("p_partkey").alias("product_id"), F.concat(F.lit("own"), c("p_partkey") % 60).alias("vendor_key"), F.concat(name, F.lit("_"), c("p_size") % 5).alias("product_key"), _at(("a", "*", "unknown", "o"), c("p_partkey") % 4).alias("part"))
+    repositories = products.where("product_id % 3 = 0").select("vendor_key", "product_key").distinct().select(F.concat_ws("@", "vendor_key", "product_key").alias("repo_key"), c("vendor_key").alias("owner_key"), c("product_key").alias("name_key"))
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(c("l_partkey").alias("product_id"), F.concat(F.lit("own"), c("l_suppkey") % 60).alias("owner_key")).distinct()
+    evidence = lines.join(products.select("product_id", c("product_key").alias("name_key")), "product_id").join(repositories, ["owner_key", "name_key"]).select("repo_key", "product_id")
+    members = products.where("product_id % 2 = 0").select((c("product_id") % 40).alias("cluster_id"), "product_id")
+    return {"products": products, "repositories": repositories, "evidence": evidence, "members": members}
+
+
+_BOUND = """pr as (select p_partkey as product_id, 'own' || p_partkey % 60 as vendor_key, replace(p_name, ' ', '_') || '_' || p_size % 5 as product_key, ['a', '*', 'unknown', 'o'][p_partkey % 4 + 1] as part from part),
+  re as (select distinct vendor_key || '@' || product_key as repo_key, vendor_key as owner_key, product_key as name_key from pr where product_id % 3 = 0),
+  ev as (select distinct re.repo_key, pr.product_id from lineitem join pr on pr.product_id = l_partkey join re on re.owner_key = 'own' || l_suppkey % 60 and re.name_key = pr.product_key where l_returnflag = 'A'),
+  me as (select product_id % 40 as cluster_id, product_id from pr where product_id % 2 = 0), ca as (select repo_key, product_id from re join pr on owner_key = vendor_key and name_key = product_key)"""
+_PART_OK = "(x.part = y.part or ('o' not in (x.part, y.part)) or ('o' in (x.part, y.part) and '*' in (x.part, y.part)))"
+
+
+@query(f"with {_BOUND} select repo_key, product_id, 'exact_pair' as method from ca")
+def exact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bound(spark, sf_dir)
+    return repository.exact_pairs(b["repositories"], b["products"])
+
+
+@query(f"""with {_BOUND} select distinct ca.repo_key, y.product_id, ca.product_id as anchor_id, m.cluster_id, case when list_has_any(string_split(re.name_key, '_'), ['tool', 'cli']) then 'x' end as reason
+  from ca join me m on m.product_id = ca.product_id join me n on n.cluster_id = m.cluster_id and n.product_id <> m.product_id join pr x on x.product_id = ca.product_id join pr y on y.product_id = n.product_id join re on re.repo_key = ca.repo_key
+  where exists (select 1 from ev join me using (product_id) where ev.repo_key = ca.repo_key and me.cluster_id = m.cluster_id) and not ((x.product_id + y.product_id) % 14 = 0 and abs(x.product_id - y.product_id) = 40) and {_PART_OK}""")
+def cluster_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bound(spark, sf_dir)
+    a = F.col("product_id")
+    blocked = b["products"].select(a.alias("a"), (a + 40).alias("b")).where("(a + b) % 14 = 0")
+    return repository.cluster_expansion(repository.exact_pairs(b["repositories"], b["products"]), b["members"], b["evidence"], blocked, b["products"], b["repositories"]).distinct()
+
+
+@query(f"""with {_BOUND}, cp as (select ca.*, cast(product_id % 3 as int) as priority, cast(product_id % 7 as bigint) as evidence, product_id % 5 > 0 as independent from ca), so as (select product_key from cp join pr using (product_id) where length(product_key) >= 4 group by 1 having count(distinct repo_key) = 1),
+  bs as (select 'own' || v as va, 'own' || w as vb, case when (v + w) % 3 = 0 then 'curated_vendor_alias:list' else 'strict_vendor_cluster' end as basis from (select unnest(range(60)) as v) , (select unnest(range(60)) as w) where v <> w and v % 10 = w % 10),
+  mt as (select cp.repo_key, cp.product_id as anchor_id, y.product_id, cp.priority, cp.evidence, x.vendor_key as av, re.owner_key as ov, y.vendor_key as yv from cp join pr x on x.product_id = cp.product_id join so on so.product_key = x.product_key join pr y on y.product_key = x.product_key join re on re.repo_key = cp.repo_key
+    where cp.independent and {_PART_OK} and not exists (select 1 from ca c2 where c2.repo_key = cp.repo_key and c2.product_id = y.product_id) and not exists (select 1 from ev where ev.product_id = y.product_id and ev.repo_key <> cp.repo_key)),
+  sc as (select mt.*, case when yv in (av, ov) then 6 else 0 end as exact_rank, b.basis, case when b.basis like 'curated%' then 7 when b.basis is not null then 5 end as rk from mt left join bs b on b.vb = yv and b.va in (av, ov)),
+  bb as (select repo_key, product_id, anchor_id, priority, evidence, max(case when coalesce(rk, 0) > exact_rank then row(rk, basis) when exact_rank > 0 then row(6, 'vendor_exact') end) as top from sc group by all having max(coalesce(rk, exact_rank)) > 0 or max(exact_rank) > 0),
+  oo as (select *, row_number() over (partition by repo_key, product_id order by top[1] desc, priority desc, evidence desc, top[2] desc, anchor_id desc) as k from bb)
+  select repo_key, product_id, anchor_id, top[2] as basis from oo where k = 1""")
+def product_key_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, c = _bound(spark, sf_dir), F.col
+    candidates = repository.exact_pairs(b["repositories"], b["products"]).select("repo_key", "product_id", (c("product_id") % 3).cast("int").alias("priority"), (c("product_id") % 7).cast("long").alias("evidence"), (c("product_id") % 5 > 0).alias("independent"))
+    vendors = spark.range(60).select(c("id").alias("v"), (c("id") % 10).alias("k"))
+    pairs = vendors.join(vendors.select(c("v").alias("w"), "k"), "k").where("v <> w")
+    keys = b["products"].select("product_key").distinct()
+    basis = F.when((c("v") + c("w")) % 3 == 0, "curated_vendor_alias:list").otherwise("strict_vendor_cluster")
+    named = pairs.select(F.concat(F.lit("own"), "v").alias("vendor_a"), F.concat(F.lit("own"), "w").alias("vendor_b"), basis.alias("basis"))
+    # A pair of vendors is known for the products that either sells.
+    sold = b["products"].select(c("vendor_key").alias("vendor_b"), "product_key").distinct()
+    return repository.product_key_bridge(candidates, b["products"], b["repositories"], b["evidence"], named.join(sold, "vendor_b").join(keys, "product_key"))
+
+
+_BINDINGS = "select 'r' || l_suppkey % 40 as repo_key, 'CVE-' || (2000 + l_orderkey % 20) || '-' || lpad(cast(l_orderkey as varchar), 4, '0') as cve_id, l_partkey as product_id, l_linenumber % 3 = 0 as review, l_linenumber = 5 as provisional from lineitem"
+
+
+def _bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    name = F.concat(F.lit("CVE-"), c("l_orderkey") % 20 + 2000, F.lit("-"), F.when(F.length(_text(c("l_orderkey"))) >= 4, _text(c("l_orderkey"))).otherwise(F.lpad(_text(c("l_orderkey")), 4, "0")))
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("r"), c("l_suppkey") % 40).alias("repo_key"), name.alias("cve_id"), c("l_partkey").alias("product_id"), (c("l_linenumber") % 3 == 0).alias("review"), (c("l_linenumber") == 5).alias("provisional"), "l_quantity", "l_returnflag", "l_suppkey")
+
+
+_BINDINGS = _BINDINGS.replace("lpad(cast(l_orderkey as varchar), 4, '0')", "case when length(cast(l_orderkey as varchar)) >= 4 then cast(l_orderkey as varchar) else lpad(cast(l_orderkey as varchar), 4, '0') end")
+_RANGE_ROWS = _BINDINGS.replace("from lineitem", ", case l_returnflag when 'A' then 'affected' else 'unaffected' end as polarity, case when l_quantity > 40 then cast(l_quantity as int) || '' end as exact, case when l_quantity < 20 then cast(l_quantity as int) || '.0' end as lo, case when l_quantity < 30 then (cast(l_quantity as int) + 5) || '' end as hi, l_suppkey % 2 = 0 as li, l_suppkey % 3 = 0 as hinc from lineitem")
+
+
+def _range_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity").cast("int")
+    return _bindings(spark, sf_dir).select(
+        "repo_key", "cve_id", "product_id", F.when(F.col("l_returnflag") == "A", "affected").otherwise("unaffected").alias("polarity"), F.when(F.col("l_quantity") > 40, _text(q)).alias("exact"),
+        F.when(F.col("l_quantity") < 20, F.concat(q, F.lit(".0"))).alias("lower"), (F.col("l_suppkey") % 2 == 0).alias("lower_inclusive"), F.when(F.col("l_quantity") < 30, _text(q + 5)).alias("upper"), (F.col("l_suppkey") % 3 == 0).alias("upper_inclusive"),
+    )
+
+
+@query(f"select repo_key, cve_id, bool_and(review) as all_review, bool_or(review) as any_review, bool_or(provisional) as any_provisional, count(distinct product_id) as paths from ({_BINDINGS}) group by 1, 2")
+def repo_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repository.repo_view(_bindings(spark, sf_dir))
+
+
+@query(f"""with b as (select distinct repo_key, cve_id, product_id from ({_BINDINGS})), v as ({_RANGE_ROWS})
+  select b.repo_key, b.cve_id, b.product_id, count(v.polarity) as ranges, count(*) filter (v.polarity = 'affected') as affected_ranges, max(case when v.polarity = 'affected' and (lo is not null or hi is not null or exact is not null) then 1 else 0 end) as bounded
+  from b left join (select * from v where product_id % 3 > 0) v on v.cve_id = b.cve_id and v.product_id = b.product_id group by 1, 2, 3""")
+def version_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repository.version_summary(_bindings(spark, sf_dir), _range_rows(spark, sf_dir).where("product_id % 3 > 0"))
+
+
+@query(f"""with b as (select distinct repo_key, cve_id, product_id from ({_BINDINGS})), v as (select distinct cve_id, product_id, case when exact is not null then '=' || exact when lo is null and hi is null then '*' else coalesce(lo || case when li then ' <= ' else ' < ' end, '') || 'v' || coalesce(case when hinc then ' <= ' else ' < ' end || hi, '') end as t from ({_RANGE_ROWS}) where polarity = 'affected')
+  select repo_key, b.cve_id, b.product_id, coalesce(string_agg(t, ' | ' order by t), '') as texts from b left join v on v.cve_id = b.cve_id and v.product_id = b.product_id group by 1, 2, 3""")
+def range_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bindings = _bindings(spark, sf_dir).select("repo_key", "cve_id", "product_id").distinct()
+    return repository.with_ranges(bindings, _range_rows(spark, sf_dir)).select("repo_key", "cve_id", "product_id", F.array_join("texts", " | ").alias("texts"))
+
+
+@query(f"""with b as (select distinct repo_key, cve_id from ({_BINDINGS})) select repo_key, cve_id, cast(k as int) as rank, total from (select *, row_number() over (partition by repo_key order by cast(cve_id[5:8] as int) desc, cast(cve_id[10:] as bigint) desc) as k, count(*) over (partition by repo_key) as total from b) where k <= 5""")
+def newest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bindings = _bindings(spark, sf_dir).select("repo_key", "cve_id").distinct()
+    return repository.first_per_group(bindings, ["repo_key"], [c.desc() for c in repository.record_order(F.col("cve_id"))], 5)
+
+
+@query(f"""with {_BOUND}, q as (select p_partkey, case p_partkey % 3 when 0 then 'own' || p_partkey % 60 || '@' || replace(p_name, ' ', '_') || '_' || p_size % 5 when 1 then 'OWN' || p_partkey % 60 || '@' || replace(p_name, ' ', '-') || '-' || p_size % 5 else 'no at sign' end as asked from part),
+  d as (select distinct asked from q where asked like '%@%') select asked, min(repo_key) as repo_key from d join re on owner_key = lower(split_part(asked, '@', 1)) and name_key = replace(split_part(asked, '@', 2), '-', '_') group by 1""")
+def found_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    plain = F.concat(F.lit("own"), k % 60, F.lit("@"), F.regexp_replace("p_name", " ", "_"), F.lit("_"), F.col("p_size") % 5)
+    other = F.concat(F.lit("OWN"), k % 60, F.lit("@"), F.regexp_replace("p_name", " ", "-"), F.lit("-"), F.col("p_size") % 5)
+    asked = table(spark, sf_dir, "part").select(F.when(k % 3 == 0, plain).when(k % 3 == 1, other).otherwise("no at sign").alias("asked")).distinct()
+    return repository.find_repositories(asked, _bound(spark, sf_dir)["repositories"])
+
+
 # -- text and records --------------------------------------------------------------------------------------------------
 
 
