@@ -112,3 +112,25 @@ def test_replay_and_parts(spark):
     assert {tuple(r) for r in replay.replay_ranges(base, log).collect()} == {("A", '["1-5", "3-4", "7"]', 2, 1), ("B", "[]", 0, 0)}
     groups = spark.createDataFrame([("a", 5), ("b", 4), ("c", 3), ("d", 3)], "group string, size int")
     assert {r["group"]: r["part"] for r in replay.balanced_parts(groups, 2).collect()} == {"a": 0, "b": 1, "c": 1, "d": 0}
+
+
+def test_conditions_deeper_than_the_schema_stay_unknown(spark):
+    import json
+
+    from verdex.operators import applicability
+    from verdex.sources import schemas
+
+    def tree(depth):
+        leaf = {"operator": "OR", "cpeMatch": [{"vulnerable": True, "criteria": "cpe:2.3:a:v:p:1:*:*:*:*:*:*:*"}]}
+        for _ in range(depth):
+            leaf = {"operator": "AND", "nodes": [leaf]}
+        return leaf
+
+    depths = [0, 1, schemas.NODE_DEPTH, schemas.NODE_DEPTH + 1, schemas.NODE_DEPTH + 5]
+    rows = [(json.dumps({"cve": {"id": f"CVE-2024-{1000 + d}", "configurations": [tree(d)]}}), "m") for d in depths]
+    found = records.records(spark.createDataFrame(rows, "value string, source_file string")).where("error is null").select("cve_id", "record")
+    nodes, leaves = records.configuration_leaves(found)
+    nodes, leaves = (x.withColumn("tree_id", F.concat_ws("#", "cve_id", "tree")) for x in (nodes, leaves))
+    root = applicability.evaluate_tree(nodes.select("tree_id", "node", "parent", "level", "operator", "negate"), leaves.select("tree_id", "parent", F.col("vulnerable").alias("truth")), schemas.NODE_DEPTH)
+    got = {int(r["tree_id"].split("#")[0][-4:]) - 1000: r["truth"] for r in root.collect()}
+    assert got == {d: True if d <= schemas.NODE_DEPTH else None for d in depths}

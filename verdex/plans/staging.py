@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by the session; a temporary one only where it names none."""
+    """The folder named by the session; a temporary one only where it names none and all work is done on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="verdex-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -115,7 +115,8 @@ def configuration_leaves(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and leaves of the records' condition trees, flattened level by level without recursion.
 
     An operator that is neither AND nor OR counts as OR, a missing negation as none; a
-    configuration is the root of its tree.
+    configuration is the root of its tree. What lies deeper than the schema reads counts as
+    one leaf of unknown truth, so that no condition is decided without it.
     """
     empty = F.array().cast(f"array<{schemas.CPE_MATCH}>")
     level = found.select(F.col("cve_id"), F.posexplode("record.configurations").alias("tree", "n")).select("cve_id", "tree", F.col("tree").cast("string").alias("node"), F.lit(None).cast("string").alias("parent"), "n")
@@ -125,6 +126,9 @@ def configuration_leaves(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         own = level.select("cve_id", "tree", "node", "parent", F.lit(depth).alias("level"), F.when(F.upper(n["operator"]) == "AND", "AND").otherwise("OR").alias("operator"), F.coalesce(n["negate"], F.lit(False)).alias("negate"))
         matches = F.concat(F.coalesce(n["cpeMatch"], empty), F.coalesce(n["cpe_match"], empty))
         here = level.select("cve_id", "tree", F.col("node").alias("parent"), F.posexplode(matches).alias("leaf", "m")).select("cve_id", "tree", "parent", "leaf", "m.*")
+        if depth == schemas.NODE_DEPTH:
+            unread = level.where(F.coalesce(F.size(n["nodes"]), F.lit(0)) + F.coalesce(F.size(n["children"]), F.lit(0)) > 0)
+            here = here.unionByName(unread.select("cve_id", "tree", F.col("node").alias("parent"), F.lit(-1).alias("leaf")), allowMissingColumns=True)
         nodes, leaves = (own, here) if nodes is None else (nodes.unionByName(own), leaves.unionByName(here))
         if depth < schemas.NODE_DEPTH:
             kind = f"array<{schemas._node(schemas.NODE_DEPTH - depth - 1)}>"

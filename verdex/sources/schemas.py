@@ -8,11 +8,12 @@ CPE_MATCH = "struct<vulnerable: boolean, criteria: string, matchCriteriaId: stri
 
 
 def _node(depth: int) -> str:
-    below = f", children: array<{_node(depth - 1)}>, nodes: array<{_node(depth - 1)}>" if depth else ""
+    inner = _node(depth - 1) if depth else "string"
+    below = f", children: array<{inner}>, nodes: array<{inner}>"
     return f"struct<operator: string, negate: boolean, cpeMatch: array<{CPE_MATCH}>, cpe_match: array<{CPE_MATCH}>{below}>"
 
 
-#: Levels of nodes under a configuration; the records at hand have one or two.
+#: Levels of nodes under a configuration; the records at hand have one or two. Deeper ones are kept as text, so that it shows that they are there.
 NODE_DEPTH = 3
 CONFIGURATION = _node(NODE_DEPTH)
 RECORD = (
