@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from verdex.llm.queries import QUERIES
@@ -69,5 +70,29 @@ def test_near_dedup_links_from_80_percent(spark, tmp_path):
     assert left == {i for i, _ in rows if i >= 1000 or i % 2 == 0}
 
 
+@pytest.mark.parametrize("kind", ["no rows", "nulls", "clashes"])
+def test_run_on_odd_tables(spark, corpus, tmp_path, kind):
+    """No rows give none; rows of nulls go; columns with the stages' own names and repeated rows change nothing."""
+    folder, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    if kind == "no rows":
+        docs, labels = docs.limit(0), labels.limit(0)
+    elif kind == "nulls":
+        docs = spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, None), (None, "", "en", None, None)], docs.schema)
+    else:
+        for name in ("cls", "pattern", "score", "piece", "bucket", "_cls", "probability", "n_words", "toxic", "held_out", "findings"):
+            docs = docs.withColumn(name, F.col("lang"))
+        docs = docs.union(docs.where("doc_id = 1"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if kind == "clashes":
+        plain = corpus_pipeline.run(spark, folder).collect()
+        assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in packed) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in plain)
+    else:
+        assert packed == []
+
+
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))

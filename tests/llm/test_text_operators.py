@@ -70,6 +70,41 @@ def test_estimated_accuracies_follow_the_rules():
     assert quality.estimate({}).posterior == {}
 
 
+def slow_posteriors(patterns, rounds):
+    """Expectation-maximisation document by document."""
+    import math
+
+    n = len(quality.RULES)
+    votes = [[p // 3**i % 3 - 1 for i in range(n)] for p in patterns]
+    good = [1 / (1 + math.exp(-sum(0.5 if v == 1 else -1.5 if v == -1 else 0 for v in d))) for d in votes]
+    for _ in range(rounds):
+        prior = min(max((sum(good) + 1) / (len(good) + 2), 0.02), 0.98)
+        if_good, if_bad = [], []
+        for i in range(n):
+            held = [(d[i], g) for d, g in zip(votes, good) if d[i]]
+            right = (sum(g for v, g in held if v == 1) + 1) / (sum(g for _, g in held) + 2)
+            wrong = (sum(1 - g for v, g in held if v == -1) + 1) / (sum(1 - g for _, g in held) + 2)
+            right, wrong = min(max(right, 0.0001), 0.9999), min(max(wrong, 0.0001), 0.9999)
+            if_good.append(right)
+            if_bad.append(max(wrong, 1 - right))
+        good = []
+        for d in votes:
+            odds = math.log(prior / (1 - prior))
+            for v, r, w in zip(d, if_good, if_bad):
+                odds += math.log(r / (1 - w)) if v == 1 else math.log((1 - r) / w) if v == -1 else 0
+            good.append(1 / (1 + math.exp(-min(max(odds, -50), 50))))
+    return good
+
+
+def test_estimation_against_single_documents():
+    r = random.Random(5)
+    patterns = [sum((0 if (x := r.random()) < (0.1 if i % 3 else 0.7) else 1 if x < 0.8 else 2) * 3**k for k in range(len(quality.RULES))) for i in range(300)]
+    counts = {p: patterns.count(p) for p in patterns}
+    for rounds in (1, 7, quality.ROUNDS):
+        model = quality.estimate(counts, rounds)
+        assert np.allclose([model.posterior[p] for p in patterns], slow_posteriors(patterns, rounds), atol=1e-9)
+
+
 # -- toxicity ----------------------------------------------------------------------------------------------------------
 
 

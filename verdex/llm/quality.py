@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import bound_batches, rows, staged, whole_texts
 
@@ -92,12 +93,12 @@ def document_features(docs: DataFrame) -> DataFrame:
     return whole_texts(docs).mapInArrow(_features, "doc_id long, " + ", ".join(f"{f} long" for f in FEATURES))
 
 
-def with_votes(features: DataFrame) -> DataFrame:
-    """Adds ``pattern``: the rules' votes as one number in base 3, digit vote + 1 each."""
-    pattern = " + ".join(f"(case when {r.bad} then 0 when {r.good} then 2 else 1 end) * {3**i}" for i, r in enumerate(RULES))
-    return features.withColumn("pattern", F.expr(pattern).cast("int")).withColumn(
-        "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    )
+def with_votes(features: DataFrame, prefix: str = "") -> DataFrame:
+    """Adds ``pattern``, the rules' votes as one number in base 3, digit vote + 1 each, and ``base_failed``; both and FEATURES with ``prefix`` before their names."""
+    named = lambda sql: re.sub(r"\b(n_\w+|word_chars)\b", rf"`{prefix}\1`", sql)
+    pattern = " + ".join(f"(case when {named(r.bad)} then 0 when {named(r.good)} then 2 else 1 end) * {3**i}" for i, r in enumerate(RULES))
+    failed = named(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
+    return features.withColumn(f"{prefix}pattern", F.expr(pattern).cast("int")).withColumn(f"{prefix}base_failed", F.expr(failed))
 
 
 @dataclass
@@ -145,7 +146,8 @@ def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, FEATURES, base_failed, probability and kept for each row of ``docs(doc_id, text, ...)``.
 
     ``kept`` is false where base_failed, else whether the posterior probability of good
-    quality reaches ``threshold``. Null and empty texts have no words and fail the base.
+    quality reaches ``threshold``. Null and empty texts have no words and fail the base;
+    rows that repeat count and come out each; an empty table gives no rows.
     """
     spark = docs.sparkSession
     voted = staged(with_votes(document_features(docs)), "quality-votes")
@@ -154,33 +156,27 @@ def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     return voted.join(F.broadcast(posterior), "pattern").withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= threshold)).drop("pattern")
 
 
-def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that :func:`quality` keeps, with all their columns, in place: the second pass needs only the bounded table of patterns."""
-    model = fit(with_votes(document_features(docs)))
-    good = {p for p, x in model.posterior.items() if x >= threshold}
-
+def _beside(prefix: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([_kept(text_features(t or ""), good) for t in texts], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def _kept(found: tuple[int, ...], good: set[int]) -> bool:
-    x = dict(zip(FEATURES, found))
-    if x["n_words"] < MIN_WORDS or 100 * x["n_repeat_words"] > MAX_REPEAT_PERCENT * x["n_words"]:
-        return False
-    return sum((0 if bad(x) else 2 if right(x) else 1) * 3**i for i, (bad, right) in enumerate(_COMPILED)) in good
+            if batch.num_rows:
+                found = np.array([text_features(t or "") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], np.int64)
+                for i, name in enumerate(FEATURES):
+                    batch = batch.append_column(prefix + name, pa.array(found[:, i]))
+                yield batch
 
+    return run
 
-def _predicate(sql: str):
-    """A rule's condition over the features as a Python function: comparisons of whole numbers joined by and/or."""
-    return eval(f"lambda x: {_python(sql)}")  # noqa: S307  of the constants above only
-
-
-def _python(sql: str) -> str:
-    return re.sub(r"(?<![<>=])=(?!=)", "==", re.sub(r"\b(n_\w+|word_chars)\b", r"x['\1']", sql))
 
+def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality` keeps, with all their columns, in place.
 
-_COMPILED = tuple((_predicate(r.bad), _predicate(r.good)) for r in RULES)
+    The second pass needs only the bounded list of good patterns; the same rules vote in it.
+    Texts are counted anew rather than written out again beside their counts.
+    """
+    model = fit(with_votes(document_features(docs)))
+    good = [p for p, x in model.posterior.items() if x >= threshold]
+    prefix = "_quality_"
+    counted = docs.mapInArrow(_beside(prefix), StructType([*docs.schema.fields, *(StructField(prefix + f, LongType()) for f in FEATURES)]))
+    voted = with_votes(counted, prefix)
+    return voted.where(F.col(f"{prefix}pattern").isin(good) & ~F.col(f"{prefix}base_failed")).select(docs.columns)
