@@ -15,6 +15,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules' posterior calls good; rules are weighed on the documents still here. Null and empty texts go."""
     return quality.keep_good(docs)
 
 
@@ -24,11 +25,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by their kinds; null and empty texts stay as they are."""
     return secret_scan.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: pieces of documents laid into sequences."""
+    """The last stage: pieces of documents laid into sequences; a null or empty text is the end id alone."""
     packed = packing.packed_sequences(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
@@ -40,6 +42,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order, each over all that the one before kept; without documents, no rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
