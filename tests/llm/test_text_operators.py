@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -366,6 +367,15 @@ def test_every_member_is_in_one_range_and_retried_alone(spark, tmp_path, monkeyp
     offset = reader.offsets(parts[0])[0]
     monkeypatch.setattr("builtins.open", flaky)
     assert reader.member(parts[0].path, offset)[2][:4] == b"\x89PNG" and len(failed) == 2
+    whole = real(parts[0].path, "rb").read()
+    for place in (offset + 6, offset + media.HEADER.size + 40):
+        bent = whole[:place] + bytes([whole[place] ^ 4]) + whole[place + 1 :]
+        reads = [io.BytesIO(bent), io.BytesIO(whole)]
+        monkeypatch.setattr(reader, "_file", lambda _: reads.pop(0))
+        assert reader.member(parts[0].path, offset)[0] is not None and not reads
+        monkeypatch.setattr(reader, "_file", lambda _: io.BytesIO(bent))
+        with pytest.raises(ValueError, match=f"at {offset}: cut short or damaged"):
+            reader.member(parts[0].path, offset)
     with pytest.raises(ValueError, match="damaged"):
         image = bytearray(media.to_image(b"a" * 192))
         image[45] ^= 1

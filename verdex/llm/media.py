@@ -25,8 +25,8 @@ SPLIT_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
 ATTEMPTS = 3
 MAGIC = b"VXMEDIA1"
-#: name length, payload's unpadded bytes, stored bytes, doc_id, whether doc_id is known
-HEADER = struct.Struct("<4sQQqB")
+#: mark, payload's unpadded bytes, stored bytes, doc_id, whether doc_id is known, checksum of the fields before and the stored bytes
+HEADER = struct.Struct("<4sQQqBI")
 FOOTER = struct.Struct("<QQ8s")
 MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary"
 
@@ -67,8 +67,13 @@ def padded(text: str, width: int = WIDTH) -> tuple[bytes, int]:
     return data + b" " * (max(1, -(-len(data) // width)) * width - len(data)), len(data)
 
 
-def _header(n: int, size: int, doc_id: int | None) -> bytes:
-    return HEADER.pack(b"MEMB", n, size, doc_id or 0, doc_id is not None)
+def _sum(header: bytes, image: bytes) -> int:
+    return zlib.crc32(image, zlib.crc32(header[: HEADER.size - 4]))
+
+
+def _member(n: int, doc_id: int | None, image: bytes) -> bytes:
+    header = HEADER.pack(b"MEMB", n, len(image), doc_id or 0, doc_id is not None, 0)
+    return header[:-4] + struct.pack("<I", _sum(header, image)) + image
 
 
 def _directory(offsets: list[int], at: int) -> bytes:
@@ -87,8 +92,7 @@ def _archive(folder: str):
             for ids, texts in rows(batches, "doc_id", "text"):
                 for doc_id, text in zip(ids, texts):
                     payload, n = padded(text)
-                    image = to_image(payload)
-                    member = _header(n, len(image), doc_id) + image
+                    member = _member(n, doc_id, to_image(payload))
                     offsets.append(size)
                     size += len(member)
                     yield member
@@ -146,6 +150,7 @@ class MediaReader(DataSourceReader):
         self.folder = local_path(options["path"])
         self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
         self.attempts = int(options.get("attempts", ATTEMPTS))
+        self.opened = None
 
     def partitions(self) -> list[ByteRange]:
         """Byte ranges by file sizes alone; a member belongs to the range that its offset lies in."""
@@ -157,7 +162,25 @@ class MediaReader(DataSourceReader):
                     out += [ByteRange(entry.path, at, min(size, at + self.split_bytes)) for at in range(0, size, self.split_bytes)]
         return out or [ByteRange("", 0, 0)]
 
+    def _file(self, path: str):
+        """The archive being read; it stays open from member to member."""
+        if self.opened is None or self.opened[0] != path:
+            self._close()
+            self.opened = path, open(path, "rb")
+        return self.opened[1]
+
+    def _close(self) -> None:
+        if self.opened is not None:
+            self.opened[1].close()
+            self.opened = None
+
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from self._read(partition)
+        finally:
+            self._close()
+
+    def _read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         ids, sizes, media, held = [], [], [], 0
         for offset in self.offsets(partition) if partition.path else ():
             doc_id, n, image = self.member(partition.path, offset)
@@ -187,17 +210,21 @@ class MediaReader(DataSourceReader):
         return found[(found >= partition.start) & (found < partition.end)].tolist()
 
     def member(self, path: str, offset: int) -> tuple[int | None, int, bytes]:
-        """One member by its offset, tried again by itself: what was read of the others stays."""
+        """One member by its offset, checked and tried again by itself on a file opened anew: what was read of the others stays."""
         for attempt in range(self.attempts):
             try:
-                with open(path, "rb") as f:
-                    f.seek(offset)
-                    kind, n, size, doc_id, known = HEADER.unpack(f.read(HEADER.size))
-                    image = f.read(size)
-                if kind != b"MEMB" or len(image) != size:
-                    raise ValueError("cut short")
+                f = self._file(path)
+                f.seek(offset)
+                header = f.read(HEADER.size)
+                kind, n, size, doc_id, known, checksum = HEADER.unpack(header)
+                if kind != b"MEMB":
+                    raise ValueError("no member")
+                image = f.read(size)
+                if len(image) != size or _sum(header, image) != checksum:
+                    raise ValueError("cut short or damaged")
                 return (doc_id if known else None), n, image
-            except (OSError, ValueError, struct.error) as e:
+            except (OSError, ValueError, struct.error, MemoryError, OverflowError) as e:
+                self._close()
                 if attempt + 1 == self.attempts:
                     raise ValueError(f"{path} at {offset}: {e}") from e
                 time.sleep(0.05 * 2**attempt)
@@ -232,7 +259,8 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
 
     A payload is the text as UTF-8 (null: empty) and spaces up to a positive multiple of
     WIDTH bytes, stored as a grey image; every value but n_bytes and doc_id comes from
-    the bytes read back. Rows that repeat are stored and measured each.
+    the bytes read back. Rows that repeat are stored and measured each; an empty table
+    gives no rows.
     """
     folder = write_archives(docs, folder)
     return read_archives(docs.sparkSession, folder).mapInArrow(
