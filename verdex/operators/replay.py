@@ -1,61 +1,83 @@
-"""Replay of a key's changes in order, where each step edits what the step before left."""
+"""Replay of changes to sets of values, and groups dealt to parts of like size."""
 
 from __future__ import annotations
 
-import json
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame
-
-EDITED = "cve_id string, ranges string, applied long, unmatched long"
+from ..plans.staging import staged
 
 
 def replay_ranges(records: DataFrame, changes: DataFrame) -> DataFrame:
-    """Apply ``changes(cve_id, at_us, action, old_value, new_value)`` to ``records(cve_id, ranges)``.
+    """(cve_id, ranges, applied, unmatched): ``records(cve_id, ranges)`` after ``changes(cve_id, at_us, action, old_value, new_value)``.
 
-    ``ranges`` is a JSON array of range texts. Added takes new values in unless they are
-    there, Removed takes old ones out, Changed does both; a removal that finds nothing
-    is counted as unmatched. Changes go by time, then by action and values. A key's
-    changes are few (an editor's acts on one record), so they fit one task.
+    ``ranges`` is a JSON array of different texts; sorted when given back. Added takes its
+    new value in unless it is there, Removed takes its old one out, Changed does both; a
+    change that does anything is applied, a removal that finds nothing is unmatched.
+    Changes go by time, then action and values. Whether a value is there when a change
+    comes is what the last change of that value before it did: one window by key and value,
+    so that no record's history has to fit one task. Changes of unknown records are left out.
     """
+    base = records.select("cve_id", F.explode(F.from_json(F.coalesce("ranges", F.lit("[]")), "array<string>")).alias("value")).distinct()
+    text = lambda c: F.coalesce(c, F.lit(""))
+    known = changes.join(records.select("cve_id").distinct(), "cve_id", "left_semi")
+    order = F.struct(F.col("at_us"), F.col("action"), text("old_value").alias("old"), text("new_value").alias("new"))
+    named = known.select("cve_id", "action", "old_value", "new_value", order.alias("moment"), F.monotonically_increasing_id().alias("change"))
+    named = staged(named, "replay-changes")
+    out = named.where(F.col("action").isin("Removed", "Changed")).select("cve_id", text("old_value").alias("value"), "moment", F.lit(0).alias("phase"), F.lit(False).alias("there"), "change")
+    into = named.where(F.col("action").isin("Added", "Changed") & (text("new_value") != "")).select("cve_id", F.col("new_value").alias("value"), "moment", F.lit(1).alias("phase"), F.lit(True).alias("there"), "change")
+    first = base.select("cve_id", "value", F.lit(None).cast(named.schema["moment"].dataType).alias("moment"), F.lit(0).alias("phase"), F.lit(True).alias("there"), F.lit(None).cast("long").alias("change"))
+    steps = first.unionByName(out).unionByName(into)
+    ordered = Window.partitionBy("cve_id", "value").orderBy(F.col("moment").asc_nulls_first(), "change", "phase")
+    steps = steps.withColumn("before", F.coalesce(F.lag("there").over(ordered), F.lit(False))).withColumn("last", F.lead("there").over(ordered).isNull())
+    left = steps.where("last and there").groupBy("cve_id").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    done = steps.where("change is not null").groupBy("cve_id", "change").agg(F.bool_or(F.col("there") != F.col("before")).alias("hit"), F.count_if(~F.col("there") & ~F.col("before")).alias("missed"))
+    counts = done.groupBy("cve_id").agg(F.count_if("hit").alias("applied"), F.sum("missed").alias("unmatched"))
+    zero = F.lit(0).cast("long")
+    joined = records.select("cve_id").distinct().join(left, "cve_id", "left").join(counts, "cve_id", "left")
+    return joined.select("cve_id", F.to_json(F.coalesce("values", F.array().cast("array<string>"))).alias("ranges"), F.coalesce("applied", zero).alias("applied"), F.coalesce("unmatched", zero).alias("unmatched"))
+
+
+def ranked(df: DataFrame, order: list[Column], parts: int = 200) -> DataFrame:
+    """``df`` with ``rank``, each row's place from 0 on in an order that is total, without one task for all rows.
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame({"cve_id": [], "ranges": [], "applied": [], "unmatched": []})
-        ranges = json.loads(left["ranges"].iloc[0] or "[]")
-        applied = unmatched = 0
-        for c in right.fillna("").sort_values(["at_us", "action", "old_value", "new_value"]).itertuples():
-            hit = False
-            if c.action in ("Removed", "Changed"):
-                if c.old_value in ranges:
-                    ranges.remove(c.old_value)
-                    hit = True
-                else:
-                    unmatched += 1
-            if c.action in ("Added", "Changed") and c.new_value and c.new_value not in ranges:
-                ranges.append(c.new_value)
-                hit = True
-            applied += hit
-        return pd.DataFrame({"cve_id": [key[0]], "ranges": [json.dumps(sorted(ranges))], "applied": [applied], "unmatched": [unmatched]})
-
-    return records.groupBy("cve_id").cogroup(changes.groupBy("cve_id")).applyInPandas(run, EDITED)
-
-
-def balanced_parts(groups: DataFrame, parts: int) -> DataFrame:
-    """(group, part): groups dealt to parts, largest first to the emptiest; ``groups(group, size)``.
-
-    Greedy in one order and so a single task; its input is one small row a group.
+    Rows are dealt by ranges of the order and numbered inside each; only the ranges' counts
+    meet in one window.
     """
+    dealt = staged(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranked-ranges")
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = dealt.withColumn("_inside", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
+    return inside.join(before, "_range").withColumn("rank", F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        load = [0] * parts
-        out = []
-        for g in frame.sort_values(["size", "group"], ascending=[False, True]).itertuples():
-            k = min(range(parts), key=lambda i: (load[i], i))
-            load[k] += g.size
-            out.append((g.group, k))
-        return pd.DataFrame(out, columns=["group", "part"])
 
-    from pyspark.sql import functions as F
+def balanced_parts(groups: DataFrame, parts: int, stratum: str | None = None) -> DataFrame:
+    """(group, part): groups dealt to parts, largest first and to and fro; ``groups(group, size)``, by stratum if one is named.
+
+    Any two parts differ by no more than the largest group of each stratum.
+    """
+    strata = F.col(stratum) if stratum else F.lit("")
+    rows = ranked(groups.select("group", "size", strata.alias("_stratum")), [F.col("_stratum"), F.col("size").desc(), F.col("group")])
+    start = rows.groupBy("_stratum").agg(F.min("rank").alias("_start"))
+    turn = (F.col("rank") - F.col("_start")) % (2 * parts)
+    return rows.join(start, "_stratum").select("group", F.when(turn < parts, turn).otherwise(2 * parts - 1 - turn).cast("int").alias("part"))
+
+
+def record_groups(records: DataFrame, record: str, keys: list[str]) -> DataFrame:
+    """(record, group): records that share any key, directly or by others, are one group, named by its least member.
+
+    For splits without leakage: a key is a column's value; null keys tie nothing.
+    """
+    from .graph import connected_components
 
-    return groups.select("group", "size", F.lit(1).alias("_all")).groupBy("_all").applyInPandas(lambda f: run(f[["group", "size"]]), "group string, part int")
+    own = F.concat(F.lit("r:"), F.col(record).cast("string"))
+    links = [records.where(F.col(k).isNotNull()).select(own.alias("a"), F.concat(F.lit(f"{k}:"), F.col(k).cast("string")).alias("b")) for k in keys]
+    both = links[0]
+    for more in links[1:]:
+        both = both.unionByName(more)
+    found = connected_components(both.distinct()).where(F.col("node").startswith("r:"))
+    named = found.select(F.substring("node", 3, 1 << 20).alias(record), "component")
+    least = named.groupBy("component").agg(F.min(F.struct(F.length(record).alias("n"), F.col(record))).alias("x")).select("component", F.col(f"x.{record}").alias("group"))
+    grouped = named.join(least, "component").select(record, "group")
+    every = records.select(F.col(record).cast("string").alias(record)).distinct()
+    return every.join(grouped, record, "left").select(record, F.coalesce("group", record).alias("group"))

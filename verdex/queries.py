@@ -1093,10 +1093,28 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.groupBy("cve_id").agg(F.count(F.lit(1)).alias("changes"), F.count_if(F.col("terminal") == "rejected").alias("rejections"), F.count_if(F.col("terminal") == "active").alias("returns"))
 
 
-@query("""select o_custkey as group_key, count(*) as size from orders group by 1""")
-def replay_adds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").withColumn("cve_id", F.col("o_custkey").cast("string"))
-    base = orders.select("cve_id").distinct().withColumn("ranges", F.lit("[]"))
-    log = orders.select("cve_id", micros("o_orderdate").alias("at_us"), F.lit("Added").alias("action"), F.lit(None).cast("string").alias("old_value"), F.col("o_orderkey").cast("string").alias("new_value"))
+@query("""with base as (select distinct 'k' || c_custkey as cve_id, unnest(['v1', 'v2', 'v3'])  as value from customer),
+  ch as (select 'k' || o_custkey as cve_id, epoch_us(o_orderdate) as at_us, ['Added', 'Removed', 'Changed'][o_orderkey % 3 + 1] as action, case when o_orderkey % 3 > 0 then 'v' || o_orderkey % 7 else '' end as old, case when o_orderkey % 3 <> 1 then 'v' || o_orderkey % 5 else '' end as new, o_orderkey from orders),
+  op as (select cve_id, value, 0 as at_us, '' as action, '' as old, '' as new, 0 as ph, true as there, cast(null as bigint) as id from base union all select cve_id, old, at_us, action, old, new, 0, false, o_orderkey from ch where action <> 'Added' union all select cve_id, new, at_us, action, old, new, 1, true, o_orderkey from ch where action <> 'Removed'),
+  w as (select *, coalesce(lag(there) over o, false) as before, row_number() over (partition by cve_id, value order by at_us desc, action desc, old desc, new desc, id desc nulls last, ph desc) = 1 as final from op window o as (partition by cve_id, value order by at_us, action, old, new, id nulls first, ph)),
+  a as (select cve_id, count(distinct id) filter (there <> before) as applied, count(*) filter (not there and not before) as unmatched from w where id is not null group by 1), l as (select cve_id, string_agg(value, ',' order by value) as ranges from w where final and there group by 1)
+  select 'k' || c_custkey as cve_id, coalesce(ranges, '') as ranges, coalesce(applied, 0) as applied, coalesce(unmatched, 0) as unmatched from customer left join a on a.cve_id = 'k' || c_custkey left join l on l.cve_id = 'k' || c_custkey""")
+def replayed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    base = table(spark, sf_dir, "customer").select(F.concat(F.lit("k"), "c_custkey").alias("cve_id"), F.lit('["v1", "v2", "v3"]').alias("ranges"))
+    old, new = F.when(k % 3 > 0, F.concat(F.lit("v"), k % 7)), F.when(k % 3 != 1, F.concat(F.lit("v"), k % 5))
+    log = table(spark, sf_dir, "orders").select(F.concat(F.lit("k"), "o_custkey").alias("cve_id"), micros("o_orderdate").alias("at_us"), _at(("Added", "Removed", "Changed"), k % 3).alias("action"), old.alias("old_value"), new.alias("new_value"))
     edited = replay.replay_ranges(base, log)
-    return edited.select(F.col("cve_id").cast("long").alias("group_key"), F.col("applied").alias("size"))
+    return edited.select("cve_id", F.array_join(F.from_json("ranges", "array<string>"), ",").alias("ranges"), "applied", "unmatched")
+
+
+@query("""with g as (select l_suppkey as g, l_suppkey % 3 as s, count(*) as n from lineitem group by 1, 2), r as (select *, (row_number() over (partition by s order by n desc, g) - 1) % 10 as t from g) select cast(g as varchar) as "group", cast(case when t < 5 then t else 9 - t end as int) as part from r""")
+def stratified_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("group"), (F.col("l_suppkey") % 3).alias("stratum")).agg(F.count(F.lit(1)).alias("size"))
+    return replay.balanced_parts(groups, 5, "stratum").select(F.col("group").cast("string").alias("group"), "part")
+
+
+@query("""with recursive b as (select distinct l_orderkey, l_partkey from lineitem where l_quantity = 50 and l_returnflag = 'A'), e as (select distinct x.l_orderkey as a, y.l_orderkey as b from b x join b y using (l_partkey)), r(node, label) as (select a, a from e union select e.b, r.label from r join e on e.a = r.node)
+  select cast(node as varchar) as l_orderkey, cast(min(label) as varchar) as "group" from r group by node""")
+def leakage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.record_groups(table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_returnflag = 'A'"), "l_orderkey", ["l_partkey"])
