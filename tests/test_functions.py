@@ -105,12 +105,33 @@ def test_urls(spark):
     assert one(spark, urls.repository(u), u="https://github.com/Own/Name.git") == "own@name"
     assert one(spark, urls.repository(u), u="https://github.com/topics/x") is None
     assert one(spark, urls.repository(u), u="https://example.com/a/b") is None
+    for url, want in {"https://api.github.com/repos/Own/Name/issues/1": "own@name", "https://api.github.com/users/Own/Name": None, "https://raw.githubusercontent.com/Own/Name/main/a.c": "own@name", "http://www.github.com:443/Own/na%6De": "own@name", "https://github.com/own/na%20me": None, "https://github.com/Trending/x": None, "https://codeload.github.com/a/b.git": "a@b"}.items():
+        assert one(spark, urls.repository(u), u=url) == want, url
+    assert tuple(one(spark, urls.repository_keys(u), u="https://github.com/My-Org/A.b")) == ("my_org", "a_b")
     assert one(spark, urls.commit_id(u), u="https://github.com/a/b/commit/ABCDEF1234?x=1") == "abcdef1234"
     assert one(spark, urls.cve_ids(u), u="cve-2024-12345 and CVE-2024-12345, CVE-2023-1") == ["CVE-2024-12345"]
     assert one(spark, urls.cpe_parts(u), u=r"cpe:2.3:a:ve\:ndor:pro\\d:1.0:*:*:*:*:*:*:*")[1:4] == ["ve:ndor", "pro\\d", "1.0"]
     assert one(spark, urls.cpe_parts(u), u="cpe:2.3:a:x") is None
 
 
+PROSE = [
+    ("*cpe:2.3:a:v:p:*:*:*:*:*:*:*:* versions from (including) 1.0 up to (excluding) 2.0", (True, "cpe:2.3:a:v:p:*:*:*:*:*:*:*:*", "1.0", None, None, "2.0", None)),
+    ("cpe:2.3:a:v:p:*:*:*:*:*:*:*:* versions up to (including) 2.0", (False, "cpe:2.3:a:v:p:*:*:*:*:*:*:*:*", None, None, "2.0", None, None)),
+    ("  OR *cpe:2.3:a:v:p:*:*:*:*:*:*:*:*  versions from (EXCLUDING) 1.0", (True, "cpe:2.3:a:v:p:*:*:*:*:*:*:*:*", None, "1.0", None, None, None)),
+    ("*cpe:2.3:a:v:p:1.2:*:*:*:*:*:*:* (and previous)", (True, "cpe:2.3:a:v:p:*:*:*:*:*:*:*:*", None, None, "1.2", None, None)),
+    ("*cpe:2.3:a:v:p:1.2:*:*:*:*:*:*:*", (True, "cpe:2.3:a:v:p:1.2:*:*:*:*:*:*:*", None, None, None, None, None)),
+    ("*cpe:2.3:a:v:p:1.2:*:*:*:*:*:*:*,", (True, "cpe:2.3:a:v:p:1.2:*:*:*:*:*:*:*", None, None, None, None, None)),
+    ("*cpe:2.3:a:v:p:*:*:*:*:*:*:*:* versions prior to 3", (None, None, None, None, None, None, "unsupported_version_phrase")),
+    ("*cpe:2.3:a:v:p", (None, None, None, None, None, None, "invalid_cpe_line")),
+]
+
+
+def test_prose_of_changes(spark):
+    text = "Record truncated\n" + "\r\n".join(line for line, _ in PROSE)
+    assert [tuple(x) for x in one(spark, urls.prose_matches(F.col("t")), t=text)] == [want for _, want in PROSE]
+    assert one(spark, urls.prose_matches(F.col("t")), t=None) == []
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 8)), min_size=1, max_size=12))
 def test_merge_is_the_union(spark, spans):

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: First path parts of the host that name no repository owner.
-NOT_OWNERS = ("about", "advisories", "apps", "features", "login", "marketplace", "orgs", "search", "security", "settings", "sponsors", "topics")
+from .text import ascii_key
+
+#: Hosts whose paths name repositories, and first path parts that name no repository owner.
+HOSTS = ("github.com", "www.github.com", "api.github.com", "raw.githubusercontent.com", "codeload.github.com")
+NOT_OWNERS = (
+    "about", "advisories", "apps", "collections", "contact", "customer-stories", "enterprise", "events", "explore", "features", "gist", "git-guides", "issues", "marketplace", "new", "notifications", "orgs", "pricing", "pulls",
+    "search", "security", "settings", "site", "sponsors", "topics", "trending", "users",
+)
 
 
 def host(url: Column) -> Column:
@@ -21,11 +27,27 @@ def path_parts(url: Column) -> Column:
     return F.filter(F.split(path(url), "/"), lambda x: x != "")
 
 
-def repository(url: Column, at: str = "github.com") -> Column:
+def _owner_and_name(url: Column) -> tuple[Column, Column, Column]:
+    """Owner and name as written, and whether they name a repository of one of HOSTS; the host with an API has them one part later."""
+    parts = F.transform(path_parts(F.trim(url)), lambda x: F.try_url_decode(F.regexp_replace(x, r"\+", "%2B")))
+    api = host(F.trim(url)) == "api.github.com"
+    owner, name = (F.when(api, F.get(parts, F.lit(i + 1))).otherwise(F.get(parts, F.lit(i))) for i in (0, 1))
+    name = F.regexp_replace(name, r"\.git$", "")
+    word = r"^[A-Za-z0-9_.-]+$"
+    good = host(F.trim(url)).isin(*HOSTS) & (~api | (F.lower(F.get(parts, F.lit(0))) == "repos")) & owner.rlike(word) & name.rlike(word) & ~F.lower(owner).isin(*NOT_OWNERS)
+    return owner, name, F.coalesce(good, F.lit(False))
+
+
+def repository(url: Column) -> Column:
     """owner@name in lower case of a repository URL; NULL for others."""
-    parts = path_parts(url)
-    name = F.regexp_replace(F.lower(F.get(parts, F.lit(1))), r"\.git$", "")
-    return F.when(host(url).isin(at, "www." + at) & (F.size(parts) >= 2) & ~F.lower(F.get(parts, F.lit(0))).isin(*NOT_OWNERS) & (name != ""), F.concat(F.lower(F.get(parts, F.lit(0))), F.lit("@"), name))
+    owner, name, good = _owner_and_name(url)
+    return F.when(good, F.concat(F.lower(owner), F.lit("@"), F.lower(name)))
+
+
+def repository_keys(url: Column) -> Column:
+    """struct<owner_key, name_key> of a repository URL; NULL for others."""
+    owner, name, good = _owner_and_name(url)
+    return F.when(good, F.struct(ascii_key(owner).alias("owner_key"), ascii_key(name).alias("name_key")))
 
 
 def commit_id(url: Column) -> Column:
@@ -44,6 +66,44 @@ def cpe_parts(cpe: Column) -> Column:
     return F.when((F.size(found) == 11) & F.get(found, F.lit(0)).isin("a", "o", "h", "*", "-"), F.transform(found, lambda x: F.regexp_replace(x, r"\\(.)", "$1")))
 
 
+_LINE = r"(?i)(\*)?(cpe:2\.3:\S+?)(?=\s+versions\b|\s+\(and previous\)|\s*$)"
+_FROM = r"(?i)versions\s+from\s+\((including|excluding)\)\s+(\S+)"
+_UPTO = r"(?i)versions\s+up\s+to\s+\((including|excluding)\)\s+(\S+)"
+_BETWEEN = r"(?i)versions\s+from\s+\((including|excluding)\)\s+(\S+)\s+up\s+to\s+\((including|excluding)\)\s+(\S+)"
+
+
+def prose_matches(text: Column) -> Column:
+    """array<struct<vulnerable, criteria, start_including, start_excluding, end_including, end_excluding, problem>> of the lines of a change's text that name platforms.
+
+    A star before a name marks it as vulnerable; after it come a range, one end, or that
+    earlier versions are meant too, which makes the name's own version the upper end. A line
+    whose name or range can't be read has a ``problem`` and nothing else.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c]"), F.trim), lambda x: F.lower(x).contains("cpe:2.3:"))
+
+    def read(line: Column) -> Column:
+        name = F.regexp_replace(F.regexp_extract(line, _LINE, 2), "[,.;]+$", "")
+        tail = F.regexp_replace(line, r"(?i)^.*?cpe:2\.3:\S+?(?=\s+versions\b|\s+\(and previous\)|\s*$)", "")
+        between, upto, since = F.regexp_extract(tail, _BETWEEN, 1) != "", F.regexp_extract(tail, _UPTO, 1) != "", F.regexp_extract(tail, _FROM, 1) != ""
+        fields = F.split(name, r"(?<!\\):")
+        version = F.get(fields, F.lit(5))
+        earlier = F.lower(tail).contains("(and previous)") & ~version.isin("", "*", "-")
+        any_version = F.concat_ws(":", F.slice(fields, F.lit(1), F.lit(5)), F.lit("*"), F.slice(fields, F.lit(7), F.lit(7)))
+        problem = F.when(F.regexp_extract(line, _LINE, 2) == "", "unparsed_cpe_line").when((F.size(fields) != 13) | ~F.lower(name).startswith("cpe:2.3:"), "invalid_cpe_line").when(~between & ~upto & ~since & ~earlier & F.lower(tail).contains("versions"), "unsupported_version_phrase")
+        low_kind = F.when(between, F.lower(F.regexp_extract(tail, _BETWEEN, 1))).when(~upto & since, F.lower(F.regexp_extract(tail, _FROM, 1)))
+        low = F.when(between, F.regexp_extract(tail, _BETWEEN, 2)).when(~upto & since, F.regexp_extract(tail, _FROM, 2))
+        high_kind = F.when(between, F.lower(F.regexp_extract(tail, _BETWEEN, 3))).when(upto, F.lower(F.regexp_extract(tail, _UPTO, 1))).when(~since & earlier, "including")
+        high = F.when(between, F.regexp_extract(tail, _BETWEEN, 4)).when(upto, F.regexp_extract(tail, _UPTO, 2)).when(~since & earlier, F.regexp_replace(version, r"\\(.)", "$1"))
+        ok = problem.isNull()
+        end = lambda kind, value, which: F.when(ok & (kind == which), value)
+        return F.struct(
+            F.when(ok, F.regexp_extract(line, _LINE, 1) == "*").alias("vulnerable"), F.when(ok, F.when(~between & ~upto & ~since & earlier, any_version).otherwise(name)).alias("criteria"), end(low_kind, low, "including").alias("start_including"),
+            end(low_kind, low, "excluding").alias("start_excluding"), end(high_kind, high, "including").alias("end_including"), end(high_kind, high, "excluding").alias("end_excluding"), problem.alias("problem"),
+        )
+
+    return F.transform(lines, read)
+
+
 def cve_ids(text: Column) -> Column:
     """Distinct identifiers in a text, upper case."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\b(CVE-\d{4}-\d{4,})\b"), 1), F.upper))
