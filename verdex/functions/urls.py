@@ -79,7 +79,7 @@ def prose_matches(text: Column) -> Column:
     earlier versions are meant too, which makes the name's own version the upper end. A line
     whose name or range can't be read has a ``problem`` and nothing else.
     """
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c]"), F.trim), lambda x: F.lower(x).contains("cpe:2.3:"))
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c]"), lambda x: F.trim(x)), lambda x: F.lower(x).contains("cpe:2.3:"))
 
     def read(line: Column) -> Column:
         name = F.regexp_replace(F.regexp_extract(line, _LINE, 2), "[,.;]+$", "")

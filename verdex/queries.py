@@ -1018,6 +1018,95 @@ def ratio_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.ratio_gate(table(spark, sf_dir, "lineitem"), "returned_share", F.col("l_returnflag") == "R", 0.3).withColumn("share", F.round("share", 6))
 
 
+_STORED_AUDIT = """select l_orderkey, l_linenumber, l_partkey, l_suppkey, ['nvd_cpe', 'cna_structured', 'llm_description', 'osv'][l_suppkey % 4 + 1] as fam, ['active', 'conflict_review', 'unparsed_review'][l_partkey % 3 + 1] as rec, case when l_linenumber < 4 then 'potentially_affected' when l_linenumber < 6 then 'affected' end as cap,
+  ['EXACT', 'CPE_ANY_UNCORROBORATED', 'UNSPECIFIED', 'BOUNDED_RANGE'][l_orderkey % 4 + 1] as cls, l_quantity > 30 as idx, case when l_partkey % 5 > 0 then l_partkey end as claim, case l_linenumber % 4 when 0 then 'DOWNSTREAM_PACKAGE' when 1 then 'UNRESOLVED' when 2 then 'DIRECT_UPSTREAM' end as role, case when l_suppkey % 3 > 0 then 'b' end as basis,
+  l_returnflag = 'N' as isd, case when l_linestatus = 'F' then 'unknown' else 'unaffected' end as ds, case when l_partkey % 7 > 0 then 'x' end as dr, l_suppkey % 2 = 0 as di, l_partkey % 11 > 0 as vul, case l_returnflag when 'A' then 'affected' else 'unknown' end as pol, l_linenumber % 3 as rf, case when l_orderkey % 2 = 0 then '*' else '1' end as cv from lineitem"""
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    text = lambda cond, value: F.when(cond, value)
+    return table(spark, sf_dir, "lineitem").select(
+        _at(("nvd_cpe", "cna_structured", "llm_description", "osv"), c("l_suppkey") % 4).alias("source_family"), _at(("active", "conflict_review", "unparsed_review"), c("l_partkey") % 3).alias("reconciliation"),
+        F.when(c("l_linenumber") < 4, "potentially_affected").when(c("l_linenumber") < 6, "affected").alias("max_result_state"), _at(("EXACT", "CPE_ANY_UNCORROBORATED", "UNSPECIFIED", "BOUNDED_RANGE"), c("l_orderkey") % 4).alias("version_class"),
+        (c("l_quantity") > 30).alias("indexed"), text(c("l_partkey") % 5 > 0, c("l_partkey")).alias("llm_claim"), F.when(c("l_linenumber") % 4 == 0, "DOWNSTREAM_PACKAGE").when(c("l_linenumber") % 4 == 1, "UNRESOLVED").when(c("l_linenumber") % 4 == 2, "DIRECT_UPSTREAM").alias("role"),
+        text(c("l_suppkey") % 3 > 0, F.lit("b")).alias("role_basis"), (c("l_returnflag") == "N").alias("is_default"), F.when(c("l_linestatus") == "F", "unknown").otherwise("unaffected").alias("default_status"), text(c("l_partkey") % 7 > 0, F.lit("x")).alias("default_raw"),
+        (c("l_suppkey") % 2 == 0).alias("default_inferred"), (c("l_partkey") % 11 > 0).alias("vulnerable"), F.when(c("l_returnflag") == "A", "affected").otherwise("unknown").alias("polarity"), (c("l_linenumber") % 3).alias("range_fields"),
+        _at(("EXACT", "CPE_ANY_UNCORROBORATED", "UNSPECIFIED", "BOUNDED_RANGE"), c("l_orderkey") % 4).alias("claim_class"), F.when(c("l_orderkey") % 2 == 0, "*").otherwise("1").alias("claim_version"), (c("l_partkey") % 13).alias("comparison"), (c("l_partkey") % 13 + (c("l_suppkey") % 50 == 0).cast("int")).alias("reconciled_comparison"),
+    )
+
+
+@query(f"""with s as ({_STORED_AUDIT}), v as (select count(*) filter (fam = 'llm_description' and rec in ('active', 'conflict_review') and (cap is distinct from 'potentially_affected' or idx or claim is null)) as a1, count(*) filter (cls = 'CPE_ANY_UNCORROBORATED' and cap is distinct from 'potentially_affected') as a2, count(*) filter (cls = 'CPE_ANY_UNCORROBORATED' and idx) as a3,
+    count(*) filter (role like 'DOWNSTREAM%' and idx) as a4, count(*) filter (role = 'UNRESOLVED' and idx) as a5, count(*) filter (fam = 'nvd_cpe' and rec in ('active', 'conflict_review') and (role is null or basis is null)) as a6, count(*) filter (cls = 'UNSPECIFIED' and idx) as a7, count(*) filter (fam = 'cna_structured' and isd and ds = 'unknown') as a8,
+    count(*) filter (not vul and pol = 'affected') as a9, count(*) filter (fam = 'cna_structured' and dr is null and di and ds = 'unaffected') as b1, count(*) filter (fam = 'nvd_cpe' and cv = '*' and case when rf = 0 then cls <> 'CPE_ANY_UNCORROBORATED' else cls not in ('BOUNDED_RANGE', 'UNBOUNDED_RANGE', 'UNPARSED') end) as b2, count(*) filter (l_suppkey % 50 = 0) as b3 from s)
+  select unnest(['A-LLM-VERSION-BINDING', 'A-CPE-ANY-CEILING', 'A-CPE-ANY-INDEX', 'A-CPE-ROLE-UPSTREAM', 'A-CPE-ROLE-UNRESOLVED', 'A-CPE-ROLE-COVERAGE', 'A-UNSPECIFIED-INDEX', 'A-DEFAULTSTATUS-UNKNOWN-ASSERTION', 'A-CONFIG-VULNERABLE-FALSE', 'A-DEFAULTSTATUS-OMITTED', 'A-CPE-RANGE-FIELDS', 'A-IDENTITY-ROLE-RECONCILIATION-DRIFT']) as audit, unnest([a1, a2, a3, a4, a5, a6, a7, a8, a9, b1, b2, b3]) as violations from v
+  union all select 'A-CNA-SCOPE-COVERAGE', cast(count(*) filter (cls = 'EXACT') < 0.95 * count(*) as bigint) from s where fam = 'cna_structured' and rec <> 'unparsed_review' union all select 'A-CPE-ROLE-RESOLUTION', cast(count(*) filter (role = 'UNRESOLVED') > 0.9 * count(*) as bigint) from s where fam = 'nvd_cpe' and rec <> 'unparsed_review'""")
+def assertion_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _audited(spark, sf_dir)
+    counted = F.col("reconciliation") != "unparsed_review"
+    return audit.all_audits([
+        audit.assertion_audits(a),
+        audit.share_audit("A-CNA-SCOPE-COVERAGE", a.where((F.col("source_family") == "cna_structured") & counted), F.col("version_class") == "EXACT", least=0.95),
+        audit.share_audit("A-CPE-ROLE-RESOLUTION", a.where((F.col("source_family") == "nvd_cpe") & counted), F.col("role") == "UNRESOLVED", most=0.9),
+    ])
+
+
+@query("""with s as (select l_linenumber as n, l_partkey as p, l_suppkey as u, cast(l_quantity as int) as q, l_orderkey as o from lineitem),
+  v as (select count(*) filter (p % 9 = 0) as a, count(*) filter (u % 8 = 0) as b, count(*) filter (n % 2 = 0 and ((q % 2 = 0 and o % 3 = 0) or (q % 3 = 0 and o % 5 = 0))) as c, count(*) filter ((p % 6 = 1 and o % 3 <> 0) or (p % 10 = 1 and o % 5 <> 0)) as d from s)
+  select unnest(['A-VERSION-EXACT-COMPARATOR', 'A-WILDCARD-KIND', 'A-CPE-RANGE-SEGMENTS', 'A-COMPARATOR-BOUND']) as audit, unnest([a, b, c, d]) as violations from v""")
+def segment_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    p, q, o = c("l_partkey"), c("l_quantity").cast("int"), c("l_orderkey")
+    segments = table(spark, sf_dir, "lineitem").select(
+        F.when(p % 9 == 0, "<1").otherwise("1").alias("exact"), F.when(o % 3 != 0, F.when(p % 6 == 1, "1=").otherwise("1")).alias("lower"), F.when(o % 5 != 0, F.when(p % 10 == 1, ">2").otherwise("2")).alias("upper"), F.when(c("l_suppkey") % 8 == 0, "wildcard").otherwise("exact").alias("version_kind"),
+        F.when(c("l_linenumber") % 2 == 0, "BOUNDED_RANGE").otherwise("EXACT").alias("claim_class"), (q % 2 == 0).alias("start_stated"), (q % 3 == 0).alias("end_stated"),
+    )
+    return audit.segment_audits(segments)
+
+
+@query("""with e as (select l_partkey as p, l_suppkey as s, l_linenumber as n, l_orderkey as o from lineitem), v as (select count(*) filter (p % 8 = 0 or s % 9 = 0) as a, count(*) filter (s % 9 = 0 or o % 6 = 0 or n = 7 or p % 5 = 0) as b, count(*) filter (p % 8 <> 0 and p % 8 = 1 and n % 2 = 0) as c from e)
+  select unnest(['A-ALIAS-MISSING-EVIDENCE', 'A-ALIAS-BASIS-ENVELOPE', 'A-ALIAS-E4-ACCEPTED']) as audit, unnest([a, b, c]) as violations from v""")
+def alias_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, null = F.col, F.lit(None).cast("string")
+    p = c("l_partkey")
+    basis = F.to_json(F.struct(
+        F.when(c("l_orderkey") % 6 == 0, "other").otherwise("bounded_evidence_v1").alias("format"), F.array(F.lit("x"), F.lit("y")).alias("evidence"), F.when(p % 5 == 0, 1).otherwise(2).alias("evidence_count"),
+        F.when(c("l_linenumber") == 7, 16).otherwise(32).alias("evidence_examples_limit"), F.lit(False).alias("evidence_truncated"),
+    ))
+    edges = table(spark, sf_dir, "lineitem").select(F.when(p % 8 == 0, null).when(p % 8 == 1, "E4").otherwise("E1").alias("tier"), F.when(c("l_linenumber") % 2 == 0, "accepted").otherwise("review").alias("status"), F.when(c("l_suppkey") % 9 == 0, F.lit("")).otherwise(basis).alias("basis"))
+    return audit.alias_audits(edges)
+
+
+@query("""with m as (select l_orderkey as cluster, l_linenumber as node, case when l_orderkey % 4 = 0 then 'review' else 'ok' end as st, l_orderkey % 3 = 0 as strict from lineitem where l_orderkey % 2 = 0), k as (select distinct l_orderkey as cluster, l_orderkey * 10 + l_linenumber as node from lineitem where l_orderkey % 2 = 0),
+  e as (select l_orderkey as cluster, case when l_quantity > 45 then 'review' else 'accepted' end as status, l_returnflag = 'A' as strict from lineitem where l_orderkey % 2 = 0), d as (select distinct l_orderkey * 10 + 1 as a, l_orderkey * 10 + l_linenumber as b from lineitem where l_linenumber > 1 and l_quantity > 40)
+  select 'A-ALIAS-HARD-DISTINCT-CLUSTER' as audit, count(*) as violations from d join k x on x.node = a join k y on y.node = b where x.cluster = y.cluster union all select 'A-ALIAS-NONACCEPTED-IN-CLUSTER', count(*) from e where status <> 'accepted'
+  union all select 'A-ALIAS-OVERSIZE-NOT-REVIEW', count(*) from (select cluster from m group by 1 having count(distinct node) > 4 and min(st) = 'ok') union all select 'A-ALIAS-STRICT-CONTAMINATION', count(*) from (select cluster from m where strict group by 1) where cluster in (select cluster from e where not strict)""")
+def cluster_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = F.col("l_orderkey")
+    lines = table(spark, sf_dir, "lineitem")
+    even = lines.where("l_orderkey % 2 = 0")
+    members = even.select(o.alias("cluster"), (o * 10 + F.col("l_linenumber")).alias("node"), F.when(o % 4 == 0, "review").otherwise("ok").alias("review_state"), (o % 3 == 0).alias("strict")).distinct()
+    edges = even.select(o.alias("cluster"), F.when(F.col("l_quantity") > 45, "review").otherwise("accepted").alias("status"), (F.col("l_returnflag") == "A").alias("strict"))
+    pairs = lines.where("l_linenumber > 1 and l_quantity > 40").select((o * 10 + 1).alias("a"), (o * 10 + F.col("l_linenumber")).alias("b")).distinct()
+    return audit.cluster_audits(members, edges, pairs, largest=4)
+
+
+@query("""select case when count(*) filter (l_quantity > 49) > 0 then 'draft' else 'published' end as state, array_to_string(list_filter([case when count(*) filter (l_discount > 0.09) > 0 then 'discount' end, case when count(*) filter (l_quantity > 49) > 0 then 'quantity' end], lambda x: x is not null), ',') as failed from lineitem""")
+def publish_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audit.domain_audits(table(spark, sf_dir, "lineitem"), {"quantity": F.col("l_quantity") <= 49, "discount": F.col("l_discount") <= 0.09, "key": F.col("l_orderkey").isNotNull()})
+    return audit.publish_state(found).select("state", F.array_join("failed", ",").alias("failed"))
+
+
+@query("""select l_orderkey, l_linenumber, l_linenumber % 2 = 0 as vulnerable, case when k = 3 then null when k = 2 then 'cpe:2.3:a:v:p' || l_partkey || ':*:*:*:*:*:*:*:*' else 'cpe:2.3:a:v:p' || l_partkey || ':' || q || ':*:*:*:*:*:*:*' end as criteria, case when k = 0 then cast(q as varchar) end as start_including, case k when 1 then (q + 1) || '' when 2 then cast(q as varchar) end as end_including,
+  case when k = 0 then (q + 2) || '' end as end_excluding, case when k = 3 then 'unsupported_version_phrase' end as problem from (select *, cast(l_quantity as int) as q, l_orderkey % 5 as k from lineitem)""".replace("l_linenumber % 2 = 0 as vulnerable", "case when k <> 3 then l_linenumber % 2 = 0 end as vulnerable"))
+def history_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, k = F.col("l_quantity").cast("int"), F.col("l_orderkey") % 5
+    tail = F.when(k == 0, F.concat(F.lit(" versions from (including) "), q, F.lit(" up to (excluding) "), q + 2)).when(k == 1, F.concat(F.lit(" versions up to (including) "), q + 1)).when(k == 2, " (and previous)").when(k == 3, " versions before that").otherwise("")
+    line = F.concat(F.lit("OR\n  "), F.when(F.col("l_linenumber") % 2 == 0, "*").otherwise(""), F.lit("cpe:2.3:a:v:p"), "l_partkey", F.lit(":"), q, F.lit(":*:*:*:*:*:*:*"), tail)
+    found = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.explode(urls.prose_matches(line)).alias("m"))
+    return found.select("l_orderkey", "l_linenumber", *[f"m.{c}" for c in ("vulnerable", "criteria", "start_including", "end_including", "end_excluding", "problem")])
+
+
 # -- nested records ----------------------------------------------------------------------------------------------------
 
 
