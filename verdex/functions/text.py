@@ -18,6 +18,12 @@ ORGANISATION_SEQUENCES = ("software_foundation", "open_source_project")
 #: Words of a repository's name that say which form of the product it holds.
 VARIANT_WORDS = ("portable", "source", "src")
 
+#: Endings of legal and of organisational names, and names too common to tie anything to.
+LEGAL_ENDINGS = ("inc", "incorporated", "corp", "corporation", "ltd", "limited", "llc", "gmbh", "plc", "bv")
+GROUP_ENDINGS = ("project", "software", "systems", "networks", "security", "labs", "foundation", "group", "org", "team")
+SOFT_GENERIC = ("core", "cms", "iot", "security", "nas", "agent", "server", "client")
+HARD_GENERIC = ("cve", "poc", "advisories", "advisory", "vulnerabilities", "vulnerability")
+
 _NOT_WORD = re.compile(r"[^\w]+")
 
 
@@ -83,6 +89,34 @@ def strip_organisation(key: Column) -> Column:
     return F.ltrim(F.regexp_replace(led, "(_(" + "|".join(ORGANISATION_SEQUENCES + ORGANISATION_SUFFIXES) + "))+$", ""), F.lit("_"))
 
 
+def strip_ending(key: Column, endings: tuple[str, ...]) -> Column:
+    """Without its last word if that is one of ``endings`` and not the only one."""
+    return F.regexp_replace(key, "_(" + "|".join(endings) + ")$", "")
+
+
+def is_generic(key: Column) -> Column:
+    """Whether a key holds a word that ties nothing, or is a name that many things have."""
+    return F.arrays_overlap(tokens(key), F.array(*map(F.lit, HARD_GENERIC))) | key.isin(*SOFT_GENERIC)
+
+
+def self_brand(vendor: Column, product: Column) -> Column:
+    """How a product is named for its vendor: exact, separator, legal_root, org_root, or NULL."""
+    root = lambda endings: strip_ending(vendor, endings)
+    same = lambda r: (r != vendor) & (r != "") & (separator_key(r) == separator_key(product))
+    return F.when(vendor == product, "exact").when(separator_key(vendor) == separator_key(product), "separator").when(same(root(LEGAL_ENDINGS)), "legal_root").when(same(root(GROUP_ENDINGS)), "org_root")
+
+
+def rewritten_product(vendor: Column, product: Column) -> Column:
+    """The one vendor whose product names carry words that only say which edition they are."""
+    plain = F.regexp_replace(F.regexp_replace(product, "^windows_10_version_", "windows_10_"), "^windows_11_version_", "windows_11_")
+    return F.when(vendor == "microsoft", F.regexp_replace(plain, "(_edition_server_core_installation|_server_core_installation)$", "")).otherwise(product)
+
+
+def content_signature(*columns: Column) -> Column:
+    """SHA-256 of values in a fixed order, NULL apart from empty: rows that are equal have one."""
+    return F.sha2(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"}), 256)
+
+
 def without_variant_words(key: Column) -> Column:
     return F.array_join(F.filter(tokens(key), lambda t: ~t.isin(*VARIANT_WORDS)), "_")
 

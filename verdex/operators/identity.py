@@ -110,3 +110,45 @@ def merged_edges(evidence: DataFrame, pair: list[str], rank: str, status: str, s
         F.count(F.lit(1)).alias("evidence_count"),
         F.slice(F.array_sort(F.collect_set(proof)), 1, most).alias("evidence"),
     )
+
+
+def root_candidates(nodes: DataFrame) -> DataFrame:
+    """(node, target, alias_class): keys whose legal or organisational root, or whose initials, are another key of the same scope and part.
+
+    ``nodes(node, scope, part, key)``; equi-joins on the derived key. They are only ever
+    candidates for review. Generic keys and initials tie nothing.
+    """
+    key = F.col("key")
+    plain = nodes.where(~T.is_generic(key))
+    derived = F.array(
+        F.struct(F.lit("A2_LEGAL_SUFFIX").alias("alias_class"), T.strip_ending(key, T.LEGAL_ENDINGS).alias("to")), F.struct(F.lit("A3_ORG_SUFFIX").alias("alias_class"), T.strip_ending(key, T.GROUP_ENDINGS).alias("to")),
+        F.struct(F.lit("B1_ACRONYM").alias("alias_class"), F.when(~T.acronym(key).isin(*T.SOFT_GENERIC, *T.HARD_GENERIC), T.acronym(key)).alias("to")),
+    )
+    wanted = plain.select("node", "scope", "part", "key", F.explode(derived).alias("d")).select("node", "scope", "part", "key", "d.*").where("to is not null and to <> '' and to <> key")
+    return wanted.join(nodes.select("scope", "part", F.col("key").alias("to"), F.col("node").alias("target")), ["scope", "part", "to"]).select("node", "target", "alias_class")
+
+
+def rewrite_aliases(nodes: DataFrame, guard: int = 64) -> DataFrame:
+    """(a, b): nodes of one vendor and part whose product keys are one when rewritten."""
+    keyed = nodes.select("node", "vendor", "part", T.rewritten_product(F.col("vendor"), F.col("product")).alias("rewritten"))
+    return bucket_pairs(keyed, "node", ["vendor", "rewritten", "part"], guard).select("a", "b")
+
+
+#: How much a pair's origin, or else the confidence in it, counts.
+ORIGIN_PRIORITY = {"manual_registry": 100, "identity_hard_distinct": 90, "product_relation": 80}
+CONFIDENCE_PRIORITY = {"algorithm_accepted": 70, "bounded_heuristic": 60, "inclusive_provisional": 55, "inclusive_candidate": 50, "review_candidate": 10}
+
+
+def pair_priority(origin: Column, confidence: Column) -> Column:
+    table = lambda of, c: F.create_map(*[F.lit(x) for kv in of.items() for x in kv])[c]
+    return F.coalesce(table(ORIGIN_PRIORITY, origin), table(CONFIDENCE_PRIORITY, confidence), F.lit(20))
+
+
+def classified_pairs(cases: DataFrame, arrival: str) -> DataFrame:
+    """One case of each axis and unordered pair: of the highest priority, the first to arrive; nodes paired with themselves are none.
+
+    ``cases(axis, left, right, class_code, origin, confidence, <arrival>)``.
+    """
+    ordered = cases.where("left <> right").withColumn("a", F.least("left", "right")).withColumn("b", F.greatest("left", "right")).withColumn("priority", pair_priority(F.col("origin"), F.col("confidence")))
+    row = F.struct("class_code", "origin", "confidence", "priority")
+    return ordered.groupBy("axis", "a", "b").agg(F.max_by(row, F.struct("priority", (-F.col(arrival)).alias("first"))).alias("x")).select("axis", "a", "b", "x.*")

@@ -79,3 +79,12 @@ def fold_intervals(intervals: Column) -> Column:
         return F.when((F.size(done) > 0) & (x["lower"] <= last["upper"]), joined).otherwise(F.concat(done, F.array(x)))
 
     return F.when(F.size(intervals) == 0, intervals).otherwise(F.aggregate(F.array_sort(intervals), empty, lambda d, x: F.when(F.size(d) == 0, F.array(x)).otherwise(step(d, x))))
+
+
+def fixed_by_series(boundaries: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, series, fixed): the greatest verified fixed version of each series, as text; all patches must be in.
+
+    ``boundaries(keys, series, fixed, verification)``; a boundary counts if nothing or ``ok`` is said of its verification.
+    """
+    good = boundaries.where(F.coalesce("verification", F.lit("ok")) == "ok").where(F.coalesce("fixed", F.lit("")) != "")
+    return good.groupBy(*keys, "series").agg(F.max("fixed").alias("fixed"))

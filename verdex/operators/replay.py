@@ -81,3 +81,21 @@ def record_groups(records: DataFrame, record: str, keys: list[str]) -> DataFrame
     grouped = named.join(least, "component").select(record, "group")
     every = records.select(F.col(record).cast("string").alias(record)).distinct()
     return every.join(grouped, record, "left").select(record, F.coalesce("group", record).alias("group"))
+
+
+def stratum(bindings: Column, description: Column) -> Column:
+    """Buckets by which splits are balanced: how many bindings, how long a description, what shape of ranges.
+
+    ``bindings`` is an array<struct<..., version_ranges: array<struct<start, start_inclusive, end, end_inclusive>>>>.
+    """
+    n, length = F.coalesce(F.array_size(bindings), F.lit(0)), F.char_length(F.coalesce(description, F.lit("")))
+    count = F.when(n == 0, "0").when(n == 1, "1").when(n <= 3, "2-3").otherwise("4+")
+    size = F.when(length <= 512, "<=512").when(length <= 1024, "513-1024").when(length <= 2048, "1025-2048").otherwise("2049+")
+
+    def shape(r: Column) -> Column:
+        point = (r["start"] == r["end"]) & r["start_inclusive"] & r["end_inclusive"]
+        return F.when(r["start"].isNull() & r["end"].isNull(), "no-version").when(F.coalesce(point, F.lit(False)), "exact").when(r["start"].isNull(), "upper").when(r["end"].isNull(), "lower").otherwise("bounded")
+
+    shapes = F.array_distinct(F.flatten(F.transform(bindings, lambda b: F.transform(b["version_ranges"], shape))))
+    form = F.when(n == 0, "empty-bindings").when(F.array_size(shapes) == 1, F.get(shapes, F.lit(0))).otherwise("mixed")
+    return F.struct(count.alias("bindings"), size.alias("length"), form.alias("shape"))

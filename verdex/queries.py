@@ -678,6 +678,78 @@ def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.merged_edges(evidence, ["l_partkey", "l_suppkey"], "rank", "status", "strict", "l_orderkey").drop("evidence")
 
 
+_BRANDS = ("acme", "acme_inc", "acme_labs", "a_c_me", "bolt_project", "core", "poc_tool", "microsoft")
+_BRAND_PRODUCTS = ("acme", "bolt", "ac_me", "core", "windows_10_version_1809", "windows_10_1809_server_core_installation", "gnu_image_program", "gip")
+
+
+@query("""with x as (select p_partkey, ['acme', 'acme_inc', 'acme_labs', 'a_c_me', 'bolt_project', 'core', 'poc_tool', 'microsoft'][p_partkey % 8 + 1] as v, ['acme', 'bolt', 'ac_me', 'core', 'windows_10_version_1809', 'windows_10_1809_server_core_installation', 'gnu_image_program', 'gip'][p_size % 8 + 1] as p from part)
+  select p_partkey, case when v = p then 'exact' when replace(v, '_', '') = replace(p, '_', '') then 'separator' when v = 'acme_inc' and p in ('acme', 'ac_me') then 'legal_root' when v = 'acme_labs' and p in ('acme', 'ac_me') or v = 'bolt_project' and p = 'bolt' then 'org_root' end as relation,
+    case when v = 'microsoft' and p like 'windows%' then case when p like '%version%' then 'windows_10_1809' else 'windows_10_1809' end else p end as rewritten, v in ('core', 'poc_tool') as generic from x""")
+def brand_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, p = _at(_BRANDS, F.col("p_partkey") % 8), _at(_BRAND_PRODUCTS, F.col("p_size") % 8)
+    named = table(spark, sf_dir, "part").select("p_partkey", v.alias("v"), p.alias("p"))
+    return named.select("p_partkey", T.self_brand(F.col("v"), F.col("p")).alias("relation"), T.rewritten_product(F.col("v"), F.col("p")).alias("rewritten"), T.is_generic(F.col("v")).alias("generic"))
+
+
+_ROOT_KEYS = ("acme", "acme_inc", "acme_labs", "gnu_image_program", "gip", "server", "poc_inc", "core_systems")
+
+
+@query("""with n as (select p_partkey as node, p_partkey % 97 as scope, ['a', 'o'][p_size % 2 + 1] as part, ['acme', 'acme_inc', 'acme_labs', 'gnu_image_program', 'gip', 'server', 'poc_inc', 'core_systems'][p_partkey % 8 + 1] as k from part),
+  d as (select node, scope, part, 'A2_LEGAL_SUFFIX' as alias_class, 'acme' as t from n where k = 'acme_inc' union all select node, scope, part, 'A3_ORG_SUFFIX', case k when 'acme_labs' then 'acme' else 'core' end from n where k in ('acme_labs', 'core_systems')
+    union all select node, scope, part, 'B1_ACRONYM', case k when 'acme_inc' then 'ai' when 'acme_labs' then 'al' when 'gnu_image_program' then 'gip' when 'core_systems' then 'cs' end from n where k in ('acme_inc', 'acme_labs', 'gnu_image_program', 'core_systems'))
+  select d.node, n.node as target, alias_class from d join n on n.scope = d.scope and n.part = d.part and n.k = d.t""")
+def root_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    nodes = table(spark, sf_dir, "part").select(k.alias("node"), (k % 97).alias("scope"), _at(("a", "o"), F.col("p_size") % 2).alias("part"), _at(_ROOT_KEYS, k % 8).alias("key"))
+    return identity.root_candidates(nodes)
+
+
+@query("""with n as (select p_partkey as node, case when p_partkey % 3 = 0 then 'microsoft' else 'other' end as v, p_size % 4 as part, case p_partkey % 4 when 0 then 'windows_10_version_' || p_partkey % 300 when 1 then 'windows_10_' || p_partkey % 300 when 2 then 'windows_10_' || p_partkey % 300 || '_server_core_installation' else 'windows_11_version_' || p_partkey % 300 || '_edition_server_core_installation' end as p,
+    case p_partkey % 4 when 3 then 'windows_11_' else 'windows_10_' end || p_partkey % 300 as w from part), r as (select node, v, part, case v when 'microsoft' then w else p end as k from n)
+  select x.node as a, y.node as b from r x join r y using (v, part, k) where x.node < y.node""")
+def rewrite_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    n = k % 300
+    name = F.when(k % 4 == 0, F.concat(F.lit("windows_10_version_"), n)).when(k % 4 == 1, F.concat(F.lit("windows_10_"), n)).when(k % 4 == 2, F.concat(F.lit("windows_10_"), n, F.lit("_server_core_installation"))).otherwise(F.concat(F.lit("windows_11_version_"), n, F.lit("_edition_server_core_installation")))
+    nodes = table(spark, sf_dir, "part").select(k.alias("node"), F.when(k % 3 == 0, "microsoft").otherwise("other").alias("vendor"), (F.col("p_size") % 4).alias("part"), name.alias("product"))
+    # At scale many parts share a name here, which real catalogues don't.
+    return identity.rewrite_aliases(nodes, guard=1 << 20)
+
+
+@query("""with c as (select l_linenumber % 2 as axis, least(l_partkey % 40, l_suppkey % 40) as a, greatest(l_partkey % 40, l_suppkey % 40) as b, 'c' || l_orderkey % 5 as class_code, case l_linenumber when 1 then 'manual_registry' when 2 then 'identity_hard_distinct' when 3 then 'product_relation' else 'other' end as origin,
+    ['algorithm_accepted', 'bounded_heuristic', 'inclusive_provisional', 'inclusive_candidate', 'review_candidate', 'unheard'][l_orderkey % 6 + 1] as confidence, l_orderkey * 10 + l_linenumber as n from lineitem where l_quantity > 45 and l_linenumber > 1),
+  p as (select *, case origin when 'manual_registry' then 100 when 'identity_hard_distinct' then 90 when 'product_relation' then 80 else case confidence when 'algorithm_accepted' then 70 when 'bounded_heuristic' then 60 when 'inclusive_provisional' then 55 when 'inclusive_candidate' then 50 when 'review_candidate' then 10 else 20 end end as priority from c where a <> b)
+  select axis, a, b, class_code, origin, confidence, priority from (select *, row_number() over (partition by axis, a, b order by priority desc, n) as k from p) where k = 1""")
+def classified_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    n = c("l_linenumber")
+    origin = F.when(n == 1, "manual_registry").when(n == 2, "identity_hard_distinct").when(n == 3, "product_relation").otherwise("other")
+    cases = table(spark, sf_dir, "lineitem").where("l_quantity > 45 and l_linenumber > 1").select(
+        (n % 2).alias("axis"), (c("l_partkey") % 40).alias("left"), (c("l_suppkey") % 40).alias("right"), F.concat(F.lit("c"), c("l_orderkey") % 5).alias("class_code"), origin.alias("origin"),
+        _at(("algorithm_accepted", "bounded_heuristic", "inclusive_provisional", "inclusive_candidate", "review_candidate", "unheard"), c("l_orderkey") % 6).alias("confidence"), (c("l_orderkey") * 10 + n).alias("arrival"),
+    )
+    return identity.classified_pairs(cases, "arrival")
+
+
+@query("""select l_orderkey, 's' || l_suppkey % 3 as series, max('v' || cast(l_quantity as int)) as fixed from lineitem where l_returnflag <> 'N' and l_linenumber % 4 > 0 group by 1, 2""")
+def fixed_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    said = F.when(c("l_returnflag") == "A", "ok").when(c("l_returnflag") == "N", "not an ancestor")
+    found = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("s"), c("l_suppkey") % 3).alias("series"), F.when(c("l_linenumber") % 4 > 0, F.concat(F.lit("v"), c("l_quantity").cast("int"))).alias("fixed"), said.alias("verification"))
+    return intervals.fixed_by_series(found, ["l_orderkey"])
+
+
+@query("""with r as (select l_orderkey, l_linenumber, case l_linenumber % 5 when 0 then 'no-version' when 1 then 'exact' when 2 then 'upper' when 3 then 'lower' else 'bounded' end as shape from lineitem where l_quantity > 25), g as (select l_orderkey, count(*) as n, count(distinct shape) as k, any_value(shape) as s from r group by 1)
+  select o_orderkey, case when n is null then '0' when n = 1 then '1' when n <= 3 then '2-3' else '4+' end as bindings, case when o_custkey % 3000 <= 512 then '<=512' when o_custkey % 3000 <= 1024 then '513-1024' when o_custkey % 3000 <= 2048 then '1025-2048' else '2049+' end as length, case when n is null then 'empty-bindings' when k = 1 then s else 'mixed' end as shape from orders left join g on o_orderkey = l_orderkey""")
+def record_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber") % 5
+    text = lambda cond, value: F.when(cond, F.lit(value))
+    span = F.struct(text(n.isin(1, 3, 4), "1").alias("start"), (n != 0).alias("start_inclusive"), F.when(n == 1, "1").when(n.isin(2, 4), "9").alias("end"), F.lit(True).alias("end_inclusive"))
+    bound = table(spark, sf_dir, "lineitem").where("l_quantity > 25").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.lit("v").alias("vendor"), F.array(span).alias("version_ranges"))).alias("bindings"))
+    records_of = table(spark, sf_dir, "orders").join(bound, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return records_of.select("o_orderkey", replay.stratum(F.col("bindings"), F.repeat(F.lit("x"), (F.col("o_custkey") % 3000).cast("int"))).alias("s")).select("o_orderkey", "s.*")
+
+
 # -- repositories and URLs ---------------------------------------------------------------------------------------------
 
 
