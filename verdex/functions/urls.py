@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import ascii_key
@@ -72,36 +72,46 @@ _UPTO = r"(?i)versions\s+up\s+to\s+\((including|excluding)\)\s+(\S+)"
 _BETWEEN = r"(?i)versions\s+from\s+\((including|excluding)\)\s+(\S+)\s+up\s+to\s+\((including|excluding)\)\s+(\S+)"
 
 
-def prose_matches(text: Column) -> Column:
-    """array<struct<vulnerable, criteria, start_including, start_excluding, end_including, end_excluding, problem>> of the lines of a change's text that name platforms.
+def prose_lines(text: Column) -> Column:
+    """The lines of a change's text that name platforms."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c]"), lambda x: F.trim(x))
+    return F.filter(lines, lambda x: F.lower(x).contains("cpe:2.3:"))
+
+
+def prose_matches(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` once for each line of ``text`` that names a platform, with vulnerable, criteria, start_including, start_excluding, end_including, end_excluding and problem.
 
     A star before a name marks it as vulnerable; after it come a range, one end, or that
     earlier versions are meant too, which makes the name's own version the upper end. A line
     whose name or range can't be read has a ``problem`` and nothing else.
     """
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c]"), lambda x: F.trim(x)), lambda x: F.lower(x).contains("cpe:2.3:"))
-
-    def read(line: Column) -> Column:
-        name = F.regexp_replace(F.regexp_extract(line, _LINE, 2), "[,.;]+$", "")
-        tail = F.regexp_replace(line, r"(?i)^.*?cpe:2\.3:\S+?(?=\s+versions\b|\s+\(and previous\)|\s*$)", "")
-        between, upto, since = F.regexp_extract(tail, _BETWEEN, 1) != "", F.regexp_extract(tail, _UPTO, 1) != "", F.regexp_extract(tail, _FROM, 1) != ""
-        fields = F.split(name, r"(?<!\\):")
-        version = F.get(fields, F.lit(5))
-        earlier = F.lower(tail).contains("(and previous)") & ~version.isin("", "*", "-")
-        any_version = F.concat_ws(":", F.slice(fields, F.lit(1), F.lit(5)), F.lit("*"), F.slice(fields, F.lit(7), F.lit(7)))
-        problem = F.when(F.regexp_extract(line, _LINE, 2) == "", "unparsed_cpe_line").when((F.size(fields) != 13) | ~F.lower(name).startswith("cpe:2.3:"), "invalid_cpe_line").when(~between & ~upto & ~since & ~earlier & F.lower(tail).contains("versions"), "unsupported_version_phrase")
-        low_kind = F.when(between, F.lower(F.regexp_extract(tail, _BETWEEN, 1))).when(~upto & since, F.lower(F.regexp_extract(tail, _FROM, 1)))
-        low = F.when(between, F.regexp_extract(tail, _BETWEEN, 2)).when(~upto & since, F.regexp_extract(tail, _FROM, 2))
-        high_kind = F.when(between, F.lower(F.regexp_extract(tail, _BETWEEN, 3))).when(upto, F.lower(F.regexp_extract(tail, _UPTO, 1))).when(~since & earlier, "including")
-        high = F.when(between, F.regexp_extract(tail, _BETWEEN, 4)).when(upto, F.regexp_extract(tail, _UPTO, 2)).when(~since & earlier, F.regexp_replace(version, r"\\(.)", "$1"))
-        ok = problem.isNull()
-        end = lambda kind, value, which: F.when(ok & (kind == which), value)
-        return F.struct(
-            F.when(ok, F.regexp_extract(line, _LINE, 1) == "*").alias("vulnerable"), F.when(ok, F.when(~between & ~upto & ~since & earlier, any_version).otherwise(name)).alias("criteria"), end(low_kind, low, "including").alias("start_including"),
-            end(low_kind, low, "excluding").alias("start_excluding"), end(high_kind, high, "including").alias("end_including"), end(high_kind, high, "excluding").alias("end_excluding"), problem.alias("problem"),
-        )
-
-    return F.transform(lines, read)
+    c = lambda name: F.col(f"_p_{name}")
+    step = lambda df, **columns: df.withColumns({f"_p_{k}": v for k, v in columns.items()})
+    found = df.withColumn("_p_line", F.explode(prose_lines(text)))
+    found = step(found, name=F.regexp_extract(c("line"), _LINE, 2), star=F.regexp_extract(c("line"), _LINE, 1) == "*", tail=F.regexp_replace(c("line"), r"(?i)^.*?cpe:2\.3:\S+?(?=\s+versions\b|\s+\(and previous\)|\s*$)", ""))
+    found = step(found, read=c("name") != "", name=F.regexp_replace(c("name"), "[,.;]+$", ""), low=F.lower(c("tail")))
+    found = step(found, fields=F.split(c("name"), r"(?<!\\):"), ranged=F.regexp_extract(c("tail"), _BETWEEN, 1), upto=F.regexp_extract(c("tail"), _UPTO, 1), since=F.regexp_extract(c("tail"), _FROM, 1))
+    between, upto, since = c("ranged") != "", c("upto") != "", c("since") != ""
+    found = step(found, version=F.get(c("fields"), F.lit(5)))
+    found = step(found, earlier=~between & ~upto & ~since & c("low").contains("(and previous)") & ~c("version").isin("", "*", "-"))
+    problem = (
+        F.when(~c("read"), "unparsed_cpe_line")
+        .when((F.size(c("fields")) != 13) | ~F.lower(c("name")).startswith("cpe:2.3:"), "invalid_cpe_line")
+        .when(~between & ~upto & ~since & ~c("earlier") & c("low").contains("versions"), "unsupported_version_phrase")
+    )
+    found = step(
+        found, problem=problem, low_kind=F.when(between, F.lower(c("ranged"))).when(~upto & since, F.lower(c("since"))), low_end=F.when(between, F.regexp_extract(c("tail"), _BETWEEN, 2)).when(~upto & since, F.regexp_extract(c("tail"), _FROM, 2)),
+        high_kind=F.when(between, F.lower(F.regexp_extract(c("tail"), _BETWEEN, 3))).when(upto, F.lower(c("upto"))).when(c("earlier"), "including"),
+        high_end=F.when(between, F.regexp_extract(c("tail"), _BETWEEN, 4)).when(upto, F.regexp_extract(c("tail"), _UPTO, 2)).when(c("earlier"), F.regexp_replace(c("version"), r"\\(.)", "$1")),
+    )
+    ok = c("problem").isNull()
+    any_version = F.concat_ws(":", F.slice(c("fields"), F.lit(1), F.lit(5)), F.lit("*"), F.slice(c("fields"), F.lit(7), F.lit(7)))
+    end = lambda kind, value, which: F.when(ok & (c(kind) == which), c(value))
+    out = found.withColumns({
+        "vulnerable": F.when(ok, c("star")), "criteria": F.when(ok, F.when(c("earlier"), any_version).otherwise(c("name"))), "start_including": end("low_kind", "low_end", "including"), "start_excluding": end("low_kind", "low_end", "excluding"),
+        "end_including": end("high_kind", "high_end", "including"), "end_excluding": end("high_kind", "high_end", "excluding"), "problem": c("problem"),
+    })
+    return out.drop(*[x for x in out.columns if x.startswith("_p_")])
 
 
 def cve_ids(text: Column) -> Column:

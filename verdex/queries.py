@@ -1175,8 +1175,8 @@ def history_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, k = F.col("l_quantity").cast("int"), F.col("l_orderkey") % 5
     tail = F.when(k == 0, F.concat(F.lit(" versions from (including) "), q, F.lit(" up to (excluding) "), q + 2)).when(k == 1, F.concat(F.lit(" versions up to (including) "), q + 1)).when(k == 2, " (and previous)").when(k == 3, " versions before that").otherwise("")
     line = F.concat(F.lit("OR\n  "), F.when(F.col("l_linenumber") % 2 == 0, "*").otherwise(""), F.lit("cpe:2.3:a:v:p"), "l_partkey", F.lit(":"), q, F.lit(":*:*:*:*:*:*:*"), tail)
-    found = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.explode(urls.prose_matches(line)).alias("m"))
-    return found.select("l_orderkey", "l_linenumber", *[f"m.{c}" for c in ("vulnerable", "criteria", "start_including", "end_including", "end_excluding", "problem")])
+    found = urls.prose_matches(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", line.alias("text")), F.col("text"))
+    return found.select("l_orderkey", "l_linenumber", "vulnerable", "criteria", "start_including", "end_including", "end_excluding", "problem")
 
 
 # -- nested records ----------------------------------------------------------------------------------------------------
