@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tri import tri_and
+from ..plans.skew import first_values
 
 #: The states of a subject.
 STATES = ("affected", "potentially_affected", "not_affected_asserted", "not_affected_out_of_range", "not_applicable", "conflict_review", "product_only_observation", "insufficient_data")
@@ -209,9 +210,11 @@ def evidence_winner(affected: Column, unaffected: Column) -> Column:
     )
 
 
-def corroboration(df: DataFrame, keys: list[str], fingerprint: list[str], source: str) -> DataFrame:
-    """Assertions that say the same: how many, from how many sources, and the first sixteen sources."""
-    return df.groupBy(*keys, *fingerprint).agg(F.count(F.lit(1)).alias("assertions"), F.count_distinct(source).alias("sources"), F.slice(F.array_sort(F.collect_set(source)), 1, 16).alias("examples"))
+def corroboration(df: DataFrame, keys: list[str], fingerprint: list[str], source: str, examples: int = 16) -> DataFrame:
+    """Assertions that say the same: how many, from how many sources, and the first few sources, if any are asked for."""
+    group = [*keys, *fingerprint]
+    counted = df.groupBy(*group).agg(F.count(F.lit(1)).alias("assertions"), F.count_distinct(source).alias("sources"))
+    return counted.join(first_values(df, group, source, examples, "examples"), group, "left") if examples else counted
 
 
 def node_truth(operator: Column, negate: Column, falses: Column, unknowns: Column, trues: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.skew import first_values
 
 
 def bucket_pairs(nodes: DataFrame, node: str, bucket: list[str], guard: int = 64) -> DataFrame:
@@ -94,22 +95,24 @@ def match_level(left: DataFrame, right: DataFrame, subject: str) -> DataFrame:
 
 
 def cooccurring(df: DataFrame, keys: list[str], item: str, examples: int = 8) -> DataFrame:
-    """Pairs of different items met under one key: how many keys, and the first few of them."""
+    """Pairs of different items met under one key: how many keys, and the first few of them, if any are asked for."""
     one = df.select(*keys, item).distinct()
     a, b = one.withColumnRenamed(item, "left_item"), one.withColumnRenamed(item, "right_item")
     pairs = a.join(b, keys).where("left_item < right_item")
-    return pairs.groupBy("left_item", "right_item").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set(keys[0])), 1, examples).alias("examples"))
+    pair = ["left_item", "right_item"]
+    counted = pairs.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(first_values(pairs, pair, keys[0], examples, "examples"), pair, "left") if examples else counted
 
 
 def merged_edges(evidence: DataFrame, pair: list[str], rank: str, status: str, strict: str, proof: str, most: int = 32) -> DataFrame:
-    """One edge of each pair from all evidence: a rejection stays, else the best rank's status; strict if any is; bounded proof."""
-    return evidence.groupBy(*pair).agg(
+    """One edge of each pair from all evidence: a rejection stays, else the best rank's status; strict if any is; at most ``most`` proofs."""
+    merged = evidence.groupBy(*pair).agg(
         F.when(F.bool_or(F.col(status) == "rejected"), "rejected").otherwise(F.min_by(status, F.struct(rank, status))).alias("status"),
         F.min(rank).alias("rank"),
         F.bool_or(strict).alias("strict"),
         F.count(F.lit(1)).alias("evidence_count"),
-        F.slice(F.array_sort(F.collect_set(proof)), 1, most).alias("evidence"),
     )
+    return merged.join(first_values(evidence, pair, proof, most, "evidence"), pair, "left") if most else merged
 
 
 def root_candidates(nodes: DataFrame) -> DataFrame:

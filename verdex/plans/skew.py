@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: At most this many keys are called hot, whatever the table: so many bound the list that goes to all tasks.
@@ -16,24 +16,43 @@ def hot_limit(total: int) -> int:
     return max(HOT_ROWS, total // HOT_KEYS)
 
 
-def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
-    """(key, _salts): the keys with more than :func:`hot_limit` of ``total`` rows, and among how many tasks each is dealt."""
+def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame | None:
+    """(key, _salts): the keys with more than :func:`hot_limit` of ``total`` rows, and among how many tasks each is dealt; none if there are none."""
+    if total <= hot_limit(total):
+        return None
     return hot_counts(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key, "_n", total)
 
 
-def hot_counts(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """:func:`hot_keys` where the keys are counted already."""
+def hot_counts(counts: DataFrame, key: str, n: str, total: int) -> DataFrame | None:
+    """:func:`hot_keys` where the keys are counted already. HOT_KEYS bounds what comes to the driver."""
     limit = hot_limit(total)
-    return counts.where(F.col(n) > limit).select(key, F.ceil(F.col(n) / limit).cast("int").alias("_salts"))
+    if total <= limit:
+        return None
+    found = counts.where(F.col(n) > limit).select(key, F.ceil(F.col(n) / limit).cast("int").alias("_salts"))
+    hot = found.collect()
+    return counts.sparkSession.createDataFrame(hot, found.schema) if hot else None
 
 
-def salted_join(rows: DataFrame, other: DataFrame, key: str, hot: DataFrame, spread: Column, how: str = "inner") -> DataFrame:
+def salted_join(rows: DataFrame, other: DataFrame, key: str, hot: DataFrame | None, spread: Column, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``other`` by ``key``, rows of a hot key dealt by ``spread``, what they meet repeated for each part.
 
-    Only the list of hot keys is broadcast; HOT_KEYS bounds it. ``how`` may be inner or left.
+    Only the list of hot keys is broadcast; without any, this is the plain join. ``how`` may
+    be inner or left.
     """
+    if hot is None:
+        return rows.join(other, key, how)
     hot = F.broadcast(hot)
     salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"))
     dealt = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_salts")
     copies = other.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+
+
+def first_values(rows: DataFrame, group: list[str], value: str, most: int, name: str) -> DataFrame:
+    """(group, name): the ``most`` least distinct values of each group, sorted.
+
+    The rank is cut before rows are shuffled as well as after, so that no group's values
+    meet in one task beyond that many from each.
+    """
+    ranked = rows.select(*group, value).where(F.col(value).isNotNull()).distinct().withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(value)))
+    return ranked.where(F.col("_rank") <= most).groupBy(*group).agg(F.array_sort(F.collect_list(value)).alias(name))

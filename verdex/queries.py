@@ -377,10 +377,10 @@ def evidence_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("l_partkey", applicability.evidence_winner(c("affected"), c("unaffected")).alias("winner"))
 
 
-@query("""select l_partkey, l_returnflag, l_linestatus, count(*) as assertions, count(distinct l_suppkey % 10) as sources from lineitem group by 1, 2, 3""")
+@query("""select l_partkey, l_returnflag, l_linestatus, count(*) as assertions, count(distinct l_suppkey % 10) as sources, array_to_string(list_sort(list_distinct(list(l_suppkey % 10)))[:3], ',') as examples from lineitem group by 1, 2, 3""")
 def corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = table(spark, sf_dir, "lineitem").withColumn("origin", F.col("l_suppkey") % 10)
-    return applicability.corroboration(marked, ["l_partkey"], ["l_returnflag", "l_linestatus"], "origin").select("l_partkey", "l_returnflag", "l_linestatus", "assertions", "sources")
+    return applicability.corroboration(marked, ["l_partkey"], ["l_returnflag", "l_linestatus"], "origin", 3).select("l_partkey", "l_returnflag", "l_linestatus", "assertions", "sources", F.array_join("examples", ",").alias("examples"))
 
 
 @query("""with leaf as (select c_nationkey, case when c_acctbal < -990 then null else c_acctbal > 9990 end as t from customer),
@@ -667,15 +667,16 @@ def match_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with x as (select distinct user_id, cast(ts as date) - date '1970-01-01' as d, event_type from events) select a.event_type as left_item, b.event_type as right_item, count(*) as n from x a join x b using (user_id, d) where a.event_type < b.event_type group by 1, 2""")
 def pair_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.cooccurring(table(spark, sf_dir, "events").withColumn("d", day("ts")), ["user_id", "d"], "event_type").select("left_item", "right_item", "n")
+    return identity.cooccurring(table(spark, sf_dir, "events").withColumn("d", day("ts")), ["user_id", "d"], "event_type", examples=0).select("left_item", "right_item", "n")
 
 
 @query("""with e as (select l_partkey, l_suppkey, l_linenumber as rank, case when l_returnflag = 'R' then 'rejected' when l_returnflag = 'A' then 'accepted' else 'review' end as status, l_linestatus = 'F' as strict, l_orderkey from lineitem)
-  select l_partkey, l_suppkey, case when bool_or(status = 'rejected') then 'rejected' else arg_min(status, row(rank, status)) end as status, min(rank) as rank, bool_or(strict) as strict, count(*) as evidence_count from e group by 1, 2""")
+  select l_partkey, l_suppkey, case when bool_or(status = 'rejected') then 'rejected' else arg_min(status, row(rank, status)) end as status, min(rank) as rank, bool_or(strict) as strict, count(*) as evidence_count, array_to_string(list_sort(list_distinct(list(l_orderkey)))[:2], ',') as evidence from e group by 1, 2""")
 def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.col("l_returnflag")
     evidence = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", F.col("l_linenumber").alias("rank"), F.when(flag == "R", "rejected").when(flag == "A", "accepted").otherwise("review").alias("status"), (F.col("l_linestatus") == "F").alias("strict"), "l_orderkey")
-    return identity.merged_edges(evidence, ["l_partkey", "l_suppkey"], "rank", "status", "strict", "l_orderkey").drop("evidence")
+    merged = identity.merged_edges(evidence, ["l_partkey", "l_suppkey"], "rank", "status", "strict", "l_orderkey", most=2)
+    return merged.withColumn("evidence", F.array_join("evidence", ","))
 
 
 _BRANDS = ("acme", "acme_inc", "acme_labs", "a_c_me", "bolt_project", "core", "poc_tool", "microsoft")
