@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdex.llm import html_extract, media, quality, secret_scan, toxicity
+from verdex.plans import skew
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string"
 
@@ -445,7 +446,9 @@ def neutral_page(r, i):
     return page, "\n\n".join([f"Head {i}", *body, *([f"motion {i}"] if extra else [])])
 
 
-def test_neutral_names_need_the_other_pages(spark):
+@pytest.mark.parametrize("hot", [5, 1000])
+def test_neutral_names_need_the_other_pages(spark, monkeypatch, hot):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
     r = random.Random(7)
     made = [neutral_page(r, i) for i in range(40)]
     rows = [(i, f"https://a.example/{i}", page) for i, (page, _) in enumerate(made)]

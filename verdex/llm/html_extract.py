@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.skew import hot_counts, hot_keys, salted_join
 from .common import bound_batches, rows, staged
 
 #: Elements that make no block of their own, whose content is no markup, that hold no shown text, and that HTML itself sets apart from the article.
@@ -370,7 +371,7 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for hosts, skeletons, references in rows(batches, "host", "skeleton", "reference"):
+    for hosts, skeletons, references, counts in rows(batches, "host", "skeleton", "reference", "rows"):
         slots = []
         for skeleton, reference in zip(skeletons, references):
             tree = json.loads(skeleton)
@@ -378,7 +379,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in simple_tree_matching(tree, json.loads(reference)):
                 found[a] = b
             slots.append(found)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(skeletons, pa.string()), pa.array(slots, pa.list_(pa.int32()))], ["host", "skeleton", "slots"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(skeletons, pa.string()), pa.array(slots, pa.list_(pa.int32())), pa.array(counts, pa.int64())], ["host", "skeleton", "slots", "rows"])
 
 
 def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,16 +395,16 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for hosts, skeletons, slots, classes in rows(batches, "host", "skeleton", "slots", "classes"):
+    for hosts, skeletons, slots, classes, counts in rows(batches, "host", "skeleton", "slots", "classes", "rows"):
         kept = []
         for skeleton, found, known in zip(skeletons, slots, classes):
             nodes = _inherit(known, found, *_preorder(json.loads(skeleton)))
             kept.append([i for i, c in enumerate(nodes) if c == KEEP])
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(skeletons, pa.string()), pa.array(kept, pa.list_(pa.int32()))], ["host", "skeleton", "kept"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(skeletons, pa.string()), pa.array(kept, pa.list_(pa.int32())), pa.array(counts, pa.int64())], ["host", "skeleton", "kept", "rows"])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, skeleton, kept): the nodes of each shape of page that hold its article.
+    """(host, skeleton, kept, rows): the nodes of each shape of page that hold its article, and how many pages have it.
 
     Hosts with fewer than LEAST_PAGES different pages are one host, POOL, for this. Equal pages of a host count once, and those of one skeleton are added up, before
     anything moves. The commonest skeleton is the host's reference; each other one is
@@ -412,20 +413,24 @@ def wrappers(pages: DataFrame) -> DataFrame:
     parent is.
     """
     shapes = pages.select("url", "html").mapInArrow(_shapes, "host string, skeleton string, keys array<long>, chars array<long>, linked array<long>")
-    shapes = staged(shapes.groupBy("host", "skeleton", "keys").agg(F.first("chars").alias("chars"), F.first("linked").alias("linked")), "html-shapes")
-    few = shapes.groupBy("host").agg(F.count(F.lit(1)).alias("n")).select("host", (F.col("n") < LEAST_PAGES).alias("few"))
-    shapes = shapes.join(few, "host").withColumn("host", F.when(F.col("few"), POOL).otherwise(F.col("host"))).drop("few")
-    counted = shapes.groupBy("host", "skeleton").agg(F.count(F.lit(1)).alias("n"))
-    hosts = counted.groupBy("host").agg(F.max(F.struct("n", "skeleton")).alias("top"), F.sum("n").alias("pages")).select("host", F.col("top.skeleton").alias("reference"), "pages")
-    aligned = staged(counted.join(hosts, "host").select("host", "skeleton", "reference").mapInArrow(_aligned, "host string, skeleton string, slots array<int>"), "html-aligned")
+    shapes = staged(shapes.groupBy("host", "skeleton", "keys").agg(F.first("chars").alias("chars"), F.first("linked").alias("linked"), F.count(F.lit(1)).alias("copies")), "html-shapes")
+    counted = staged(shapes.groupBy("host", "skeleton").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows")), "html-counts")
+    sites = counted.groupBy("host").agg(F.sum("n").alias("n")).select("host", F.when(F.col("n") < LEAST_PAGES, POOL).otherwise(F.col("host")).alias("site"))
+    # From here on rows are shapes of pages, not pages; a host of very many shapes is dealt to several tasks.
+    many = hot_keys(counted, "host", counted.count())
+    by_host = lambda rows, other: salted_join(rows, other, "host", many, F.col("skeleton"))
     nodes = shapes.select("host", "skeleton", F.posexplode(F.arrays_zip("keys", "chars", "linked")).alias("node", "at")).where("at.keys is not null")
     nodes = nodes.groupBy("host", "skeleton", "node").agg(F.count(F.lit(1)).alias("n"), F.min("at.keys").alias("low"), F.max("at.keys").alias("high"), F.sum("at.chars").alias("chars"), F.sum("at.linked").alias("linked"))
-    slots = nodes.join(aligned, ["host", "skeleton"]).withColumn("slot", F.element_at("slots", F.col("node") + 1)).where("slot >= 0")
-    slots = slots.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    added = lambda rows, keys: rows.groupBy(F.col("site").alias("host"), *keys).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    nodes = added(by_host(nodes, sites), ["skeleton", "node"])
+    counted = staged(by_host(counted, sites).groupBy(F.col("site").alias("host"), "skeleton").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")), "html-sites")
+    hosts = counted.groupBy("host").agg(F.max(F.struct("n", "skeleton")).alias("top"), F.sum("n").alias("pages")).select("host", F.col("top.skeleton").alias("reference"), "pages")
+    aligned = staged(by_host(counted, hosts).select("host", "skeleton", "reference", "rows").mapInArrow(_aligned, "host string, skeleton string, slots array<int>, rows long"), "html-aligned")
+    slots = nodes.join(aligned, ["host", "skeleton"]).withColumn("slot", F.element_at("slots", F.col("node") + 1)).where("slot >= 0").withColumn("site", F.col("host"))
     # One row a host: as long as its reference, which is one page's.
-    stats = slots.groupBy("host").agg(F.collect_list(F.struct("slot", "n", "low", "high", "chars", "linked")).alias("stats"))
+    stats = added(slots, ["slot"]).groupBy("host").agg(F.collect_list(F.struct("slot", "n", "low", "high", "chars", "linked")).alias("stats"))
     classed = hosts.join(stats, "host").mapInArrow(_classed, "host string, classes array<int>").where("classes is not null")
-    return aligned.join(classed, "host").mapInArrow(_kept, "host string, skeleton string, kept array<int>")
+    return by_host(aligned, classed).mapInArrow(_kept, "host string, skeleton string, kept array<int>, rows long")
 
 
 def shown(page: Page) -> frozenset[int]:
@@ -485,10 +490,10 @@ def extract(pages: DataFrame, wrapper_bytes: int = WRAPPER_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages(page_id, url, html, ...)``.
 
     Null html counts as empty and gives the empty text. A page whose URL has no host has
-    no wrapper; one whose host has fewer than LEAST_PAGES different pages goes by that of all such hosts' pages; rows that repeat
-    count once for it and come out each; an empty table gives no rows. Wrappers go along with the
-    code where they take ``wrapper_bytes`` at most, else pages are joined with theirs by
-    host and skeleton.
+    no wrapper; one whose host has fewer than LEAST_PAGES different pages goes by that of
+    all such hosts' pages; rows that repeat count once for it and come out each; an empty
+    table gives no rows. Wrappers go along with the code where they take ``wrapper_bytes``
+    at most, else pages are joined with theirs by host and skeleton.
     """
     spark = pages.sparkSession
     bound_batches(spark)
@@ -499,6 +504,10 @@ def extract(pages: DataFrame, wrapper_bytes: int = WRAPPER_BYTES) -> DataFrame:
         known = {(r["host"], r["skeleton"]): frozenset(r["kept"]) for r in found.collect()}
         return pages.mapInArrow(_extract(known), EXTRACTED_SCHEMA)
     keyed = pages.mapInArrow(_keyed, "page_id long, url string, html string, host string, skeleton string")
-    pooled = found.where(F.col("host") == POOL).select("skeleton", F.col("kept").alias("pooled"))
-    own = keyed.join(found, ["host", "skeleton"], "left").join(pooled, "skeleton", "left")
+    # Shapes that very many pages have are dealt to several tasks.
+    keyed, total = keyed.withColumn("shape", F.concat_ws("\n", "host", "skeleton")), found.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    whole = found.where(F.col("host") != POOL).select(F.concat_ws("\n", "host", "skeleton").alias("shape"), "kept", "rows")
+    pooled = found.where(F.col("host") == POOL).select("skeleton", F.col("kept").alias("pooled"), "rows")
+    own = salted_join(keyed, whole.drop("rows"), "shape", hot_counts(whole, "shape", "rows", total), F.col("page_id"), "left")
+    own = salted_join(own, pooled.drop("rows"), "skeleton", hot_counts(pooled, "skeleton", "rows", total), F.col("page_id"), "left")
     return own.select("page_id", "url", "html", F.coalesce("kept", F.when(F.col("host").isNotNull(), F.col("pooled"))).alias("kept")).mapInArrow(_extract(None), EXTRACTED_SCHEMA)
