@@ -109,7 +109,7 @@ def _softmax(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
-def _trust(doc_at: np.ndarray, word_at: np.ndarray, gram_at: np.ndarray, starts: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _trust(doc_at: np.ndarray, word_at: np.ndarray, gram_at: np.ndarray, starts: np.ndarray, y: np.ndarray, n_buckets: int) -> np.ndarray:
     """How freely each bucket's embedding may move, between 0 and 1; none is left out.
 
     The number of documents of label 1 that hold a bucket is held against its mean and
@@ -117,7 +117,7 @@ def _trust(doc_at: np.ndarray, word_at: np.ndarray, gram_at: np.ndarray, starts:
     Averages over few words of a short document would otherwise carry the noise of buckets
     that tell nothing.
     """
-    number, positive = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    number, positive = np.zeros(n_buckets), np.zeros(n_buckets)
     order = np.argsort(doc_at, kind="stable")
     bounds = np.searchsorted(doc_at[order], np.arange(len(y) + 1))
     for d, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
@@ -152,10 +152,14 @@ class Bags:
             at, held = buckets(listed[i : i + CHUNK_WORDS])
             parts.append(held[np.argsort(at, kind="stable")])
             sizes.append(np.bincount(at, minlength=len(listed[i : i + CHUNK_WORDS])))
-        gram_at, self.sizes = np.concatenate(parts), np.concatenate(sizes)
+        self.gram_at, self.sizes = np.concatenate(parts), np.concatenate(sizes)
+        del parts
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.used, at = np.unique(gram_at, return_inverse=True)
-        self.gram_at = at.astype(np.int32)
+        # Buckets in use, numbered from 0 on in place: no copy of the n-grams is sorted.
+        self.used = np.flatnonzero(np.bincount(self.gram_at, minlength=BUCKETS))
+        place = np.zeros(BUCKETS, np.int32)
+        place[self.used] = np.arange(len(self.used), dtype=np.int32)
+        np.take(place, self.gram_at, out=self.gram_at)
         self.chunks = [(i, min(i + CHUNK_WORDS, len(index))) for i in range(0, len(index), CHUNK_WORDS)]
 
     def by_word(self, value: np.ndarray) -> np.ndarray:
@@ -169,7 +173,7 @@ class Bags:
 
     def trust(self, y: np.ndarray) -> np.ndarray:
         """:func:`_trust` of the buckets in use."""
-        return _trust(self.doc_at, self.word_at, self.used[self.gram_at], self.starts, y)[self.used]
+        return _trust(self.doc_at, self.word_at, self.gram_at, self.starts, y, len(self.used))
 
     def gradients(self, trust: np.ndarray, vectors: np.ndarray, softmax: np.ndarray, bias: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
         """Mean cross-entropy, and its gradients by the embeddings, the softmax's rows and the biases.
