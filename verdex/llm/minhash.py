@@ -238,22 +238,20 @@ def _classed(docs: DataFrame, percent: int) -> DataFrame:
     sets = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("cls", "text").mapInArrow(_candidates, "cls string, hashes binary, plane array<long>")
     sets = staged(sets.dropDuplicates(["cls"]), "minhash-sets")
     planes = sets.select("cls", "plane")
-    plane_of = lambda side: planes.select(F.col("cls").alias(side), F.col("plane").alias(f"plane_{side}"))
 
-    def linked(pairs: DataFrame, label: str) -> DataFrame:
-        """The pairs (a, b, ...) that hold on the full sets."""
-        pairs = staged(pairs, f"{label}-open")
+    def linked(pairs: DataFrame, label: str, estimate: Column | None = None) -> DataFrame:
+        """The pairs (a, b, ...) that hold on the full sets, of those whose estimate, if one is asked for, lets them."""
         n = pairs.count()
-        left, right = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("left")), sets.select(F.col("cls").alias("b"), F.col("hashes").alias("right"))
-        full = salted_join(pairs, left, "a", hot_keys(pairs, "a", n), F.col("b"))
-        full = salted_join(full, right, "b", hot_keys(pairs, "b", n), F.col("a")).select(*pairs.columns, "left", "right")
-        return staged(full.mapInArrow(_confirm(percent), pairs.schema), label)
+        side = lambda x, name: sets.select(F.col("cls").alias(x), F.col("hashes").alias(name), F.col("plane").alias(f"plane_{x}"))
+        full = salted_join(pairs, side("a", "left"), "a", hot_keys(pairs, "a", n), F.col("b"))
+        full = salted_join(full, side("b", "right"), "b", hot_keys(pairs, "b", n), F.col("a"))
+        full = full if estimate is None else full.where(estimate)
+        return staged(full.select(*pairs.columns, "left", "right").mapInArrow(_confirm(percent), pairs.schema), label)
 
     agreeing = agreeing_minima(F.col("plane_a"), F.col("plane_b"))
     open_from, linked_from = least_agreeing(percent), least_agreeing(percent, sigmas=0)
     star = staged(placed.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"), "rank").distinct(), "minhash-heads-and-members")
-    rays = salted_join(star, plane_of("a"), "a", hot_keys(star, "a", star.count()), F.col("b")).join(plane_of("b"), "b")
-    links = linked(rays.where(agreeing >= open_from).select("a", "b", "rank"), "minhash-star")
+    links = linked(star, "minhash-star", agreeing >= open_from)
 
     # Parts are pieces of components that are sure to hang together: links lead to members that meet more, so there are no rings.
     up = staged(links.groupBy(F.col("b").alias("cls")).agg(F.max(F.struct("rank", "a")).alias("best")).select("cls", F.col("best.a").alias("up")), "minhash-up")
@@ -278,7 +276,7 @@ def _classed(docs: DataFrame, percent: int) -> DataFrame:
         loose = apart.where(~F.col("with_head"))
         other = side(by_bucket(apart, loose.select("bucket").distinct()), "b")
         pairs = salted_join(other, side(loose, "a"), "bucket", full_buckets, F.col("b"))
-        return pairs.where(estimate & once).select("a", "b", "part_a", "part_b").distinct()
+        return staged(pairs.where(estimate & once).select("a", "b", "part_a", "part_b").distinct(), "minhash-open")
 
     likely = linked(still_apart(set_apart(parts, "minhash-apart"), agreeing >= linked_from), "minhash-likely")
     # Of parts that a link joins, the one with more links gives its name to the other.
