@@ -33,6 +33,19 @@ def test_cache_generations(monkeypatch):
         assert cache.lookup(batch) == [[p.upper() for p in pieces] for pieces in batch]
 
 
+def test_only_the_last_operators_cache_is_held():
+    from verdex.llm import common
+
+    released = []
+    common.hold_cache("one", lambda: released.append("one"))
+    common.hold_cache("one", lambda: released.append("one"))
+    assert released == []
+    first = tokens.id_encoder(P.path("word_bpe_49k.json"))
+    assert released == ["one"] and tokens.id_encoder(P.path("word_bpe_49k.json")) is first
+    tokens.piece_counter(P.path("piece_bpe_32k.model"))
+    assert tokens.id_encoder(P.path("word_bpe_49k.json")) is not first
+
+
 def test_piece_counts_equal_library():
     import sentencepiece
 

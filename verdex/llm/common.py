@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import fresh_dir, staged
 
-__all__ = ["bound_batches", "columns", "fresh_dir", "library_threads", "local_path", "prefix_sums", "replace_file", "rows", "staged", "table", "whole_texts"]
+__all__ = ["bound_batches", "columns", "fresh_dir", "hold_cache", "library_threads", "local_path", "prefix_sums", "replace_file", "rows", "staged", "table", "whole_texts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +59,26 @@ def library_threads(on: bool) -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "true" if on else "false"
 
 
+#: What lets go of the cache that a Python worker keeps, by the operator that keeps it.
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold_cache(owner: str, release: Callable[[], None]) -> None:
+    """Called where an operator begins in a worker: of all operators' caches only its own stays.
+
+    Workers are reused by stage after stage; without this each would keep what all of a
+    pipeline's stages ever cached.
+    """
+    others = [name for name in _HELD if name != owner]
+    for name in others:
+        _HELD.pop(name)()
+    _HELD[owner] = release
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def columns(batches: Iterator[pa.RecordBatch], *names: str, least_bytes: int = 6 << 20) -> Iterator[tuple[pa.Array, ...]]:
     """Columns of batches that have rows, of ``least_bytes`` together where so many follow."""
     held: list[pa.RecordBatch] = []

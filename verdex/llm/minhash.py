@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.graph import connected_components
 from ..plans.skew import hot_counts, hot_keys, salted_join
-from .common import bound_batches, rows, staged, whole_texts
+from .common import bound_batches, hold_cache, rows, staged, whole_texts
 
 SHINGLE = 5
 BANDS, BAND_ROWS = 32, 5
@@ -117,6 +117,7 @@ def _class(hashes: np.ndarray) -> str:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold_cache("minhash", _POWERS.__init__)
     for ids, texts in rows(batches, "doc_id", "text"):
         sizes, classes, bands = [], [], []
         for text in texts:

@@ -24,9 +24,9 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long, bound long, bins long, released boolean"
 
 
-def _pieces(tokenizer: str, end_id: int, capacity: int, keep_ids: bool):
+def _pieces(tokenizer: str, end_id: int, capacity: int, keep_ids: bool, cache_pieces: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = id_encoder(tokenizer)
+        encoder = id_encoder(tokenizer, cache_pieces)
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
         for doc_ids, texts in columns(batches, "doc_id", "text"):
@@ -45,10 +45,10 @@ def _pieces(tokenizer: str, end_id: int, capacity: int, keep_ids: bool):
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = False, cache_pieces: int | None = None) -> DataFrame:
     """Each document's ids and ``end_id``, cut into pieces of ``capacity`` ids; ``keep_ids`` adds them as little-endian unsigned 32-bit bytes."""
     bound_batches(docs.sparkSession)
-    return whole_texts(docs).mapInArrow(_pieces(tokenizer, end_id, capacity, keep_ids), PIECE_SCHEMA + (", ids binary" if keep_ids else ""))
+    return whole_texts(docs).mapInArrow(_pieces(tokenizer, end_id, capacity, keep_ids, cache_pieces), PIECE_SCHEMA + (", ids binary" if keep_ids else ""))
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -156,11 +156,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, items: int = ITEMS, exchan
     return out.drop("released")
 
 
-def packed_sequences(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+def packed_sequences(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, cache_pieces: int | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, bound, bins) for each piece of ``docs``.
 
     Null and empty texts are the end id alone; a null doc_id is carried as null; rows
     that repeat are packed each. ``bound`` and ``bins`` are the certificate of the task
-    that packed the piece last.
+    that packed the piece last. ``cache_pieces`` sets how many pieces of text a worker's
+    cache holds, which changes no result.
     """
-    return pack(token_pieces(docs, tokenizer, end_id, capacity), capacity)
+    return pack(token_pieces(docs, tokenizer, end_id, capacity, cache_pieces=cache_pieces), capacity)

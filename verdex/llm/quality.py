@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bound_batches, rows, staged, whole_texts
+from .common import bound_batches, hold_cache, rows, staged, whole_texts
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stop", "n_distinct"]
 SYMBOLS = "#*$%&|<>"
@@ -82,6 +82,7 @@ RULES = (
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold_cache("quality", lambda: None)
     for ids, texts in rows(batches, "doc_id", "text"):
         found = np.array([text_features(t) for t in texts], np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(found[:, i]) for i in range(len(FEATURES))]], ["doc_id", *FEATURES])
@@ -158,6 +159,7 @@ def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def _beside(prefix: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_cache("quality", lambda: None)
         for batch in batches:
             if batch.num_rows:
                 found = np.array([text_features(t or "") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], np.int64)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, rows
+from .common import bound_batches, hold_cache, rows
 
 #: Public shapes of credentials, tried in this order at each place.
 PATTERNS = (
@@ -302,6 +302,7 @@ def secret_findings(docs: DataFrame, threshold: float = 0.5, forest: Forest | No
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_cache("secrets", lambda: None)
         for ids, texts, paths in rows(batches, "doc_id", "text", "source"):
             found = scan([t or "" for t in texts], [p or "" for p in paths], forest, threshold)
             kept = [[{"start": c.start, "length": c.end - c.start, "kind": c.kind, "probability": p} for c, p in cs if p >= threshold] for cs in found]
@@ -318,6 +319,7 @@ def redact(docs: DataFrame, threshold: float = 0.5, forest: Forest | None = None
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_cache("secrets", lambda: None)
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts, paths = batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("source")).to_pylist()

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import library_threads
+from .common import hold_cache, library_threads
 
 #: Distinct pieces in each of the two generations that a Python worker keeps.
 CACHE_PIECES = 450_000
@@ -41,8 +41,9 @@ class PieceCache:
     one, and pieces of the old one that are met again move up.
     """
 
-    def __init__(self, encode_many) -> None:
+    def __init__(self, encode_many, pieces: int | None = None) -> None:
         self._encode_many = encode_many
+        self._pieces = pieces or CACHE_PIECES
         self._young: dict[str, object] = {}
         self._old: dict[str, object] = {}
 
@@ -64,7 +65,7 @@ class PieceCache:
                 piece = pieces[i]
                 if len(piece) <= CACHE_CHARS:
                     young[piece] = value
-        if len(young) > CACHE_PIECES:
+        if len(young) > self._pieces:
             self._old, self._young = young, {}
         return found
 
@@ -84,7 +85,7 @@ class PieceCache:
             for piece in new:
                 if len(piece) > CACHE_CHARS:
                     del young[piece]
-        if len(young) > CACHE_PIECES:
+        if len(young) > self._pieces:
             self._old, self._young = young, {}
         return found
 
@@ -131,7 +132,7 @@ class IdEncoder:
     _WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
     _END_MARKS = frozenset(".,;:!?")
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_pieces: int | None = None) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -158,7 +159,7 @@ class IdEncoder:
                 self._edges[i] = token.startswith("\u0120") if self._keeps_spaces else bool(suffix) and token.endswith(suffix)
             if not self._edges.any():
                 self._model = None
-        self._cache = PieceCache(self._encode_pieces)
+        self._cache = PieceCache(self._encode_pieces, cache_pieces)
         self._marks = {m: self._encode_whole([m])[0] for m in self._END_MARKS}
 
     def _encode_whole(self, texts: list[str]) -> list[bytes]:
@@ -249,9 +250,15 @@ class IdEncoder:
         return out
 
 
-@functools.lru_cache(maxsize=4)
-def id_encoder(path: str) -> IdEncoder:
-    return IdEncoder(path)
+@functools.lru_cache(maxsize=1)
+def _id_encoder(path: str, cache_pieces: int | None) -> IdEncoder:
+    return IdEncoder(path, cache_pieces)
+
+
+def id_encoder(path: str, cache_pieces: int | None = None) -> IdEncoder:
+    """The worker's encoder for a file; only one is kept, with ``cache_pieces`` in each generation of its cache."""
+    hold_cache("ids", _id_encoder.cache_clear)
+    return _id_encoder(path, cache_pieces)
 
 
 class PieceCounter:
@@ -331,12 +338,17 @@ class PieceCounter:
         return out
 
 
-@functools.lru_cache(maxsize=4)
-def piece_counter(path: str) -> PieceCounter:
+@functools.lru_cache(maxsize=1)
+def _piece_counter(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
-@functools.lru_cache(maxsize=4)
+def piece_counter(path: str) -> PieceCounter:
+    """The worker's counter for a model; only one is kept."""
+    hold_cache("counts", _piece_counter.cache_clear)
+    return _piece_counter(path)
+
+
 def library_counter(path: str):
     """A function from texts to token counts, by the library that the file belongs to."""
     if path.endswith(".model"):

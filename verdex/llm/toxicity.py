@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, rows, whole_texts
+from .common import bound_batches, hold_cache, rows, whole_texts
 
 #: Bounds of the labelled sample that the model is fitted on: rows of label 1, other rows, and bytes of all their texts.
 SAMPLE_POSITIVES, SAMPLE_OTHERS, SAMPLE_BYTES = 1200, 1800, 12 << 20
@@ -58,7 +58,7 @@ def words(text: str) -> list[str]:
 
 
 #: Word scores that a Python worker keeps, for all tasks that have one model.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 #: Characters of texts whose new words are looked up together.
 GROUP_CHARACTERS = 1 << 20
 _KNOWN: dict[int, dict[str, float]] = {}
@@ -253,6 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = SAMPLE_POSITIVES, o
 
 def scorer(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_cache("toxicity", _KNOWN.clear)
         for ids, held, texts in rows(batches, "doc_id", "held_out", "text"):
             scores = model.scores(texts)
             yield pa.RecordBatch.from_arrays(
@@ -280,6 +281,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     model = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_cache("toxicity", _KNOWN.clear)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([s < threshold for s in model.scores([t or "" for t in texts])], pa.bool_()))
