@@ -9,6 +9,10 @@ from verdex.llm import minhash, packing, quality, secret_scan, toxicity
 from verdex.llm.common import staged, table
 
 
+#: Pieces in a worker's cache of the last stage: executors that have gone through the stages before have less memory to spare.
+CACHE_PIECES = 100_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic; it learns from the labels of documents still here."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
@@ -31,7 +35,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: pieces of documents laid into sequences; a null or empty text is the end id alone."""
-    packed = packing.packed_sequences(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0)
+    packed = packing.packed_sequences(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0, cache_pieces=CACHE_PIECES)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
