@@ -187,6 +187,26 @@ def point_keys(values: Column, profile: Column) -> Column:
     return F.when(decided, native).otherwise(_all_keys(F.when(~decided, values), F.when(~decided, profile)))
 
 
+@F.pandas_udf(ArrayType(ArrayType(LongType())))
+def _keys_by(values: pd.Series, profiles: pd.Series) -> pd.Series:
+    one = lambda t, p: None if t is None else _bounded(_PARSERS[p](t.strip()))
+    return pd.Series([None if texts is None else [one(t, p) for t in texts] for texts, p in zip(values, profiles)], dtype=object)
+
+
+def profile_keys(values: Column, profile: Column) -> Column:
+    """Sort keys of an array of versions under a profile, NULL for those not of its form; NULL for a profile without one."""
+    python = profile.isin("semver", "deb")
+    keys = F.when(python, _keys_by(F.when(python, values), F.when(python, profile)))
+    for name, of in _NATIVE.items():
+        keys = keys.when(profile == name, F.transform(values, of))
+    return keys
+
+
+def total_keys(values: Column) -> Column:
+    """Sort keys of an array of versions in the order that takes any text."""
+    return _keys_by(values, F.lit("total"))
+
+
 def compare_by(a: Column, b: Column, profile: Column) -> Column:
     """-1, 0 or 1 under each row's own profile; NULL where either is."""
     keys = point_keys(F.array(a, b), F.when(a.isNotNull() & b.isNotNull(), profile))

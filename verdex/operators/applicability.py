@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,16 +64,16 @@ def _any(c: Column) -> Column:
     return F.coalesce(F.bool_or(F.coalesce(c, F.lit(False))), F.lit(False))
 
 
-def _source_facts(name: str, here: Column) -> dict[str, Column]:
-    """Aggregates from which the result of one source's assertions follows."""
+def _source_conditions(name: str, here: Column) -> dict[str, Column]:
+    """What to look for among one source's assertions, for its result to follow."""
     relevant = here & ~_no(F.col("role")) & ~_no(F.col("scope")) & ~_no(F.col("configuration"))
     holds = F.coalesce(F.col("predicate"), F.lit(False))
     return {
-        f"{name}_yes": _any(relevant & holds & (F.col("polarity") == "affected")),
-        f"{name}_no": _any(relevant & holds & (F.col("polarity") == "unaffected")),
-        f"{name}_open": _any(relevant & F.col("predicate").isNull() & F.col("polarity").isin("affected", "unknown")),
-        f"{name}_any": _any(relevant),
-        f"{name}_in": _any(relevant & ~_no(F.col("version"))),
+        f"{name}_yes": relevant & holds & (F.col("polarity") == "affected"),
+        f"{name}_no": relevant & holds & (F.col("polarity") == "unaffected"),
+        f"{name}_open": relevant & F.col("predicate").isNull() & F.col("polarity").isin("affected", "unknown"),
+        f"{name}_any": relevant,
+        f"{name}_in": relevant & ~_no(F.col("version")),
     }
 
 
@@ -87,62 +89,87 @@ def source_results(assertions: DataFrame, keys: list[str], source: str = "source
     predicate. What role, scope or configuration rule out is not looked at; an unknown
     predicate counts unless its assertion is one of not being affected.
     """
-    facts = assertions.groupBy(*keys, source).agg(*[c.alias(n) for n, c in _source_facts("s", F.lit(True)).items()])
+    facts = assertions.groupBy(*keys, source).agg(*[_any(c).alias(n) for n, c in _source_conditions("s", F.lit(True)).items()])
     return facts.select(*keys, source, _source_result("s").alias("result"))
 
 
-def finalize(assertions: DataFrame, subjects: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, state, reasons): the state of each subject and why, sorted.
+#: Reasons of a side's assertions that are told, and the conditions they are told under.
+TOLD = ("yes", "no", "open", "range")
 
-    ``assertions`` are the columns of :func:`source_results` with source_family,
-    version_reason, reconciliation, max_result_state and identity_provisional; ``subjects``
-    has one row of keys, enrichment, provisional, history_action and history_basis.
 
-    One ordered cascade over one aggregate: a rejected record; no assertion; an assertion
-    under review; a structured source at odds with itself; the two structured sources at
-    odds, unless the change history decides; then, without model evidence where a
-    structured source decides, what holds for and against, what is unknown, and what rules
-    the subject out. Reasons come from a fixed vocabulary, so their sets are small.
-    """
+def conditions() -> dict[str, Column]:
+    """What :func:`decided` asks of a subject's assertions, as conditions on one: ``all_`` over all, ``firm_`` over all but model evidence."""
     col = F.col
     holds, unknown = F.coalesce(col("predicate"), F.lit(False)), col("predicate").isNull()
     ruled_out = _no(col("scope")) | _no(col("configuration"))
     out_of_range = _no(col("version")) & ~ruled_out
     model = F.coalesce(col("source_family") == "llm_description", F.lit(False))
     provisional = F.coalesce(col("identity_provisional"), F.lit(False))
-    facts = {
-        "n": F.count(F.lit(1)),
-        "review": _any((col("reconciliation") == "conflict_review") & ~_no(col("predicate"))),
-        **_source_facts("nvd", F.coalesce(col("source_family") == "nvd_cpe", F.lit(False))),
-        **_source_facts("cna", F.coalesce(col("source_family") == "cna_structured", F.lit(False))),
+    found = {
+        "n": F.lit(True),
+        "review": (col("reconciliation") == "conflict_review") & ~_no(col("predicate")),
+        **_source_conditions("nvd", F.coalesce(col("source_family") == "nvd_cpe", F.lit(False))),
+        **_source_conditions("cna", F.coalesce(col("source_family") == "cna_structured", F.lit(False))),
     }
-    reasons_of = lambda cond: F.array_sort(F.collect_set(F.when(F.coalesce(cond, F.lit(False)), col("version_reason"))))
     for side, here in (("all", F.lit(True)), ("firm", ~model)):
-        yes, no = here & holds & (col("polarity") == "affected"), here & holds & (col("polarity") == "unaffected")
-        unclear = here & unknown & col("polarity").isin("affected", "unknown")
-        facts |= {
-            f"{side}_yes": _any(yes), f"{side}_no": _any(no), f"{side}_open": _any(unclear), f"{side}_n": F.count_if(here),
-            f"{side}_weak": _any(yes & ((col("max_result_state") == "potentially_affected") | provisional)), f"{side}_alias": _any(yes & provisional),
-            f"{side}_ruled": F.count_if(here & ruled_out), f"{side}_range": F.count_if(here & out_of_range),
-            f"{side}_range_other": _any(here & out_of_range & (F.coalesce(col("version_reason"), F.lit("")) != "version_not_applicable")),
-            f"{side}_yes_why": reasons_of(yes), f"{side}_no_why": reasons_of(no), f"{side}_open_why": reasons_of(unclear), f"{side}_range_why": reasons_of(here & out_of_range),
+        yes = here & holds & (col("polarity") == "affected")
+        found |= {
+            f"{side}_yes": yes, f"{side}_no": here & holds & (col("polarity") == "unaffected"), f"{side}_open": here & unknown & col("polarity").isin("affected", "unknown"),
+            f"{side}_weak": yes & ((col("max_result_state") == "potentially_affected") | provisional), f"{side}_alias": yes & provisional,
+            f"{side}_ruled": here & ruled_out, f"{side}_range": here & out_of_range, f"{side}_rest": here & ~ruled_out & ~out_of_range,
+            f"{side}_range_other": here & out_of_range & (F.coalesce(col("version_reason"), F.lit("")) != "version_not_applicable"),
         }
-    g = subjects.join(assertions.groupBy(*keys).agg(*[c.alias(n) for n, c in facts.items()]), keys, "left")
+    return {name: F.coalesce(c, F.lit(False)) for name, c in found.items()}
+
+
+def finalize(assertions: DataFrame, subjects: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, state, reasons): the state of each subject and why, sorted.
+
+    ``assertions`` are the columns of :func:`source_results` with source_family,
+    version_reason, reconciliation, max_result_state and identity_provisional; ``subjects``
+    has one row of keys, enrichment, provisional, history_action and history_basis.
+
+    Reasons come from a fixed vocabulary, so their sets are small.
+    """
+    asked = conditions()
+    facts = {n: F.bool_or(c) for n, c in asked.items()}
+    facts |= {f"{side}_{name}_why": F.array_sort(F.collect_set(F.when(asked[f"{side}_{name}"], F.col("version_reason")))) for side in ("all", "firm") for name in TOLD}
+    g = decided(subjects.join(assertions.groupBy(*keys).agg(*[c.alias(n) for n, c in facts.items()]), keys, "left"))
+    return g.select(*keys, "verdict.state", told(F.col("verdict"), {name: F.when(F.col("firm"), F.col(f"firm_{name}_why")).otherwise(F.col(f"all_{name}_why")) for name in TOLD}).alias("reasons"))
+
+
+def told(verdict: Column, why: dict[str, Column]) -> Column:
+    """The reasons of a verdict: those of the side that it names, sorted, with what it adds; else what it says itself."""
+    side = reduce(lambda chain, name: chain.when(verdict["side"] == name, why[name]), TOLD[1:], F.when(verdict["side"] == TOLD[0], why[TOLD[0]]))
+    return F.when(verdict["side"].isNull(), verdict["said"]).when(F.size(verdict["said"]) > 0, F.array_sort(F.array_distinct(F.concat(side, verdict["said"])))).otherwise(side)
+
+
+def decided(g: DataFrame) -> DataFrame:
+    """``g`` with ``firm`` and ``verdict``, a struct<state, side, said>: where ``side`` is given, its reasons are those of the verdict.
+
+    ``g`` has the columns of a subject and of :func:`conditions`, whether any assertion meets them.
+
+    One ordered cascade: a rejected record; no assertion; an assertion under review; a
+    structured source at odds with itself; the two structured sources at odds, unless the
+    change history decides; then, without model evidence where a structured source decides,
+    what holds for and against, what is unknown, and what rules the subject out.
+    """
+    col = F.col
     g = g.withColumn("nvd", _source_result("nvd")).withColumn("cna", _source_result("cna"))
-    decided = ("affected", "unaffected", "out_of_range")
-    firm = F.coalesce(col("nvd").isin(*decided) | col("cna").isin(*decided), F.lit(False))
-    g = g.withColumn("firm", firm)
+    results = ("affected", "unaffected", "out_of_range")
+    g = g.withColumn("firm", F.coalesce(col("nvd").isin(*results) | col("cna").isin(*results), F.lit(False)))
     pick = lambda name: F.when(col("firm"), col(f"firm_{name}")).otherwise(col(f"all_{name}"))
-    said = lambda state, *why: F.struct(F.lit(state).alias("state"), F.array(*[w if isinstance(w, Column) else F.lit(w) for w in why]).alias("reasons"))
-    told = lambda state, why: F.struct(F.lit(state).alias("state"), why.alias("reasons"))
-    at_odds = col("nvd").isin(*decided) & col("cna").isin(*decided) & ((col("nvd") == "affected") != (col("cna") == "affected"))
+    verdict = lambda state, side, said: F.struct(F.lit(state).alias("state"), F.lit(side).cast("string").alias("side"), said.cast("array<string>").alias("said"))
+    said = lambda state, *why: verdict(state, None, F.array(*[w if isinstance(w, Column) else F.lit(w) for w in why]))
+    by = lambda state, side, more=None: verdict(state, side, F.array() if more is None else more)
+    at_odds = col("nvd").isin(*results) & col("cna").isin(*results) & ((col("nvd") == "affected") != (col("cna") == "affected"))
     basis = F.coalesce(col("history_basis"), F.lit(""))
     newest = lambda result: at_odds & (col("history_action") == "prefer_latest_cpe") & (col("nvd") == result)
-    because = F.when(pick("alias"), F.array_sort(F.array_distinct(F.concat(pick("yes_why"), F.array(F.lit("identity_alias_provisional")))))).otherwise(pick("yes_why"))
-    ranged = (pick("range") > 0) & (pick("range") + pick("ruled") == pick("n"))
-    verdict = (
+    alias = F.when(pick("alias"), F.array(F.lit("identity_alias_provisional"))).otherwise(F.array().cast("array<string>"))
+    ranged = pick("range") & ~pick("rest")
+    found = (
         F.when(col("enrichment") == "rejected", said("insufficient_data", "rejected_upstream"))
-        .when(F.coalesce(col("n"), F.lit(0)) == 0, said("product_only_observation", "no_active_assertion"))
+        .when(~F.coalesce(col("n"), F.lit(False)), said("product_only_observation", "no_active_assertion"))
         .when(col("review"), said("conflict_review", "authoritative_source_conflict"))
         .when((col("nvd") == "conflict") | (col("cna") == "conflict"), said("conflict_review", "source_family_internal_conflict"))
         .when(newest("affected"), said("affected", "history_latest_cpe_affected", basis))
@@ -151,17 +178,17 @@ def finalize(assertions: DataFrame, subjects: DataFrame, keys: list[str]) -> Dat
         .when(at_odds & (col("history_action") == "accept_added_range"), said("affected", "history_added_range_accepted", basis))
         .when(at_odds, said("conflict_review", "nvd_cna_result_conflict"))
         .when(pick("yes") & pick("no"), said("conflict_review", "active_polarity_conflict"))
-        .when(pick("no"), told("not_affected_asserted", pick("no_why")))
-        .when(pick("yes") & (F.coalesce(col("provisional"), F.lit(False)) | pick("weak")), told("potentially_affected", because))
-        .when(pick("yes"), told("affected", pick("yes_why")))
-        .when(pick("open"), told("potentially_affected", pick("open_why")))
-        .when(ranged & ~pick("range_other"), told("not_applicable", pick("range_why")))
-        .when(ranged, told("not_affected_out_of_range", pick("range_why")))
-        .when(pick("ruled") > 0, said("not_applicable", "scope_or_configuration_false"))
+        .when(pick("no"), by("not_affected_asserted", "no"))
+        .when(pick("yes") & (F.coalesce(col("provisional"), F.lit(False)) | pick("weak")), by("potentially_affected", "yes", alias))
+        .when(pick("yes"), by("affected", "yes"))
+        .when(pick("open"), by("potentially_affected", "open"))
+        .when(ranged & ~pick("range_other"), by("not_applicable", "range"))
+        .when(ranged, by("not_affected_out_of_range", "range"))
+        .when(pick("ruled"), said("not_applicable", "scope_or_configuration_false"))
         .when(col("enrichment") == "unenriched", said("insufficient_data", "nvd_unenriched"))
         .otherwise(said("product_only_observation", "no_positive_assertion"))
     )
-    return g.select(*keys, verdict.alias("verdict")).select(*keys, "verdict.state", "verdict.reasons")
+    return g.withColumn("verdict", found)
 
 
 def evidence_rank(source: Column, version_class: Column, role: Column, scope_specificity: Column, freshness: Column, corroboration: Column) -> Column:

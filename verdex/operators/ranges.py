@@ -12,6 +12,16 @@ from ..functions import versions as V
 
 #: What a statement compiles to; ends are as written, ``error`` says why one could not be read.
 SEGMENT = ("kind", "version_class", "profile", "error", "lower", "lower_inclusive", "upper", "upper_inclusive", "exact", "branch_key", "breadth")
+#: Classes that decide whatever the version, and the classes whose ends are compared.
+BY_CLASS = {"EXPLICIT_ALL": ("TRUE", "explicit_all"), "CPE_ANY_UNCORROBORATED": ("UNKNOWN", "cpe_any_uncorroborated"), "UNSPECIFIED": ("UNKNOWN", "version_unspecified"), "UNPARSED": ("UNKNOWN", "version_unparsed"), "NOT_APPLICABLE": ("FALSE", "version_not_applicable")}
+COMPARED = ("EXACT", "BOUNDED_RANGE", "UNBOUNDED_RANGE")
+#: All reasons of :func:`evaluate`, by their truth.
+REASONS = {
+    "TRUE": ("explicit_all", "branch_prefix_match", "exact_match", "range_match"),
+    "FALSE": ("version_not_applicable", "branch_prefix_mismatch", "exact_mismatch", "branch_outside_complete_coverage", "lower_bound_not_met", "upper_bound_exceeded"),
+    "UNKNOWN": ("cpe_any_uncorroborated", "version_unspecified", "version_unparsed", "branch_parse_failed", "branch_below_coverage", "branch_lateral_uncovered"),
+}
+REASON_CODES = {reason: i for i, reason in enumerate(r for of in REASONS.values() for r in of)}
 _ANY_SIGN = "[<>=!]"
 _PART = r"(<=|>=|!=|=|<|>)\s*([^\s,;<>!=]+)"
 
@@ -190,6 +200,18 @@ def with_changes(df: DataFrame, segment: Column, status: Column, changes: Column
     return _without(_settled(df, out, F.when(c("n") == 0, whole(c("status"), seg["error"])).when(c("error").isNotNull(), unread).when(m == 0, whole(c("state"), _null())).otherwise(cut)))
 
 
+def _named(value: Column) -> Column:
+    return F.when(~T.is_placeholder(T.ascii_key(value)), value)
+
+
+def _prefix(bound: Column) -> Column:
+    return _filled(F.regexp_extract(F.trim(bound), r"^(\d+(?:\.\d+)*)\.[xX*]$", 1))
+
+
+def _under(version: Column, prefix: Column) -> Column:
+    return (version == prefix) | version.startswith(F.concat(prefix, F.lit(".")))
+
+
 def evaluate(df: DataFrame, candidate: Column, segment: Column, branch_coverage: Column, first_branch: Column, last_branch: Column, out: str = "found") -> DataFrame:
     """``df`` with ``out``, a struct<truth, reason, relation>: a version against a segment, in three values.
 
@@ -199,28 +221,25 @@ def evaluate(df: DataFrame, candidate: Column, segment: Column, branch_coverage:
     """
     c = lambda name: F.col(f"_r_{name}")
     step = lambda df, **columns: df.withColumns({f"_r_{k}": v for k, v in columns.items()})
-    named = lambda value: F.when(~T.is_placeholder(T.ascii_key(value)), value)
-    prefix = lambda bound: _filled(F.regexp_extract(F.trim(bound), r"^(\d+(?:\.\d+)*)\.[xX*]$", 1))
     df = step(df, v=candidate, seg=segment, complete=F.coalesce(branch_coverage == "complete", F.lit(False)))
     seg = c("seg")
-    df = step(df, lower=named(seg["lower"]), upper=named(seg["upper"]), exact=seg["exact"], mine=V.branch_key(c("v"), seg["profile"]))
-    df = step(df, lower_prefix=prefix(c("lower")), upper_prefix=prefix(c("upper")), exact_prefix=prefix(c("exact")))
+    df = step(df, lower=_named(seg["lower"]), upper=_named(seg["upper"]), exact=seg["exact"], mine=V.branch_key(c("v"), seg["profile"]))
+    df = step(df, lower_prefix=_prefix(c("lower")), upper_prefix=_prefix(c("upper")), exact_prefix=_prefix(c("exact")))
     points = F.array(c("v"), c("exact"), F.when(c("lower_prefix").isNull(), c("lower")), F.when(c("upper_prefix").isNull(), c("upper")))
     # Where the class alone decides, or no end is given, no key is made.
-    asked = seg["version_class"].isin("EXACT", "BOUNDED_RANGE", "UNBOUNDED_RANGE")
+    asked = seg["version_class"].isin(*COMPARED)
     df = step(df, keys=V.point_keys(points, F.when(asked, seg["profile"])))
     key = [F.get(c("keys"), F.lit(i)) for i in range(4)]
     other = F.coalesce(c("mine") != seg["branch_key"], F.lit(False))
     df = step(df, beneath=other & F.coalesce(c("mine") < first_branch, F.lit(False)), above=other & F.coalesce((c("mine") > last_branch) & (seg["branch_key"] == last_branch), F.lit(False)), other=other)
     df = step(df, lateral=c("other") & ~c("beneath") & ~c("above"))
-    under = lambda p: (c("v") == p) | c("v").startswith(F.concat(p, F.lit(".")))
+    under = lambda p: _under(c("v"), p)
     off = F.coalesce(~under(c("lower_prefix")), F.lit(False)) | F.coalesce(~under(c("upper_prefix")), F.lit(False))
     too_low = F.coalesce((key[0] < key[2]) | ((key[0] == key[2]) & ~seg["lower_inclusive"]), F.lit(False))
     too_high = F.coalesce((key[0] > key[3]) | ((key[0] == key[3]) & ~seg["upper_inclusive"]), F.lit(False))
     relation = F.when(c("beneath"), "out_of_range_below").when(c("above"), "out_of_range_above").when(c("mine").isNotNull(), "same_branch")
     cls = seg["version_class"]
-    by_class = {"EXPLICIT_ALL": ("TRUE", "explicit_all"), "CPE_ANY_UNCORROBORATED": ("UNKNOWN", "cpe_any_uncorroborated"), "UNSPECIFIED": ("UNKNOWN", "version_unspecified"), "UNPARSED": ("UNKNOWN", "version_unparsed"), "NOT_APPLICABLE": ("FALSE", "version_not_applicable")}
-    cases: list[tuple[Column, str, str, Column | str | None]] = [(cls == name, truth, reason, None) for name, (truth, reason) in by_class.items()]
+    cases: list[tuple[Column, str, str, Column | str | None]] = [(cls == name, truth, reason, None) for name, (truth, reason) in BY_CLASS.items()]
     branch = cls == "BRANCH_RANGE"
     cases += [
         (branch & c("exact_prefix").isNull(), "UNKNOWN", "branch_parse_failed", None),
@@ -242,6 +261,64 @@ def evaluate(df: DataFrame, candidate: Column, segment: Column, branch_coverage:
     return _without(_settled(df, out, verdict))
 
 
+# -- the same of very many pairs: all that one side alone decides is made for its distinct values ---------------------------
+
+
+def asked_versions(versions: DataFrame, version: str, out: str) -> DataFrame:
+    """``versions`` with ``out``, what :func:`reason_code` asks of a candidate: its branch, its key under each profile and its key in the order that takes any text."""
+    v = F.col(version)
+    strict = F.array(*[V.strict_key(v, p) for p in V.PROFILES if p != "opaque"])
+    return _settled(versions, out, F.struct(v.alias("text"), V.branch_key(v, F.lit("openssl")).alias("branch"), strict.alias("strict"), V.fallback_key(v).alias("total")))
+
+
+def asked_segments(segments: DataFrame, segment: str, out: str) -> DataFrame:
+    """``segments`` with ``out``, what :func:`reason_code` asks of a segment: what decides it, and the keys of its exact version and its ends."""
+    seg, code = F.col(segment), REASON_CODES
+    cls, profile = seg["version_class"], seg["profile"]
+    c = lambda name: F.col(f"_r_{name}")
+    step = lambda df, **columns: df.withColumns({f"_r_{k}": v for k, v in columns.items()})
+    df = step(segments, lower=_named(seg["lower"]), upper=_named(seg["upper"]), branch=F.coalesce(cls == "BRANCH_RANGE", F.lit(False)))
+    df = step(df, lower_prefix=_prefix(c("lower")), upper_prefix=_prefix(c("upper")), exact_prefix=_prefix(seg["exact"]))
+    df = step(df, points=F.when(cls.isin(*COMPARED) & profile.isNotNull(), F.array(seg["exact"], F.when(c("lower_prefix").isNull(), c("lower")), F.when(c("upper_prefix").isNull(), c("upper")))))
+    fixed = reduce(lambda chain, kv: chain.when(cls == kv[0], code[kv[1][1]]), BY_CLASS.items(), F.when(c("branch") & c("exact_prefix").isNull(), code["branch_parse_failed"]))
+    place = reduce(lambda chain, kv: chain.when(profile == kv[1], kv[0]), enumerate(p for p in V.PROFILES if p != "opaque"), F.when(F.lit(False), -1)).otherwise(-1)
+    df = step(df, strict=V.profile_keys(c("points"), profile), total=V.total_keys(c("points")))
+    odd = F.exists(F.arrays_zip(c("points").alias("v"), c("strict").alias("k")), lambda x: x["v"].isNotNull() & x["k"].isNull())
+    strict = F.when(c("strict").isNotNull() & ~F.coalesce(odd, F.lit(True)), c("strict"))
+    return _without(_settled(df, out, F.struct(
+        F.coalesce(fixed, F.lit(-1)).alias("fixed"), c("branch").alias("wild"), seg["exact"].isNotNull().alias("exact"), seg["branch_key"].alias("branch"), (profile == "openssl").alias("branched"), place.alias("profile"),
+        c("exact_prefix").alias("exact_prefix"), c("lower_prefix").alias("lower_prefix"), c("upper_prefix").alias("upper_prefix"), strict.alias("strict"), c("total").alias("total"),
+        F.coalesce(~seg["lower_inclusive"], F.lit(False)).alias("lower_open"), F.coalesce(~seg["upper_inclusive"], F.lit(False)).alias("upper_open"),
+    )))
+
+
+def reason_code(df: DataFrame, asked: Column, seg: Column, complete: Column, first_branch: Column, last_branch: Column, out: str) -> DataFrame:
+    """``df`` with ``out``, the number in REASON_CODES of the reason that :func:`evaluate` gives; no key is made and nothing leaves the JVM."""
+    c = lambda name: F.col(f"_r_{name}")
+    no = lambda cond: F.coalesce(cond, F.lit(False))
+    mine, own = F.get(asked["strict"], seg["profile"]), F.when(seg["branched"], asked["branch"])
+    df = df.withColumns({"_r_mine": mine, "_r_strict": seg["strict"].isNotNull() & mine.isNotNull(), "_r_branch": own})
+    df = df.withColumns({"_r_key": F.when(c("strict"), c("mine")).otherwise(asked["total"]), "_r_ends": F.when(c("strict"), seg["strict"]).otherwise(seg["total"]), "_r_other": no(c("branch") != seg["branch"])})
+    df = df.withColumns({"_r_beneath": c("other") & no(c("branch") < first_branch), "_r_above": c("other") & no((c("branch") > last_branch) & (seg["branch"] == last_branch))})
+    end = lambda i: F.get(c("ends"), F.lit(i))
+    lateral = c("other") & ~c("beneath") & ~c("above")
+    off = no(~_under(asked["text"], seg["lower_prefix"])) | no(~_under(asked["text"], seg["upper_prefix"]))
+    code = lambda reason: F.lit(REASON_CODES[reason])
+    found = (
+        F.when(seg["fixed"] >= 0, seg["fixed"])
+        .when(seg["wild"], F.when(_under(asked["text"], seg["exact_prefix"]), code("branch_prefix_match")).otherwise(code("branch_prefix_mismatch")))
+        .when(seg["exact"], F.when(no(c("key") == end(0)), code("exact_match")).otherwise(code("exact_mismatch")))
+        .when(c("beneath") & ~complete, code("branch_below_coverage"))
+        .when(lateral & ~complete, code("branch_lateral_uncovered"))
+        .when(lateral, code("branch_outside_complete_coverage"))
+        .when(off, code("branch_prefix_mismatch"))
+        .when(no((c("key") < end(1)) | ((c("key") == end(1)) & seg["lower_open"])), code("lower_bound_not_met"))
+        .when(no((c("key") > end(2)) | ((c("key") == end(2)) & seg["upper_open"])), code("upper_bound_exceeded"))
+        .otherwise(code("range_match"))
+    )
+    return _without(df.withColumn(out, found))
+
+
 # -- sets of ranges whose ends may be open, closed or absent ----------------------------------------------------------------
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 #: At most this many keys are called hot, whatever the table: so many bound the list that goes to all tasks.
 HOT_KEYS = 20_000
 #: Rows that no key needs to be split for.
@@ -48,6 +52,18 @@ def salted_join(rows: DataFrame, other: DataFrame, key: str, hot: DataFrame | No
     return dealt.join(copies, [key, "_salt"], how).drop("_salt")
 
 
+def on_distinct(rows: DataFrame, values: dict[str, Column], make: Callable[[DataFrame], DataFrame], out: str, spread: Column) -> DataFrame:
+    """``rows`` with ``out``, which ``make`` adds to a table of the distinct ``values``: made once for each, then joined back, nulls as equal.
+
+    For what costs far more to make than to join. Values that many rows share are dealt by ``spread``.
+    """
+    rows = rows.withColumn("_values", F.struct(*[v.alias(n) for n, v in values.items()]))
+    counts = staged(rows.groupBy("_values").agg(F.count(F.lit(1)).alias("_n")), "distinct")
+    hot = hot_counts(counts, "_values", "_n", counts.agg(F.sum("_n")).first()[0] or 0)
+    made = make(counts.select("_values", "_values.*")).select("_values", out)
+    return salted_join(rows, made, "_values", hot, spread).drop("_values")
+
+
 def first_values(rows: DataFrame, group: list[str], value: str, most: int, name: str) -> DataFrame:
     """(group, name): the ``most`` least distinct values of each group, sorted.
 

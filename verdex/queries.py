@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import tri, urls, versions
 from .operators import answer, applicability, audit, claims, conflicts, evaluate, graph, identity, intervals, mapping, ranges, replay, repository, revisions
+from .plans.skew import on_distinct
 from .plans.staging import staged
 from .sources import records
 
@@ -540,7 +541,8 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
         _at(("nvd_cpe", "cna_structured", "llm_description", "osv"), c("l_suppkey") % 4).alias("source_family"), F.when(c("l_returnflag") == "A", "affected").when(c("l_returnflag") == "R", "unaffected").otherwise("unknown").alias("polarity"),
         F.lit("none").alias("reconciliation"), F.lit("affected").alias("max_result_state"), (c("l_suppkey") % 9 == 0).alias("identity_provisional"),
     )
-    return ranges.compile_stated(lines, c("v"), c("below"), empty, empty, c("name"))
+    said = {"v": c("v"), "below": c("below"), "name": c("name")}
+    return on_distinct(lines, said, lambda df: ranges.compile_stated(df, c("v"), c("below"), empty, empty, c("name")), "segment", F.xxhash64("product", "subject"))
 
 
 @query("""with x as (select l_partkey as product, l_orderkey % 4 as subject, l_suppkey % 2 as grp, l_linenumber = 3 as isd, cast(l_quantity as int) as q, l_linenumber as ln, (l_orderkey + l_linenumber) % 5 as k, l_partkey % 4 = 0 as ssl, l_suppkey % 3 as br, l_orderkey % 2 = 0 as complete, l_suppkey % 4 as src, l_returnflag as pol,
