@@ -95,3 +95,9 @@ def part_compatible(a: Column, b: Column) -> Column:
         .when(one("unknown") | one("*"), both_in("a", "unknown", "*"))
         .otherwise(False)
     )
+
+
+def compatible_parts(part: Column) -> Column:
+    """The kinds that are :func:`part_compatible` with one."""
+    kinds = lambda *values: F.array(*[F.lit(v) for v in values])
+    return F.when(part == "*", kinds("*", "a", "h", "o", "unknown")).when(part.isin("h", "o"), F.array(part, F.lit("*"))).when(part.isin("a", "unknown"), kinds("*", "a", "unknown")).otherwise(F.array(part))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .mapping import part_compatible
+from ..plans.skew import hot_keys, salted_join
+from ..plans.staging import staged
+from .mapping import compatible_parts, part_compatible
 
 #: Words that make a repository an artifact of its own, languages, and product names that many vendors use.
 ARTIFACT_WORDS = (
@@ -21,19 +23,36 @@ GENERIC_PRODUCTS = (
 BASIS_RANK = {"vendor_exact": 6, "vendor_separator_variant": 5, "strict_vendor_cluster": 5, "product_alias_vendor": 5, "vendor_organisation_suffix_variant": 4}
 
 
-def artifact_conflict(name: Column, product: Column) -> Column:
-    """Why a repository of this name is no product of that one, or NULL: other artifacts, an artifact of its own, another language's driver."""
-    among = lambda key, words: F.array_sort(F.array_distinct(F.filter(T.tokens(key), lambda t: t.isin(*words))))
-    mine, theirs = among(name, ARTIFACT_WORDS), among(product, ARTIFACT_WORDS)
-    spoken, other = among(name, LANGUAGE_WORDS), among(product, LANGUAGE_WORDS)
-    driver = F.exists(F.array_union(mine, theirs), lambda w: w.isin("driver", "drivers", "binding", "bindings", "sdk"))
+_DRIVERS = ("driver", "drivers", "binding", "bindings", "sdk")
+
+
+def _words_among(key: Column, words: tuple[str, ...]) -> Column:
+    """Which of at most 63 words are tokens of a key, as bits."""
+    places = F.create_map(*[F.lit(x) for i, w in enumerate(words) for x in (w, 1 << i)])
+    return F.aggregate(T.tokens(key), F.lit(0).cast("bigint"), lambda bits, t: bits.bitwiseOR(F.coalesce(F.try_element_at(places, t).cast("bigint"), F.lit(0).cast("bigint"))))
+
+
+def word_bits(key: Column) -> Column:
+    """The words of a name that :func:`artifact_conflict` looks at, as a struct<artifact, language> of bits."""
+    return F.struct(_words_among(key, ARTIFACT_WORDS).alias("artifact"), _words_among(key, LANGUAGE_WORDS).alias("language"))
+
+
+def conflict_of_bits(name: Column, product: Column) -> Column:
+    """:func:`artifact_conflict` of two names given by their :func:`word_bits`."""
+    mine, theirs, spoken, other = name["artifact"], product["artifact"], name["language"], product["language"]
+    drivers = F.lit(sum(1 << i for i, w in enumerate(ARTIFACT_WORDS) if w in _DRIVERS)).cast("bigint")
     return (
-        F.when((F.size(mine) > 0) & (F.size(theirs) > 0) & (mine != theirs), "artifact_role_mismatch")
-        .when((F.size(mine) > 0) & (F.size(theirs) == 0), "repo_is_distinct_artifact")
-        .when(driver & (F.size(spoken) > 0) & (F.size(other) > 0) & ~F.arrays_overlap(spoken, other), "artifact_language_mismatch")
+        F.when((mine != 0) & (theirs != 0) & (mine != theirs), "artifact_role_mismatch")
+        .when((mine != 0) & (theirs == 0), "repo_is_distinct_artifact")
+        .when((mine.bitwiseOR(theirs).bitwiseAND(drivers) != 0) & (spoken != 0) & (other != 0) & (spoken.bitwiseAND(other) == 0), "artifact_language_mismatch")
     )
 
 
+def artifact_conflict(name: Column, product: Column) -> Column:
+    """Why a repository of this name is no product of that one, or NULL: other artifacts, an artifact of its own, another language's driver."""
+    return conflict_of_bits(word_bits(name), word_bits(product))
+
+
 def exact_pairs(repositories: DataFrame, products: DataFrame) -> DataFrame:
     """(repo_key, product_id, method): repositories whose owner and name are a product's vendor and name."""
     met = repositories.join(products, (F.col("owner_key") == F.col("vendor_key")) & (F.col("name_key") == F.col("product_key")))
@@ -41,20 +60,45 @@ def exact_pairs(repositories: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def cluster_expansion(candidates: DataFrame, members: DataFrame, evidence: DataFrame, blocked: DataFrame, products: DataFrame, repositories: DataFrame) -> DataFrame:
-    """(repo_key, product_id, anchor_id, cluster_id, reason): the strict cluster's other products of each candidate; ``reason`` is why one is refused, else NULL.
+    """(repo_key, product_id, anchor_id, cluster_id, reason), distinct: the strict cluster's other products of each candidate; ``reason`` is why one is refused, else NULL.
 
     ``members(cluster_id, product_id)`` are those of strict clusters, ``evidence(repo_key,
     product_id)`` direct references, ``blocked(a, b)`` pairs that are never one, a < b. A
     repository must refer to some member itself.
+
+    The pairs are as many as the clusters are large, squared; so all that one side decides
+    is made before they are, both sides have no row twice, and pairs are neither shuffled
+    nor compared with each other. Large clusters are dealt to several tasks. Only products
+    and repositories that are listed with several kinds or names can give a row twice;
+    theirs alone are made distinct afterwards.
     """
+    members = members.distinct()
     seen = evidence.join(members, "product_id").select("repo_key", "cluster_id").distinct()
-    anchors = candidates.join(members, "product_id").join(seen, ["repo_key", "cluster_id"], "left_semi").select("repo_key", "cluster_id", F.col("product_id").alias("anchor_id"))
-    pairs = anchors.join(members, "cluster_id").where("product_id <> anchor_id")
-    pairs = pairs.withColumn("a", F.least("anchor_id", "product_id")).withColumn("b", F.greatest("anchor_id", "product_id")).join(blocked, ["a", "b"], "left_anti").drop("a", "b")
-    kinds = products.select("product_id", "part", "product_key")
-    pairs = pairs.join(kinds, "product_id").join(kinds.select(F.col("product_id").alias("anchor_id"), F.col("part").alias("anchor_part")), "anchor_id")
-    pairs = pairs.where(part_compatible(F.col("anchor_part"), F.col("part"))).join(repositories.select("repo_key", "name_key"), "repo_key")
-    return pairs.select("repo_key", "product_id", "anchor_id", "cluster_id", artifact_conflict(F.col("name_key"), F.col("product_key")).alias("reason"))
+    anchors = candidates.join(members, "product_id").join(seen, ["repo_key", "cluster_id"], "left_semi").select("repo_key", "cluster_id", F.col("product_id").alias("anchor_id")).distinct()
+    several = lambda key, rows, what: rows.groupBy(key).agg(F.collect_set(what).alias("_all")).select(key, F.explode("_all").alias("_is"), (F.size("_all") > 1).alias("odd"))
+    # A null kind meets none, though structs that hold it are equal.
+    kinds = staged(several("product_id", products, F.struct("part", word_bits(F.col("product_key")).alias("words"))), "kinds")
+    names = several("repo_key", repositories, F.struct(word_bits(F.col("name_key")).alias("words")))
+    parts = kinds.select(F.col("product_id").alias("anchor_id"), F.explode(compatible_parts(F.col("_is.part"))).alias("part")).where("part is not null").distinct()
+    # Blocked pairs within a cluster, both ways round, as a list beside the anchor.
+    inside = blocked.where("a < b").select("a", "b").join(members.withColumnRenamed("product_id", "a"), "a").join(members.withColumnRenamed("product_id", "b"), ["cluster_id", "b"]).select("cluster_id", "a", "b")
+    both = inside.select("cluster_id", F.col("a").alias("anchor_id"), F.col("b").alias("other")).union(inside.select("cluster_id", "b", "a"))
+    refused = both.groupBy("cluster_id", "anchor_id").agg(F.collect_set("other").alias("refused"))
+    anchors = anchors.join(parts, "anchor_id").join(names, "repo_key").join(refused, ["cluster_id", "anchor_id"], "left")
+    anchors = staged(anchors.select("repo_key", "anchor_id", F.struct("cluster_id", "part").alias("_group"), "refused", F.col("_is.words").alias("name_words"), F.col("odd").alias("odd_name")), "anchors")
+    targets = staged(members.join(kinds, "product_id").select("product_id", F.struct("cluster_id", "_is.part").alias("_group"), F.col("_is.words").alias("words"), F.col("odd").alias("odd_product")), "targets")
+    hot = hot_keys(anchors, "_group", anchors.count())
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        met = salted_join(left.drop("odd_name"), right.drop("odd_product"), "_group", hot, F.struct("repo_key", "anchor_id"))
+        met = met.where((F.col("product_id") != F.col("anchor_id")) & ~F.coalesce(F.array_contains("refused", F.col("product_id")), F.lit(False)))
+        return met.select("repo_key", "product_id", "anchor_id", "_group.cluster_id", conflict_of_bits(F.col("name_words"), F.col("words")).alias("reason"))
+
+    plain, single = anchors.where("not odd_name"), targets.where("not odd_product")
+    out = pairs(plain, single)
+    if anchors.where("odd_name").limit(1).count() or targets.where("odd_product").limit(1).count():
+        out = out.union(pairs(anchors.where("odd_name"), targets).union(pairs(plain, targets.where("odd_product"))).distinct())
+    return out
 
 
 def product_key_bridge(candidates: DataFrame, products: DataFrame, repositories: DataFrame, evidence: DataFrame, bases: DataFrame) -> DataFrame:

@@ -891,7 +891,7 @@ def cluster_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _bound(spark, sf_dir)
     a = F.col("product_id")
     blocked = b["products"].select(a.alias("a"), (a + 40).alias("b")).where("(a + b) % 14 = 0")
-    return repository.cluster_expansion(repository.exact_pairs(b["repositories"], b["products"]), b["members"], b["evidence"], blocked, b["products"], b["repositories"]).distinct()
+    return repository.cluster_expansion(repository.exact_pairs(b["repositories"], b["products"]), b["members"], b["evidence"], blocked, b["products"], b["repositories"])
 
 
 @query(f"""with {_BOUND}, cp as (select ca.*, cast(product_id % 3 as int) as priority, cast(product_id % 7 as bigint) as evidence, product_id % 5 > 0 as independent from ca), so as (select product_key from cp join pr using (product_id) where length(product_key) >= 4 group by 1 having count(distinct repo_key) = 1),
