@@ -61,6 +61,19 @@ def test_rebuilt_model_has_parity(spark):
     assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["n_tokens"] for r in got)
 
 
+def test_every_row_is_held_against_the_library(spark):
+    path = P.path("piece_bpe_32k.model")
+    got = piece_model.piece_ids(spark.createDataFrame([(d, t, 0) for d, t in DOCS], SCHEMA), path).collect()
+    assert len(got) == len(DOCS) and all(r["parity"] is True for r in got)
+
+
+def test_texts_are_decoded_as_the_library_does():
+    model = piece_model.piece_model(P.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(1)
+    some = [*model.encode_batch(ODD), *[rng.integers(0, len(model.model.pieces), 40).astype("<u4").tobytes() for _ in range(200)], *[rng.integers(0, 300, 6).astype("<u4").tobytes() for _ in range(500)]]
+    assert model.decode_batch(some) == model.tokenizer.decode_batch([np.frombuffer(x, "<u4").tolist() for x in some], skip_special_tokens=False)
+
+
 def test_unigram_models_are_rebuilt(tmp_path):
     from sentencepiece import sentencepiece_model_pb2 as pb
 

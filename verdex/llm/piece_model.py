@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -16,8 +17,7 @@ from .common import bound_batches, library_threads, rows, whole_texts
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁"
-#: Ids held against the sentencepiece library: a fixed subset of rows, for verification alone.
-PARITY_IDS = 50
+_BYTE_PIECE = re.compile(r"<0x[0-9A-Fa-f]{2}>")
 
 
 def _varint(data: memoryview, at: int) -> tuple[int, int]:
@@ -143,6 +143,9 @@ class PieceModel:
         self.threads = threads
         os.environ.setdefault("RAYON_NUM_THREADS", "2")
         self.tokenizer, self.model = build(path)
+        values = [int(p[3:5], 16) if _BYTE_PIECE.fullmatch(p) else None for p, _, _ in self.model.pieces]
+        self._spelled = [p.replace(MARK, " ") if b is None else chr(b) for (p, _, _), b in zip(self.model.pieces, values)]
+        self._bytes = np.array([b is not None and b >= 128 for b in values])
         self._control = {i for i, p in enumerate(self.model.pieces) if p[2] == CONTROL}
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
@@ -155,7 +158,18 @@ class PieceModel:
         return out
 
     def decode_batch(self, ids: list[bytes]) -> list[str]:
-        return self.tokenizer.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False)
+        """The texts of ids: pieces joined; where some stand for bytes that are no text by themselves, the library puts these together."""
+        out, at = [""] * len(ids), []
+        lists = [np.frombuffer(x, "<u4") for x in ids]
+        for i, x in enumerate(lists):
+            if self._bytes[x].any():
+                at.append(i)
+            else:
+                text = "".join([self._spelled[n] for n in x.tolist()])
+                out[i] = text[1:] if self.model.dummy_prefix and text[:1] == " " else text
+        for i, text in zip(at, self.tokenizer.decode_batch([lists[i].tolist() for i in at], skip_special_tokens=False)):
+            out[i] = text
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -174,7 +188,7 @@ def _encode(path: str, check: bool):
                 part, names = texts[lo : lo + 128], doc_ids[lo : lo + 128]
                 ids = model.encode_batch(part)
                 back = model.decode_batch(ids)
-                same = [None if n is None or n % PARITY_IDS else np.array(other.encode(t, num_threads=1), "<u4").tobytes() == x for n, t, x in zip(names, part, ids)]
+                same = [np.array(other.encode(t, num_threads=1), "<u4").tobytes() == x for t, x in zip(part, ids)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(names, pa.int64()),
@@ -193,9 +207,8 @@ def _encode(path: str, check: bool):
 def piece_ids(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, round_trip, parity, ids) of each row of ``docs(doc_id, text, ...)``.
 
-    ``round_trip`` is whether decoding the ids gives the text back; ``parity``, where
-    doc_id is divisible by PARITY_IDS (null elsewhere), whether the sentencepiece library
-    gives the same ids. Null and empty texts have no ids. No begin, end or added special
+    ``round_trip`` is whether decoding the ids gives the text back; ``parity`` whether the
+    sentencepiece library gives the same ids. Both are asked of every row. Null and empty texts have no ids. No begin, end or added special
     tokens; no truncation or padding. Rows that repeat are encoded each; an empty table
     gives no rows.
     """
