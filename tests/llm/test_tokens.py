@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -74,6 +75,18 @@ def test_texts_are_decoded_as_the_library_does():
     assert model.decode_batch(some) == model.tokenizer.decode_batch([np.frombuffer(x, "<u4").tolist() for x in some], skip_special_tokens=False)
 
 
+def test_rebuilt_model_encodes_each_piece_once_as_in_the_whole_text():
+    model = piece_model.PieceModel(P.path("piece_bpe_32k.model"), threads=False)
+    r, seen = random.Random(3), []
+    model._cache._encode_many = lambda pieces: (seen.extend(pieces), model._encode_pieces(pieces))[1]
+    made = ["".join(r.choice([" ", " ", "\n", "a", "the", "ing", "\u00e9", "\u6f22", "\U0001f600", "\t", "<0x0A>", ".", "\u2581", "\x00", "\r"][: r.choice([12, 15])]) for _ in range(r.randint(1, 60))) for _ in range(2000)]
+    texts = [t for t in ODD + made if t]
+    for _ in range(2):
+        assert model.encode_batch(texts) == model._encode_whole(texts)
+    short = [p for p in seen if len(p) <= tokens.CACHE_CHARS]
+    assert seen and len(short) == len(set(short))
+
+
 def test_unigram_models_are_rebuilt(tmp_path):
     from sentencepiece import sentencepiece_model_pb2 as pb
 

@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import bound_batches, library_threads, rows, whole_texts
+from .common import bound_batches, hold_cache, library_threads, rows, whole_texts
+from .tokens import PieceCache
 
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -136,25 +138,66 @@ def cuts_at_marks(model: ModelFile) -> bool:
     return model.escape and not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER, UNUSED))
 
 
+def cuts_at_feeds(model: ModelFile) -> bool:
+    """Whether a text may also be cut before line feeds: each is a byte's piece, which no merge takes in, and the text is encoded as it is."""
+    plain = model.kind == BPE and model.byte_fallback and model.dummy_prefix and not model.charsmap and not model.squeeze
+    return plain and cuts_at_marks(model) and ("<0x0A>", BYTE) in {(p, kind) for p, _, kind in model.pieces} and not any("\n" in p for p, _, _ in model.pieces)
+
+
 class PieceModel:
-    """Encodes and decodes batches on the library's threads."""
+    """Encodes and decodes batches on the library's threads.
+
+    Where the model lets texts be cut before spaces and line feeds, each distinct piece is
+    encoded once. A text that begins with a space, or has spaces in a row or the mark
+    itself, is encoded whole.
+    """
+
+    _ODD = f"\\A |  |{MARK}"
 
     def __init__(self, path: str, threads: bool = True) -> None:
         self.threads = threads
         os.environ.setdefault("RAYON_NUM_THREADS", "2")
         self.tokenizer, self.model = build(path)
+        self._bare = None
+        if cuts_at_feeds(self.model):
+            from tokenizers import Tokenizer
+
+            self._bare = Tokenizer(self.tokenizer.model)
+        self._cache = PieceCache(self._encode_pieces)
         values = [int(p[3:5], 16) if _BYTE_PIECE.fullmatch(p) else None for p, _, _ in self.model.pieces]
         self._spelled = [p.replace(MARK, " ") if b is None else chr(b) for (p, _, _), b in zip(self.model.pieces, values)]
         self._bytes = np.array([b is not None and b >= 128 for b in values])
         self._control = {i for i, p in enumerate(self.model.pieces) if p[2] == CONTROL}
 
+    def _encode_whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Of pieces that begin with a line feed, or stand for themselves after a mark."""
+        shown = [p if p[:1] == "\n" else MARK + p for p in pieces]
+        return [np.array(e.ids, "<u4").tobytes() for e in self._bare.encode_batch_fast(shown, add_special_tokens=False)]
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit bytes; the empty text has none."""
         library_threads(self.threads)
         out = [b""] * len(texts)
-        at = [i for i, t in enumerate(texts) if t]
-        for i, e in zip(at, self.tokenizer.encode_batch_fast([texts[i] for i in at], add_special_tokens=False)):
-            out[i] = np.array(e.ids, "<u4").tobytes()
+        column = pa.array(texts, pa.large_string())
+        full = pc.greater(pc.binary_length(column), 0)
+        odd = pc.match_substring_regex(column, self._ODD) if self._bare else full
+        whole = np.flatnonzero(pc.and_(full, odd)).tolist()
+        for lo in range(0, len(whole), 128):
+            for i, ids in zip(whole[lo : lo + 128], self._encode_whole([texts[i] for i in whole[lo : lo + 128]])):
+                out[i] = ids
+        at = np.flatnonzero(pc.and_not(full, odd))
+        if not len(at):
+            return out
+        lists = pc.split_pattern(pc.replace_substring(column.take(pa.array(at)), "\n", " \n"), " ")
+        pieces = lists.flatten().dictionary_encode()
+        joined = pa.array(self._cache.values(pieces.dictionary.to_pylist()), pa.large_binary()).take(pieces.indices)
+        ends = np.frombuffer(joined.buffers()[1], "<i8", len(joined) + 1)[lists.offsets.to_numpy()].tolist()
+        data = joined.buffers()[2]
+        for i, start, end in zip(at.tolist(), ends, ends[1:]):
+            out[i] = data[start:end].to_pybytes()
         return out
 
     def decode_batch(self, ids: list[bytes]) -> list[str]:
@@ -179,13 +222,14 @@ def piece_model(path: str) -> PieceModel:
 
 def _encode(path: str, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_cache("pieces", piece_model.cache_clear)
         model = piece_model(path)
         import sentencepiece
 
         other = sentencepiece.SentencePieceProcessor(model_file=path)
         for doc_ids, texts in rows(batches, "doc_id", "text"):
-            for lo in range(0, len(texts), 128):
-                part, names = texts[lo : lo + 128], doc_ids[lo : lo + 128]
+            for lo in range(0, len(texts), 512):
+                part, names = texts[lo : lo + 512], doc_ids[lo : lo + 512]
                 ids = model.encode_batch(part)
                 back = model.decode_batch(ids)
                 same = [np.array(other.encode(t, num_threads=1), "<u4").tobytes() == x for t, x in zip(part, ids)]
