@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from verdex.llm import minhash, packing, quality, secret_scan, toxicity
-from verdex.llm.common import staged, table
+from verdex.llm.common import gathered, staged, table
 
 
 #: Pieces in a worker's cache of the last stage: executors that have gone through the stages before have less memory to spare.
@@ -15,22 +15,22 @@ CACHE_PIECES = 100_000
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic; it learns from the labels of documents still here."""
-    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+    return gathered(toxicity.drop_toxic(docs, table(spark, sf_dir, "labels")), docs.count())
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules' posterior calls good; rules are weighed on the documents still here. Null and empty texts go."""
-    return quality.keep_good(docs)
+    return gathered(quality.keep_good(docs), docs.count())
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of word 5-shingle similarity 0.8 or more, that of the smallest doc_id."""
-    return minhash.keep_one(docs, percent=80)
+    return gathered(minhash.keep_one(docs, percent=80), docs.count())
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by their kinds; null and empty texts stay as they are."""
-    return secret_scan.redact(docs)
+    return gathered(secret_scan.redact(docs), docs.count())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.staging import fresh_dir, staged
+from ..plans.staging import fresh_dir, gathered, staged
 
-__all__ = ["bound_batches", "columns", "fresh_dir", "hold_cache", "library_threads", "local_path", "prefix_sums", "replace_file", "rows", "staged", "table", "whole_texts"]
+__all__ = ["bound_batches", "columns", "fresh_dir", "gathered", "hold_cache", "library_threads", "local_path", "prefix_sums", "replace_file", "rows", "staged", "table", "whole_texts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

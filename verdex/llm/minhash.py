@@ -218,26 +218,27 @@ def _classed(docs: DataFrame, percent: int) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     docs = whole_texts(docs)
-    signed = staged(docs.mapInArrow(_signatures, SIGNATURE_SCHEMA), "minhash-signatures")
-    classes = staged(signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "minhash-classes")
+    n_docs = docs.count()
+    signed = staged(docs.mapInArrow(_signatures, SIGNATURE_SCHEMA), "minhash-signatures", n_docs)
+    classes = staged(signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "minhash-classes", n_docs)
     banded = classes.select("cls", F.posexplode("bands").alias("band", "value")).select("cls", F.xxhash64("band", "value").alias("bucket"))
-    shared = staged(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-shared")
+    shared = staged(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-shared", n_docs)
     in_buckets = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     full_buckets = hot_counts(shared, "bucket", "n", in_buckets)
     by_bucket = lambda rows, other: salted_join(rows, other, "bucket", full_buckets, F.col("cls"))
-    members = staged(by_bucket(banded, shared), "minhash-members")
+    members = staged(by_bucket(banded, shared), "minhash-members", n_docs)
     degree = members.groupBy("cls").agg(F.sum("n").alias("degree"))
     heads = members.join(degree, "cls").groupBy("bucket").agg(F.max(F.struct("degree", "cls")).alias("head"))
-    heads = staged(heads.select("bucket", F.col("head.cls").alias("head"), F.col("head.degree").alias("rank")), "minhash-heads")
-    placed = staged(by_bucket(members.select("bucket", "cls"), heads), "minhash-placed")
+    heads = staged(heads.select("bucket", F.col("head.cls").alias("head"), F.col("head.degree").alias("rank")), "minhash-heads", n_docs)
+    placed = staged(by_bucket(members.select("bucket", "cls"), heads), "minhash-placed", n_docs)
 
-    banding = staged(degree.join(classes, "cls").select("cls", "doc_id", "bands"), "minhash-candidates")
+    banding = staged(degree.join(classes, "cls").select("cls", "doc_id", "bands"), "minhash-candidates", n_docs)
     n_wanted = banding.count()
     # Texts of candidates alone move: their ids go to all tasks where these are few enough, else both sides meet by id.
     wanted = banding.select("cls", "doc_id")
     wanted = F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted.hint("shuffle_hash")
     sets = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("cls", "text").mapInArrow(_candidates, "cls string, hashes binary, plane array<long>")
-    sets = staged(sets.dropDuplicates(["cls"]), "minhash-sets")
+    sets = staged(sets.dropDuplicates(["cls"]), "minhash-sets", n_docs)
     planes = sets.select("cls", "plane")
 
     def linked(pairs: DataFrame, label: str, estimate: Column | None = None) -> DataFrame:
@@ -247,24 +248,24 @@ def _classed(docs: DataFrame, percent: int) -> DataFrame:
         full = salted_join(pairs, side("a", "left"), "a", hot_keys(pairs, "a", n), F.col("b"))
         full = salted_join(full, side("b", "right"), "b", hot_keys(pairs, "b", n), F.col("a"))
         full = full if estimate is None else full.where(estimate)
-        return staged(full.select(*pairs.columns, "left", "right").mapInArrow(_confirm(percent), pairs.schema), label)
+        return staged(full.select(*pairs.columns, "left", "right").mapInArrow(_confirm(percent), pairs.schema), label, n_docs)
 
     agreeing = agreeing_minima(F.col("plane_a"), F.col("plane_b"))
     open_from, linked_from = least_agreeing(percent), least_agreeing(percent, sigmas=0)
-    star = staged(placed.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"), "rank").distinct(), "minhash-heads-and-members")
+    star = staged(placed.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"), "rank").distinct(), "minhash-heads-and-members", n_docs)
     links = linked(star, "minhash-star", agreeing >= open_from)
 
     # Parts are pieces of components that are sure to hang together: links lead to members that meet more, so there are no rings.
-    up = staged(links.groupBy(F.col("b").alias("cls")).agg(F.max(F.struct("rank", "a")).alias("best")).select("cls", F.col("best.a").alias("up")), "minhash-up")
+    up = staged(links.groupBy(F.col("b").alias("cls")).agg(F.max(F.struct("rank", "a")).alias("best")).select("cls", F.col("best.a").alias("up")), "minhash-up", n_docs)
     over = up.select(F.col("cls").alias("up"), F.col("up").alias("far"))
     top = salted_join(up, over, "up", hot_keys(up, "up", n_wanted), F.col("cls"), "left").select("cls", F.coalesce("far", "up").alias("up"))
-    parts = staged(banding.select("cls").join(top, "cls", "left").select("cls", F.coalesce("up", "cls").alias("part")), "minhash-parts")
+    parts = staged(banding.select("cls").join(top, "cls", "left").select("cls", F.coalesce("up", "cls").alias("part")), "minhash-parts", n_docs)
 
     def set_apart(parts: DataFrame, label: str) -> DataFrame:
         """Members of buckets with their parts, and whether that is their head's."""
         head_parts = heads.join(parts.select(F.col("cls").alias("head"), F.col("part").alias("head_part")), "head").select("bucket", "head_part")
         rows_of = by_bucket(placed.select("bucket", "cls"), head_parts).join(parts, "cls")
-        return staged(rows_of.select("bucket", "cls", "part", (F.col("part") == F.col("head_part")).alias("with_head")), label)
+        return staged(rows_of.select("bucket", "cls", "part", (F.col("part") == F.col("head_part")).alias("with_head")), label, n_docs)
 
     sides = banding.select("cls", "bands").join(planes, "cls")
     # A pair is taken in the first band it shares, and once: members beside the head's part in the order of their names.
@@ -277,7 +278,7 @@ def _classed(docs: DataFrame, percent: int) -> DataFrame:
         loose = apart.where(~F.col("with_head"))
         other = side(by_bucket(apart, loose.select("bucket").distinct()), "b")
         pairs = salted_join(other, side(loose, "a"), "bucket", full_buckets, F.col("b"))
-        return staged(pairs.where(estimate & once).select("a", "b", "part_a", "part_b").distinct(), "minhash-open")
+        return staged(pairs.where(estimate & once).select("a", "b", "part_a", "part_b").distinct(), "minhash-open", n_docs)
 
     likely = linked(still_apart(set_apart(parts, "minhash-apart"), agreeing >= linked_from), "minhash-likely")
     # Of parts that a link joins, the one with more links gives its name to the other.
@@ -286,18 +287,18 @@ def _classed(docs: DataFrame, percent: int) -> DataFrame:
     best = ways.join(weight.toDF("next", "weight"), "next").groupBy("part").agg(F.max(F.struct("weight", "next")).alias("best")).join(weight, "part")
     merged = best.where(F.col("best") > F.struct("weight", F.col("part").alias("next"))).select("part", F.col("best.next").alias("into"))
     joined = salted_join(parts, merged, "part", hot_keys(parts, "part", n_wanted), F.col("cls"), "left")
-    joined = staged(joined.select("cls", F.coalesce("into", "part").alias("part")), "minhash-joined")
+    joined = staged(joined.select("cls", F.coalesce("into", "part").alias("part")), "minhash-joined", n_docs)
     unlikely = linked(still_apart(set_apart(joined, "minhash-still-apart"), agreeing.between(open_from, linked_from - 1)), "minhash-unlikely")
     links = links.select("a", "b").union(likely.select("a", "b")).union(unlikely.select("a", "b"))
 
-    named = connected_components(links).withColumnRenamed("node", "cls")
+    named = connected_components(links, n=n_docs).withColumnRenamed("node", "cls")
     n_classes = classes.count()
     per_class = classes.select("cls", "doc_id").join(named, "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
     names = per_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = salted_join(per_class, names, "component", hot_keys(named, "component", n_classes), F.col("cls")).select("cls", "component_id")
     # Rows that repeat a doc_id with another text stay with that document's own classes.
     worded = signed.where("cls is not null").select("doc_id", "n_shingles", "cls")
-    out = salted_join(worded, by_class, "cls", hot_keys(worded, "cls", signed.count()), F.struct("doc_id"), "left")
+    out = salted_join(worded, by_class, "cls", hot_keys(worded, "cls", n_docs), F.struct("doc_id"), "left")
     wordless = signed.where("cls is null").select("doc_id", "n_shingles", "cls", F.col("doc_id").alias("component_id"))
     out = out.unionByName(wordless)
     return out.select("doc_id", "n_shingles", "component_id", "cls").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -314,7 +315,7 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Rows with a null doc_id stay or go each by its own text.
     """
-    found = staged(_classed(docs, percent).where("kept or doc_id is null").select("doc_id", "kept", "cls"), "near-dedup-kept")
+    found = staged(_classed(docs, percent).where("kept or doc_id is null").select("doc_id", "kept", "cls"), "near-dedup-kept", docs.count())
     kept = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     repeated = not kept.where("n > 1").isEmpty()
     out = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)

@@ -126,7 +126,7 @@ def _pack(round_no: int, capacity: int, exchange: bool):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, items: int = ITEMS, exchanges: int = EXCHANGES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, items: int = ITEMS, exchanges: int = EXCHANGES, n: int | None = None) -> DataFrame:
     """Lay pieces into sequences of at most ``capacity`` ids.
 
     Pieces are dealt evenly to tasks of ``items`` at most, whatever their documents.
@@ -134,9 +134,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, items: int = ITEMS, exchan
     dual-feasible bound of its lengths. Where these are equal, no packing of that task's
     pieces needs fewer, and it is done. Elsewhere the emptiest bins are given up; their
     pieces, from all such tasks, are dealt anew and packed together, ``exchanges`` times.
-    Ties in length go by doc_id, piece, start and checksum.
+    Ties in length go by doc_id, piece, start and checksum. Where it is known that there
+    are some ``n`` pieces, few files are written.
     """
-    todo = staged(pieces, "packing-pieces")
+    todo = staged(pieces, "packing-pieces", n)
     out = None
     for round_no in range(exchanges + 1):
         count = todo.count()
@@ -145,7 +146,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, items: int = ITEMS, exchan
         parts = -(-count // items)
         exchange = parts > 1 and round_no < exchanges
         dealt = todo.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)))
-        done = staged(dealt.groupBy("part").applyInPandas(_pack(round_no, capacity, exchange), PACKED_SCHEMA), "packing-round")
+        done = staged(dealt.groupBy("part").applyInPandas(_pack(round_no, capacity, exchange), PACKED_SCHEMA), "packing-round", count)
         kept = done.where("not released")
         out = kept if out is None else out.unionByName(kept)
         todo = done.where("released").select(pieces.columns)
@@ -164,4 +165,4 @@ def packed_sequences(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity:
     that packed the piece last. ``cache_pieces`` sets how many pieces of text a worker's
     cache holds, which changes no result.
     """
-    return pack(token_pieces(docs, tokenizer, end_id, capacity, cache_pieces=cache_pieces), capacity)
+    return pack(token_pieces(docs, tokenizer, end_id, capacity, cache_pieces=cache_pieces), capacity, n=docs.count())

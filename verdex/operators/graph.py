@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.skew import hot_keys, salted_join
-from ..plans.staging import delete, fresh_dir
+from ..plans.staging import delete, fresh_dir, gathered
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, max_rounds: int = 60, n: int | None = None) -> DataFrame:
     """(node, component) for the nodes of ``links(a, b)``; component is the smallest node reachable.
 
     In every round each node takes the least of its label, its neighbours' labels, its
@@ -17,14 +17,14 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     by powers, whatever their order. A round is one write to the shared folder, which also
     counts what changed; no link ever reaches the driver. Nodes with many links and labels
     with many nodes are dealt to several tasks. Links with a null end or to themselves only
-    yield their node.
+    yield their node. Where it is known that there are some ``n`` links, few files are written.
     """
     spark = links.sparkSession
     made: list[str] = []
 
     def keep(df: DataFrame) -> DataFrame:
         made.append(fresh_dir(spark, "components"))
-        df.write.parquet(made[-1])
+        (df if n is None else gathered(df, n)).write.parquet(made[-1])
         return spark.read.schema(df.schema).parquet(made[-1])
 
     links = links.where("a is not null and b is not null").select("a", "b")

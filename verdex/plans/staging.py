@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a file should hold at least, where many partitions would write few each.
+FILE_ROWS = 10_000
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named by the session; a temporary one only where it names none and all work is done on this machine."""
@@ -24,10 +27,21 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/verdex/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def gathered(df: DataFrame, n: int) -> DataFrame:
+    """``df``, of some ``n`` rows, in few partitions where the session's shuffle partitions are far more than so many rows need.
+
+    What makes the rows keeps its tasks; they are dealt on once more, evenly. For each file that it
+    writes to a mounted folder, and for its checksum, an executor's JVM starts a process (chmod).
+    """
+    spark = df.sparkSession
+    files = max(spark.sparkContext.defaultParallelism, n // FILE_ROWS + 1)
+    return df if int(spark.conf.get("spark.sql.shuffle.partitions")) < 4 * files else df.repartition(files)
+
+
+def staged(df: DataFrame, label: str, n: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors. Given its size, ``n`` rows or so, in few files."""
     path = fresh_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    (df if n is None else gathered(df, n)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
