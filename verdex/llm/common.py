@@ -67,7 +67,7 @@ def hold_cache(owner: str, release: Callable[[], None]) -> None:
     """Called where an operator begins in a worker: of all operators' caches only its own stays.
 
     Workers are reused by stage after stage; without this each would keep what all of a
-    pipeline's stages ever cached.
+    pipeline's stages ever cached, and what Arrow's allocator has ever held.
     """
     others = [name for name in _HELD if name != owner]
     for name in others:
@@ -77,10 +77,14 @@ def hold_cache(owner: str, release: Callable[[], None]) -> None:
         gc.collect()
         with contextlib.suppress(OSError, AttributeError):
             ctypes.CDLL("libc.so.6").malloc_trim(0)
+    pa.default_memory_pool().release_unused()
 
 
 def columns(batches: Iterator[pa.RecordBatch], *names: str, least_bytes: int = 6 << 20) -> Iterator[tuple[pa.Array, ...]]:
-    """Columns of batches that have rows, of ``least_bytes`` together where so many follow."""
+    """Columns of batches that have rows, of ``least_bytes`` together where so many follow.
+
+    Between them Arrow's allocator gives back what it holds unused: many times the batch after work on its pieces.
+    """
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -90,8 +94,10 @@ def columns(batches: Iterator[pa.RecordBatch], *names: str, least_bytes: int = 6
         if size >= least_bytes:
             yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in range(len(names)))
             held, size = [], 0
+            pa.default_memory_pool().release_unused()
     if held:
         yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in range(len(names)))
+    pa.default_memory_pool().release_unused()
 
 
 def prefix_sums(df: DataFrame, order: str, value: str, out: str, block: int = 4096) -> DataFrame:
